@@ -16,7 +16,11 @@ def dot(left: Column, right: Column) -> Column:
 
 
 def l2_normalize(vector: Column) -> Column:
-    """Unit length; a zero vector stays zero."""
+    """Unit length; a zero vector stays zero.
+
+    The norm enters as an array of its own, because Spark evaluates what a lambda refers
+    to once per element. Pass a plain column: a computed vector is evaluated three times.
+    """
     vector = as_doubles(vector)
     norm = F.greatest(F.sqrt(dot(vector, vector)), F.lit(1e-12))
-    return F.transform(vector, lambda x: x / norm)
+    return F.zip_with(vector, F.array_repeat(norm, F.size(vector)), lambda x, n: x / n)

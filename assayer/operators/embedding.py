@@ -31,14 +31,14 @@ def mean_pool(tokens: DataFrame, key: str, vector: str, mask: Column) -> DataFra
             (F.sum(F.col("_x") * F.col("_w")) / F.greatest(F.sum("_w"), F.lit(_SMALLEST_COUNT))).alias("_mean")
         )
     )
-    return per_dimension.groupBy(key).agg(l2_normalize(_in_order("_dim", "_mean")).alias("embedding"))
+    pooled = per_dimension.groupBy(key).agg(_in_order("_dim", "_mean").alias("_pooled"))
+    return pooled.select(key, l2_normalize(F.col("_pooled")).alias("embedding"))
 
 
 def first_token_pool(tokens: DataFrame, key: str, position: str, vector: str) -> DataFrame:
     """The vector of the first token per ``key``, unit length."""
-    return tokens.groupBy(key).agg(
-        l2_normalize(F.min_by(F.col(vector), F.col(position))).alias("embedding")
-    )
+    firsts = tokens.groupBy(key).agg(F.min_by(F.col(vector), F.col(position)).alias("_first"))
+    return firsts.select(key, l2_normalize(F.col("_first")).alias("embedding"))
 
 
 def embed_with(df: DataFrame, text: str, load: Callable[[], Encoder], batch_size: int = 32) -> DataFrame:
@@ -48,19 +48,26 @@ def embed_with(df: DataFrame, text: str, load: Callable[[], Encoder], batch_size
     column crosses to Python.
     """
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf("array<double>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = load()
         for texts in batches:
             rows = texts.tolist()
             vectors = [
-                list(v)
+                v
                 for at in range(0, len(rows), batch_size)
-                for v in np.asarray(encoder(rows[at : at + batch_size]), dtype=np.float32)
+                for v in _unit(encoder(rows[at : at + batch_size]))
             ]
             yield pd.Series(vectors, dtype=object)
 
-    return df.withColumn("embedding", l2_normalize(encode(F.col(text))))
+    return df.withColumn("embedding", encode(F.col(text)))
+
+
+def _unit(matrix: np.ndarray) -> np.ndarray:
+    """Rows at unit length; zero rows stay zero."""
+    matrix = np.asarray(matrix, dtype=np.float64)
+    norms = np.linalg.norm(matrix, axis=1, keepdims=True)
+    return matrix / np.maximum(norms, 1e-12)
 
 
 def hashed_counts(df: DataFrame, key: str, text: str, dim: int) -> DataFrame:
@@ -82,14 +89,15 @@ def embed_hashed(df: DataFrame, key: str, text: str, dim: int = 256) -> DataFram
 
     Texts without any token have no row.
     """
-    counts = hashed_counts(df, key, text, dim).groupBy(key).agg(
-        F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("_weights")
+    weights = hashed_counts(df, key, text, dim).groupBy(key).agg(
+        F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("_weights"),
+        F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_norm"),
     )
     dense = F.transform(
         F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: F.coalesce(F.try_element_at("_weights", i), F.lit(0.0)),
+        lambda i: F.coalesce(F.try_element_at("_weights", i) / F.col("_norm"), F.lit(0.0)),
     )
-    return counts.select(key, l2_normalize(dense).alias("embedding"))
+    return weights.select(key, dense.alias("embedding"))
 
 
 def _in_order(position: str, value: str) -> Column:

@@ -110,8 +110,9 @@ def _grid(queries: DataFrame, corpus: DataFrame, k: int, block_rows: int) -> Dat
     corpus_blocks = -(-corpus.count() // block_rows)
 
     def blocked(df: DataFrame, key: str, own: str, n: int, other: str, m: int) -> DataFrame:
-        spread = F.explode(F.sequence(F.lit(0), F.lit(max(m, 1) - 1)))
-        return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(max(n, 1)))).withColumn(other, spread.cast("long"))
+        first, last = F.lit(0).cast("long"), F.lit(max(m, 1) - 1).cast("long")
+        block = F.pmod(F.xxhash64(key), F.lit(max(n, 1)))
+        return df.withColumn(own, block).withColumn(other, F.explode(F.sequence(first, last)))
 
     left = blocked(queries, "query_id", "qb", query_blocks, "cb", corpus_blocks)
     right = blocked(corpus, "corpus_id", "cb", corpus_blocks, "qb", query_blocks)
