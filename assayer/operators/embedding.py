@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions.text import overlap_tokens
 from assayer.functions.vectors import as_doubles, l2_normalize
+from assayer.session import place_by
 
 Encoder = Callable[[list[str]], np.ndarray]
 
@@ -76,7 +77,7 @@ def hashed_counts(df: DataFrame, key: str, text: str, dim: int) -> DataFrame:
     Texts are placed by key once; grouping by key and bucket then needs no other shuffle,
     so tokens never cross the network.
     """
-    placed = df.select(key, text).repartition(key)
+    placed = place_by(df.select(key, text), key)
     tokens = placed.select(key, F.explode(overlap_tokens(F.col(text))).alias("_token"))
     code = F.conv(F.substring(F.md5("_token"), 1, 8), 16, 10).cast("long")
     return tokens.groupBy(key, (code % dim).cast("int").alias("bucket")).agg(

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions.text import NON_TOKEN, overlap_tokens
+from assayer.session import place_by
 
 KEYS = ("model", "task", "idx")
 
@@ -24,7 +25,7 @@ def rouge_n(scored: DataFrame, sizes: Sequence[int] = (1, 2), keys: Sequence[str
     The texts are placed by example once. Counting grams per example and summing them per
     example both keep that placement, so no gram crosses the network.
     """
-    placed = scored.select(*keys, "prediction", "reference").repartition(*keys)
+    placed = place_by(scored.select(*keys, "prediction", "reference"), *keys)
     grams = [
         _grams(overlap_tokens(F.col(side)), n, side)
         for n in sizes
