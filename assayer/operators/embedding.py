@@ -90,17 +90,20 @@ def embed_hashed(df: DataFrame, key: str, text: str, dim: int = 256) -> DataFram
 
     Texts without any token have no row.
     """
+    entry = F.struct("bucket", "weight")
     weights = hashed_counts(df, key, text, dim).groupBy(key).agg(
-        F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("_weights"),
+        F.collect_list(entry).alias("_entries"),
         F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_norm"),
     )
-    dense = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)),
-        lambda i: F.coalesce(F.try_element_at("_weights", i) / F.col("_norm"), F.lit(0.0)),
+    buckets = F.sequence(F.lit(0), F.lit(dim - 1))
+    empty = F.transform(
+        F.array_except(buckets, F.col("_entries.bucket")),
+        lambda i: F.struct(i.alias("bucket"), F.lit(0.0).alias("weight")),
     )
-    return weights.select(key, dense.alias("embedding"))
+    dense = weights.select(key, "_norm", F.sort_array(F.concat("_entries", empty)).alias("_dense"))
+    unit = F.transform("_dense.weight", lambda w: w / F.col("_norm"))
+    return dense.select(key, unit.alias("embedding"))
 
 
 def _in_order(position: str, value: str) -> Column:
-    entries = F.array_sort(F.collect_list(F.struct(position, value)))
-    return F.transform(entries, lambda e: e[value])
+    return F.sort_array(F.collect_list(F.struct(position, value))).getField(value)

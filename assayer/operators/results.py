@@ -22,7 +22,7 @@ _NUMERIC = r"BOOLEAN|BIGINT|DOUBLE|FLOAT|DECIMAL\(.*\)"
 def prediction_samples(scored: DataFrame, k: int = 5) -> DataFrame:
     """The first ``k`` predictions of every model and task, as an array in index order."""
     kept = first_k(scored.select("model", "task", "idx", "prediction"), ("model", "task"), "idx", k)
-    entries = F.array_sort(F.collect_list(F.struct("idx", "prediction")))
+    entries = F.sort_array(F.collect_list(F.struct("idx", "prediction")))
     return kept.groupBy("model", "task").agg(
         F.transform(entries, lambda e: e["prediction"]).alias("prediction_samples")
     )
@@ -38,7 +38,7 @@ def run_results(scored: DataFrame, metrics: DataFrame | None, samples: int = 5,
         latest = metrics.groupBy("model", "task", "metric_name").agg(
             F.max("metric_value").alias("metric_value")
         )
-        entries = F.array_sort(F.collect_list(F.struct("metric_name", "metric_value")))
+        entries = F.sort_array(F.collect_list(F.struct("metric_name", "metric_value")))
         maps = latest.groupBy("model", "task").agg(F.map_from_entries(entries).alias("metrics"))
         result = counts.join(maps, ["model", "task"], "left")
     return result.join(prediction_samples(scored, samples), ["model", "task"], "left").select(
@@ -131,7 +131,7 @@ def report(frame: DataFrame) -> DataFrame:
     )
     # One entry per metric name, which the job description bounds.
     listed = F.transform(
-        F.array_sort(F.collect_list(F.struct("metric_name", "line"))), lambda e: e["line"]
+        F.sort_array(F.collect_list(F.struct("metric_name", "line"))), lambda e: e["line"]
     )
     heading = F.array(F.lit("Summary metrics:"))
     return lines.agg(F.concat(heading, listed).alias("_lines")).select(

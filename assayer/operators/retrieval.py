@@ -198,7 +198,7 @@ def gather_hits(hits: DataFrame) -> DataFrame:
     hit = F.struct(
         F.col("rank").cast("int").alias("rank"), F.col("corpus_id").alias("id"), "score", "text"
     )
-    ranked = F.array_sort(F.collect_list(hit))
+    ranked = F.sort_array(F.collect_list(hit))
     in_layout = F.transform(
         ranked,
         lambda h: F.struct(h["id"].alias("id"), h["rank"].alias("rank"), h["score"].alias("score"), h["text"].alias("text")),

@@ -101,7 +101,7 @@ FRAME = f"""(SELECT run_id, model, task, unnest(['price', 'customer']) AS metric
 
 # A user turn, the assistant turn after it, and two stand-ins for model output.
 DIALOGUE = """SELECT u.conv_id, u.turn, u.text AS question, a.text AS answer,
-    a.text || ' ' || u.text AS verbose
+    a.text || ' ' || u.text AS longer
     FROM {c} u JOIN {c} a ON u.conv_id = a.conv_id AND a.turn = u.turn + 1
     WHERE u.role = 'user' AND a.role = 'assistant'"""
 

@@ -141,7 +141,7 @@ def _summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two models that repeat parts of the dialogue, against the answer given in it."""
     predictions = F.array(
         F.struct(F.lit("echo").alias("model"), F.col("question").alias("prediction")),
-        F.struct(F.lit("verbose").alias("model"), F.col("verbose").alias("prediction")),
+        F.struct(F.lit("verbose").alias("model"), F.col("longer").alias("prediction")),
     )
     return dialogue(spark, sf_dir).select(
         F.col("conv_id").cast("string").alias("task"),
@@ -153,7 +153,7 @@ def _summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _PAIRS = f"""d AS ({DIALOGUE.format(c='conversations')}),
     scored AS (SELECT 'echo' AS model, CAST(conv_id AS VARCHAR) AS task, turn AS idx, question AS prediction, answer AS reference FROM d
-        UNION ALL SELECT 'verbose', CAST(conv_id AS VARCHAR), turn, verbose, answer FROM d)"""
+        UNION ALL SELECT 'verbose', CAST(conv_id AS VARCHAR), turn, longer, answer FROM d)"""
 
 # Overlap of the grams of every scored pair; {gram} lists the grams of a token list t.
 _OVERLAP = """tokens AS (

@@ -185,7 +185,7 @@ def extract_pages(documents: DataFrame, extractor: Extractor, content: str = "co
 
 def join_pages(pages: DataFrame, keys: Sequence[str]) -> DataFrame:
     """The pages of each document as one text, joined by line breaks and trimmed."""
-    ordered = F.array_sort(F.collect_list(F.struct("page", "text")))
+    ordered = F.sort_array(F.collect_list(F.struct("page", "text")))
     text = F.array_join(F.transform(ordered, lambda p: F.coalesce(p["text"], F.lit(""))), "\n")
     return pages.groupBy(*keys).agg(strip(text).alias("text"))
 
