@@ -58,7 +58,8 @@ def _float_text(number: Column) -> Column:
     scientific = F.concat(
         F.regexp_replace(mantissa, "\\.0$", ""),
         F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+")),
-        F.lpad(F.abs(exponent).cast("string"), 2, "0"),
+        F.when(F.abs(exponent) < 10, F.lit("0")).otherwise(F.lit("")),
+        F.abs(exponent).cast("string"),
     )
     magnitude = (
         F.when(F.isnan(number), F.lit("nan"))
