@@ -1,9 +1,16 @@
+import os
+
 import pytest
 
 from assayer.session import local_session
 
 SMALL = "/root/testdata/sf0.001"
 
+# Python workers import the stand-ins that the test modules define.
+os.environ["PYTHONPATH"] = os.pathsep.join(
+    filter(None, [os.path.dirname(__file__), os.environ.get("PYTHONPATH")])
+)
+
 
 @pytest.fixture(scope="session")
 def spark():
