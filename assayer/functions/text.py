@@ -20,7 +20,7 @@ def strip(text: Column) -> Column:
 
 def overlap_tokens(text: Column) -> Column:
     """Lower-cased runs of ASCII letters and digits, in order."""
-    return F.filter(F.split(F.lower(text), NON_TOKEN), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(text), NON_TOKEN), "")
 
 
 def quote_regex(literal: str) -> str:

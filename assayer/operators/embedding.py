@@ -46,7 +46,8 @@ def embed_with(df: DataFrame, text: str, load: Callable[[], Encoder], batch_size
     """Add ``embedding`` from a plug-in encoder, loaded once per Python worker.
 
     ``load`` returns a function from a list of texts to a float matrix. Only the text
-    column crosses to Python.
+    column crosses to Python. The call counts as nondeterministic, so that no rewrite of
+    the plan runs the encoder twice.
     """
 
     @F.pandas_udf("array<double>")
@@ -61,7 +62,7 @@ def embed_with(df: DataFrame, text: str, load: Callable[[], Encoder], batch_size
             ]
             yield pd.Series(vectors, dtype=object)
 
-    return df.withColumn("embedding", encode(F.col(text)))
+    return df.withColumn("embedding", encode.asNondeterministic()(F.col(text)))
 
 
 def _unit(matrix: np.ndarray) -> np.ndarray:

@@ -24,7 +24,8 @@ def generate(prompt: Column, load: Callable[[], Generator], batch_size: int | No
 
     ``load`` runs once per Python worker. Prompts reach the generator in lists of at most
     ``batch_size``; without one, a list is one Arrow batch. Where the generator returns no
-    raw output, raw is the completion.
+    raw output, raw is the completion. The call counts as nondeterministic, so that no
+    rewrite of the plan runs a model twice.
     """
 
     @F.pandas_udf("completion string, raw string")
@@ -41,7 +42,7 @@ def generate(prompt: Column, load: Callable[[], Generator], batch_size: int | No
                 raws += raw
             yield pd.DataFrame({"completion": completions, "raw": raws}, dtype=object)
 
-    return run(prompt)
+    return run.asNondeterministic()(prompt)
 
 
 def best_choice(scores: Sequence[Column], choices: Sequence[str]) -> Column:
@@ -58,20 +59,21 @@ def best_choice(scores: Sequence[Column], choices: Sequence[str]) -> Column:
 
 
 def choose(prompt: Column, choices: Sequence[str], load: Callable[[], Scorer], batch_size: int | None = None) -> Column:
-    """The highest-scored choice per prompt, from a plug-in scorer."""
+    """The highest-scored choice per prompt, from a plug-in scorer; ties as in :func:`best_choice`."""
+    if not choices:
+        raise ValueError("The list of choices is empty")
 
-    @F.pandas_udf("array<double>")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("string")
+    def pick(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = load()
         for prompts in batches:
             rows = prompts.tolist()
             found: list[list[float]] = []
             for at in range(0, len(rows), batch_size or max(len(rows), 1)):
                 found += scorer(rows[at : at + batch_size] if batch_size else rows, choices)
-            yield pd.Series(found, dtype=object)
+            yield pd.Series([choices[scores.index(max(scores))] for scores in found], dtype=object)
 
-    scores = score(prompt)
-    return best_choice([F.get(scores, F.lit(i)) for i in range(len(choices))], choices)
+    return pick.asNondeterministic()(prompt)
 
 
 def thinking_prompt(prompt: Column, start: str = THINKING_START) -> Column:

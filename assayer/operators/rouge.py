@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -26,17 +26,23 @@ def rouge_n(scored: DataFrame, sizes: Sequence[int] = (1, 2), keys: Sequence[str
     example both keep that placement, so no gram crosses the network.
     """
     placed = place_by(scored.select(*keys, "prediction", "reference"), *keys)
-    grams = [
-        _grams(overlap_tokens(F.col(side)), n, side)
-        for n in sizes
-        for side in ("prediction", "reference")
-    ]
+    tokens = placed.select(
+        *keys, *(overlap_tokens(F.col(side)).alias(side) for side in ("prediction", "reference"))
+    )
+    lists = F.array(
+        *(
+            F.struct(F.lit(n).alias("_n"), F.lit(predicted).alias("_predicted"), _grams(F.col(side), n).alias("_grams"))
+            for n in sizes
+            for side, predicted in (("prediction", True), ("reference", False))
+        )
+    )
     counted = (
-        placed.select(*keys, F.explode_outer(F.concat(*grams)).alias("_gram"))
-        .groupBy(*keys, F.col("_gram.n").alias("_n"), F.col("_gram.text").alias("_text"))
+        tokens.select(*keys, F.inline(lists))
+        .select(*keys, "_n", "_predicted", F.explode_outer("_grams").alias("_gram"))
+        .groupBy(*keys, "_n", "_gram")
         .agg(
-            F.count_if(F.col("_gram.side") == "prediction").alias("_p"),
-            F.count_if(F.col("_gram.side") == "reference").alias("_r"),
+            F.count(F.when(F.col("_predicted"), F.col("_gram"))).alias("_p"),
+            F.count(F.when(~F.col("_predicted"), F.col("_gram"))).alias("_r"),
         )
     )
     totals = []
@@ -54,16 +60,13 @@ def rouge_n(scored: DataFrame, sizes: Sequence[int] = (1, 2), keys: Sequence[str
     )
 
 
-def _grams(tokens: Column, n: int, side: str) -> Column:
+def _grams(tokens: Column, n: int) -> Column:
     grams = tokens
     for shift in range(1, n):
         following = F.slice(tokens, F.lit(1 + shift), F.size(tokens))
         head = F.slice(grams, F.lit(1), F.greatest(F.size(tokens) - shift, F.lit(0)))
-        grams = F.zip_with(head, following, lambda a, b: F.concat_ws(" ", a, b))
-    return F.transform(
-        F.coalesce(grams, F.array().cast("array<string>")),
-        lambda g: F.struct(F.lit(n).alias("n"), F.lit(side).alias("side"), g.alias("text")),
-    )
+        grams = F.zip_with(head, following, lambda a, b: F.concat(a, F.lit(" "), b))
+    return grams
 
 
 def _f_measure(both: str, predicted: str, expected: str) -> Column:
@@ -75,61 +78,63 @@ def _f_measure(both: str, predicted: str, expected: str) -> Column:
 def rouge_l(scored: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """F-measure per example from longest common subsequences: ``rougeL``, ``rougeLsum``.
 
-    Row by row in Arrow batches, without a shuffle.
+    Row by row in Arrow batches. The work grows faster than the texts, so they are spread
+    over the shuffle partitions first.
     """
 
     @F.pandas_udf("rougeL double, rougeLsum double")
     def measure(predictions: pd.Series, references: pd.Series) -> pd.DataFrame:
-        pairs = list(zip(predictions, references))
+        pairs = [(_sentences(p), _sentences(r)) for p, r in zip(predictions, references)]
         return pd.DataFrame(
             {
-                "rougeL": [lcs_f(_tokens(p), _tokens(r)) for p, r in pairs],
-                "rougeLsum": [lcs_union_f(_sentences(p), _sentences(r)) for p, r in pairs],
+                "rougeL": [lcs_f(sum(p, []), sum(r, [])) for p, r in pairs],
+                "rougeLsum": [lcs_union_f(p, r) for p, r in pairs],
             }
         )
 
-    scores = scored.select(*keys, measure("prediction", "reference").alias("_score"))
+    placed = place_by(scored.select(*keys, "prediction", "reference"), *keys)
+    scores = placed.select(*keys, measure("prediction", "reference").alias("_score"))
     return scores.select(*keys, "_score.rougeL", "_score.rougeLsum")
 
 
-def _tokens(text: str | None) -> list[str]:
-    return [t for t in re.split(NON_TOKEN, (text or "").lower()) if t]
-
-
 def _sentences(text: str | None) -> list[list[str]]:
-    return [_tokens(line) for line in (text or "").split("\n") if line]
+    """The tokens of every line; a line break never lies inside a token."""
+    return [[t for t in re.split(NON_TOKEN, line.lower()) if t] for line in (text or "").split("\n") if line]
 
 
 def _f(hits: int, predicted: int, expected: int) -> float:
     return 2.0 * hits / (predicted + expected) if hits else 0.0
 
 
-def _rows(left: list[str], right: list[str]) -> list[int]:
-    """Bit-parallel LCS (Hyyrö): one integer per prefix of ``left``.
+def _places(tokens: list[str]) -> dict[str, int]:
+    """Bit i is set for the token at position i."""
+    places: dict[str, int] = {}
+    for i, token in enumerate(tokens):
+        places[token] = places.get(token, 0) | (1 << i)
+    return places
 
-    Bit j of row i is 0 where the LCS grows from ``right[:j]`` to ``right[:j + 1]``.
+
+def _growth(places: dict[str, int], size: int, other: list[str]) -> Iterator[int]:
+    """Bit-parallel LCS (Hyyrö): one integer per prefix of ``other``, the empty one first.
+
+    Bit i is 0 where the LCS with that prefix grows as position i of the first sequence
+    joins in.
     """
-    places: dict[str, int] = {}
-    for j, token in enumerate(right):
-        places[token] = places.get(token, 0) | (1 << j)
-    everything = (1 << len(right)) - 1
+    everything = (1 << size) - 1
     row = everything
-    rows = [row]
-    for token in left:
+    yield row
+    for token in other:
         matched = row & places.get(token, 0)
-        row = ((row + matched) | (row - matched)) & everything
-        rows.append(row)
-    return rows
-
-
-def _length(row: int, columns: int) -> int:
-    """The LCS length a row records for its first ``columns`` columns."""
-    return columns - (row & ((1 << columns) - 1)).bit_count()
+        if matched:
+            row = ((row + matched) | (row - matched)) & everything
+        yield row
 
 
 def lcs_f(predicted: list[str], expected: list[str]) -> float:
-    common = _length(_rows(expected, predicted)[-1], len(predicted))
-    return _f(common, len(predicted), len(expected))
+    last = 0
+    for last in _growth(_places(predicted), len(predicted), expected):
+        pass
+    return _f(len(predicted) - last.bit_count(), len(predicted), len(expected))
 
 
 def lcs_union_f(predicted: list[list[str]], expected: list[list[str]]) -> float:
@@ -139,27 +144,32 @@ def lcs_union_f(predicted: list[list[str]], expected: list[list[str]]) -> float:
     n_predicted, n_expected = left.total(), right.total()
     hits = 0
     for sentence in expected:
-        shared = set().union(*(_lcs_positions(sentence, other) for other in predicted))
-        for i in sorted(shared):
-            token = sentence[i]
-            if left[token] > 0 and right[token] > 0:
+        places = _places(sentence)
+        shared = 0
+        for other in predicted:
+            shared |= _lcs_positions(places, len(sentence), other)
+        for i, token in enumerate(sentence):
+            if shared >> i & 1 and left[token] > 0 and right[token] > 0:
                 hits += 1
                 left[token] -= 1
                 right[token] -= 1
     return _f(hits, n_predicted, n_expected)
 
 
-def _lcs_positions(left: list[str], right: list[str]) -> set[int]:
-    """Positions in ``left`` of one LCS; of equal choices the one that shortens ``left``."""
-    rows = _rows(left, right)
-    found: set[int] = set()
-    i, j = len(left), len(right)
-    while i and j:
-        if left[i - 1] == right[j - 1]:
-            found.add(i - 1)
-            i, j = i - 1, j - 1
-        elif _length(rows[i], j - 1) > _length(rows[i - 1], j):
-            j -= 1
-        else:
-            i -= 1
+def _lcs_positions(places: dict[str, int], size: int, other: list[str]) -> int:
+    """Positions of one LCS in the first sequence, as bits.
+
+    Walks back from the ends. A match is always taken; otherwise the first sequence is
+    shortened as long as that keeps the length, and then ``other`` is.
+    """
+    growth = list(_growth(places, size, other))
+    found = 0
+    for j in range(len(other), 0, -1):
+        match = places.get(other[j - 1], 0)
+        size = ((match | ~growth[j]) & ((1 << size) - 1)).bit_length()
+        if not size:
+            break
+        if match >> (size - 1) & 1:
+            size -= 1
+            found |= 1 << size
     return found

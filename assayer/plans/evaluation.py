@@ -72,8 +72,8 @@ def evaluate(
 ) -> Evaluation:
     """Run every model on every task.
 
-    Prompts are built once per task, whatever the number of models. Predictions are
-    written before they are scored, so no metric runs a model again.
+    Prompts are built once per task, whatever the number of models. Parsed predictions are
+    written before they are measured, so no metric runs a model again.
     """
     evaluation = evaluation or EvaluationSpec()
     run_id = datetime.now(timezone.utc).strftime("%Y%m%d_%H%M%S")
@@ -81,7 +81,7 @@ def evaluate(
     for task in tasks:
         examples = materialize(load_examples(spark, task, evaluation), "examples")
         predictions = predict_all(examples, models, task, evaluation.batch_size)
-        scored = score(_written(predictions, task, evaluation, run_id), task)
+        scored = _written(score(predictions, task), task, evaluation, run_id)
         results.append(_results(scored, models, task, evaluation, run_id))
         if evaluation.save_detailed:
             details.append(_details(scored, task, evaluation))
@@ -97,13 +97,13 @@ def evaluate(
     return Evaluation(run_id, all_results, means, all_details)
 
 
-def _written(predictions: DataFrame, task: TaskSpec, evaluation: EvaluationSpec, run_id: str) -> DataFrame:
+def _written(scored: DataFrame, task: TaskSpec, evaluation: EvaluationSpec, run_id: str) -> DataFrame:
     if not (evaluation.checkpoint_batches and evaluation.output_dir):
-        return materialize(predictions, "predictions")
-    spark = predictions.sparkSession
+        return materialize(scored, "predictions")
+    spark = scored.sparkSession
     key = spark.range(1).select(output_key(F.lit(task.name))).first()[0]
     path = f"{evaluation.output_dir}/{run_id}/checkpoints/{key}"
-    save_checkpoints(predictions, path, evaluation.batch_size, evaluation.checkpoint_batches)
+    save_checkpoints(scored, path, evaluation.batch_size, evaluation.checkpoint_batches)
     return spark.read.parquet(path).drop("flush_group")
 
 

@@ -12,6 +12,7 @@ from assayer.operators.retrieval import fetch_text, top_k, top_k_text, with_cont
 from assayer.plans.rag import rag_prompts
 from assayer.plans.spec import RagSpec, TaskSpec
 from assayer.queries.registry import query, rounded, table
+from assayer.session import materialize
 
 _PAIRS = """scores AS (
         SELECT q.vec_id AS query_id, c.vec_id AS corpus_id, round(list_dot_product(
@@ -152,23 +153,25 @@ def rag_knn_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     # One hit more, because the best hit of a vector is the vector itself.
     found = top_k(queries, _corpus(spark, sf_dir), 4).where(F.col("query_id") != F.col("corpus_id"))
     by_rank = Window.partitionBy("query_id").orderBy("rank")
-    hits = found.withColumn("rank", F.row_number().over(by_rank)).where(F.col("rank") <= 3)
+    nearest = found.withColumn("rank", F.row_number().over(by_rank)).where(F.col("rank") <= 3)
+    # Votes and contexts both start from the hits.
+    hits = materialize(nearest, "hits")
     labels = queries.select(F.col("query_id").alias("corpus_id"), F.col("label").alias("hit_label"))
     votes = hits.join(labels, "corpus_id").groupBy("query_id", "hit_label").agg(F.count("*").alias("n"))
     majority = votes.groupBy("query_id").agg(
         F.max_by("hit_label", F.struct("n", -F.col("hit_label"))).alias("prediction")
     )
-    asked = queries.select("query_id", F.col("label").alias("reference"))
+    asked = queries.select(
+        F.lit("neighbours").alias("model"), F.col("label").cast("string").alias("task"), "query_id", F.col("label").alias("reference")
+    )
+    scored = asked.join(majority, "query_id")
     prompts = with_context(asked, fetch_text(hits, _texts(spark, sf_dir)))
     prompt = render(prompts.schema, "Label this: {context}", {}, {"context": (F.col("context"), T.StringType())})
-    scored = prompts.join(majority, "query_id").select(
-        F.lit("neighbours").alias("model"),
-        F.col("reference").cast("string").alias("task"),
-        "prediction",
-        "reference",
-        F.length(prompt).cast("long").alias("prompt_chars"),
+    sizes = (
+        prompts.where(F.size("results") > 0)
+        .groupBy("task")
+        .agg(F.count("*").alias("n"), F.sum(F.length(prompt).cast("long")).alias("prompt_chars"))
     )
-    sizes = scored.groupBy("task").agg(F.count("*").alias("n"), F.sum("prompt_chars").alias("prompt_chars"))
     return sizes.join(accuracy(scored), "task").select(
         "task", "n", rounded("metric_value").alias("accuracy"), "prompt_chars"
     )

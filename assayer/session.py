@@ -46,8 +46,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, purpose: str) -> str:
-    """A path in the shared folder that nothing has written to yet."""
-    return f"{shared_dir(spark)}/{purpose}-{uuid.uuid4().hex}"
+    """A path that nothing has written to yet, in the application's part of the shared folder.
+
+    Working tables stay until that part is deleted, once the application has ended.
+    """
+    folder = f"{shared_dir(spark)}/assayer-{spark.sparkContext.applicationId}"
+    return f"{folder}/{purpose}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, purpose: str) -> DataFrame:
