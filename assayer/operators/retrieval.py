@@ -157,10 +157,18 @@ class _Best:
                 self.ids = np.vstack([best for _, best in rows])
 
     def _merged(self, rows: slice, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray):
-        scores = np.round(queries[rows] @ vectors.T, SCORE_DIGITS)
+        known, best = self.scores[rows], self.ids[rows]
+        scores = queries[rows] @ vectors.T
+        if known.shape[1] == self.k:
+            # Few of the new scores reach the lowest of the best so far.
+            row, column = np.nonzero(scores >= known[:, -1:] - 2 * 10.0**-SCORE_DIGITS)
+            if len(row) <= known.size:
+                found = np.round(scores[row, column], SCORE_DIGITS)
+                return _with_few(known, best, row, found, ids[column])
+        scores = np.round(scores, SCORE_DIGITS)
         kept = _top_columns(scores, self.k)
-        scores = np.hstack([self.scores[rows], np.take_along_axis(scores, kept, axis=1)])
-        best = np.hstack([self.ids[rows], ids[kept]])
+        scores = np.hstack([known, np.take_along_axis(scores, kept, axis=1)])
+        best = np.hstack([best, ids[kept]])
         order = np.lexsort((best, -scores), axis=1)[:, : self.k]
         return np.take_along_axis(scores, order, axis=1), np.take_along_axis(best, order, axis=1)
 
@@ -175,6 +183,20 @@ class _Best:
         )
 
 
+def _with_few(known: np.ndarray, best: np.ndarray, row: np.ndarray, scores: np.ndarray, ids: np.ndarray):
+    """Full rows of best scores and ids, after single candidates for some of the rows."""
+    if not len(row):
+        return known, best
+    height, k = known.shape
+    rows = np.concatenate([np.repeat(np.arange(height), k), row])
+    scores = np.concatenate([known.ravel(), scores])
+    ids = np.concatenate([best.ravel(), ids])
+    order = np.lexsort((ids, -scores, rows))
+    starts = np.searchsorted(rows[order], np.arange(height))
+    kept = order[starts[:, None] + np.arange(k)]
+    return scores[kept], ids[kept]
+
+
 def _top_columns(scores: np.ndarray, k: int) -> np.ndarray:
     """Columns of the ``k`` highest scores per row; equal scores favour the left column."""
     width = scores.shape[1]
