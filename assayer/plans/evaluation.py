@@ -15,9 +15,9 @@ from assayer.functions.naming import output_key
 from assayer.operators import metrics
 from assayer.operators.positions import head, with_position
 from assayer.operators.results import detail_rows, run_results, summary, unpivot_metrics
-from assayer.plans import adapters
+from assayer.plans import adapters, analysis as analyses
 from assayer.plans.generation import predict_all
-from assayer.plans.spec import EvaluationSpec, ModelSpec, SpecError, TaskSpec
+from assayer.plans.spec import AnalysisSpec, EvaluationSpec, ModelSpec, SpecError, TaskSpec
 from assayer.session import materialize
 from assayer.sinks.writers import save_by_run, save_checkpoints
 from assayer.sources import datasets
@@ -69,6 +69,7 @@ def evaluate(
     models: Sequence[ModelSpec],
     tasks: Sequence[TaskSpec],
     evaluation: EvaluationSpec | None = None,
+    analysis: AnalysisSpec | None = None,
 ) -> Evaluation:
     """Run every model on every task.
 
@@ -87,13 +88,19 @@ def evaluate(
             details.append(_details(scored, task, evaluation))
     all_results = materialize(reduce(DataFrame.unionByName, results), "results")
     all_details = reduce(DataFrame.unionByName, details) if details else None
-    means = summary(unpivot_metrics(all_results))
+    frame = unpivot_metrics(all_results)
+    means = summary(frame)
     if evaluation.output_dir:
         folder = f"{evaluation.output_dir}/{run_id}"
         save_by_run(all_results, f"{folder}/results")
         means.write.json(f"{folder}/summary")
         if all_details is not None:
             save_by_run(all_details.withColumn("run_id", F.lit(run_id)), f"{folder}/examples")
+        if analysis and analysis.enabled:
+            analyses.write_tables(analyses.run_tables(frame, analysis), f"{folder}/analysis")
+            if analysis.compare_runs:
+                compared = analyses.compare(spark, analysis.compare_runs, analysis)
+                analyses.write_tables(compared, f"{folder}/compare")
     return Evaluation(run_id, all_results, means, all_details)
 
 

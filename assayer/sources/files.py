@@ -33,11 +33,10 @@ _PAGES = T.ArrayType(
 )
 
 
-def normalize_extensions(extensions: Sequence[str] | None) -> list[str]:
+def allowed_extensions(extensions: Sequence[str] | None) -> list[str]:
     """Lower case with a leading dot; nothing given means all supported ones."""
-    if not extensions:
-        return list(SUPPORTED_EXTENSIONS)
-    return [(e if e.startswith(".") else f".{e}").lower() for e in extensions if e]
+    given = [e for e in extensions or () if e]
+    return ["." + e.lower().removeprefix(".") for e in given] if extensions else list(SUPPORTED_EXTENSIONS)
 
 
 def extension(path: Column) -> Column:
@@ -67,7 +66,7 @@ def discover(
     """
     files = _files(spark, locations, "binaryFile", recursive).select("path", "length")
     wanted = files.select("path", extension(F.col("path")).alias("extension"), "length")
-    kept = wanted.where(F.col("extension").isin(normalize_extensions(extensions)))
+    kept = wanted.where(F.col("extension").isin(allowed_extensions(extensions)))
     return kept.distinct().orderBy("path")
 
 
@@ -243,7 +242,7 @@ def read_corpus(
     overlap = int(config.get("chunk_overlap", 0))
     check_overlap(size, overlap)
     locations = corpus_locations(config)
-    wanted = normalize_extensions(config.get("extensions"))
+    wanted = allowed_extensions(config.get("extensions"))
     recursive = bool(config.get("recursive", True))
     present = {
         row["extension"]
