@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # A generator maps a batch of prompts to completions, or to (completions, raw outputs).
-Generator = Callable[[list[str]], "list[str] | tuple[list[str], list[str]]"]
+Generator = Callable[..., "list[str] | tuple[list[str], list[str]]"]
 # A scorer maps a batch of prompts and the choices to one list of scores per prompt.
-Scorer = Callable[[list[str], Sequence[str]], "list[list[float]]"]
+Scorer = Callable[..., "list[list[float]]"]
 
 # Marks of the two-phase prompts, used where the task names none.
 THINKING_START = "<think"
@@ -19,10 +20,15 @@ THINKING_END = "</think"
 ANSWER_MARK = "<answer>"
 
 
-def generate(prompt: Column, load: Callable[[], Generator], batch_size: int | None = None) -> Column:
+def generate(
+    prompt: Column,
+    load: Callable[[], Generator],
+    batch_size: int | None = None,
+    settings: Mapping[str, Any] | None = None,
+) -> Column:
     """A struct ``(completion, raw)`` per prompt.
 
-    ``load`` runs once per Python worker. Prompts reach the generator in lists of at most
+    ``load`` runs once per Python worker; ``settings`` go to every call as keywords. Prompts reach the generator in lists of at most
     ``batch_size``; without one, a list is one Arrow batch. Where the generator returns no
     raw output, raw is the completion. The call counts as nondeterministic, so that no
     rewrite of the plan runs a model twice.
@@ -36,7 +42,8 @@ def generate(prompt: Column, load: Callable[[], Generator], batch_size: int | No
             completions: list[str] = []
             raws: list[str] = []
             for at in range(0, len(rows), batch_size or max(len(rows), 1)):
-                output = generator(rows[at : at + batch_size] if batch_size else rows)
+                batch = rows[at : at + batch_size] if batch_size else rows
+                output = generator(batch, **(settings or {}))
                 texts, raw = output if isinstance(output, tuple) else (output, output)
                 completions += texts
                 raws += raw
@@ -58,7 +65,13 @@ def best_choice(scores: Sequence[Column], choices: Sequence[str]) -> Column:
     return F.array_max(ranked).getField("choice")
 
 
-def choose(prompt: Column, choices: Sequence[str], load: Callable[[], Scorer], batch_size: int | None = None) -> Column:
+def choose(
+    prompt: Column,
+    choices: Sequence[str],
+    load: Callable[[], Scorer],
+    batch_size: int | None = None,
+    settings: Mapping[str, Any] | None = None,
+) -> Column:
     """The highest-scored choice per prompt, from a plug-in scorer; ties as in :func:`best_choice`."""
     if not choices:
         raise ValueError("The list of choices is empty")
@@ -70,7 +83,8 @@ def choose(prompt: Column, choices: Sequence[str], load: Callable[[], Scorer], b
             rows = prompts.tolist()
             found: list[list[float]] = []
             for at in range(0, len(rows), batch_size or max(len(rows), 1)):
-                found += scorer(rows[at : at + batch_size] if batch_size else rows, choices)
+                batch = rows[at : at + batch_size] if batch_size else rows
+                found += scorer(batch, choices, **(settings or {}))
             yield pd.Series([choices[scores.index(max(scores))] for scores in found], dtype=object)
 
     return pick.asNondeterministic()(prompt)
@@ -109,11 +123,17 @@ def two_phase(
     start: str = THINKING_START,
     end: str = THINKING_END,
     batch_size: int | None = None,
+    settings: Mapping[str, Any] | None = None,
 ) -> DataFrame:
-    """Reason freely, then answer with one of the choices; adds ``completion`` and ``raw``."""
-    thinking = generate(thinking_prompt(F.col(prompt), start), load_generator, batch_size)
+    """Reason freely, then answer with one of the choices; adds ``completion`` and ``raw``.
+
+    The first phase is told to stop at the end of the reasoning section.
+    """
+    settings = dict(settings or {})
+    stopping = {**settings, "stop_strings": stop_strings(settings.get("stop_strings", ()), end)}
+    thinking = generate(thinking_prompt(F.col(prompt), start), load_generator, batch_size, stopping)
     thought = df.withColumn("_thinking", thinking.getField("completion"))
     asked = answer_prompt(F.col(prompt), F.col("_thinking"), start, end)
-    answered = thought.withColumn("completion", choose(asked, choices, load_scorer, batch_size))
+    answered = thought.withColumn("completion", choose(asked, choices, load_scorer, batch_size, settings))
     raw = F.concat(reasoning_part(F.col("_thinking"), start, end), F.col("completion"))
     return answered.withColumn("raw", raw).drop("_thinking")

@@ -49,11 +49,15 @@ def compute(scored: DataFrame, name: str, **args) -> DataFrame:
 
 
 def compute_all(scored: DataFrame, specs: Sequence) -> DataFrame:
-    """All metrics of a task, given as names or ``(name, args)`` pairs."""
-    frames = [
-        compute(scored, spec) if isinstance(spec, str) else compute(scored, spec[0], **spec[1])
-        for spec in specs
-    ]
+    """All metrics of a task, given as names or ``(name, args)`` pairs.
+
+    ``metric_order`` is the place in the list, by which a later metric replaces an earlier
+    one of the same name.
+    """
+    frames = []
+    for order, spec in enumerate(specs):
+        name, args = (spec, {}) if isinstance(spec, str) else spec
+        frames.append(compute(scored, name, **args).withColumn("metric_order", F.lit(order)))
     return reduce(DataFrame.unionByName, frames)
 
 

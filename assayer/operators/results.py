@@ -34,9 +34,10 @@ def run_results(scored: DataFrame, metrics: DataFrame | None, samples: int = 5,
     if metrics is None:
         result = counts.withColumn("metrics", F.create_map().cast("map<string,double>"))
     else:
-        # A task has a handful of metrics; a name given twice keeps one value.
+        # A task has a handful of metrics; of a name given twice the later value stays.
+        order = F.col("metric_order") if "metric_order" in metrics.columns else F.lit(0)
         latest = metrics.groupBy("model", "task", "metric_name").agg(
-            F.max("metric_value").alias("metric_value")
+            F.max_by("metric_value", order).alias("metric_value")
         )
         entries = F.sort_array(F.collect_list(F.struct("metric_name", "metric_value")))
         maps = latest.groupBy("model", "task").agg(F.map_from_entries(entries).alias("metrics"))

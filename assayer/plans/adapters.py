@@ -34,7 +34,7 @@ class TaskAdapter:
     def postprocess(self, predictions: DataFrame, task: TaskSpec) -> DataFrame:
         """Add ``prediction_parsed``."""
         parsed = postprocess(
-            F.col("completion"), task.choices, task.default, task.thinking_delimiters, task.strip_from_prediction
+            F.col("completion"), task.choices, task.default_choice, task.thinking_delimiters, task.strip_from_prediction
         )
         return predictions.withColumn("prediction_parsed", parsed)
 

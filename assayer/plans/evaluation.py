@@ -19,7 +19,7 @@ from assayer.plans import adapters, analysis as analyses
 from assayer.plans.generation import predict_all
 from assayer.plans.spec import AnalysisSpec, EvaluationSpec, ModelSpec, SpecError, TaskSpec
 from assayer.session import materialize
-from assayer.sinks.writers import save_by_run, save_checkpoints
+from assayer.sinks.writers import save_by_run, save_checkpoints, save_summary
 from assayer.sources import datasets
 
 
@@ -73,6 +73,8 @@ def evaluate(
 ) -> Evaluation:
     """Run every model on every task.
 
+    Under ``output_dir``, ``results`` and ``examples`` collect the rows of all runs by run,
+    model and task; ``<run id>`` holds the summary, checkpoints and tables of this one.
     Prompts are built once per task, whatever the number of models. Parsed predictions are
     written before they are measured, so no metric runs a model again.
     """
@@ -92,10 +94,11 @@ def evaluate(
     means = summary(frame)
     if evaluation.output_dir:
         folder = f"{evaluation.output_dir}/{run_id}"
-        save_by_run(all_results, f"{folder}/results")
-        means.write.json(f"{folder}/summary")
+        save_by_run(all_results, f"{evaluation.output_dir}/results", mode="append")
+        save_summary(all_results, means, run_id, f"{folder}/summary.json")
         if all_details is not None:
-            save_by_run(all_details.withColumn("run_id", F.lit(run_id)), f"{folder}/examples")
+            examples = all_details.withColumn("run_id", F.lit(run_id))
+            save_by_run(examples, f"{evaluation.output_dir}/examples", mode="append")
         if analysis and analysis.enabled:
             analyses.write_tables(analyses.run_tables(frame, analysis), f"{folder}/analysis")
             if analysis.compare_runs:

@@ -41,13 +41,14 @@ def predict(examples: DataFrame, model: ModelSpec, task: TaskSpec, batch_size: i
         marks = task.thinking_delimiters or Delimiters()
         answered = two_phase(
             named, "prompt", task.choices, model.load_generator, model.load_scorer,
-            marks.start or THINKING_START, marks.end or THINKING_END, size,
+            marks.start or THINKING_START, marks.end or THINKING_END, size, task.generation_kwargs,
         )
         return answered.withColumnRenamed("raw", "prediction_raw")
     if mode == "constrained":
-        choice = choose(F.col("prompt"), task.choices, model.load_scorer, size)
+        choice = choose(F.col("prompt"), task.choices, model.load_scorer, size, task.generation_kwargs)
         return named.withColumn("completion", choice).withColumn("prediction_raw", F.col("completion"))
-    output = named.withColumn("_output", generate(F.col("prompt"), model.load_generator, size))
+    written = generate(F.col("prompt"), model.load_generator, size, task.generation_kwargs)
+    output = named.withColumn("_output", written)
     return output.select(
         *named.columns, F.col("_output.completion").alias("completion"), F.col("_output.raw").alias("prediction_raw")
     )

@@ -22,7 +22,7 @@ def digest(text: str) -> str:
 def digest_generator():
     """Completes every prompt with its digest; the raw output repeats the prompt."""
 
-    def run(prompts: list[str]) -> tuple[list[str], list[str]]:
+    def run(prompts: list[str], **_) -> tuple[list[str], list[str]]:
         completions = [digest(p) for p in prompts]
         return completions, [p + c for p, c in zip(prompts, completions)]
 
@@ -32,7 +32,7 @@ def digest_generator():
 def digest_scorer():
     """Scores a choice by the digest of prompt and choice."""
 
-    def run(prompts: list[str], choices) -> list[list[float]]:
+    def run(prompts: list[str], choices, **_) -> list[list[float]]:
         return [[float(int(digest(p + c)[:8], 16)) for c in choices] for p in prompts]
 
     return run

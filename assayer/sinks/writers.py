@@ -38,6 +38,18 @@ def save_by_run(results: DataFrame, path: str, mode: str = "errorifexists") -> N
     keyed.hint("rebalance", *folders).write.mode(mode).partitionBy(*folders).json(path)
 
 
+def save_summary(results: DataFrame, means: DataFrame, run_id: str, path: str) -> None:
+    """One JSON object for a run: its ``runs``, the mean per metric, its id.
+
+    It has an entry per model and task and one per metric, which the job lists.
+    """
+    runs = results.agg(F.collect_list(F.struct(*results.columns)).alias("runs"))
+    entries = F.map_from_entries(F.collect_list(F.struct("metric_name", "metric_value")))
+    means = means.agg(entries.alias("summary"))
+    both = runs.withColumn("run_id", F.lit(run_id)).join(means.withColumn("run_id", F.lit(run_id)), "run_id")
+    both.select("runs", "summary", "run_id").coalesce(1).write.json(path)
+
+
 def save_csv(results: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """Columns in name order under a header; nested values as JSON, missing ones empty."""
     columns = []

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assayer.functions.text import strip
+from assayer.functions.text import python_text, strip
 from assayer.operators.chunking import check_overlap, recursive_chunks
 from assayer.operators.positions import number_in_place, with_position
 
@@ -104,8 +104,8 @@ def read_jsonl(
 ) -> DataFrame:
     """JSON lines: ``text, source, line_number``, with blank lines neither read nor counted.
 
-    ``content`` is a key or a path such as ``a.b[0]``. A line that is a plain value is its
-    own text. Content that is missing or null is ''; with ``strict``, content that is not a
+    ``content`` is a key or a path such as ``a.b[0]``. A line that is no object is its own
+    text. Content that is missing or null is ''; with ``strict``, content that is not a
     text is an error, otherwise its JSON text is taken. A large file is read as several
     splits; lines are numbered per split and shifted by the lines of the splits before it.
     """
@@ -137,9 +137,13 @@ def json_content(line: Column, content: str = "text", strict: bool = True) -> Co
     if strict:
         failure = F.raise_error(F.concat(F.lit(f"Content '{content}' is no text in: "), line))
         text = F.when(kind == "STRING", text).otherwise(failure.cast("string"))
-    scalar = ~whole_kind.startswith("OBJECT") & ~whole_kind.startswith("ARRAY")
+    number = python_text(F.try_variant_get(value, "$", "double"), T.DoubleType())
+    flag = python_text(F.try_variant_get(value, "$", "boolean"), T.BooleanType())
     return (
-        F.when(scalar, F.try_variant_get(value, "$", "string"))
+        F.when(whole_kind == "VOID", F.lit("None"))
+        .when(whole_kind == "BOOLEAN", flag)
+        .when(whole_kind.rlike("^(DOUBLE|FLOAT|DECIMAL)"), number)
+        .when(~whole_kind.startswith("OBJECT"), F.try_variant_get(value, "$", "string"))
         .when(inner.isNull() | (kind == "VOID"), F.lit(""))
         .otherwise(text)
     )

@@ -33,6 +33,7 @@ def read_run_results(
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "*.json")
         .json(list(run_dirs))
+        .where(F.col("runs").isNotNull())
         .select("runs", F.split("_metadata.file_path", "/").alias("_path"))
     )
     def from_end(n: int):
@@ -50,7 +51,7 @@ def read_run_results(
     )
     tasks = files.where(~F.col("_summary"))
     if prefer_summary:
-        summaries = files.where(F.col("_summary") & F.col("runs").isNotNull())
+        summaries = files.where("_summary")
         tasks = tasks.join(summaries.select("run_id"), "run_id", "left_anti")
         tasks = summaries.unionByName(tasks)
     entries = tasks.select("run_id", F.explode("runs").alias("_run")).where(F.col("_run").isNotNull())

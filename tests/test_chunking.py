@@ -30,6 +30,63 @@ def test_recursive_chunks_cover_the_text(text, size, overlap):
     assert all(seen or c.isspace() for seen, c in zip(covered, text)) or overlap
 
 
+def pieces(text, level):
+    """Text cut before every separator of a level; by hand, one character at a time."""
+    separator = ("\n\n", "\n", " ", "")[level]
+    cuts, at = [0], 0
+    while at < len(text):
+        if separator == "" or text.startswith(separator, at):
+            cuts.append(at)
+            at += max(len(separator), 1)
+        else:
+            at += 1
+    cuts.append(len(text))
+    return [text[a:b] for a, b in zip(cuts, cuts[1:]) if b > a]
+
+
+def slow_split(text, size, overlap, level=0):
+    while ("\n\n", "\n", " ", "")[level] not in text:
+        level += 1
+    chunks, window = [], []
+
+    def emit(parts):
+        chunk = "".join(parts).strip()
+        if chunk:
+            chunks.append(chunk)
+
+    def close():
+        emit(window)
+        window.clear()
+
+    for piece in pieces(text, level):
+        if len(piece) >= size:
+            close()
+            chunks.extend(slow_split(piece, size, overlap, level + 1) if level < 3 else [piece])
+            continue
+        if window and len("".join(window)) + len(piece) > size:
+            emit(window)
+            while len("".join(window)) > overlap or (window and len("".join(window)) + len(piece) > size):
+                del window[0]
+        window.append(piece)
+    close()
+    return chunks
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="ab \n", max_size=80), st.integers(3, 15), st.integers(0, 2))
+def test_recursive_against_the_slow_form(text, size, overlap):
+    assert [c for _, c in split_text(text, size, overlap)] == slow_split(text, size, overlap)
+
+
+def test_recursive_on_the_documents(spark, small):
+    documents = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text")
+    found = {}
+    for row in recursive_chunks(documents, "text", 200, 20).orderBy("doc_id", "chunk_index").collect():
+        found.setdefault(row.doc_id, []).append(row.chunk)
+    for row in documents.collect():
+        assert found.get(row.doc_id, []) == slow_split(row.text, 200, 20)
+
+
 def test_recursive_rows(spark):
     df = spark.createDataFrame([(1, "one two three four five six"), (2, ""), (3, None)], "id int, text string")
     rows = recursive_chunks(df, "text", 12, 4).orderBy("id", "chunk_index").collect()

@@ -5,6 +5,7 @@ from assayer.functions.reasoning import Delimiters
 from assayer.plans import adapters
 from assayer.plans.evaluation import evaluate
 from assayer.plans.generation import mode_of
+from assayer.sources.runs import read_run_frame
 from assayer.plans.spec import EvaluationSpec, ModelSpec, RagSpec, SpecError, TaskSpec
 
 
@@ -88,11 +89,11 @@ def test_adapters():
 
 def last_word():
     """Thinks aloud, then answers with the last word of the prompt."""
-    return lambda prompts: ([f"<t>hm</t> {p.split()[-1]}" for p in prompts], [f"{p} <t>hm</t> {p.split()[-1]}" for p in prompts])
+    return lambda prompts, **_: ([f"<t>hm</t> {p.split()[-1]}" for p in prompts], [f"{p} <t>hm</t> {p.split()[-1]}" for p in prompts])
 
 
 def longest_first():
-    return lambda prompts, choices: [[len(c) for c in choices] for _ in prompts]
+    return lambda prompts, choices: [[len(c) for c in choices] for p in prompts]
 
 
 @pytest.fixture()
@@ -128,19 +129,27 @@ def test_evaluation(spark, examples, tmp_path):
     assert (detail.prompt, detail.prediction_raw) == ("Text: it is business", "Text: it is business <t>hm</t> business")
     assert (detail.prediction_parsed, detail.prediction_thinking, detail.prediction_answer, detail.actual) == ("business", "hm", "business", "2")
     assert outcome.details.count() == 12
-    stored = spark.read.json(f"{tmp_path}/{outcome.run_id}/results")
+    stored = spark.read.json(f"{tmp_path}/results")
     assert sorted(r.model_key for r in stored.select("model_key").distinct().collect()) == ["chooser", "org_last_word"]
     assert spark.read.parquet(f"{tmp_path}/{outcome.run_id}/checkpoints/free").count() == 8
+    assert spark.read.json(f"{tmp_path}/examples").count() == 12
+    frame = read_run_frame(spark, [f"{tmp_path}/{outcome.run_id}"]).collect()
+    assert {(r.run_id, r.model, r.task, r.metric_value, r.num_examples) for r in frame} == {
+        (outcome.run_id, "org/last word", "free", 0.75, 4), (outcome.run_id, "chooser", "free", 0.75, 4),
+    }
 
 
 def test_constrained_evaluation(spark, examples):
     choose = TaskSpec(
         name="c", dataset=examples, prompt_template="{text}", input_mappings={"text": "text"}, order_by=["id"],
-        reference_field="label", label_map=LABELS, metrics=["accuracy", ("f1", {"average": "macro"})], choices=LABELS, constrained_output=True,
+        reference_field="label", label_map=LABELS, metrics=["accuracy", ("f1", {"average": "micro"}), ("f1", {"average": "macro"})],
+        choices=LABELS, constrained_output=True,
     )
     thinker = ModelSpec("thinker", last_word, longest_first, path="a/reasoning-model")
     result = evaluate(spark, [thinker], [choose]).results.first()
     assert result.prediction_samples == ["2"] * 4 and result.metrics["accuracy:accuracy"] == 0.25
+    # Of the two metrics named f1 the later one stays: the macro mean over three labels.
+    assert result.metrics["f1:f1"] == pytest.approx(0.4 / 3)
 
 
 def test_retrieval_task(spark, examples):

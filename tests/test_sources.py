@@ -104,8 +104,10 @@ def test_json_content(spark):
     assert df.select(files.json_content(line, "a.b[1]", strict=False)).first()[0] == "2"
     with pytest.raises(Exception, match="no text"):
         df.select(files.json_content(line, "a.b[1]")).collect()
-    scalars = spark.createDataFrame([("3",), ("true",), ('"s"',)], "l string")
-    assert [r[0] for r in scalars.select(files.json_content(line)).collect()] == ["3", "true", "s"]
+    others = ["3", "true", '"s"', "null", "2.50", "1e22", "[1, 2]"]
+    lines = spark.createDataFrame([(x,) for x in others], "l string").coalesce(1)
+    found = [r[0] for r in lines.select(files.json_content(line)).collect()]
+    assert found == ["3", "True", "s", "None", "2.5", "1e+22", "[1,2]"]
 
 
 def few_rows(config):
