@@ -7,6 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayer.session import broadcast_if_small
+
+# Rows of one key that a single task should meet.
+HOT_ROWS = 100_000
+
 
 def for_each_model(examples: DataFrame, models: Sequence[str]) -> DataFrame:
     """Every example once per model of the job, in the order the models are listed.
@@ -20,3 +25,27 @@ def for_each_model(examples: DataFrame, models: Sequence[str]) -> DataFrame:
 def with_references(predictions: DataFrame, references: DataFrame) -> DataFrame:
     """Attach ``reference`` by ``(task, idx)``; a prediction without one keeps NULL."""
     return predictions.join(references.select("task", "idx", "reference"), ["task", "idx"], "left")
+
+
+def join_spread(
+    left: DataFrame, right: DataFrame, key: str, spread_by: str, hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """Left join on ``key`` where some keys may hold a large share of the left rows.
+
+    Keys with more than ``hot_rows`` left rows are split by ``spread_by`` into parts of
+    about that size, and their right rows (one per key) are repeated once per part. There
+    are at most rows / ``hot_rows`` such keys. ``left`` is read twice, so it should be
+    stored.
+    """
+    hot = (
+        left.groupBy(key)
+        .count()
+        .where(F.col("count") > hot_rows)
+        .select(key, F.ceil(F.col("count") / hot_rows).cast("int").alias("_parts"))
+    )
+    hot = broadcast_if_small(hot)
+    part = F.pmod(F.xxhash64(spread_by), F.coalesce("_parts", F.lit(1))).cast("int")
+    every_part = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
+    split = left.join(hot, key, "left").withColumn("_part", part).drop("_parts")
+    repeated = right.join(hot, key, "left").withColumn("_part", F.explode(every_part)).drop("_parts")
+    return split.join(repeated, [key, "_part"], "left").drop("_part")

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from assayer.functions.templates import render_values
 from assayer.operators.embedding import embed_hashed
+from assayer.operators.joins import join_spread
 from assayer.session import materialize
 
 # Scores are compared at this many decimals, so copies of a vector tie exactly.
@@ -211,8 +212,13 @@ def _top_columns(scores: np.ndarray, k: int) -> np.ndarray:
 
 
 def fetch_text(hits: DataFrame, corpus: DataFrame, text: str = "text") -> DataFrame:
-    """Join the texts of the retrieved ids, once only the best hits are left."""
-    return hits.join(corpus.select("corpus_id", F.col(text).alias("text")), "corpus_id", "left")
+    """Join the texts of the retrieved ids, once only the best hits are left.
+
+    The hits are stored first, so the corpus is not scored again; a document that a large
+    share of the queries hit is spread over several tasks.
+    """
+    texts = corpus.select("corpus_id", F.col(text).alias("text"))
+    return join_spread(materialize(hits, "hits"), texts, "corpus_id", "query_id")
 
 
 def gather_hits(hits: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assayer.functions.templates import render
+from assayer.operators.joins import join_spread
 from assayer.operators.metrics import accuracy
 from assayer.operators.retrieval import fetch_text, top_k, top_k_text, with_context
 from assayer.plans.rag import rag_prompts
@@ -157,7 +158,7 @@ def rag_knn_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Votes and contexts both start from the hits.
     hits = materialize(nearest, "hits")
     labels = queries.select(F.col("query_id").alias("corpus_id"), F.col("label").alias("hit_label"))
-    votes = hits.join(labels, "corpus_id").groupBy("query_id", "hit_label").agg(F.count("*").alias("n"))
+    votes = join_spread(hits, labels, "corpus_id", "query_id").groupBy("query_id", "hit_label").agg(F.count("*").alias("n"))
     majority = votes.groupBy("query_id").agg(
         F.max_by("hit_label", F.struct("n", -F.col("hit_label"))).alias("prediction")
     )

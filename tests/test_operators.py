@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from assayer.operators import metrics, results
 from assayer.operators.embedding import embed_hashed, embed_with, first_token_pool, mean_pool
 from assayer.operators.inference import best_choice, generate, stop_strings, two_phase
-from assayer.operators.joins import for_each_model
+from assayer.operators.joins import for_each_model, join_spread
 from assayer.operators.positions import batch_ledger, flush_group, head, progress_rows, with_position
 from assayer.sinks.writers import save
 
@@ -47,6 +47,14 @@ def test_job_grid(spark):
     assert sorted((r.model_order, r.model, r.task) for r in rows) == [(0, "b", "t1"), (0, "b", "t2"), (1, "a", "t1"), (1, "a", "t2")]
 
 
+@pytest.mark.parametrize("hot_rows", [1, 7, 1000])
+def test_join_of_hot_keys(spark, hot_rows):
+    left = spark.range(300).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 50).alias("k"))
+    right = spark.range(40).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    joined = join_spread(left, right, "k", "id", hot_rows).collect()
+    assert len(joined) == 300 and all(r.v == (r.k * 2 if r.k < 40 else None) for r in joined)
+
+
 def test_pooling(spark):
     tokens = spark.createDataFrame(
         [(1, 0, [3.0, 0.0], 1), (1, 1, [3.0, 8.0], 1), (1, 2, [9.0, 9.0], 0), (2, 0, [1.0, 1.0], 0)],
