@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator, Sequence
+from itertools import accumulate, pairwise
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -104,37 +106,41 @@ def _cut(text: str, separators: tuple[str, ...], size: int, overlap: int) -> lis
     """Cut at the coarsest separator present; pieces that stay too long go one level finer."""
     level = next(i for i, s in enumerate(separators) if s in text)
     finer = separators[level + 1 :]
+    bounds = _bounds(text, separators[level])
     chunks: list[str] = []
-    short: list[str] = []
-    for piece in _pieces(text, separators[level]):
-        if len(piece) < size:
-            short.append(piece)
-            continue
-        chunks += _packed(short, size, overlap)
-        short = []
+    first = 0
+    for i in _too_long(bounds, size):
+        chunks += _packed(text, bounds, first, i, size, overlap)
+        piece = text[bounds[i] : bounds[i + 1]]
         chunks += _cut(piece, finer, size, overlap) if finer else [piece]
-    return chunks + _packed(short, size, overlap)
+        first = i + 1
+    return chunks + _packed(text, bounds, first, len(bounds) - 1, size, overlap)
 
 
-def _pieces(text: str, separator: str) -> list[str]:
-    """Pieces that each keep the separator in front of them."""
+def _bounds(text: str, separator: str) -> Sequence[int]:
+    """Where pieces begin that each keep the separator in front of them, and the end."""
     if not separator:
-        return list(text)
-    first, *others = text.split(separator)
-    return [p for p in (first, *(separator + other for other in others)) if p]
+        return range(len(text) + 1)
+    head, *tail = map(len, text.split(separator))
+    ends = accumulate((n + len(separator) for n in tail), initial=head)
+    return [0, *ends] if head else list(ends)
+
 
+def _too_long(bounds: Sequence[int], size: int) -> Iterator[int]:
+    if isinstance(bounds, range):
+        return iter(range(len(bounds) - 1) if size <= 1 else ())
+    return (i for i, (a, b) in enumerate(pairwise(bounds)) if b - a >= size)
 
-def _packed(pieces: list[str], size: int, overlap: int) -> list[str]:
-    """Join neighbouring pieces up to ``size``, repeating a tail of up to ``overlap``."""
+
+def _packed(text: str, bounds: Sequence[int], first: int, last: int, size: int, overlap: int) -> list[str]:
+    """Pieces ``first`` to ``last`` joined up to ``size``, repeating a tail of up to ``overlap``."""
     chunks: list[str] = []
-    first = 0
-    total = 0
-    for i, piece in enumerate(pieces):
-        if total + len(piece) > size and first < i:
-            chunks.append("".join(pieces[first:i]).strip())
-            while total > overlap or (total + len(piece) > size and total > 0):
-                total -= len(pieces[first])
-                first += 1
-        total += len(piece)
-    chunks.append("".join(pieces[first:]).strip())
+    end = first
+    while end < last:
+        end = bisect_right(bounds, bounds[first] + size, first + 1, last + 1) - 1
+        chunks.append(text[bounds[first] : bounds[end]].strip())
+        if end < last:
+            # The tail also has to leave room for the next piece.
+            tail = max(bounds[end] - overlap, bounds[end + 1] - size)
+            first = bisect_left(bounds, tail, first, end)
     return [c for c in chunks if c]

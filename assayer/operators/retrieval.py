@@ -211,14 +211,17 @@ def _top_columns(scores: np.ndarray, k: int) -> np.ndarray:
     return np.argsort(-scores, axis=1, kind="stable")[:, :k]
 
 
-def fetch_text(hits: DataFrame, corpus: DataFrame, text: str = "text") -> DataFrame:
+def fetch_text(
+    hits: DataFrame, corpus: DataFrame, text: str = "text", stored: bool = False
+) -> DataFrame:
     """Join the texts of the retrieved ids, once only the best hits are left.
 
-    The hits are stored first, so the corpus is not scored again; a document that a large
-    share of the queries hit is spread over several tasks.
+    Hits that are not ``stored`` yet are, so the corpus is not scored again; a document
+    that a large share of the queries hit is spread over several tasks.
     """
     texts = corpus.select("corpus_id", F.col(text).alias("text"))
-    return join_spread(materialize(hits, "hits"), texts, "corpus_id", "query_id")
+    hits = hits if stored else materialize(hits, "hits")
+    return join_spread(hits, texts, "corpus_id", "query_id")
 
 
 def gather_hits(hits: DataFrame) -> DataFrame:

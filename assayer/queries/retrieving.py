@@ -166,7 +166,7 @@ def rag_knn_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("neighbours").alias("model"), F.col("label").cast("string").alias("task"), "query_id", F.col("label").alias("reference")
     )
     scored = asked.join(majority, "query_id")
-    prompts = with_context(asked, fetch_text(hits, _texts(spark, sf_dir)))
+    prompts = with_context(asked, fetch_text(hits, _texts(spark, sf_dir), stored=True))
     prompt = render(prompts.schema, "Label this: {context}", {}, {"context": (F.col("context"), T.StringType())})
     sizes = (
         prompts.where(F.size("results") > 0)
