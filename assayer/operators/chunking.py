@@ -81,7 +81,7 @@ def recursive_chunks(df: DataFrame, text: str, size: int | None, overlap: int =
 def register_chunker(spark: SparkSession, name: str = "chunk_text") -> None:
     """Make the recursive splitter callable from SQL: ``LATERAL chunk_text(text, 400, 40)``."""
 
-    @F.udtf(returnType="chunk string, chunk_start bigint, chunk_index bigint")
+    @F.udtf(returnType="chunk string, chunk_start bigint, chunk_index bigint", useArrow=True)
     class Chunker:
         def eval(self, text: str, size: int, overlap: int):
             check_overlap(size, overlap)

@@ -22,6 +22,14 @@ ModelFactory = Callable[[Mapping[str, Any]], ModelSpec]
 EmbedderFactory = Callable[[Mapping[str, Any]], Any]
 
 
+# Settings that have no meaning here: charts, progress logs, caches of a model hub.
+_WITHOUT_EFFECT = {
+    EvaluationSpec: {"log_progress", "progress_every_batches", "log_level"},
+    AnalysisSpec: {"image_format", "timing", "plot_set"},
+    TaskSpec: {"prediction_postprocess"},
+}
+
+
 @dataclass(frozen=True)
 class Job:
     models: Sequence[ModelSpec]
@@ -57,6 +65,7 @@ def _build(kind: type, owner: str, settings: Mapping[str, Any], **replaced: Any)
     if not isinstance(settings, Mapping):
         raise SpecError(f"{owner}: a mapping is needed")
     known = {f.name for f in fields(kind)}
+    settings = {k: v for k, v in settings.items() if k not in _WITHOUT_EFFECT.get(kind, ())}
     unknown = sorted(set(settings) - known)
     if unknown:
         raise SpecError(f"{owner}: unknown settings {', '.join(unknown)}")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import json
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timezone
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,12 +37,16 @@ class Evaluation:
 
 def load_examples(spark: SparkSession, task: TaskSpec, evaluation: EvaluationSpec) -> DataFrame:
     """The sampled dataset with ``task, idx, prompt, actual_raw`` and perhaps ``extra``."""
-    if not task.order_by:
-        raise SpecError(f"Task '{task.name}': order_by is needed to number the examples")
     adapter = adapters.create(task.task_adapter)
-    rows = task.dataset if isinstance(task.dataset, DataFrame) else datasets.load(spark, task.dataset, task.split)
-    rows = head(rows, task.order_by, task.sample_size or evaluation.sample_size)
-    examples = adapter.build_prompts(with_position(rows, task.order_by), task)
+    if isinstance(task.dataset, DataFrame):
+        rows = task.dataset
+    else:
+        rows = datasets.load(spark, task.dataset, task.split, with_order=not task.order_by)
+    order = task.order_by or datasets.FILE_ORDER
+    if not set(order) <= set(rows.columns):
+        raise SpecError(f"Task '{task.name}': order_by is needed to number the examples")
+    rows = head(rows, order, task.sample_size or evaluation.sample_size)
+    examples = adapter.build_prompts(with_position(rows, order), task)
     wants_references = task.metrics or (evaluation.save_detailed and task.reference_field)
     if wants_references:
         examples = adapter.extract_references(examples, task)
@@ -80,14 +86,17 @@ def evaluate(
     """
     evaluation = evaluation or EvaluationSpec()
     run_id = datetime.now(timezone.utc).strftime("%Y%m%d_%H%M%S")
-    results, details = [], []
-    for task in tasks:
+
+    def scored_rows(task: TaskSpec) -> DataFrame:
         examples = materialize(load_examples(spark, task, evaluation), "examples")
         predictions = predict_all(examples, models, task, evaluation.batch_size)
-        scored = _written(score(predictions, task), task, evaluation, run_id)
-        results.append(_results(scored, models, task, evaluation, run_id))
-        if evaluation.save_detailed:
-            details.append(_details(scored, task, evaluation))
+        return _written(score(predictions, task), task, evaluation, run_id)
+
+    # Tasks do not depend on each other, so a few of them share the cluster at a time.
+    with ThreadPoolExecutor(evaluation.max_concurrent) as pool:
+        scored = list(pool.map(inheritable_thread_target(spark)(scored_rows), tasks))
+    results = [_results(s, models, t, evaluation, run_id) for s, t in zip(scored, tasks)]
+    details = [_details(s, t, evaluation) for s, t in zip(scored, tasks) if evaluation.save_detailed]
     all_results = materialize(reduce(DataFrame.unionByName, results), "results")
     all_details = reduce(DataFrame.unionByName, details) if details else None
     frame = unpivot_metrics(all_results)
@@ -100,7 +109,8 @@ def evaluate(
             examples = all_details.withColumn("run_id", F.lit(run_id))
             save_by_run(examples, f"{evaluation.output_dir}/examples", mode="append")
         if analysis and analysis.enabled:
-            analyses.write_tables(analyses.run_tables(frame, analysis), f"{folder}/analysis")
+            tables = analyses.run_tables(frame, analysis)
+            analyses.write_tables(tables, analysis.output_dir or f"{folder}/analysis")
             if analysis.compare_runs:
                 compared = analyses.compare(spark, analysis.compare_runs, analysis)
                 analyses.write_tables(compared, f"{folder}/compare")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.functions.naming import output_key
-from assayer.operators.chunking import fixed_chunks, recursive_chunks
+from assayer.operators.chunking import fixed_chunks, recursive_chunks, register_chunker
 from assayer.operators.results import unpivot_metrics
 from assayer.queries.registry import FRAME, past_results, query, sql_strip, table
 from assayer.session import new_path
@@ -177,6 +177,16 @@ def chunk_recursive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recursive_chunks(documents, "text", 400, 50).drop("text")
 
 
+@query("chunk_lateral")
+def chunk_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recursive splitter as a table function in SQL."""
+    register_chunker(spark, "chunk_text")
+    return spark.sql(
+        "SELECT d.doc_id, c.* FROM {documents} d, LATERAL chunk_text(d.text, 400, 50) c",
+        documents=table(spark, sf_dir, "documents"),
+    )
+
+
 @query(
     "run_results_scan",
     f"""SELECT run_id, model, task, metric_name, round(avg(metric_value), 6) AS metric_value,

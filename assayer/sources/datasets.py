@@ -16,12 +16,18 @@ from assayer.sources.files import read_corpus
 
 DEFAULT_SPLIT = "validation"
 
+# Place of a row in its dataset, where the files tell it.
+FILE_ORDER = ("_file", "_file_row")
+
 # A custom loader that hands over plain rows sends them through the driver.
 MAX_LOCAL_ROWS = 100_000
 
 
 def load(
-    spark: SparkSession, dataset: str | Mapping[str, Any], split: str | None = None
+    spark: SparkSession,
+    dataset: str | Mapping[str, Any],
+    split: str | None = None,
+    with_order: bool = False,
 ) -> DataFrame:
     """A dataset as a DataFrame.
 
@@ -29,10 +35,11 @@ def load(
     and ``options``), or ``type: custom`` with a dotted ``loader``, or ``type: files``.
     The split is the mapping's, else ``split``, else ``validation``: it fills ``{split}``
     in the path, or selects the ``split`` column (``split_column`` names another), which
-    prunes partitions when the data is partitioned by it.
+    prunes partitions when the data is partitioned by it. ``with_order`` adds the columns
+    of ``FILE_ORDER`` to Parquet files.
     """
     if isinstance(dataset, str):
-        return _read(spark, dataset, {}, split or DEFAULT_SPLIT)
+        return _read(spark, dataset, {}, split or DEFAULT_SPLIT, with_order)
     if not isinstance(dataset, Mapping):
         raise ValueError("A dataset is given as text or as a mapping")
     kind = dataset.get("type")
@@ -43,7 +50,7 @@ def load(
     location = dataset.get("name") or dataset.get("path")
     if not location:
         raise ValueError("A dataset needs a name or a path")
-    df = _read(spark, location, dataset, dataset.get("split", split or DEFAULT_SPLIT))
+    df = _read(spark, location, dataset, dataset.get("split", split or DEFAULT_SPLIT), with_order)
     rule = dataset.get("filter") or {}
     if rule.get("column") and rule.get("pattern"):
         df = regex_filter(df, rule["column"], rule["pattern"])
@@ -59,16 +66,23 @@ def regex_filter(df: DataFrame, column: str, pattern: str) -> DataFrame:
     return df.where(text.rlike(pattern))
 
 
-def _read(spark: SparkSession, location: str, options: Mapping[str, Any], split: str) -> DataFrame:
-    reader = spark.read.options(**options.get("options", {}))
+def _read(
+    spark: SparkSession, location: str, options: Mapping[str, Any], split: str, with_order: bool
+) -> DataFrame:
+    if "/" not in location and "format" not in options:
+        return _of_split(spark.table(location), options, split)
+    fmt = options.get("format", "parquet")
+    reader = spark.read.format(fmt).options(**options.get("options", {}))
     if "schema" in options:
         reader = reader.schema(options["schema"])
-    if "{split}" in location:
-        return reader.format(options.get("format", "parquet")).load(location.replace("{split}", split))
-    if "/" in location or "format" in options:
-        df = reader.format(options.get("format", "parquet")).load(location)
-    else:
-        df = spark.table(location)
+    df = reader.load(location.replace("{split}", split))
+    if with_order and fmt == "parquet":
+        place = (F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+        df = df.select("*", *(c.alias(name) for c, name in zip(place, FILE_ORDER)))
+    return df if "{split}" in location else _of_split(df, options, split)
+
+
+def _of_split(df: DataFrame, options: Mapping[str, Any], split: str) -> DataFrame:
     column = options.get("split_column", "split")
     return df.where(F.col(column) == split) if column in df.columns else df
 

@@ -29,7 +29,7 @@ def test_job_from_a_mapping():
                 prompt_template="{context} {x}",
                 rag={"enabled": True, "corpus": "c", "corpus_template": "{b}", "corpus_mappings": {"b": "body"}, "embedding_model": {"model_path": "hashed", "batch_size": 4}},
             ),
-            "evaluation": {"batch_size": 2},
+            "evaluation": {"batch_size": 2, "log_level": "INFO"},
             "analysis": {"enabled": True, "plots": "extended"},
         },
         TYPES,

@@ -169,6 +169,13 @@ def test_retrieval_task(spark, examples):
     assert extra == "0"
 
 
+def test_parquet_files_have_an_order(spark, tmp_path):
+    spark.range(20).select((F.col("id") * 7 % 20).alias("id"), F.lit("test").alias("split")).coalesce(1).write.parquet(str(tmp_path / "d"))
+    spec = TaskSpec(name="p", dataset=str(tmp_path / "d"), split="test", prompt_template="{id}", input_mappings={"id": "id"}, sample_size=4)
+    result = evaluate(spark, [ModelSpec("m", last_word)], [spec]).results.first()
+    assert result.prediction_samples == [f"<t>hm</t> {i * 7 % 20}" for i in range(4)]
+
+
 def test_order_is_needed(spark, examples):
     spec = TaskSpec(name="x", dataset=examples, prompt_template="{text}", input_mappings={"text": "text"})
     with pytest.raises(SpecError, match="order_by"):
