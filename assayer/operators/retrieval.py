@@ -21,8 +21,9 @@ SCORE_DIGITS = 12
 # The query side goes to every task only up to this many rows (8 MB at 64 dimensions).
 BROADCAST_ROWS = 16_384
 
-# Rows per side of one cell when both sides are large.
-BLOCK_ROWS = 32_768
+# Numbers per side of one cell when both sides are large (64 MB). What is shuffled falls
+# with the size of the blocks: every row meets each block of the other side.
+BLOCK_NUMBERS = 8 * 1024 * 1024
 
 # Columns of one score matrix, which bounds its memory.
 _SCORE_COLUMNS = 4_096
@@ -46,32 +47,23 @@ def top_k(
     k: int,
     vector: str = "embedding",
     broadcast_rows: int = BROADCAST_ROWS,
-    block_rows: int = BLOCK_ROWS,
+    block_rows: int | None = None,
+    checked: bool = False,
 ) -> DataFrame:
     """The ``k`` corpus rows with the highest inner product for every query.
 
     ``queries`` has ``query_id``, ``corpus`` has ``corpus_id`` (both unique), both have
-    ``vector``. Returns ``query_id, corpus_id, score, rank``; equal scores rank by id.
+    ``vector``. Returns ``query_id, corpus_id, score, rank``; equal scores rank by id. An
+    empty corpus is an error, unless the caller has ``checked`` it.
 
     A query side shown to be small goes to every task, and the corpus is scanned where it
     lies. Otherwise both sides are hashed into blocks of bounded size that meet in a grid.
     Either way a task keeps only its own best ``k`` per query; pairs are never written.
     """
-    if corpus.isEmpty():
-        raise ValueError("The corpus is empty")
-    return _top_k(queries, corpus, k, vector, broadcast_rows, block_rows)
-
-
-def _top_k(
-    queries: DataFrame,
-    corpus: DataFrame,
-    k: int,
-    vector: str = "embedding",
-    broadcast_rows: int = BROADCAST_ROWS,
-    block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
     if k < 1:
         raise ValueError("k must be positive")
+    if not checked and corpus.isEmpty():
+        raise ValueError("The corpus is empty")
     values = F.col(vector).cast("array<double>").alias("v")
     queries = queries.select(F.col("query_id").cast("long"), values)
     corpus = corpus.select(F.col("corpus_id").cast("long"), values)
@@ -79,10 +71,9 @@ def _top_k(
     if block.num_rows <= broadcast_rows:
         partial = _scan(block, corpus, k)
     else:
+        rows = block_rows or max(BLOCK_NUMBERS // max(len(block.column("v")[0]), 1), 1)
         # Both sides are read twice: to be counted, and to be placed.
-        partial = _grid(
-            materialize(queries, "queries"), materialize(corpus, "corpus"), k, block_rows
-        )
+        partial = _grid(materialize(queries, "queries"), materialize(corpus, "corpus"), k, rows)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "corpus_id")
     return (
         partial.withColumn("rank", F.row_number().over(best))
@@ -264,9 +255,10 @@ def top_k_text(queries: DataFrame, corpus: DataFrame, k: int, dim: int = 256, te
     """
     if corpus.isEmpty():
         raise ValueError("The corpus is empty")
-    return _top_k(
+    return top_k(
         embed_hashed(queries, "query_id", text, dim),
         embed_hashed(corpus, "corpus_id", text, dim),
         k,
+        checked=True,
         **options,
     )

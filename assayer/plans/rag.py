@@ -10,7 +10,7 @@ from assayer.functions.templates import render
 from assayer.functions.text import strip
 from assayer.operators.embedding import embed_hashed, embed_with
 from assayer.operators.positions import with_position
-from assayer.operators.retrieval import _top_k, fetch_text, with_context
+from assayer.operators.retrieval import fetch_text, top_k, with_context
 from assayer.plans.spec import RagSpec, SpecError, TaskSpec
 from assayer.sources import datasets
 
@@ -39,7 +39,7 @@ def retrieve(queries: DataFrame, corpus: DataFrame, rag: RagSpec) -> DataFrame:
     else:
         left = embed_with(asked, "text", rag.embedder, rag.embed_batch_size)
         right = embed_with(corpus, "text", rag.embedder, rag.embed_batch_size)
-    return fetch_text(_top_k(left, right, rag.context_k), corpus)
+    return fetch_text(top_k(left, right, rag.context_k, checked=True), corpus)
 
 
 def rag_prompts(examples: DataFrame, corpus: DataFrame, task: TaskSpec) -> DataFrame:

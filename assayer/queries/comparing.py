@@ -8,13 +8,12 @@ from pyspark.sql import functions as F
 from assayer.operators import metrics, results
 from assayer.queries.registry import (
     FRAME,
-    RESULT_COLUMNS,
     past_results,
     query,
     rounded,
     table,
 )
-from assayer.queries.scoring import _SCORED, _classified
+from assayer.queries.scoring import SCORED, classified
 
 # Fixed lists name the pivot columns.
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -53,7 +52,7 @@ def metrics_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "run_results",
-    f"""WITH {_SCORED}, firsts AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY model, task ORDER BY idx) <= 5),
+    f"""WITH {SCORED}, firsts AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY model, task ORDER BY idx) <= 5),
     samples AS (SELECT model, task, string_agg(CAST(prediction AS VARCHAR), ',' ORDER BY idx) AS samples FROM firsts GROUP BY ALL)
     SELECT model, task, 'classification' AS task_adapter, count(*) AS num_examples, samples,
         round(avg(CASE WHEN prediction = reference THEN 1 ELSE 0 END), 6) AS accuracy,
@@ -61,7 +60,7 @@ def metrics_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM scored JOIN samples USING (model, task) GROUP BY model, task, samples""",
 )
 def run_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = _classified(spark, sf_dir)
+    scored = classified(spark, sf_dir)
     found = metrics.compute_all(scored, ["accuracy", ("exact_match", {})])
     rows = results.run_results(scored, found, samples=5, adapter="classification")
 

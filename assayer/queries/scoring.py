@@ -25,7 +25,7 @@ from assayer.queries.registry import (
 )
 
 
-def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers scored twice: from the free text, and from the extracted choice."""
     labels = LabelMap.of(SEGMENTS)
     df = customers(spark, sf_dir)
@@ -44,7 +44,7 @@ def _classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("prediction", prediction_id(F.col("text"), labels))
 
 
-_SCORED = f"""parts AS (SELECT c_custkey, c_nationkey, c_mktsegment, output, {sql_thinking('output')} FROM {CUSTOMERS}),
+SCORED = f"""parts AS (SELECT c_custkey, c_nationkey, c_mktsegment, output, {sql_thinking('output')} FROM {CUSTOMERS}),
     answers AS (SELECT *, {sql_strip('CASE WHEN marked THEN after ELSE output END')} AS answer FROM parts),
     texts AS (SELECT c_custkey, c_nationkey, c_mktsegment, 'choice' AS model, {sql_choice('answer', SEGMENTS[0])} AS text FROM answers
         UNION ALL SELECT c_custkey, c_nationkey, c_mktsegment, 'free', output FROM answers),
@@ -54,13 +54,13 @@ _SCORED = f"""parts AS (SELECT c_custkey, c_nationkey, c_mktsegment, output, {sq
 
 @query(
     "metric_accuracy",
-    f"""WITH {_SCORED} SELECT model, task, 'accuracy:accuracy' AS metric_name,
+    f"""WITH {SCORED} SELECT model, task, 'accuracy:accuracy' AS metric_name,
         round(avg(CASE WHEN prediction = reference THEN 1 ELSE 0 END), 6) AS metric_value,
         count(*) FILTER (prediction = -1) AS n_unknown
     FROM scored GROUP BY model, task""",
 )
 def metric_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = _classified(spark, sf_dir)
+    scored = classified(spark, sf_dir)
     unknown = scored.groupBy("model", "task").agg(
         F.count_if(F.col("prediction") == UNKNOWN).alias("n_unknown")
     )
@@ -95,41 +95,41 @@ _PER_LABEL = """sides AS (
 
 @query(
     "metric_prf_macro",
-    f"""WITH {_SCORED}, {_PER_LABEL} SELECT model, task, round(avg(pr), 6) AS "precision", round(avg(rc), 6) AS recall, round(avg(f), 6) AS f1
+    f"""WITH {SCORED}, {_PER_LABEL} SELECT model, task, round(avg(pr), 6) AS "precision", round(avg(rc), 6) AS recall, round(avg(f), 6) AS f1
     FROM ratios GROUP BY model, task""",
 )
 def metric_prf_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded_prf(metrics.precision_recall_f1(_classified(spark, sf_dir), "macro"))
+    return _rounded_prf(metrics.precision_recall_f1(classified(spark, sf_dir), "macro"))
 
 
 @query(
     "metric_prf_micro",
-    f"""WITH {_SCORED}, {_PER_LABEL} SELECT model, task, round(sum(hit) / sum(p), 6) AS "precision",
+    f"""WITH {SCORED}, {_PER_LABEL} SELECT model, task, round(sum(hit) / sum(p), 6) AS "precision",
         round(sum(hit) / sum(r), 6) AS recall, round(2 * sum(hit) / (sum(p) + sum(r)), 6) AS f1
     FROM labels GROUP BY model, task""",
 )
 def metric_prf_micro(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded_prf(metrics.precision_recall_f1(_classified(spark, sf_dir), "micro"))
+    return _rounded_prf(metrics.precision_recall_f1(classified(spark, sf_dir), "micro"))
 
 
 @query(
     "metric_prf_weighted",
-    f"""WITH {_SCORED}, {_PER_LABEL} SELECT model, task, round(sum(pr * r) / sum(r), 6) AS "precision",
+    f"""WITH {SCORED}, {_PER_LABEL} SELECT model, task, round(sum(pr * r) / sum(r), 6) AS "precision",
         round(sum(rc * r) / sum(r), 6) AS recall, round(sum(f * r) / sum(r), 6) AS f1
     FROM ratios GROUP BY model, task""",
 )
 def metric_prf_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded_prf(metrics.precision_recall_f1(_classified(spark, sf_dir), "weighted"))
+    return _rounded_prf(metrics.precision_recall_f1(classified(spark, sf_dir), "weighted"))
 
 
 @query(
     "metric_prf_binary",
-    f"""WITH {_SCORED}, {_PER_LABEL} SELECT model, task, round(coalesce(max(pr) FILTER (label = 1), 0), 6) AS "precision",
+    f"""WITH {SCORED}, {_PER_LABEL} SELECT model, task, round(coalesce(max(pr) FILTER (label = 1), 0), 6) AS "precision",
         round(coalesce(max(rc) FILTER (label = 1), 0), 6) AS recall, round(coalesce(max(f) FILTER (label = 1), 0), 6) AS f1
     FROM ratios GROUP BY model, task""",
 )
 def metric_prf_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded_prf(metrics.precision_recall_f1(_classified(spark, sf_dir), "binary", pos_label=1))
+    return _rounded_prf(metrics.precision_recall_f1(classified(spark, sf_dir), "binary", pos_label=1))
 
 
 def _rounded_prf(values: DataFrame) -> DataFrame:

@@ -43,11 +43,10 @@ def save_summary(results: DataFrame, means: DataFrame, run_id: str, path: str) -
 
     It has an entry per model and task and one per metric, which the job lists.
     """
+    values = [F.lit(x) for row in means.collect() for x in (row["metric_name"], row["metric_value"])]
     runs = results.agg(F.collect_list(F.struct(*results.columns)).alias("runs"))
-    entries = F.map_from_entries(F.collect_list(F.struct("metric_name", "metric_value")))
-    means = means.agg(entries.alias("summary"))
-    both = runs.withColumn("run_id", F.lit(run_id)).join(means.withColumn("run_id", F.lit(run_id)), "run_id")
-    both.select("runs", "summary", "run_id").coalesce(1).write.json(path)
+    summary = F.create_map(*values).cast("map<string,double>")
+    runs.select("runs", summary.alias("summary"), F.lit(run_id).alias("run_id")).write.json(path)
 
 
 def save_csv(results: DataFrame, path: str, mode: str = "errorifexists") -> None:

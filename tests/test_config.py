@@ -24,7 +24,7 @@ def test_job_from_a_mapping():
     job = read_job(
         {
             **config(
-                metrics=["accuracy", {"name": "rouge", "args": {"rouge_types": ["rouge1"]}, "adapter": "hf"}],
+                metrics=["accuracy", {"name": "rouge", "args": {"rouge_types": ["rouge1"]}, "adapter": "default"}],
                 thinking_delimiters={"start": "<t>", "end": "</t>", "strip_from_prediction": True},
                 prompt_template="{context} {x}",
                 rag={"enabled": True, "corpus": "c", "corpus_template": "{b}", "corpus_mappings": {"b": "body"}, "embedding_model": {"model_path": "hashed", "batch_size": 4}},

@@ -1,6 +1,5 @@
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from assayer.operators.retrieval import fetch_text, top_k, top_k_text, with_context
 
