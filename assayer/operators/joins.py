@@ -34,9 +34,11 @@ def join_spread(
 
     Keys with more than ``hot_rows`` left rows are split by ``spread_by`` into parts of
     about that size, and their right rows (one per key) are repeated once per part. There
-    are at most rows / ``hot_rows`` such keys. ``left`` is read twice, so it should be
-    stored.
+    are at most rows / ``hot_rows`` such keys. ``left`` is read several times, so it should
+    be stored.
     """
+    if left.limit(hot_rows + 1).count() <= hot_rows:
+        return left.join(right, key, "left")
     hot = (
         left.groupBy(key)
         .count()
