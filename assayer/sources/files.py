@@ -64,18 +64,28 @@ def discover(
     Only the listing is used; the content column is pruned, so no file is opened. A
     location that does not exist is an error, as is a pattern that matches nothing.
     """
-    files = _files(spark, locations, "binaryFile", recursive).select("path", "length")
+    allowed = allowed_extensions(extensions)
+    files = _files(spark, locations, "binaryFile", allowed, recursive)
     wanted = files.select("path", extension(F.col("path")).alias("extension"), "length")
-    kept = wanted.where(F.col("extension").isin(allowed_extensions(extensions)))
+    kept = wanted.where(F.col("extension").isin(allowed))
     return kept.distinct().orderBy("path")
 
 
 def _files(
-    spark: SparkSession, locations: Sequence[str], fmt: str, recursive: bool = True, **options
+    spark: SparkSession,
+    locations: Sequence[str],
+    fmt: str,
+    extensions: Sequence[str],
+    recursive: bool,
+    **options,
 ) -> DataFrame:
-    reader = spark.read.format(fmt).options(**options)
-    # Recursive lookup would take every file name of a pattern's folders for a partition.
-    return reader.option("recursiveFileLookup", str(recursive).lower()).load(list(locations))
+    """Files with one of the extensions; the others are dropped from the listing."""
+    either_case = (
+        "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in extensions
+    )
+    reader = spark.read.format(fmt).option("pathGlobFilter", "*{" + ",".join(either_case) + "}")
+    reader = reader.option("recursiveFileLookup", str(recursive).lower())
+    return reader.options(**options).load(list(locations))
 
 
 def _with_extension(df: DataFrame, extensions: Sequence[str]) -> DataFrame:
@@ -89,7 +99,7 @@ def read_texts(
     recursive: bool = True,
 ) -> DataFrame:
     """Whole UTF-8 files: ``text, source``."""
-    files = _files(spark, locations, "text", recursive, wholetext="true")
+    files = _files(spark, locations, "text", extensions, recursive, wholetext="true")
     texts = files.select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("source"))
     return _with_extension(texts, extensions)
 
@@ -110,7 +120,7 @@ def read_jsonl(
     splits; lines are numbered per split and shifted by the lines of the splits before it.
     """
     lines = (
-        _files(spark, locations, "text", recursive)
+        _files(spark, locations, "text", extensions, recursive)
         .select(
             F.col("value"),
             F.col("_metadata.file_path").alias("source"),
@@ -201,7 +211,7 @@ def read_binary(
     recursive: bool = True,
 ) -> DataFrame:
     """Extracted pages of binary files: ``source, text, page``."""
-    files = _files(spark, locations, "binaryFile", recursive)
+    files = _files(spark, locations, "binaryFile", extensions, recursive)
     named = _with_extension(files.select(F.col("path").alias("source"), "content"), extensions)
     return extract_pages(named, extractor)
 
