@@ -45,9 +45,13 @@ def render(
     template: str,
     mappings: Mapping[str, str],
     extras: Mapping[str, TypedColumn] | None = None,
+    root: Column | None = None,
 ) -> Column:
-    """Fill a template from the row: mapped paths first, extras override them."""
-    values = {name: resolve_field(schema, path) for name, path in mappings.items()}
+    """Fill a template from the row: mapped paths first, extras override them.
+
+    With ``root`` the paths are read from that struct column, which has ``schema``.
+    """
+    values = {name: resolve_field(schema, path, root) for name, path in mappings.items()}
     values.update(extras or {})
     return render_values(template, values)
 

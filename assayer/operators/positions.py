@@ -26,6 +26,8 @@ def with_position(
     many tasks. Each task numbers its own rows; a table with one line per task and group
     then shifts them. ``order`` must be unique inside a group.
     """
+    if name in df.columns:
+        raise ValueError(f"There is a column '{name}' already")
     keys = [*within, *order]
     laid_out = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     return number_in_place(

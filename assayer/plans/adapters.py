@@ -16,20 +16,36 @@ _adapters: dict[str, type[TaskAdapter]] = {}
 
 
 class TaskAdapter:
-    """Text in, text out. Every step takes and returns a DataFrame."""
+    """Text in, text out. Every step takes and returns a DataFrame.
+
+    Examples have ``idx`` and, as the struct ``row``, the fields of the dataset, whose
+    names are therefore free.
+    """
+
+    def fields(self, task: TaskSpec) -> set[str]:
+        """The columns of the dataset that the other steps read."""
+        paths = [*task.input_mappings.values()]
+        if task.rag and task.rag.enabled:
+            paths += task.rag.query_mappings.values()
+        if task.reference_field:
+            paths.append(task.reference_field)
+        return {path.split(".")[0] for path in paths}
 
     def build_prompts(self, examples: DataFrame, task: TaskSpec) -> DataFrame:
         """Add ``prompt``, and ``extra`` where context was retrieved."""
         if task.rag and task.rag.enabled:
             return rag_prompts(examples, load_corpus(examples.sparkSession, task.rag), task)
-        prompt = render(examples.schema, task.prompt_template, task.input_mappings)
+        row, fields = F.col("row"), examples.schema["row"].dataType
+        prompt = render(fields, task.prompt_template, task.input_mappings, root=row)
         return examples.withColumn("prompt", prompt)
 
     def extract_references(self, examples: DataFrame, task: TaskSpec) -> DataFrame:
         """Add ``actual_raw``, in the type the dataset has."""
         if not task.reference_field:
             raise SpecError(f"Task '{task.name}': a reference_field is needed")
-        return examples.withColumn("actual_raw", resolve_field(examples.schema, task.reference_field)[0])
+        fields = examples.schema["row"].dataType
+        reference, _ = resolve_field(fields, task.reference_field, F.col("row"))
+        return examples.withColumn("actual_raw", reference)
 
     def postprocess(self, predictions: DataFrame, task: TaskSpec) -> DataFrame:
         """Add ``prediction_parsed``."""

@@ -46,7 +46,10 @@ def load_examples(spark: SparkSession, task: TaskSpec, evaluation: EvaluationSpe
     if not set(order) <= set(rows.columns):
         raise SpecError(f"Task '{task.name}': order_by is needed to number the examples")
     rows = head(rows, order, task.sample_size or evaluation.sample_size)
-    examples = adapter.build_prompts(with_position(rows, order), task)
+    fields = [c for c in rows.columns if c in adapter.fields(task).union(order)]
+    rows = rows.select(F.struct(*fields).alias("row"))
+    examples = with_position(rows, [f"row.{column}" for column in order])
+    examples = adapter.build_prompts(examples, task)
     wants_references = task.metrics or (evaluation.save_detailed and task.reference_field)
     if wants_references:
         examples = adapter.extract_references(examples, task)

@@ -24,7 +24,8 @@ def render_corpus(corpus: DataFrame, rag: RagSpec) -> DataFrame:
         order = list(rag.corpus_order) or [c for c in _FILE_ORDER if c in corpus.columns]
         if not order:
             raise SpecError("rag: the corpus needs a corpus_id column or a corpus_order")
-        corpus = with_position(corpus, order, name="corpus_id")
+        fields = {path.split(".")[0] for path in rag.corpus_mappings.values()}
+        corpus = with_position(corpus.select(*sorted(fields.union(order))), order, name="corpus_id")
     text = render(corpus.schema, rag.corpus_template, rag.corpus_mappings)
     return corpus.select("corpus_id", text.alias("text"))
 
@@ -43,19 +44,19 @@ def retrieve(queries: DataFrame, corpus: DataFrame, rag: RagSpec) -> DataFrame:
 
 
 def rag_prompts(examples: DataFrame, corpus: DataFrame, task: TaskSpec) -> DataFrame:
-    """Adds ``prompt`` and ``extra`` to dataset rows with ``idx``.
+    """Adds ``prompt`` and ``extra`` to examples with ``idx`` and the dataset ``row``.
 
     ``corpus`` has ``corpus_id`` and ``text``. The corpus is embedded and scanned once for
     all queries.
     """
     rag = task.rag
-    query = render(examples.schema, rag.query_template, rag.query_mappings)
+    row, fields = F.col("row"), examples.schema["row"].dataType
+    query = render(fields, rag.query_template, rag.query_mappings, root=row)
     queries = examples.withColumn("query", query).withColumnRenamed("idx", "query_id")
     hits = retrieve(queries.select("query_id", "query"), corpus, rag)
     found = with_context(queries, hits, rag.context_template, rag.context_separator)
-    prompt = render(
-        found.schema, task.prompt_template, task.input_mappings, {"context": (F.col("context"), T.StringType())}
-    )
+    context = {"context": (F.col("context"), T.StringType())}
+    prompt = render(fields, task.prompt_template, task.input_mappings, context, row)
     extra = F.struct(F.struct("query", "context", "results").alias("rag"))
     return (
         found.withColumns({"prompt": prompt, "extra": extra})

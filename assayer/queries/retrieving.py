@@ -125,7 +125,7 @@ def rag_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
             query_template="Find: {question}",
         ),
     )
-    examples = table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "idx")
+    examples = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("idx"), F.struct("*").alias("row"))
     prompts = rag_prompts(examples, _texts(spark, sf_dir), task)
     hit_ids = F.transform("extra.rag.results", lambda h: h["id"].cast("string"))
     return prompts.select("idx", "prompt", F.col("extra.rag.query").alias("query"), F.array_join(hit_ids, ",").alias("hit_ids"))

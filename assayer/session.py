@@ -32,10 +32,10 @@ def shared_dir(spark: SparkSession) -> str:
 
     Only a local session may go without the setting; it then gets a folder of its own.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    configured = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
-    context = spark.sparkContext
     if not context.master.startswith("local"):
         raise RuntimeError(
             "Set spark.checkpoint.dir to a folder that all executors share."

@@ -169,6 +169,33 @@ def test_retrieval_task(spark, examples):
     assert extra == "0"
 
 
+def test_field_names_are_free(spark):
+    names = ["idx", "context", "prompt", "query", "results", "task"]
+    rows = spark.createDataFrame([(n, *(f"{name}{n}" for name in names[1:])) for n in (4, 2)], f"idx int, {', '.join(f'{n} string' for n in names[1:])}")
+    spark.createDataFrame([(9, "context2 found")], "corpus_id long, context string").createOrReplaceTempView("one_document")
+    spec = TaskSpec(
+        name="n", dataset=rows, prompt_template="{context}|{idx}|{passage}|{prompt}|{query}", order_by=["idx"],
+        input_mappings={"idx": "idx", "passage": "context", "prompt": "prompt", "query": "query"}, reference_field="results", metrics=["exact_match"],
+        rag=RagSpec(enabled=True, corpus="one_document", corpus_template="{c}", corpus_mappings={"c": "context"}, embedder="hashed"),
+    )
+    details = evaluate(spark, [ModelSpec("m", last_word)], [spec], EvaluationSpec(save_detailed=True)).details
+    assert {(r["index"], r.prompt, r.actual_raw) for r in details.collect()} == {
+        (0, "context2 found|2|context2|prompt2|query2", "results2"), (1, "context2 found|4|context4|prompt4|query4", "results4"),
+    }
+
+
+def test_own_adapter(spark, examples):
+    class Shouting(adapters.TaskAdapter):
+        def postprocess(self, predictions, task):
+            parsed = super().postprocess(predictions, task)
+            return parsed.withColumn("prediction_parsed", F.upper("prediction_parsed"))
+
+    adapters.register("shouting", Shouting)
+    spec = TaskSpec(name="s", dataset=examples, prompt_template="{text}", input_mappings={"text": "text"}, order_by=["id"], task_adapter="Shouting", sample_size=1)
+    result = evaluate(spark, [ModelSpec("m", last_word)], [spec]).results.first()
+    assert (result.prediction_samples, result.task_adapter) == (["<T>HM</T> BUSINESS"], "Shouting")
+
+
 def test_parquet_files_have_an_order(spark, tmp_path):
     spark.range(20).select((F.col("id") * 7 % 20).alias("id"), F.lit("test").alias("split")).coalesce(1).write.parquet(str(tmp_path / "d"))
     spec = TaskSpec(name="p", dataset=str(tmp_path / "d"), split="test", prompt_template="{id}", input_mappings={"id": "id"}, sample_size=4)
