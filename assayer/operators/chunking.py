@@ -9,15 +9,10 @@ from itertools import accumulate, pairwise
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Where a text is cut, coarsest first; the last one cuts anywhere.
 SEPARATORS = ("\n\n", "\n", " ", "")
 
-_PIECES = T.ArrayType(
-    T.StructType([T.StructField("text", T.StringType()), T.StructField("start", T.LongType())])
-)
-
 
 def check_overlap(size: int, overlap: int) -> None:
     if size > 0 and overlap >= size:
@@ -60,14 +55,23 @@ def recursive_chunks(df: DataFrame, text: str, size: int | None, overlap: int =
         return fixed_chunks(df, text, 0, 0)
     check_overlap(size, overlap)
 
-    @F.pandas_udf(_PIECES)
-    def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("text array<string>, start array<bigint>")
+    def pieces(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield texts.map(
-                lambda t: [{"text": c, "start": s} for s, c in split_text(t or "", size, overlap)]
+            cuts = [split_text(t or "", size, overlap) for t in texts]
+            yield pd.DataFrame(
+                {
+                    "text": [[chunk for _, chunk in cut] for cut in cuts],
+                    "start": [[start for start, _ in cut] for cut in cuts],
+                }
             )
 
-    cut = df.select("*", F.posexplode(pieces(F.col(text))).alias("_index", "_piece"))
+    # Nondeterministic, so that no rewrite of the plan cuts a text twice.
+    pieces = pieces.asNondeterministic()
+    found = df.withColumn("_found", pieces(F.col(text)))
+    cut = found.select(
+        *df.columns, F.posexplode(F.arrays_zip("_found.text", "_found.start")).alias("_index", "_piece")
+    )
     start = F.col("_piece.start")
     return cut.select(
         *df.columns,
