@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import quality
+from assayer.llm import bpe, decontamination, quality
 from assayer.llm.common import table
 
+# The registered query uses a public tokenizer where it is installed; the operator takes any path.
+TOKENIZER = "word_bpe_49k.json"
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
@@ -74,3 +77,53 @@ FROM f, (VALUES ('few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('rep
 def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality.ledger(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return quality.ablations(rows, quality.V2)
+
+
+DECONTAMINATION_SQL = r"""
+WITH iw AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, unnest(CASE WHEN len(w) < 10 THEN [w] ELSE [w[i:i + 9] FOR i IN range(1, len(w) - 8)] END) AS gram
+  FROM iw WHERE len(w) > 0),
+sizes AS (SELECT DISTINCT len(gram) AS size FROM win),
+d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+g AS (
+  SELECT r, size, unnest([w[i:i + size - 1] FOR i IN range(1, len(w) - size + 2)]) AS gram,
+    unnest(range(1, len(w) - size + 2)) AS i FROM d, sizes WHERE len(w) >= size),
+h AS (SELECT r, i, size, item_id FROM g JOIN win USING (gram)),
+n AS (SELECT r, count(DISTINCT i + k) AS n_hit FROM h, range(10) s(k) WHERE k < size GROUP BY r),
+m AS (SELECT r, list_sort(list(DISTINCT item_id::VARCHAR)) AS ids FROM h WHERE item_id IS NOT NULL GROUP BY r)
+"""
+
+
+@query("op1_decontamination", DECONTAMINATION_SQL + """
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(ids), 0)::BIGINT AS n_items,
+       sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (r) LEFT JOIN m USING (r)""")
+def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows = decontamination.find(docs, table(spark, sf_dir, "benchmark"))
+    found = F.col("found")
+    return rows.select(
+        "doc_id", found["n_words"].alias("n_words"), found["n_hit"].alias("n_hit"),
+        F.size(found["item_ids"]).cast("long").alias("n_items"),
+        F.sha2(F.array_join(found["item_ids"], ","), 256).alias("items_sha256"),
+        (found["n_hit"] > 0).alias("contaminated"),
+    )
+
+
+@query("op4_bpe_roundtrip")
+def bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path(TOKENIZER)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = bpe.encode(docs, path).select("doc_id", "ids")
+    return bpe.decode(encoded, path).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
