@@ -126,19 +126,60 @@ def fresh(base: str, taken: Sequence[str]) -> str:
     return base
 
 
-def with_row_key(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """``docs`` as (key, doc_id, text): a distinct whole number for each row, in the order of doc_id.
+def row_keyed(docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, str]:
+    """``docs`` with a column that numbers its rows distinctly in the order of ``doc_id``, and its name.
 
-    Where the ids are distinct and not null they are the keys. Otherwise (repeated rows,
+    Where the ids are distinct and not null they are the numbers. Otherwise (repeated rows,
     null ids) the rows are laid out by id, null first, equal ids in the order of their
     texts, and numbered in a written table, so that a recomputed task sees the same keys.
     """
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    repeated = slim.groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1)
+    key = fresh("key", docs.columns)
+    repeated = docs.groupBy(F.col(doc_id).alias("id")).count().where("count > 1 or id is null").limit(1)
     if repeated.isEmpty():
-        return slim.select(F.col("doc_id").alias("key"), "doc_id", "text")
-    ordered = slim.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
-    return materialize(ordered.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text"), "row-keys")
+        return docs.withColumn(key, F.col(doc_id).cast("long")), key
+    ordered = docs.repartitionByRange(doc_id, text).sortWithinPartitions(doc_id, text)
+    return materialize(ordered.withColumn(key, F.monotonically_increasing_id()), "row-keys"), key
+
+
+def with_row_key(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``docs`` as (key, doc_id, text), with the keys of :func:`row_keyed`."""
+    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    keyed, key = row_keyed(slim, "doc_id", "text")
+    return keyed.select(F.col(key).alias("key"), "doc_id", "text")
+
+
+def _stars(edges: DataFrame, larger: bool) -> DataFrame:
+    """One step on edges (a, b), a > b: every node's neighbours are tied to the least of them.
+
+    ``larger``: the neighbours above the node; otherwise those below it, and the node itself.
+    """
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if larger else edges
+    least = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
+    tied = both.join(least, "a")
+    if larger:
+        tied = tied.where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
+    else:
+        own = least.select("a", F.col("least").alias("b"))
+        tied = tied.where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(own)
+    return tied.where("a <> b").distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(a, b): for every node of the edges (a, b) that is not the least of its component, the least.
+
+    Alternates steps that tie the larger and the smaller neighbours of each node to the least,
+    until all components are stars; the number of steps grows with the logarithm of the nodes.
+    Every step is a written table. A node with many edges is summed up before it is shuffled.
+    """
+    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    edges = materialize(edges, "edges")
+    while True:
+        following = materialize(_stars(_stars(edges, True), False), "edges")
+        ends = following.select("a").distinct().count(), following.count()
+        centres = following.join(following.select(F.col("a").alias("b")).distinct(), "b", "left_semi").isEmpty()
+        edges = following
+        if ends[0] == ends[1] and centres:
+            return edges
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import bpe, decontamination, quality, substrings
+from assayer.llm import bpe, decontamination, ngram_join, quality, substrings
 from assayer.llm.common import table
 
 # The registered query uses a public tokenizer where it is installed; the operator takes any path.
@@ -136,3 +136,13 @@ def suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query("op7_ngram_join")
+def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = ngram_join.near_duplicates(docs)
+    named = rows.select(F.col("key").alias("component"), F.col("doc_id").alias("component_id"))
+    return rows.join(named, "component", "left").select(
+        "doc_id", F.col("n_grams").alias("n_shingles"), "component_id"
+    )
