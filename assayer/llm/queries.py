@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import bpe, decontamination, ngram_join, quality, substrings
+from assayer.llm import bpe, decontamination, lines, ngram_join, quality, sharding, substrings
 from assayer.llm.common import table
 
 # The registered query uses a public tokenizer where it is installed; the operator takes any path.
@@ -146,3 +146,47 @@ def ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(named, "component", "left").select(
         "doc_id", F.col("n_grams").alias("n_shingles"), "component_id"
     )
+
+
+LINES_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, *, string_split(text, chr(10)) AS ls FROM documents),
+e AS (SELECT r, source, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM d),
+k AS (SELECT *, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS bare FROM e),
+c AS (
+  SELECT source, bare, count(DISTINCT r) AS pages FROM k WHERE bare <> '' AND source IS NOT NULL GROUP BY ALL),
+t AS (SELECT source, count(*) AS total FROM documents GROUP BY source),
+b AS (SELECT source, bare FROM c JOIN t USING (source) WHERE pages >= 5 AND pages > total * 0.05),
+n AS (
+  SELECT r, count(*) AS n_dropped, array_to_string(list(line ORDER BY i) FILTER (b.bare IS NULL), chr(10)) AS kept,
+         sum((b.bare IS NOT NULL)::INT) AS gone
+  FROM k LEFT JOIN b ON b.source = k.source AND b.bare = k.bare GROUP BY r)
+"""
+
+
+@query("op5_line_dedup", LINES_SQL + """
+SELECT doc_id, source, coalesce(len(ls), 0)::BIGINT AS n_lines, coalesce(gone, 0)::BIGINT AS n_dropped,
+       sha256(CASE WHEN gone > 0 THEN coalesce(kept, '') ELSE text END) AS kept_sha256
+FROM d LEFT JOIN n USING (r)""")
+def line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", "text",
+        F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"),
+    )
+    return lines.drop_boilerplate(docs, dropped="n_dropped").select(
+        "doc_id", "source", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256")
+    )
+
+
+@query("op9_hilbert_shards")
+def hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = F.coalesce("text", F.lit(""))
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "lang", "source", "n_chars",
+        (F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(body).alias("text_crc32"),
+    )
+    rows = sharding.shard(docs, ["source", "lang", "n_chars", "doc_id"], ["doc_id", "text_crc32"], 40)
+    return rows.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
