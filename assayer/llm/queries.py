@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.llm import bpe, decontamination, lines, ngram_join, quality, sharding, substrings
+from assayer.llm import (
+    bpe, decontamination, extraction, lines, ngram_join, quality, sharding, substrings, urls, warc,
+)
 from assayer.llm.common import table
 
 # The registered query uses a public tokenizer where it is installed; the operator takes any path.
@@ -190,3 +192,33 @@ def hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query("op10_main_text")
+def main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extraction.extract_text(pages).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+URL_RULES = (
+    urls.Rule.parse("org/", "allow"), urls.Rule.parse("example.org/es/", "block"), urls.Rule.parse("example.org/en/1", "block"),
+    urls.Rule.parse("com/fr/", "allow"), urls.Rule.parse("com/de/", "block"),
+)
+
+
+@query("op8_url_filter")
+def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = F.col("judged")
+    return urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select(
+        "page_id", *(judged[n].alias(n) for n in ("host", "path", "rule", "verdict", "score", "words"))
+    )
+
+
+@query("op3_warc_derivatives")
+def warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.responses(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    derived = F.col("derived")
+    return warc.derive(records).select(
+        "page_id", *(derived[n].alias(n) for n in ("type", "record_id", "refers_to", "target_uri", "block_digest")),
+        F.octet_length(derived["block"]).cast("long").alias("n_bytes"), F.sha2(derived["record"], 256).alias("record_sha256"),
+    )
