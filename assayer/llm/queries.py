@@ -20,6 +20,12 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(TOKENIZER)
+
+
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(fn: Query) -> Query:
         QUERIES[name] = fn
@@ -120,9 +126,7 @@ def benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op4_bpe_roundtrip")
 def bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    path = public_tokenizers.path(TOKENIZER)
+    path = tokenizer_path()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     encoded = bpe.encode(docs, path).select("doc_id", "ids")
     return bpe.decode(encoded, path).select(
