@@ -5,9 +5,12 @@ that store the sets would not fit into one task, so documents first meet in bloc
 link leaves:
 
 1. Two linked sets differ in few n-grams. Dealt by hash into more parts than that, at least one
-   part agrees in full (:func:`_parts`). Each document sends the hash of every part; equal ones
-   tie documents together, and the components of these ties are the blocks. Documents with the
-   same set are one from here on.
+   part agrees in full; dealt into half as many, one agrees but for one n-gram, and so do three
+   quarters of it (:class:`Parts`). Each document sends the hashes of its parts; equal ones tie
+   documents together, and the components of these ties are the blocks. Documents with the same
+   set are one from here on. Below a similarity of :data:`WHOLE_PARTS`, where parts are small,
+   only documents go on that share so many of their first n-grams as a link needs
+   (:func:`_sharing`).
 2. In a block the sets enter a tree one after the other, sharing common beginnings
    (:class:`PrefixTree`). A set walks the tree, carrying the overlap so far, and leaves every
    branch where even the n-grams that remain on both sides could not make a link, and every
@@ -28,7 +31,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from assayer.llm.common import LOWER, NOT_SPACE, Spans, as_bytes, components, mix, random_table, row_keyed, steps, with_row_key, word_bounds
@@ -37,8 +40,12 @@ from assayer.session import broadcast_if_small, materialize
 N = 3
 #: Documents link when the intersection is at least this many hundredths of the union.
 PERCENT = 90
+#: From this similarity on parts are compared whole, and all documents send them.
+WHOLE_PARTS = 87
 #: Distinct sets that meet in one task.
 CROWD = 4000
+#: Sets of a large block that all others are compared with in one round.
+PIVOTS = 16
 #: Hashes of parts that a task compares among themselves before it passes them on.
 LOCAL = 2_000_000
 
@@ -83,49 +90,91 @@ def _size_class(size: int, percent: int) -> int:
 
 
 @lru_cache(1 << 12)
-def _largest(step: int, percent: int) -> int:
-    """The largest size in a class."""
+def _beyond(step: int, percent: int) -> int:
+    """The least size above a class."""
     least = 1
     for _ in range(step + 1):
         least = least * 100 // percent + 1
-    return least - 1
+    return least
 
 
-#: A part with fewer n-grams than this could agree by chance; so many such parts are allowed for.
-_SOLID, _SPARE = 3, 8
+class Parts:
+    """How sets of the size classes ``step`` and the next are dealt into parts.
 
+    Of two linked sets with n <= m n-grams, the n-grams in only one are at most
+    (n + m) (100 - percent) / (100 + percent), and m is at most 100 n / percent. The smaller is in
+    the lower class, so this bounds how many n-grams differ. Whole parts: each differing n-gram
+    spoils one. Quartered parts: two spoil one, a part with one agrees outside one quarter.
+    """
 
-def _parts(size: int, step: int, percent: int) -> tuple[int, int]:
-    """(number of parts, spare ones) for sets of the classes ``step`` and the next.
+    def __init__(self, step: int, percent: int) -> None:
+        small = _beyond(step, percent) - 1
+        differing = (small + small * 100 // percent) * (100 - percent) // (100 + percent)
+        self.quarters = percent < WHOLE_PARTS and differing > 0
+        least = (differing // 2 if self.quarters else differing) + 1
+        # Parts that hold too little could agree by chance; so many of them are allowed for.
+        self.spare = min(max(8, least // 6), differing)
+        self.n = least + self.spare
+        self.solid = 2 if self.quarters else 3
+
+    def hashes(self, spread: np.ndarray, name: np.uint64) -> np.ndarray:
+        """What a set sends. With no more weak parts than spare ones, a solid one agrees with any linked set."""
+        n = self.n
+        part = ((spread >> np.uint64(11)) % np.uint64(n)).astype(np.int64)
+        if self.quarters:
+            part = 4 * part + (spread & np.uint64(3)).astype(np.int64)
+            n *= 4
+        count = np.bincount(part, minlength=n)
+        order = np.argsort(part, kind="stable")
+        ends = np.cumsum(count)
+        total = np.zeros(len(spread) + 1, np.uint64)
+        np.cumsum(spread[order], out=total[1:])
+        sums = total[ends] - total[ends - count]
+        if self.quarters:
+            sums, count = sums.reshape(-1, 4), count.reshape(-1, 4)
+            sums, count = (sums.sum(1, dtype=np.uint64)[:, None] - sums), (count.sum(1)[:, None] - count)
+            solid = count >= self.solid
+            weak = int((~solid.all(1)).sum())
+            sums, solid = sums.ravel(), solid.ravel()
+        else:
+            solid = count >= self.solid
+            weak = n - int(solid.sum())
+        out = mix(sums ^ mix(np.arange(n, dtype=np.uint64) + name))
+        return out[solid] if weak <= self.spare else out
 
-    Of two linked sets with sizes up to m, the n-grams in only one are at most
-    2 m (100 - percent) / (100 + percent), and so many parts can differ.
-    """
-    differing = 2 * _largest(step + 1, percent) * (100 - percent) // (100 + percent)
-    spare = min(_SPARE, differing)
-    return differing + 1 + spare, spare
+
+@lru_cache(1 << 12)
+def _dealing(step: int, percent: int) -> Parts:
+    return Parts(step, percent)
+
+
+def _spread(grams: np.ndarray, seed: int) -> np.ndarray:
+    return mix(grams + np.uint64((seed * 2 + 1) * int(_MIX_SIZE) % (1 << 64)))
 
 
 def _part_hashes(grams: np.ndarray, percent: int, seed: int) -> np.ndarray:
-    """The hashes of a set's parts, for its own size class and the one below."""
+    """The hashes of a set's parts, as one of its own size class and as the larger of a pair."""
+    own = _size_class(len(grams), percent)
+    spread = _spread(grams, seed)
+    return np.concatenate([
+        _dealing(step, percent).hashes(spread, np.uint64((seed << 50) + (step << 32)))
+        for step in sorted({own, max(own - 1, 0)})
+    ])
+
+
+#: Share of its n-grams that a set sends beyond those that a linked set may lack.
+_MORE = 6
+
+
+def _first_grams(grams: np.ndarray, percent: int) -> np.ndarray:
+    """The beginning of a set in the common order of all n-grams.
+
+    A linked set lacks at most a = size - percent / 100 * size of them, so of the n-grams that
+    the two share, the first l are among the first a + l of either.
+    """
     size = len(grams)
-    own = _size_class(size, percent)
-    out = []
-    spread = mix(grams + np.uint64(seed * 2 + 1) * _MIX_SIZE)
-    for step in {own, max(own - 1, 0)}:
-        n, spare = _parts(size, step, percent)
-        part = (spread >> np.uint64(11)) % np.uint64(n)
-        order = np.argsort(part, kind="stable")
-        count = np.bincount(part.astype(np.int64), minlength=n)
-        ends = np.cumsum(count)
-        total = np.zeros(len(grams) + 1, np.uint64)
-        np.cumsum(spread[order], out=total[1:])
-        name = np.uint64(step) * np.uint64(1 << 32) + np.arange(n, dtype=np.uint64)
-        hashes = mix((total[ends] - total[ends - count]) ^ mix(name + np.uint64(seed << 50)))
-        solid = count >= _SOLID
-        # With no more weak parts than spare ones, some solid part agrees with any linked set.
-        out.append(hashes[solid] if n - solid.sum() <= spare else hashes)
-    return np.concatenate(out)
+    missing = size - -(-percent * size // 100)
+    return np.sort(_spread(grams, 99))[: missing + -(-_MORE * size // 100)]
 
 
 _PAIR = pa.schema([("kind", pa.int8()), ("block", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
@@ -383,14 +432,88 @@ def _summary(n: int) -> Callable[[Batches], Batches]:
     return run
 
 
+def _send_first(n: int, percent: int) -> Callable[[Batches], Batches]:
+    """Rows (0, more than one, n-gram, key), one for each n-gram and task, and (1, shared, key, key).
+
+    The second kind says how many of a document's n-grams others in the task have too.
+    """
+
+    def summed(held: list[tuple[np.ndarray, np.ndarray]]) -> Batches:
+        gram, key = (np.concatenate(c) for c in zip(*held))
+        order = np.lexsort((key, gram))
+        gram, key = gram[order], key[order]
+        new = np.ones(len(gram), bool)
+        new[1:] = gram[1:] != gram[:-1]
+        first = np.flatnonzero(new)
+        several = np.diff([*first, len(gram)]) > 1
+        yield _pairs(0, several.astype(np.int64), gram[first], key[first])
+        keys, counts = np.unique(key[np.repeat(several, np.diff([*first, len(gram)]))], return_counts=True)
+        yield _pairs(1, counts, keys, keys)
+
+    def run(batches: Batches) -> Batches:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        count = 0
+        for batch in batches:
+            data, offsets = as_bytes(batch.column("text"))
+            keys = batch.column("key").to_numpy(zero_copy_only=False)
+            for first, last in steps(offsets):
+                a, b = offsets[first], offsets[last]
+                for i, grams in enumerate(ngram_sets(data[a:b], offsets[first : last + 1] - a, n), first):
+                    if len(grams):
+                        sent = _first_grams(grams, percent).view(np.int64)
+                        held.append((sent, np.full(len(sent), keys[i])))
+                        count += len(sent)
+                if count >= LOCAL:
+                    yield from summed(held)
+                    held, count = [], 0
+        if held:
+            yield from summed(held)
+
+    return run
+
+
+def _count_shared(batches: Batches) -> Batches:
+    """Rows in order of (kind, n-gram): (1, shared, key, key), for n-grams that several tasks have too."""
+    last = None  # the n-gram before, its row if that has not been counted
+    for batch in batches:
+        kind, number, gram, key = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        if (kind == 1).any():
+            yield batch.filter(pa.array(kind == 1))
+        chosen = kind == 0
+        several, gram, key = number[chosen] > 0, gram[chosen], key[chosen]
+        if not len(gram):
+            continue
+        if last is not None:
+            several, gram, key = (np.concatenate([[x], y]) for x, y in zip(last, (several, gram, key)))
+        same = gram[1:] == gram[:-1]
+        shared = np.zeros(len(gram), bool)
+        shared[1:] |= same
+        shared[:-1] |= same
+        # A row that is known to be shared needs no count; the last one goes on, as known or not.
+        counted = shared & ~several
+        last = (bool(several[-1] or shared[-1]), gram[-1], key[-1])
+        keys, counts = np.unique(key[counted], return_counts=True)
+        yield _pairs(1, counts, keys, keys)
+
+
+def _sharing(docs: DataFrame, summary: DataFrame, n: int, percent: int) -> DataFrame:
+    """(key) of the documents that share so many of their first n-grams as a linked pair does."""
+    sent = docs.select("key", "text").mapInArrow(_send_first(n, percent), _PAIR_ROWS)
+    met = sent.repartition("a").sortWithinPartitions("kind", "a").mapInArrow(_count_shared, _PAIR_ROWS)
+    shared = met.groupBy(F.col("b").alias("key")).agg(F.sum("block").alias("shared"))
+    # The smaller of two linked sets has at least percent / 100 of the n-grams of the larger.
+    needed = F.ceil(F.col("n_grams") * _MORE * percent / 10_000)
+    return shared.join(summary.select("key", "n_grams"), "key").where(F.col("shared") >= needed).select("key")
+
+
 def _thin_out(docs: DataFrame, members: DataFrame, n: int, percent: int, crowd: int) -> tuple[DataFrame, DataFrame]:
     """Take apart blocks of more than ``crowd`` sets: (members in small blocks, links found on the way).
 
-    Each round compares the sets of a large block with the one of least key, its pivot. Those
-    linked with it share its component; of these only the ones stay that are near enough to a
-    set outside to be linked with it (distances obey the triangle inequality). What stays is
-    dealt into blocks by parts of another seed: documents tied by chance part, linked ones
-    never do. A round takes at least the pivot out of every large block.
+    Each round compares the sets of a large block with a few of them, its pivots. Those linked
+    with a pivot share its component, and one of them goes unless it is so near to a set that is
+    not linked with this pivot that the two could be linked (distances obey the triangle
+    inequality). What stays is dealt into blocks by other hashes: documents tied by chance part,
+    linked ones never do. A round takes at least the pivots out of every large block.
     """
     links = docs.sparkSession.createDataFrame([], "a long, b long")
     small, seed = members.limit(0), 1
@@ -400,35 +523,52 @@ def _thin_out(docs: DataFrame, members: DataFrame, n: int, percent: int, crowd:
         large = members.join(sizes.where(f"count > {crowd}").select("block"), "block", "left_semi")
         if large.isEmpty():
             return small, links
-        sets = materialize(docs.join(broadcast_if_small(large), "key").select("block", "key", "text").mapInArrow(_sets(n), "block long, key long, grams binary"), "large-blocks")
-        pivots = sets.join(sets.groupBy("block").agg(F.min("key").alias("key")), ["block", "key"]).select("block", F.col("key").alias("pivot"), F.col("grams").alias("of_pivot"))
-        scored = sets.join(broadcast_if_small(pivots, 1000), "block").mapInArrow(_score, "block long, key long, pivot long, shared long, together long")
-        scored = materialize(scored, "scores")
+        texts = docs.join(broadcast_if_small(large), "key").select("block", "key", "text")
+        sets = materialize(texts.mapInArrow(_sets(n), "block long, key long, grams binary"), "large-blocks")
+        rank = F.row_number().over(Window.partitionBy("block").orderBy(F.xxhash64(F.lit(seed), "key"), "key"))
+        chosen = sets.select("block", "key", rank.alias("rank")).where(F.col("rank") <= PIVOTS).select("block", "key")
+        pivots = sets.join(broadcast_if_small(materialize(chosen, "pivots")), ["block", "key"]).groupBy("block").agg(
+            F.collect_list(F.struct("key", "grams")).alias("pivots")
+        )
+        scored = sets.join(broadcast_if_small(materialize(pivots, "pivots"), 100), "block").mapInArrow(
+            _score, "block long, key long, pivot long, shared long, together long"
+        )
         linked = F.col("shared") * 100 >= F.col("together") * percent
-        near = F.min(F.when(~linked, 1 - F.col("shared") / F.col("together")))
-        outside = scored.groupBy("block").agg(near.alias("nearest"))
+        scored = materialize(
+            scored.withColumn("linked", linked).withColumn("far", 1 - F.col("shared") / F.col("together")), "scores"
+        )
+        outside = scored.groupBy("block", "pivot").agg(F.min(F.when(~F.col("linked"), F.col("far"))).alias("nearest"))
         # A little more than the distance of a link, for rounding.
-        border = (1 - F.col("shared") / F.col("together")) >= F.col("nearest") - (100 - percent) / 100 - 1e-9
-        stay = scored.join(broadcast_if_small(outside, 1000), "block").where(
-            ~linked | (F.coalesce(border, F.lit(False)) & (F.col("key") != F.col("pivot")))
+        border = F.col("far") >= F.col("nearest") - (100 - percent) / 100 - 1e-9
+        done = F.col("linked") & (~F.coalesce(border, F.lit(False)) | (F.col("key") == F.col("pivot")))
+        stay = (
+            scored.join(broadcast_if_small(materialize(outside, "outside")), ["block", "pivot"])
+            .groupBy("block", "key").agg(F.max(done.cast("int")).alias("done")).where("done = 0")
         )
-        links = links.unionByName(scored.where(linked & (F.col("key") != F.col("pivot"))).select(F.col("key").alias("a"), F.col("pivot").alias("b")))
-        left = docs.join(broadcast_if_small(stay.select("key", "block")), "key")
-        dealt = _blocks(left.select("key", "block", "text"), n, percent, seed)
-        members, seed = dealt.select("key", "block"), seed + 1
+        found = scored.where(F.col("linked") & (F.col("key") != F.col("pivot")))
+        links = links.unionByName(found.select(F.col("key").alias("a"), F.col("pivot").alias("b")))
+        left = docs.join(broadcast_if_small(materialize(stay.select("key", "block"), "members")), "key")
+        members = _blocks(left.select("key", "block", "text"), n, percent, seed).select("key", "block")
+        seed += 1
 
 
 def _score(batches: Batches) -> Batches:
+    """Of every set with every pivot of its block: the sizes of intersection and union."""
     for batch in batches:
-        (x, xs), (y, ys) = as_bytes(batch.column("grams")), as_bytes(batch.column("of_pivot"))
-        shared, together = [], []
-        for i in range(len(batch)):
-            one, two = (np.frombuffer(d[o[i] : o[i + 1]].tobytes(), "<u8") for d, o in ((x, xs), (y, ys)))
-            both = len(np.intersect1d(one, two, assume_unique=True))
-            shared.append(both)
-            together.append(len(one) + len(two) - both)
+        data, offsets = as_bytes(batch.column("grams"))
+        block, key, pivot, shared, together = [], [], [], [], []
+        for i, (b, k) in enumerate(zip(batch.column("block").to_pylist(), batch.column("key").to_pylist())):
+            grams = np.frombuffer(data[offsets[i] : offsets[i + 1]].tobytes(), "<u8")
+            for other in batch.column("pivots")[i].as_py():
+                with_it = np.frombuffer(other["grams"], "<u8")
+                both = len(np.intersect1d(grams, with_it, assume_unique=True))
+                block.append(b)
+                key.append(k)
+                pivot.append(other["key"])
+                shared.append(both)
+                together.append(len(grams) + len(with_it) - both)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("block"), batch.column("key"), batch.column("pivot"), pa.array(shared, pa.int64()), pa.array(together, pa.int64())],
+            [pa.array(c, pa.int64()) for c in (block, key, pivot, shared, together)],
             names=["block", "key", "pivot", "shared", "together"],
         )
 
@@ -444,7 +584,11 @@ def near_duplicates(
     summary = materialize(docs.mapInArrow(_summary(n), "key long, doc_id long, n_grams long, s1 long, s2 long"), "set-sizes")
     same = ["n_grams", "s1", "s2"]
     kinds = materialize(summary.where("n_grams > 0").groupBy(*same).agg(F.min("key").alias("key")), "kinds")
-    blocks = _blocks(docs.select("key", F.lit(0).cast("long").alias("block"), "text"), n, percent, 0)
+    sending = docs
+    if percent < WHOLE_PARTS:
+        sharing = materialize(_sharing(docs, summary, n, percent), "sharing")
+        sending = docs.join(broadcast_if_small(sharing), "key", "left_semi")
+    blocks = _blocks(sending.select("key", F.lit(0).cast("long").alias("block"), "text"), n, percent, 0)
     members = blocks.join(kinds.select("key"), "key", "left_semi")
     several = members.groupBy("block").count().where("count > 1").select("block")
     members = materialize(members.join(several, "block", "left_semi").select("key", "block"), "members")

@@ -10,16 +10,16 @@ from assayer.llm import ngram_join as nj
 from assayer.llm.common import as_bytes
 
 
-def grams(text):
+def grams(text, n):
     words = (text or "").encode().lower().split()
-    if len(words) < 3:
+    if len(words) < n:
         return {tuple(words)} if words else set()
-    return {tuple(words[i : i + 3]) for i in range(len(words) - 2)}
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
 
 
-def slow(rows):
+def slow(rows, n=3, percent=90):
     """(doc_id, text), ids distinct: {doc_id: (size, least linked id)}."""
-    sets = {i: grams(t) for i, t in rows}
+    sets = {i: grams(t, n) for i, t in rows}
     parent = {i: i for i in sets}
 
     def find(x):
@@ -31,7 +31,7 @@ def slow(rows):
     for i, x in enumerate(ids):
         for y in ids[:i]:
             a, b = sets[x], sets[y]
-            if a and b and 100 * len(a & b) >= 90 * len(a | b):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
                 p, q = sorted((find(x), find(y)))
                 parent[q] = p
     return {i: (len(sets[i]), find(i)) for i in ids}
@@ -59,25 +59,34 @@ def run(spark, rows, **options):
     return {r["doc_id"]: (r["n_grams"], r["component"]) for r in nj.near_duplicates(docs, **options).collect()}
 
 
-@pytest.mark.parametrize("seed,crowd", [(1, nj.CROWD), (2, 4)])
-def test_against_all_pairs(spark, seed, crowd):
+@pytest.mark.parametrize(
+    "seed,crowd,n,percent", [(1, nj.CROWD, 3, 90), (2, 4, 3, 90), (3, nj.CROWD, 5, 80), (4, 6, 2, 80), (5, nj.CROWD, 1, 60)]
+)
+def test_against_all_pairs(spark, seed, crowd, n, percent, monkeypatch):
+    monkeypatch.setattr(nj, "PIVOTS", 2)
     rows = corpus(seed, 250)
-    assert run(spark, rows, crowd=crowd) == slow(rows)
+    assert run(spark, rows, crowd=crowd, n=n, percent=percent) == slow(rows, n, percent)
 
 
-def test_equal_parts_of_all_linked_pairs():
-    dice = random.Random(3)
-    for _ in range(300):
+@pytest.mark.parametrize("percent", [95, 90, 87, 80, 70, 50])
+def test_linked_pairs_send_something_in_common(percent):
+    dice = random.Random(percent)
+    seen = 0
+    for _ in range(400):
         size = dice.choice([1, 2, 5, 9, 10, 11, 19, 30, 100, 400])
         base = np.array(dice.sample(range(1 << 40), size * 2), np.uint64)
-        one = base[:size]
-        most = int(size * 10 / 95)
-        drop, more = dice.randint(0, most), dice.randint(0, most)
-        two = np.concatenate([one[drop:], base[size : size + more]])
-        both = len(set(one.tolist()) & set(two.tolist()))
-        if len(two) and 100 * both >= 90 * (len(one) + len(two) - both):
-            a, b = (set(nj._part_hashes(np.sort(x), 90, 5).tolist()) for x in (one, two))
+        most = size * (100 - percent) // percent
+        drop, more = dice.choice([(dice.randint(0, most), dice.randint(0, most)), (most // 2, most // 2), (0, most)])
+        one, two = base[:size], np.concatenate([base[drop:size], base[size : size + more]])
+        both = size - drop
+        if len(two) and 100 * both >= percent * (size + len(two) - both):
+            seen += 1
+            a, b = (set(nj._part_hashes(np.sort(x), percent, 5).tolist()) for x in (one, two))
             assert a & b
+            firsts = [set(nj._first_grams(np.sort(x), percent).tolist()) for x in (one, two)]
+            needed = -(-max(size, len(two)) * nj._MORE * percent // 10_000)
+            assert len(firsts[0] & firsts[1]) >= needed
+    assert seen > 100
 
 
 def test_tree_links_as_all_pairs():
