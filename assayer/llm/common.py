@@ -148,19 +148,21 @@ def with_row_key(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return keyed.select(F.col(key).alias("key"), "doc_id", "text")
 
 
-def _stars(edges: DataFrame, larger: bool) -> DataFrame:
-    """One step on edges (a, b), a > b: every node's neighbours are tied to the least of them.
-
-    ``larger``: the neighbours above the node; otherwise those below it, and the node itself.
-    """
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if larger else edges
-    least = both.groupBy("a").agg(F.min("b").alias("least")).select("a", F.least("a", "least").alias("least"))
-    tied = both.join(least, "a")
-    if larger:
-        tied = tied.where("b > a").select(F.col("b").alias("a"), F.col("least").alias("b"))
-    else:
-        own = least.select("a", F.col("least").alias("b"))
-        tied = tied.where("b <> least").select(F.col("b").alias("a"), F.col("least").alias("b")).unionByName(own)
+def _tie_larger(edges: DataFrame) -> DataFrame:
+    """Every node's larger neighbours tied to the least of all its neighbours and itself."""
+    least = (
+        edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        .groupBy(F.col("a").alias("node")).agg(F.min("b").alias("least"))
+    )
+    tied = edges.join(least, edges["b"] == least["node"])
+    return tied.select("a", F.least("b", "least").alias("b"))
+
+
+def _tie_smaller(edges: DataFrame) -> DataFrame:
+    """Every node and its smaller neighbours tied to the least of these (a node has few of them)."""
+    grouped = edges.groupBy("a").agg(F.collect_set("b").alias("smaller"))
+    least = F.array_min("smaller")
+    tied = grouped.select(F.explode(F.array_union(F.array("a"), "smaller")).alias("a"), least.alias("b"))
     return tied.where("a <> b").distinct()
 
 
@@ -169,16 +171,19 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates steps that tie the larger and the smaller neighbours of each node to the least,
     until all components are stars; the number of steps grows with the logarithm of the nodes.
-    Every step is a written table. A node with many edges is summed up before it is shuffled.
+    Every round is a written table. A node with many larger neighbours is summed up before it
+    is shuffled, and its edges are only joined.
     """
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = materialize(edges, "edges")
     while True:
-        following = materialize(_stars(_stars(edges, True), False), "edges")
-        ends = following.select("a").distinct().count(), following.count()
-        centres = following.join(following.select(F.col("a").alias("b")).distinct(), "b", "left_semi").isEmpty()
-        edges = following
-        if ends[0] == ends[1] and centres:
+        edges = materialize(_tie_smaller(_tie_larger(edges)), "edges")
+        ends = edges.select(F.explode(F.array(
+            F.struct(F.col("a").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")),
+            F.struct(F.col("b").alias("node"), F.lit(0).alias("below"), F.lit(1).alias("above")),
+        )).alias("end")).select("end.*")
+        nodes = ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+        if nodes.where("below > 1 or (below = 1 and above = 1)").isEmpty():
             return edges
 
 

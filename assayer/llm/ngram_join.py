@@ -11,10 +11,11 @@ link leaves:
    set are one from here on. Below a similarity of :data:`WHOLE_PARTS`, where parts are small,
    only documents go on that share so many of their first n-grams as a link needs
    (:func:`_sharing`).
-2. In a block the sets enter a tree one after the other, sharing common beginnings
-   (:class:`PrefixTree`). A set walks the tree, carrying the overlap so far, and leaves every
-   branch where even the n-grams that remain on both sides could not make a link, and every
-   branch that is in its component already. What is left is compared in full.
+2. In a block the sets are stored in a tree that shares their common beginnings
+   (:class:`PrefixTree`). The sets then go down the tree, many at a time, each with its overlap
+   so far, and leave every branch where even the n-grams that remain on both sides could not
+   make a link, and every branch that is in their component already. What is left is compared
+   in full.
 
 A block of more than ``crowd`` sets never enters one task: see :func:`_thin_out`.
 
@@ -264,131 +265,152 @@ def _blocks(docs: DataFrame, n: int, percent: int, seed: int) -> DataFrame:
     return materialize(stars.select(F.col("a").alias("key"), F.col("b").alias("block")).unionByName(centres), "blocks")
 
 
-def _needed(sizes: int, percent: int) -> int:
+def _needed(sizes: np.ndarray, percent: int) -> np.ndarray:
     """The intersection that two sets with ``sizes`` n-grams together must have."""
     return -(-percent * sizes // (100 + percent))
 
 
 class _Branch:
-    __slots__ = ("children", "grams", "largest", "least", "members", "mixed")
+    __slots__ = ("children", "first", "grams", "largest", "least", "members", "sole")
 
-    def __init__(self, grams: np.ndarray) -> None:
-        self.grams = grams
+    def __init__(self, grams: np.ndarray, first: int) -> None:
+        self.grams, self.first = grams, first  # the first member below
         self.children: dict[int, _Branch] = {}
         self.members: list[int] = []
-        self.least, self.largest = 1 << 60, 0
-        self.mixed = -1  # any member below while all are in one component, otherwise -2
+        self.least, self.largest = 1 << 60, 0  # sizes of the sets below
+        self.sole = -1  # their component, if they are in one
 
 
 class PrefixTree:
     """Ordered sets, common beginnings stored once, and the components of their links."""
 
-    def __init__(self, percent: int) -> None:
+    #: Bytes of the table that says which set of a batch has which n-gram.
+    TABLE_BYTES = 32 << 20
+
+    def __init__(self, sets: list[np.ndarray], percent: int) -> None:
         self.percent = percent
-        self.root = _Branch(np.zeros(0, np.uint64))
-        self.sets: list[np.ndarray] = []
-        self.parent: list[int] = []
-        self.compared = 0
+        known, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        self.n_grams = len(known)
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.ids = ids.astype(np.int64)
+        self.ordered = np.repeat(np.arange(len(sets)), self.sizes) * self.n_grams + self.ids
+        self.parent = list(range(len(sets)))
+        self.visited = 0  # sets times branches
+        self.root = _Branch(self.ids[:0], 0)
+        for i in range(len(sets)):
+            self._insert(i, self.ids[self.starts[i] : self.starts[i] + self.sizes[i]])
+        self.branches = []  # parents before children
+        stack = [self.root]
+        while stack:
+            branch = stack.pop()
+            self.branches.append(branch)
+            stack += branch.children.values()
 
     def find(self, x: int) -> int:
+        """The first member of the component."""
         while self.parent[x] != x:
             self.parent[x] = self.parent[self.parent[x]]
             x = self.parent[x]
         return x
 
-    def add(self, grams: np.ndarray) -> None:
-        """Link a set with those before it and store it; the first member of a component names it."""
-        me = len(self.sets)
-        self.sets.append(grams)
-        self.parent.append(me)
-        self._link(me, grams)
-        self._insert(me, grams)
-
-    def _alike(self, branch: _Branch, me: int) -> bool:
-        return branch.mixed >= 0 and self.find(branch.mixed) == self.find(me)
-
-    def _link(self, me: int, mine: np.ndarray) -> None:
-        size, percent = len(mine), self.percent
-        stack = [(self.root, 0, 0, 0)]  # branch; of mine: passed, shared; of the others: passed
-        while stack:
-            branch, passed, shared, depth = stack.pop()
-            if self._alike(branch, me):
-                continue
-            if branch.largest * 100 < percent * size or branch.least * percent > 100 * size:
-                continue
-            grams = branch.grams
-            if len(grams):
-                at = np.searchsorted(mine[passed:], grams) + passed
-                inside = at < size
-                shared += int((mine[at[inside]] == grams[inside]).sum())
-                passed = int(np.searchsorted(mine, grams[-1], "right"))
-                depth += len(grams)
-            # The size below that fits best has as many n-grams left as I have.
-            best = min(max(depth + size - passed, branch.least), branch.largest)
-            if shared + min(size - passed, best - depth) < _needed(size + best, percent):
-                continue
-            if branch.members:
-                self.compared += 1
-                if shared >= _needed(size + depth, percent):
-                    for member in branch.members:
-                        a, b = sorted((self.find(me), self.find(member)))
-                        self.parent[b] = a
-            stack += [(child, passed, shared, depth) for child in branch.children.values()]
-
     def _insert(self, me: int, grams: np.ndarray) -> None:
-        branch, at = self.root, 0
-        self._note(branch, me, len(grams))
-        while at < len(grams):
+        branch, at, size = self.root, 0, len(grams)
+        branch.least, branch.largest = min(branch.least, size), max(branch.largest, size)
+        while at < size:
             head = int(grams[at])
             child = branch.children.get(head)
             if child is None:
-                child = branch.children[head] = _Branch(grams[at:])
-                at = len(grams)
+                child = branch.children[head] = _Branch(grams[at:], me)
+                at = size
             else:
-                m = min(len(child.grams), len(grams) - at)
+                m = min(len(child.grams), size - at)
                 differ = np.flatnonzero(child.grams[:m] != grams[at : at + m])
                 common = int(differ[0]) if len(differ) else m
                 if common < len(child.grams):
-                    upper = _Branch(child.grams[:common])
-                    upper.least, upper.largest, upper.mixed = child.least, child.largest, child.mixed
+                    upper = _Branch(child.grams[:common], child.first)
+                    upper.least, upper.largest = child.least, child.largest
                     child.grams = child.grams[common:]
                     upper.children[int(child.grams[0])] = child
                     branch.children[head] = child = upper
                 at += common
-            self._note(child, me, len(grams))
+            child.least, child.largest = min(child.least, size), max(child.largest, size)
             branch = child
         branch.members.append(me)
 
-    def _note(self, branch: _Branch, me: int, size: int) -> None:
-        branch.least, branch.largest = min(branch.least, size), max(branch.largest, size)
-        if branch.mixed == -1:
-            branch.mixed = me
-        elif branch.mixed >= 0 and not self._alike(branch, me):
-            branch.mixed = -2
+    def link(self) -> None:
+        """Find the components: a few sets go down the tree first, as their links spare others the way."""
+        most = max(1, min(512, self.TABLE_BYTES // max(self.n_grams, 1)))
+        at, n = 0, 1
+        while at < len(self.sizes):
+            self._go_down(np.arange(at, min(at + n, len(self.sizes))))
+            at, n = at + n, min(4 * n, most)
+
+    def _go_down(self, batch: np.ndarray) -> None:
+        percent = self.percent
+        has = np.zeros((len(batch), self.n_grams), np.uint8)
+        for row, i in enumerate(batch.tolist()):
+            has[row, self.ids[self.starts[i] : self.starts[i] + self.sizes[i]]] = 1
+        component = np.array([self.find(i) for i in range(len(self.sizes))])
+        for branch in reversed(self.branches):
+            below = {c.sole for c in branch.children.values()} | {int(component[m]) for m in branch.members}
+            branch.sole = below.pop() if len(below) == 1 else -1
+        stack = [(self.root, np.arange(len(batch)), np.zeros(len(batch), np.int64), 0)]
+        while stack:
+            branch, rows, shared, depth = stack.pop()
+            me = batch[rows]
+            size = self.sizes[me]
+            stays = (branch.largest * 100 >= percent * size) & (branch.least * percent <= 100 * size)
+            stays &= (component[me] != branch.sole) & (me > branch.first)
+            if not stays.all():
+                rows, shared, me, size = rows[stays], shared[stays], me[stays], size[stays]
+            if not len(rows):
+                continue
+            self.visited += len(rows)
+            if len(branch.grams):
+                shared = shared + has[rows[:, None], branch.grams].sum(1, dtype=np.int64)
+                depth += len(branch.grams)
+                passed = np.searchsorted(self.ordered, me * self.n_grams + branch.grams[-1], "right") - self.starts[me]
+                # The size below that fits best has as many n-grams left as the set itself.
+                left = size - passed
+                best = np.clip(depth + left, branch.least, branch.largest)
+                stays = shared + np.minimum(left, best - depth) >= _needed(size + best, percent)
+                if not stays.all():
+                    rows, shared, me, size = rows[stays], shared[stays], me[stays], size[stays]
+                if not len(rows):
+                    continue
+            if branch.members:
+                for one in me[shared >= _needed(size + depth, percent)].tolist():
+                    for other in branch.members:
+                        a, b = sorted((self.find(one), self.find(other)))
+                        self.parent[b] = a
+            stack += [(child, rows, shared, depth) for child in branch.children.values()]
 
 
 def _join_blocks(percent: int) -> Callable[[Batches], Batches]:
     """Rows (block, key, grams) in order: (a, b) for every key that is not the least of its component."""
 
-    def run(batches: Batches) -> Batches:
-        tree, keys, block = None, [], None
-
-        def ended() -> pa.RecordBatch:
-            root = [tree.find(i) for i in range(len(keys))]
-            rows = [(keys[i], keys[r]) for i, r in enumerate(root) if i != r]
-            return pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in rows], pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+    def joined(keys: list[int], sets: list[np.ndarray]) -> pa.RecordBatch:
+        tree = PrefixTree(sets, percent)
+        tree.link()
+        root = [tree.find(i) for i in range(len(keys))]
+        found = [i for i, r in enumerate(root) if i != r]
+        columns = [[keys[i] for i in found], [keys[root[i]] for i in found]]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
 
+    def run(batches: Batches) -> Batches:
+        keys, sets, block = [], [], None
         for batch in batches:
             data, offsets = as_bytes(batch.column("grams"))
             for i, (b, k) in enumerate(zip(batch.column("block").to_pylist(), batch.column("key").to_pylist())):
                 if b != block:
-                    if tree is not None:
-                        yield ended()
-                    tree, keys, block = PrefixTree(percent), [], b
+                    if keys:
+                        yield joined(keys, sets)
+                    keys, sets, block = [], [], b
                 keys.append(k)
-                tree.add(np.frombuffer(data[offsets[i] : offsets[i + 1]].tobytes(), "<u8"))
-        if tree is not None:
-            yield ended()
+                sets.append(np.frombuffer(data[offsets[i] : offsets[i + 1]].tobytes(), "<u8"))
+        if keys:
+            yield joined(keys, sets)
 
     return run
 
