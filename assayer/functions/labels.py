@@ -22,24 +22,30 @@ class LabelMap:
 
     @classmethod
     def of(cls, spec: Sequence[str] | Mapping) -> LabelMap:
-        """From a list (position is the id) or a mapping in either direction."""
-        if not isinstance(spec, Mapping):
-            return cls(tuple(enumerate(spec)))
-        by_id: dict[int, str] = {}
-        for left, right in spec.items():
-            if isinstance(left, (int, float)) and isinstance(right, str):
-                by_id[int(left)] = right
-            elif isinstance(left, str) and isinstance(right, (int, float)):
-                by_id[int(right)] = left
-        if not by_id:
+        """From a list (position is the id) or a mapping in either direction.
+
+        A mapping has a number and a text in every entry; of entries with one id the last
+        holds.
+        """
+        pairs = spec.items() if isinstance(spec, Mapping) else enumerate(spec)
+        named = dict(_id_and_label(pair) for pair in pairs)
+        if not named:
             raise ValueError("A label map must pair ids with labels")
-        return cls(tuple(sorted(by_id.items())))
+        return cls(tuple(sorted(named.items())))
 
     @property
     def ids(self) -> dict[str, int]:
         return {label.lower(): id_ for id_, label in self.entries}
 
 
+def _id_and_label(pair: tuple) -> tuple[int, str]:
+    numbers = [x for x in pair if isinstance(x, (int, float))]
+    texts = [x for x in pair if isinstance(x, str)]
+    if len(numbers) != 1 or len(texts) != 1:
+        raise ValueError(f"A label map must pair ids with labels, not {pair}")
+    return int(numbers[0]), texts[0]
+
+
 def prediction_id(prediction: Column, labels: LabelMap) -> Column:
     """Exact label, else the first label contained in the text, else an integer, else -1."""
     text = strip(F.coalesce(prediction.cast("string"), F.lit("None")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,6 +32,13 @@ def quote_regex(literal: str) -> str:
     )
 
 
+def java_pattern(pattern: str) -> str:
+    """A Python regular expression as Java reads it: Unicode classes, named groups without the P."""
+    named = re.sub(r"\(\?P<(\w+)>", lambda m: f"(?<{m[1].replace('_', 'U')}>", pattern)
+    named = re.sub(r"\(\?P=(\w+)\)", lambda m: f"\\k<{m[1].replace('_', 'U')}>", named)
+    return "(?U)" + named
+
+
 def any_of(choices: list[str]) -> str:
     return "|".join(quote_regex(c) for c in choices)
 

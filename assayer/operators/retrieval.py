@@ -13,13 +13,16 @@ from pyspark.sql import types as T
 from assayer.functions.templates import render_values
 from assayer.operators.embedding import embed_hashed
 from assayer.operators.joins import join_spread
-from assayer.session import materialize
+from assayer.session import broadcast_if_small, materialize
 
 # Scores are compared at this many decimals, so copies of a vector tie exactly.
 SCORE_DIGITS = 12
 
-# The query side goes to every task only up to this many rows (8 MB at 64 dimensions).
-BROADCAST_ROWS = 16_384
+# The query side goes to every task only up to so many bytes of vectors.
+BROADCAST_BYTES = 8 * 1024 * 1024
+
+# Bytes of the ids that go to every task so that only texts with a hit move.
+ID_BYTES = 8 * 1024 * 1024
 
 # Numbers per side of one cell when both sides are large (64 MB). What is shuffled falls
 # with the size of the blocks: every row meets each block of the other side.
@@ -46,7 +49,7 @@ def top_k(
     corpus: DataFrame,
     k: int,
     vector: str = "embedding",
-    broadcast_rows: int = BROADCAST_ROWS,
+    broadcast_bytes: int = BROADCAST_BYTES,
     block_rows: int | None = None,
     checked: bool = False,
 ) -> DataFrame:
@@ -56,24 +59,30 @@ def top_k(
     ``vector``. Returns ``query_id, corpus_id, score, rank``; equal scores rank by id. An
     empty corpus is an error, unless the caller has ``checked`` it.
 
-    A query side shown to be small goes to every task, and the corpus is scanned where it
-    lies. Otherwise both sides are hashed into blocks of bounded size that meet in a grid.
-    Either way a task keeps only its own best ``k`` per query; pairs are never written.
+    Query vectors are written first, so that a model that makes them runs once. A query
+    side of at most ``broadcast_bytes`` goes to every task, and the corpus is scanned where
+    it lies, once. Otherwise both sides are hashed into blocks of bounded size that meet in a
+    grid. Either way a task keeps only its own best ``k`` per query; pairs are never written.
+    Vectors must not be null and must have one length on both sides.
     """
     if k < 1:
         raise ValueError("k must be positive")
     if not checked and corpus.isEmpty():
         raise ValueError("The corpus is empty")
-    values = F.col(vector).cast("array<double>").alias("v")
-    queries = queries.select(F.col("query_id").cast("long"), values)
-    corpus = corpus.select(F.col("corpus_id").cast("long"), values)
-    block = queries.limit(broadcast_rows + 1).toArrow()
-    if block.num_rows <= broadcast_rows:
-        partial = _scan(block, corpus, k)
+    raw = F.col(vector).cast("array<double>")
+    queries = materialize(queries.select(F.col("query_id").cast("long"), raw.alias("v")), "queries")
+    size = queries.agg(F.count("*").alias("rows"), F.max(F.size("v")).alias("width")).first()
+    width = max(size["width"] or 0, 1)
+    values = _checked(F.col("v"), "query_id", width)
+    queries = queries.select("query_id", values.alias("v"))
+    corpus = corpus.select(F.col("corpus_id").cast("long"), raw.alias("v"))
+    corpus = corpus.select("corpus_id", _checked(F.col("v"), "corpus_id", width if size["rows"] else None).alias("v"))
+    if size["rows"] * width * 8 <= broadcast_bytes:
+        partial = _scan(queries.toArrow(), corpus, k)
     else:
-        rows = block_rows or max(BLOCK_NUMBERS // max(len(block.column("v")[0]), 1), 1)
-        # Both sides are read twice: to be counted, and to be placed.
-        partial = _grid(materialize(queries, "queries"), materialize(corpus, "corpus"), k, rows)
+        # The corpus is read twice: to be counted, and to be placed.
+        rows = block_rows or max(BLOCK_NUMBERS // width, 1)
+        partial = _grid(queries, materialize(corpus, "corpus"), k, rows)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "corpus_id")
     return (
         partial.withColumn("rank", F.row_number().over(best))
@@ -82,6 +91,13 @@ def top_k(
     )
 
 
+def _checked(vector: Column, key: str, width: int | None) -> Column:
+    """The vector, or an error that names the row if it is null or of another length."""
+    wrong = vector.isNull() if width is None else vector.isNull() | (F.size(vector) != width)
+    message = F.concat(F.lit(f"The vector is null or not of length {width}: {key} "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
+    return F.when(wrong, F.raise_error(message).cast("array<double>")).otherwise(vector)
+
+
 def _scan(queries: pa.Table, corpus: DataFrame, k: int) -> DataFrame:
     ids, vectors = _matrix(queries)
     shared = corpus.sparkSession.sparkContext.broadcast((ids, vectors))
@@ -207,12 +223,16 @@ def fetch_text(
 ) -> DataFrame:
     """Join the texts of the retrieved ids, once only the best hits are left.
 
-    Hits that are not ``stored`` yet are, so the corpus is not scored again; a document
-    that a large share of the queries hit is spread over several tasks.
+    Hits that are not ``stored`` yet are, so the corpus is not scored again. The ids that
+    were hit go to where the corpus lies (``ID_BYTES`` of them at most) and only their texts
+    move; more ids than that are joined by key. A document that a large share of the queries
+    hit is spread over several tasks.
     """
     texts = corpus.select("corpus_id", F.col(text).alias("text"))
     hits = hits if stored else materialize(hits, "hits")
-    return join_spread(hits, texts, "corpus_id", "query_id")
+    wanted = materialize(hits.select("corpus_id").distinct(), "hit-ids")
+    wanted = broadcast_if_small(wanted, ID_BYTES // 8)
+    return join_spread(hits, texts.join(wanted, "corpus_id", "left_semi"), "corpus_id", "query_id")
 
 
 def gather_hits(hits: DataFrame) -> DataFrame:

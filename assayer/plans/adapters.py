@@ -25,15 +25,15 @@ class TaskAdapter:
     def fields(self, task: TaskSpec) -> set[str]:
         """The columns of the dataset that the other steps read."""
         paths = [*task.input_mappings.values()]
-        if task.rag and task.rag.enabled:
-            paths += task.rag.query_mappings.values()
+        if task.retrieves:
+            paths += task.query_mappings.values()
         if task.reference_field:
             paths.append(task.reference_field)
         return {path.split(".")[0] for path in paths}
 
     def build_prompts(self, examples: DataFrame, task: TaskSpec) -> DataFrame:
         """Add ``prompt``, and ``extra`` where context was retrieved."""
-        if task.rag and task.rag.enabled:
+        if task.retrieves:
             return rag_prompts(examples, load_corpus(examples.sparkSession, task.rag), task)
         row, fields = F.col("row"), examples.schema["row"].dataType
         prompt = render(fields, task.prompt_template, task.input_mappings, root=row)
@@ -50,7 +50,7 @@ class TaskAdapter:
     def postprocess(self, predictions: DataFrame, task: TaskSpec) -> DataFrame:
         """Add ``prediction_parsed``."""
         parsed = postprocess(
-            F.col("completion"), task.choices, task.default_choice, task.thinking_delimiters, task.strip_from_prediction
+            F.col("completion"), task.choices, task.default, task.thinking_delimiters, task.strip_from_prediction
         )
         return predictions.withColumn("prediction_parsed", parsed)
 

@@ -51,7 +51,7 @@ def rag_prompts(examples: DataFrame, corpus: DataFrame, task: TaskSpec) -> DataF
     """
     rag = task.rag
     row, fields = F.col("row"), examples.schema["row"].dataType
-    query = render(fields, rag.query_template, rag.query_mappings, root=row)
+    query = render(fields, task.query_template, task.query_mappings, root=row)
     queries = examples.withColumn("query", query).withColumnRenamed("idx", "query_id")
     hits = retrieve(queries.select("query_id", "query"), corpus, rag)
     found = with_context(queries, hits, rag.context_template, rag.context_separator)

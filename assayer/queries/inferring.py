@@ -7,9 +7,9 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.functions.vectors import dot
 from assayer.operators.embedding import mean_pool
-from assayer.operators.inference import best_choice, choose, generate
+from assayer.operators.inference import choose, generate
+from assayer.operators.retrieval import top_k
 from assayer.plans.generation import predict_all
 from assayer.plans.spec import ModelSpec, TaskSpec
 from assayer.queries.registry import SEGMENTS, query, table
@@ -66,18 +66,15 @@ def batch_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT vec_id, CAST(label AS VARCHAR) AS choice FROM scores QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, label) = 1""",
 )
 def constrained_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nearest of ten centroids; their number is the number of choices."""
+    """The nearest centroid of each vector: top-1 retrieval with the labels' centroids as the corpus."""
     vectors = table(spark, sf_dir, "embeddings")
-    choices = [str(label) for label in range(10)]
-    centroids = {
-        str(row["label"]): row["embedding"]
-        for row in mean_pool(vectors.where(F.col("label").between(0, 9)), "label", "embedding", F.lit(True)).collect()
-    }
-    present = [c for c in choices if c in centroids]
-    scores = [
-        F.round(dot(F.col("embedding"), F.array(*map(F.lit, centroids[c]))), 12) for c in present
-    ]
-    return vectors.select("vec_id", best_choice(scores, present).alias("choice"))
+    centroids = mean_pool(vectors, "label", "embedding", F.lit(True))
+    nearest = top_k(
+        vectors.select(F.col("vec_id").alias("query_id"), "embedding"),
+        centroids.select(F.col("label").alias("corpus_id"), "embedding"),
+        1,
+    )
+    return nearest.select(F.col("query_id").alias("vec_id"), F.col("corpus_id").cast("string").alias("choice"))
 
 
 @query(

@@ -39,7 +39,7 @@ def rag_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rag_topk_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The form for two large sides: no broadcast, blocks of bounded size."""
     queries, corpus = _vectors(spark, sf_dir, "query_id"), _vectors(spark, sf_dir, "corpus_id")
-    hits = top_k(queries, corpus, 3, broadcast_rows=0, block_rows=256)
+    hits = top_k(queries, corpus, 3, broadcast_bytes=0, block_rows=256)
     return hits.withColumn("score", rounded("score"))
 
 

@@ -115,7 +115,7 @@ def rag_query_render(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
     )
     df = table(spark, sf_dir, "benchmark")
-    rendered = render(df.schema, task.rag.query_template, task.rag.query_mappings)
+    rendered = render(df.schema, task.query_template, task.query_mappings)
     return df.select("item_id", rendered.alias("query"))
 
 

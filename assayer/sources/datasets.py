@@ -11,16 +11,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource
 
-from assayer.functions.text import python_text
+from assayer.functions.text import java_pattern, python_text
+from assayer.session import new_path
 from assayer.sources.files import read_corpus
 
 DEFAULT_SPLIT = "validation"
 
+# Settings of a dataset that is a table or a path; ``kwargs`` of a data hub have no meaning here.
+_SETTINGS = frozenset(("name", "path", "format", "options", "schema", "split", "split_column", "filter"))
+
 # Place of a row in its dataset, where the files tell it.
 FILE_ORDER = ("_file", "_file_row")
 
-# A custom loader that hands over plain rows sends them through the driver.
-MAX_LOCAL_ROWS = 100_000
+# Plain rows of a custom loader pass the driver this many at a time.
+SPOOL_ROWS = 10_000
 
 
 def load(
@@ -35,11 +39,12 @@ def load(
     and ``options``), or ``type: custom`` with a dotted ``loader``, or ``type: files``.
     The split is the mapping's, else ``split``, else ``validation``: it fills ``{split}``
     in the path, or selects the ``split`` column (``split_column`` names another), which
-    prunes partitions when the data is partitioned by it. ``with_order`` adds the columns
+    prunes partitions when the data is partitioned by it. A split that is named but can do
+    neither is an error; the default then means all rows. ``with_order`` adds the columns
     of ``FILE_ORDER`` to Parquet files.
     """
     if isinstance(dataset, str):
-        return _read(spark, dataset, {}, split or DEFAULT_SPLIT, with_order)
+        return _read(spark, dataset, {}, split, with_order)
     if not isinstance(dataset, Mapping):
         raise ValueError("A dataset is given as text or as a mapping")
     kind = dataset.get("type")
@@ -47,10 +52,13 @@ def load(
         return _custom(spark, dataset)
     if kind == "files":
         return read_corpus(spark, dataset)
+    unknown = sorted(set(dataset) - _SETTINGS)
+    if unknown:
+        raise ValueError(f"A dataset has no settings {', '.join(unknown)}")
     location = dataset.get("name") or dataset.get("path")
     if not location:
         raise ValueError("A dataset needs a name or a path")
-    df = _read(spark, location, dataset, dataset.get("split", split or DEFAULT_SPLIT), with_order)
+    df = _read(spark, location, dataset, dataset.get("split", split), with_order)
     rule = dataset.get("filter") or {}
     if rule.get("column") and rule.get("pattern"):
         df = regex_filter(df, rule["column"], rule["pattern"])
@@ -63,11 +71,11 @@ def regex_filter(df: DataFrame, column: str, pattern: str) -> DataFrame:
         text = python_text(F.col(f"`{column}`"), df.schema[column].dataType)
     else:
         text = F.lit("")
-    return df.where(text.rlike(pattern))
+    return df.where(text.rlike(java_pattern(pattern)))
 
 
 def _read(
-    spark: SparkSession, location: str, options: Mapping[str, Any], split: str, with_order: bool
+    spark: SparkSession, location: str, options: Mapping[str, Any], split: str | None, with_order: bool
 ) -> DataFrame:
     if "/" not in location and "format" not in options:
         return _of_split(spark.table(location), options, split)
@@ -75,16 +83,20 @@ def _read(
     reader = spark.read.format(fmt).options(**options.get("options", {}))
     if "schema" in options:
         reader = reader.schema(options["schema"])
-    df = reader.load(location.replace("{split}", split))
+    df = reader.load(location.replace("{split}", split or DEFAULT_SPLIT))
     if with_order and fmt == "parquet":
         place = (F.col("_metadata.file_path"), F.col("_metadata.row_index"))
         df = df.select("*", *(c.alias(name) for c, name in zip(place, FILE_ORDER)))
     return df if "{split}" in location else _of_split(df, options, split)
 
 
-def _of_split(df: DataFrame, options: Mapping[str, Any], split: str) -> DataFrame:
+def _of_split(df: DataFrame, options: Mapping[str, Any], split: str | None) -> DataFrame:
     column = options.get("split_column", "split")
-    return df.where(F.col(column) == split) if column in df.columns else df
+    if column in df.columns:
+        return df.where(F.col(column) == (split or DEFAULT_SPLIT))
+    if split:
+        raise ValueError(f"The split '{split}' was asked for, but there is neither a column '{column}' nor {{split}} in the path")
+    return df
 
 
 def _custom(spark: SparkSession, dataset: Mapping[str, Any]) -> DataFrame:
@@ -101,10 +113,18 @@ def _custom(spark: SparkSession, dataset: Mapping[str, Any]) -> DataFrame:
 
 
 def _from_rows(spark: SparkSession, rows: Iterable[Mapping], schema) -> DataFrame:
-    local = list(islice(iter(rows), MAX_LOCAL_ROWS + 1))
-    if len(local) > MAX_LOCAL_ROWS:
-        raise ValueError(
-            f"The loader yields more than {MAX_LOCAL_ROWS} rows; return a DataFrame or a "
-            "Python data source instead"
-        )
-    return spark.createDataFrame(local, schema)
+    """Any number of rows: a few at a time go into a table in the shared folder.
+
+    Without a schema the first of them tell it.
+    """
+    path = new_path(spark, "loader")
+    left = iter(rows)
+    chunk = list(islice(left, SPOOL_ROWS))
+    if not chunk:
+        return spark.createDataFrame([], schema or "struct<>")
+    while chunk:
+        df = spark.createDataFrame(chunk, schema)
+        schema = df.schema
+        df.write.mode("append").parquet(path)
+        chunk = list(islice(left, SPOOL_ROWS))
+    return spark.read.schema(schema).parquet(path)

@@ -88,6 +88,11 @@ def _files(
     return reader.options(**options).load(list(locations))
 
 
+def plain_path(uri: Column) -> Column:
+    """The path that a file's metadata gives percent-encoded, as listings of files spell it."""
+    return F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B")))
+
+
 def _with_extension(df: DataFrame, extensions: Sequence[str]) -> DataFrame:
     return df.where(extension(F.col("source")).isin(list(extensions)))
 
@@ -100,7 +105,7 @@ def read_texts(
 ) -> DataFrame:
     """Whole UTF-8 files: ``text, source``."""
     files = _files(spark, locations, "text", extensions, recursive, wholetext="true")
-    texts = files.select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("source"))
+    texts = files.select(F.col("value").alias("text"), plain_path(F.col("_metadata.file_path")).alias("source"))
     return _with_extension(texts, extensions)
 
 
@@ -123,7 +128,7 @@ def read_jsonl(
         _files(spark, locations, "text", extensions, recursive)
         .select(
             F.col("value"),
-            F.col("_metadata.file_path").alias("source"),
+            plain_path(F.col("_metadata.file_path")).alias("source"),
             F.col("_metadata.file_block_start").alias("_split"),
         )
         .where(strip(F.col("value")) != "")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
@@ -20,13 +19,8 @@ def run_checkpointed(
     """
 
     def flush(batch: DataFrame, batch_id: int) -> None:
-        rows = score(batch).withColumn("batch_id", F.lit(batch_id))
-        (
-            rows.write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("batch_id")
-            .parquet(table)
-        )
+        # The folder of the batch itself, so that a replay without rows leaves none behind.
+        score(batch).write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
 
     return (
         prompts.writeStream.option("checkpointLocation", checkpoint)

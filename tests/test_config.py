@@ -54,7 +54,7 @@ def test_job_from_a_mapping():
         ({**config(), "evaluation": {"batch_size": 0}}, "batch_size"),
         ({**config(), "analysis": {"plots": "all"}}, "plots"),
         (config(rag={"enabled": True, "corpus": "c", "corpus_template": "x", "corpus_mappings": {"a": "b"}, "embedding_model": {"model_path": "e"}}), "embedder plug-in"),
-        (config(prompt_template="{context}", rag={"enabled": True}), "embedder is required"),
+        (config(prompt_template="{context}", rag={"enabled": True}), "embedder"),
     ],
 )
 def test_broken_jobs(broken, message):

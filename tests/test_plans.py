@@ -35,7 +35,7 @@ def test_rag_needs_its_parts(field):
 
 
 def test_all_missing_parts_are_named():
-    with pytest.raises(SpecError, match="corpus is required.*; corpus_template.*; corpus_mappings.*; embedder"):
+    with pytest.raises(SpecError, match="corpus, corpus_template, corpus_mappings, embedder"):
         RagSpec(enabled=True)
 
 
@@ -44,9 +44,14 @@ def test_rag_rules_and_defaults():
         rag(context_k=0)
     with pytest.raises(SpecError, match="query_mappings"):
         rag(query_mappings="invalid")
-    spec = task("{context} Answer the question: {input}", rag=rag()).rag
+    spec = rag()
     assert (spec.context_k, spec.context_template, spec.context_separator, spec.embed_batch_size) == (3, "{text}", "\n\n", 32)
-    assert spec.query_template == " Answer the question: {input}" and spec.query_mappings == {"input": "text"}
+    asked = task("{context} Answer the question: {input}", rag=spec)
+    assert asked.query_template == " Answer the question: {input}" and asked.query_mappings == {"input": "text"}
+    other = TaskSpec(name="o", dataset="d", prompt_template="{context}{q}", input_mappings={"q": "question"}, rag=spec)
+    assert (other.query_template, other.query_mappings) == ("{q}", {"q": "question"})
+    own = task(rag=rag(query_template="Find {input}", query_mappings={"input": "title"}))
+    assert (own.query_template, own.query_mappings) == ("Find {input}", {"input": "title"})
 
 
 def test_evaluation_defaults():

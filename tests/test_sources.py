@@ -1,5 +1,6 @@
 import io
 import json
+import re
 import zipfile
 
 import pytest
@@ -7,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from assayer.operators.results import unpivot_metrics
+from assayer.sinks.writers import save_by_run
 from assayer.sources import datasets, files
 from assayer.sources.runs import read_run_frame, read_run_results
 
@@ -159,8 +161,9 @@ def test_datasets(spark, tmp_path):
 def test_custom_datasets(spark):
     loaded = datasets.load(spark, {"type": "custom", "loader": f"{__name__}.few_rows"})
     assert sorted(r.text for r in loaded.collect()) == ["t0", "t1", "t2"]
-    with pytest.raises(ValueError, match="more than"):
-        datasets.load(spark, {"type": "custom", "loader": f"{__name__}.few_rows", "rows": 100_001})
+    many = datasets.load(spark, {"type": "custom", "loader": f"{__name__}.few_rows", "rows": 100_001})
+    assert many.count() == 100_001 and many.distinct().count() == 100_001
+    assert datasets.load(spark, {"type": "custom", "loader": f"{__name__}.few_rows", "rows": 0, "schema": "text string"}).columns == ["text"]
     numbers = datasets.load(spark, {"type": "custom", "loader": f"{__name__}.Numbers"})
     assert sorted(r.n for r in numbers.collect()) == [0, 1, 10, 11]
 
@@ -184,3 +187,49 @@ def test_run_results(spark, tmp_path):
     assert tasks == {("r1", "acc"): 0.1, ("r2", "acc"): 1.0}
     assert read_run_results(spark, dirs).count() == 3
     assert unpivot_metrics(read_run_results(spark, dirs)).columns[0] == "run_id"
+
+
+def test_stored_results_are_read_back(spark, tmp_path):
+    rows = spark.createDataFrame(
+        [("r9", "m/x", "t", {"acc": 0.5}, 2), ("r9", "m/x", "u", {"acc": 0.25}, 4)],
+        "run_id string, model string, task string, metrics map<string,double>, num_examples long",
+    )
+    save_by_run(rows, f"{tmp_path}/results")
+    for prefer in (True, False):
+        read = read_run_results(spark, [f"{tmp_path}/results"], prefer_summary=prefer)
+        assert sorted((r.run_id, r.model, r.task, r.num_examples) for r in read.collect()) == [("r9", "m/x", "t", 2), ("r9", "m/x", "u", 4)]
+    (tmp_path / "results" / "other.json").write_text('{"a": 1}')
+    with pytest.raises(Exception, match="Neither a list of runs"):
+        read_run_results(spark, [f"{tmp_path}/results"]).collect()
+
+
+def test_paths_have_one_spelling(spark, tmp_path):
+    folder = tmp_path / "corp x+y"
+    folder.mkdir()
+    (folder / "a b.txt").write_text("one")
+    (folder / "c d.bin").write_bytes(b"two")
+    (folder / "e%20f.jsonl").write_text('{"text": "three"}')
+    texts = [r.source for r in files.read_texts(spark, [str(folder)]).collect()]
+    lines = [r.source for r in files.read_jsonl(spark, [str(folder)]).collect()]
+    pages = [r.source for r in files.read_binary(spark, [str(folder)], lambda c: [c.decode()], [".bin"]).collect()]
+    assert [p.removeprefix("file:").lstrip("/") for p in (*texts, *lines, *pages)] == [
+        str(folder / name).lstrip("/") for name in ("a b.txt", "e%20f.jsonl", "c d.bin")
+    ]
+
+
+def test_a_named_split_must_exist(spark, tmp_path):
+    path = str(tmp_path / "rows")
+    spark.range(3).write.parquet(path)
+    assert datasets.load(spark, path).count() == 3
+    for asked in ({"path": path, "split": "test"}, {"path": path, "kwargs": {"a": 1}}):
+        with pytest.raises(ValueError):
+            datasets.load(spark, asked)
+    with pytest.raises(ValueError, match="split"):
+        datasets.load(spark, path, "test")
+
+
+def test_patterns_are_read_as_in_python(spark):
+    rows = spark.createDataFrame([("été",), ("a b",), ("a\u00a0b",), ("xx",)], "t string")
+    for pattern in (r"^\w+$", r"a\sb", r"(?P<c>x)(?P=c)", r"\bb"):
+        found = {r.t for r in datasets.regex_filter(rows, "t", pattern).collect()}
+        assert found == {r.t for r in rows.collect() if re.search(pattern, r.t)}
