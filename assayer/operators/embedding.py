@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayer.functions.text import overlap_tokens
+from assayer.functions.text import NON_TOKEN
 from assayer.functions.vectors import as_doubles, l2_normalize
-from assayer.session import place_by
 
 Encoder = Callable[[list[str]], np.ndarray]
 
@@ -72,38 +74,26 @@ def _unit(matrix: np.ndarray) -> np.ndarray:
     return matrix / np.maximum(norms, 1e-12)
 
 
-def hashed_counts(df: DataFrame, key: str, text: str, dim: int) -> DataFrame:
-    """Token counts per hash bucket: ``(key, bucket, weight)``.
-
-    Texts are placed by key once; grouping by key and bucket then needs no other shuffle,
-    so tokens never cross the network.
-    """
-    placed = place_by(df.select(key, text), key)
-    tokens = placed.select(key, F.explode(overlap_tokens(F.col(text))).alias("_token"))
-    code = F.conv(F.substring(F.md5("_token"), 1, 8), 16, 10).cast("long")
-    return tokens.groupBy(key, (code % dim).cast("int").alias("bucket")).agg(
-        F.count("*").cast("double").alias("weight")
-    )
-
-
 def embed_hashed(df: DataFrame, key: str, text: str, dim: int = 256) -> DataFrame:
     """A model-free embedding: unit-length hashed token counts, ``(key, embedding)``.
 
-    Texts without any token have no row.
+    Texts without any token have no row. A row needs only its own text, so nothing is
+    shuffled; a token's bucket is the first 32 bits of its MD5 modulo ``dim``.
     """
-    entry = F.struct("bucket", "weight")
-    weights = hashed_counts(df, key, text, dim).groupBy(key).agg(
-        F.collect_list(entry).alias("_entries"),
-        F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("_norm"),
-    )
-    buckets = F.sequence(F.lit(0), F.lit(dim - 1))
-    empty = F.transform(
-        F.array_except(buckets, F.col("_entries.bucket")),
-        lambda i: F.struct(i.alias("bucket"), F.lit(0.0).alias("weight")),
-    )
-    dense = weights.select(key, "_norm", F.sort_array(F.concat("_entries", empty)).alias("_dense"))
-    unit = F.transform("_dense.weight", lambda w: w / F.col("_norm"))
-    return dense.select(key, unit.alias("embedding"))
+
+    @F.pandas_udf("array<double>")
+    def counts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        bucket = lru_cache(1 << 16)(lambda token: int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dim)
+        for texts in batches:
+            rows = []
+            for lowered in texts:
+                tokens = [bucket(t) for t in re.split(NON_TOKEN, lowered or "") if t]
+                rows.append(_unit(np.bincount(tokens, minlength=dim)[None])[0] if tokens else None)
+            yield pd.Series(rows, dtype=object)
+
+    # As nondeterministic, it is not run once more for the filter.
+    embedded = df.select(key, counts.asNondeterministic()(F.lower(F.col(text))).alias("embedding"))
+    return embedded.where(F.col("embedding").isNotNull())
 
 
 def _in_order(position: str, value: str) -> Column:

@@ -1,4 +1,4 @@
-"""ROUGE: n-gram overlap as grouped counts, longest common subsequences per row.
+"""ROUGE: n-gram overlap and longest common subsequences, each row by itself in Arrow batches.
 
 Scores are plain means over the examples, without resampling.
 """
@@ -10,11 +10,10 @@ from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.functions.text import NON_TOKEN, overlap_tokens
-from assayer.session import place_by
+from assayer.functions.text import NON_TOKEN
 
 KEYS = ("model", "task", "idx")
 
@@ -22,64 +21,38 @@ KEYS = ("model", "task", "idx")
 def rouge_n(scored: DataFrame, sizes: Sequence[int] = (1, 2), keys: Sequence[str] = KEYS) -> DataFrame:
     """F-measure per example: ``keys`` and one column ``rouge<n>`` per size.
 
-    The texts are placed by example once. Counting grams per example and summing them per
-    example both keep that placement, so no gram crosses the network.
+    A row needs only its own two texts, so nothing is shuffled.
     """
-    placed = place_by(scored.select(*keys, "prediction", "reference"), *keys)
-    tokens = placed.select(
-        *keys, *(overlap_tokens(F.col(side)).alias(side) for side in ("prediction", "reference"))
-    )
-    lists = F.array(
-        *(
-            F.struct(F.lit(n).alias("_n"), F.lit(predicted).alias("_predicted"), _grams(F.col(side), n).alias("_grams"))
-            for n in sizes
-            for side, predicted in (("prediction", True), ("reference", False))
-        )
-    )
-    counted = (
-        tokens.select(*keys, F.inline(lists))
-        .select(*keys, "_n", "_predicted", F.explode_outer("_grams").alias("_gram"))
-        .groupBy(*keys, "_n", "_gram")
-        .agg(
-            F.count(F.when(F.col("_predicted"), F.col("_gram"))).alias("_p"),
-            F.count(F.when(~F.col("_predicted"), F.col("_gram"))).alias("_r"),
-        )
-    )
-    totals = []
-    for n in sizes:
-        this = F.col("_n") == n
-        totals += [
-            F.sum(F.when(this, F.least("_p", "_r"))).alias(f"_both{n}"),
-            F.sum(F.when(this, F.col("_p"))).alias(f"_p{n}"),
-            F.sum(F.when(this, F.col("_r"))).alias(f"_r{n}"),
+    names = [f"rouge{n}" for n in sizes]
+
+    @F.pandas_udf(", ".join(f"{name} double" for name in names))
+    def measure(predictions: pd.Series, references: pd.Series) -> pd.DataFrame:
+        rows = [
+            [overlap_f(p, r, n) for n in sizes]
+            for p, r in zip(map(_tokens, predictions), map(_tokens, references))
         ]
-    per_example = counted.groupBy(*keys).agg(*totals)
-    return per_example.select(
-        *keys,
-        *(_f_measure(f"_both{n}", f"_p{n}", f"_r{n}").alias(f"rouge{n}") for n in sizes),
-    )
+        return pd.DataFrame(rows, columns=names, dtype="float64")
+
+    scores = scored.select(*keys, measure(F.lower("prediction"), F.lower("reference")).alias("_score"))
+    return scores.select(*keys, *(f"_score.{name}" for name in names))
 
 
-def _grams(tokens: Column, n: int) -> Column:
-    grams = tokens
-    for shift in range(1, n):
-        following = F.slice(tokens, F.lit(1 + shift), F.size(tokens))
-        head = F.slice(grams, F.lit(1), F.greatest(F.size(tokens) - shift, F.lit(0)))
-        grams = F.zip_with(head, following, lambda a, b: F.concat(a, F.lit(" "), b))
-    return grams
+def _tokens(text: str | None) -> list[str]:
+    """The tokens of a text in lower case."""
+    return [t for t in re.split(NON_TOKEN, text or "") if t]
 
 
-def _f_measure(both: str, predicted: str, expected: str) -> Column:
-    p, r = F.coalesce(F.col(predicted), F.lit(0)), F.coalesce(F.col(expected), F.lit(0))
-    # 2PR/(P+R) with P = both/p and R = both/r.
-    return F.when(F.col(both) > 0, 2.0 * F.col(both) / (p + r)).otherwise(F.lit(0.0))
+def overlap_f(predicted: list[str], expected: list[str], n: int) -> float:
+    left, right = (Counter(zip(*(tokens[i:] for i in range(n)))) for tokens in (predicted, expected))
+    small, large = sorted((left, right), key=len)
+    hits = sum(min(count, large[gram]) for gram, count in small.items())
+    return _f(hits, left.total(), right.total())
 
 
 def rouge_l(scored: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """F-measure per example from longest common subsequences: ``rougeL``, ``rougeLsum``.
 
-    Row by row in Arrow batches. The work grows faster than the texts, so they are spread
-    over the shuffle partitions first.
+    A row needs only its own two texts, so nothing is shuffled.
     """
 
     @F.pandas_udf("rougeL double, rougeLsum double")
@@ -92,8 +65,7 @@ def rouge_l(scored: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
             }
         )
 
-    placed = place_by(scored.select(*keys, "prediction", "reference"), *keys)
-    scores = placed.select(*keys, measure("prediction", "reference").alias("_score"))
+    scores = scored.select(*keys, measure("prediction", "reference").alias("_score"))
     return scores.select(*keys, "_score.rougeL", "_score.rougeLsum")
 
 

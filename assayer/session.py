@@ -74,13 +74,3 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df
-
-
-def place_by(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash rows by key into the configured number of shuffle partitions.
-
-    For inputs that grow a lot inside a task (texts into tokens): adaptive execution would
-    merge the partitions by the size of the texts, not by the work in them.
-    """
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(partitions, *keys)

@@ -49,3 +49,16 @@ def test_contract(spark):
     assert set(SQL) <= set(QUERIES)
     flagship = contract.entry(spark)
     assert flagship.columns == ["task", "n", "accuracy", "prompt_chars"] and flagship.count() > 0
+
+
+def test_constrained_choice_offers_every_label(spark, tmp_path):
+    rows = [(i, [float(i % 20 == j) + 0.01 * ((i * 7 + j) % 5) for j in range(24)], i % 20) for i in range(120)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    table.write.parquet(f"{tmp_path}/embeddings.parquet")
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    result = QUERIES["constrained_choice"](spark, str(tmp_path))
+    expected = connection.sql(SQL["constrained_choice"])
+    got = comparable([tuple(r) for r in result.collect()], result.columns)
+    assert got == comparable(expected.fetchall(), expected.columns)
+    assert len({r[0] for r in got}) == 20
