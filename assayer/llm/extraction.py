@@ -1,10 +1,11 @@
 """Main text of web pages: the contiguous stretch of a page with the best score.
 
-Words score by where they stand (their block element, inside a link, inside navigation and the
-like), tags always score against; the weights are log-odds counted on labelled pages, those
-that mark their main text with an article or main element. One scan finds the stretch with the
-largest sum, as in the maximum subsequence problem. What stands aside within it (an advert
-between two paragraphs, a form, reader comments) is left out of the text.
+Words score by where they stand, tags always score against; the weights are log-odds counted on
+labelled pages, those that mark their main text with an article or main element. On marked pages
+it counts whether a piece is inside the mark, on others which block element it is in and whether
+in a link. One scan finds the stretch with the largest sum, as in the maximum subsequence
+problem. What stands aside within it (an advert between two paragraphs, a form, reader comments)
+is left out of the text.
 
 Null and empty pages, and pages without a word in the stretch, have an empty text. Rows are
 extracted one by one, so repeated rows give equal rows and an empty table an empty table.
@@ -29,26 +30,33 @@ SAMPLE = 2000
 _LIMIT = 3.0
 _TAG_COST = 0.05
 
-#: Weights by feature, used for features that no labelled page has.
-DEFAULT = {"word": 1.0, "word link": -1.0, "word aside": -2.0, "tag": -0.5, "tag aside": -1.0}
+#: Weights of features that no labelled page has, by their first words.
+DEFAULT = {
+    "word in": 1.0, "word out": -2.0, "word aside": -0.02, "word block": 1.0, "word link": -1.0,
+    "tag in": -_TAG_COST, "tag out": -0.5, "tag aside": -_TAG_COST, "tag block": -0.2,
+}
 
 Weights = dict[str, float]
 
 
-def _feature(piece: Piece) -> str:
-    """What a piece is scored by; a known name for every block element and one for all others."""
+def _feature(piece: Piece, marked: bool) -> str:
+    """What a piece is scored by: where a page marks its main text, that; otherwise its block.
+
+    What stands aside is left out of the text in any case, so it hardly counts.
+    """
+    kind = "tag" if piece.tag else "word"
+    if piece.aside:
+        return f"{kind} aside"
+    if marked:
+        return f"{kind} in" if piece.main else f"{kind} out"
     if piece.tag:
         name = piece.tag.lstrip("/")
-        return f"tag {name}" + " aside" * piece.aside if name in BLOCK else "tag" + " aside" * piece.aside
-    return f"word {piece.block}" + " link" * piece.link + " aside" * piece.aside
+        return f"tag block {name}" if name in BLOCK else "tag block"
+    return f"word link {piece.block}" if piece.link else f"word block {piece.block}"
 
 
 def _fallback(feature: str) -> float:
-    kind = feature.split(" ")[0]
-    for end in (" aside", " link"):
-        if feature.endswith(end):
-            return DEFAULT.get(kind + end, DEFAULT[kind])
-    return DEFAULT[kind]
+    return DEFAULT[" ".join(feature.split(" ")[:2])]
 
 
 def count_features(page: str) -> Iterator[tuple[str, int, int]]:
@@ -56,9 +64,9 @@ def count_features(page: str) -> Iterator[tuple[str, int, int]]:
     counts: dict[str, list[int]] = {}
     for piece in pieces(page):
         n = 1 if piece.tag else len(piece.text.split())
-        if n:
-            row = counts.setdefault(_feature(piece), [0, 0])
-            row[0 if piece.main and not piece.aside else 1] += n
+        if n and not piece.aside:
+            for marked in (True, False):
+                counts.setdefault(_feature(piece, marked), [0, 0])[0 if piece.main else 1] += n
     return ((f, a, b) for f, (a, b) in counts.items())
 
 
@@ -88,16 +96,11 @@ def fit(pages: DataFrame, html: str = "html", sample: int = SAMPLE) -> Weights:
 
 
 def weights_of(counts: Iterable[tuple[str, int, int]]) -> Weights:
-    """Log-odds of each feature within its kind; tags never score in favour."""
-    rows = list(counts)
+    """Log-odds that a word or tag with a feature is in the main text; tags never score in favour."""
     out: Weights = {}
-    for kind in ("word", "tag"):
-        own = [r for r in rows if r[0].split(" ")[0] == kind]
-        inside, outside = (sum(r[i] for r in own) + 1 for i in (1, 2))
-        for feature, a, b in own:
-            odds = math.log((a + 0.5) / inside) - math.log((b + 0.5) / outside)
-            odds = max(-_LIMIT, min(_LIMIT, odds))
-            out[feature] = odds if kind == "word" else min(-_TAG_COST, odds / 2)
+    for feature, inside, outside in counts:
+        odds = max(-_LIMIT, min(_LIMIT, math.log((inside + 1) / (outside + 1))))
+        out[feature] = odds if feature.startswith("word") else min(-_TAG_COST, odds / 2)
     return out
 
 
@@ -118,8 +121,9 @@ def extract(page: str | None, weights: Weights) -> str:
     """The main text of a page, blocks separated by empty lines."""
     parts = list(pieces(page or ""))
     scores = []
+    marked = any(piece.main for piece in parts)
     for piece in parts:
-        feature = _feature(piece)
+        feature = _feature(piece, marked)
         weight = weights.get(feature)
         if weight is None:
             weight = weights[feature] = _fallback(feature)

@@ -8,33 +8,7 @@ import pytest
 
 from assayer.llm import ngram_join as nj
 from assayer.llm.common import as_bytes
-
-
-def grams(text, n):
-    words = (text or "").encode().lower().split()
-    if len(words) < n:
-        return {tuple(words)} if words else set()
-    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
-
-
-def slow(rows, n=3, percent=90):
-    """(doc_id, text), ids distinct: {doc_id: (size, least linked id)}."""
-    sets = {i: grams(t, n) for i, t in rows}
-    parent = {i: i for i in sets}
-
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    ids = sorted(sets)
-    for i, x in enumerate(ids):
-        for y in ids[:i]:
-            a, b = sets[x], sets[y]
-            if a and b and 100 * len(a & b) >= percent * len(a | b):
-                p, q = sorted((find(x), find(y)))
-                parent[q] = p
-    return {i: (len(sets[i]), find(i)) for i in ids}
+from plain import linked
 
 
 def corpus(seed, n):
@@ -65,7 +39,7 @@ def run(spark, rows, **options):
 def test_against_all_pairs(spark, seed, crowd, n, percent, monkeypatch):
     monkeypatch.setattr(nj, "PIVOTS", 2)
     rows = corpus(seed, 250)
-    assert run(spark, rows, crowd=crowd, n=n, percent=percent) == slow(rows, n, percent)
+    assert run(spark, rows, crowd=crowd, n=n, percent=percent) == linked(rows, n, percent)
 
 
 @pytest.mark.parametrize("percent", [95, 90, 87, 80, 70, 50])
@@ -99,7 +73,7 @@ def test_tree_links_as_all_pairs():
         sets.append(np.array(sorted(base or {1}), np.uint64))
     tree = nj.PrefixTree(sets, 90)
     tree.link()
-    linked = [
+    pairs = [
         (i, j) for i in range(len(sets)) for j in range(i)
         if 100 * len(np.intersect1d(sets[i], sets[j])) >= 90 * len(np.union1d(sets[i], sets[j]))
     ]
@@ -108,7 +82,7 @@ def test_tree_links_as_all_pairs():
     def find(x):
         return x if parent[x] == x else find(parent[x])
 
-    for i, j in linked:
+    for i, j in pairs:
         a, b = sorted((find(i), find(j)))
         parent[b] = a
     assert [tree.find(i) for i in range(len(sets))] == [find(i) for i in range(len(sets))]
