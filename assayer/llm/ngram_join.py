@@ -5,9 +5,9 @@ that store the sets would not fit into one task, so documents first meet in bloc
 link leaves:
 
 1. Two linked sets differ in few n-grams. Dealt by hash into more parts than that, at least one
-   part agrees in full; dealt into half as many, one agrees but for one n-gram, and so do three
-   quarters of it (:class:`Parts`). Each document sends the hashes of its parts; equal ones tie
-   documents together, and the components of these ties are the blocks. Documents with the same
+   part agrees in full; dealt into a third as many, one agrees but for two n-grams, and so do
+   four of its six pieces (:class:`Parts`). Each document sends the hashes of its parts; equal
+   ones tie documents together, and the components of these ties are the blocks. Documents with the same
    set are one from here on. Below a similarity of :data:`WHOLE_PARTS`, where parts are small,
    only documents go on that share so many of their first n-grams as a link needs
    (:func:`_sharing`).
@@ -17,7 +17,7 @@ link leaves:
    make a link, and every branch that is in their component already. What is left is compared
    in full.
 
-A block of more than ``crowd`` sets never enters one task: see :func:`_thin_out`.
+A block of more than ``crowd`` n-grams never enters one task: see :func:`_thin_out`.
 
 No similarity is estimated, and no partner or candidate is dropped. Null and empty texts have
 no n-grams and are linked with nothing; a text of fewer than n words is one n-gram. Repeated
@@ -29,6 +29,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -43,8 +44,10 @@ N = 3
 PERCENT = 90
 #: From this similarity on parts are compared whole, and all documents send them.
 WHOLE_PARTS = 87
-#: Distinct sets that meet in one task.
-CROWD = 4000
+#: Sets up to this size are too small for parts in pieces; choices of their first n-grams take their place.
+SMALL = 64
+#: N-grams (8 bytes each) of the distinct sets that meet in one task.
+CROWD = 2_000_000
 #: Sets of a large block that all others are compared with in one round.
 PIVOTS = 16
 #: Hashes of parts that a task compares among themselves before it passes them on.
@@ -99,49 +102,75 @@ def _beyond(step: int, percent: int) -> int:
     return least
 
 
+@lru_cache(256)
+def _choices(n: int, k: int) -> np.ndarray:
+    """All ways to choose k of n places, as rows."""
+    return np.array(list(combinations(range(n), k)), np.int64).reshape(-1, k)
+
+
 class Parts:
     """How sets of the size classes ``step`` and the next are dealt into parts.
 
     Of two linked sets with n <= m n-grams, the n-grams in only one are at most
     (n + m) (100 - percent) / (100 + percent), and m is at most 100 n / percent. The smaller is in
     the lower class, so this bounds how many n-grams differ. Whole parts: each differing n-gram
-    spoils one. Quartered parts: two spoil one, a part with one agrees outside one quarter.
+    spoils one. Parts of six pieces: three spoil one, and a part with two agrees in four pieces.
     """
 
     def __init__(self, step: int, percent: int) -> None:
-        small = _beyond(step, percent) - 1
+        self.percent = percent
+        least, small = _beyond(step - 1, percent) if step else 1, _beyond(step, percent) - 1
         differing = (small + small * 100 // percent) * (100 - percent) // (100 + percent)
-        self.quarters = percent < WHOLE_PARTS and differing > 0
-        least = (differing // 2 if self.quarters else differing) + 1
+        self.pieces = percent < WHOLE_PARTS and differing > 0
+        # So many of the first n-grams are taken together where parts would be too small.
+        self.together = min(3 if small <= SMALL else 2 if small <= 4 * SMALL else 1, -(-percent * least // 100))
+        self.small = self.pieces and small <= SMALL
+        self.n = (differing // 3 if self.pieces else differing) + 1
         # Parts that hold too little could agree by chance; so many of them are allowed for.
-        self.spare = min(max(8, least // 6), differing)
-        self.n = least + self.spare
-        self.solid = 2 if self.quarters else 3
+        self.spare = min(max(8, self.n // 6), differing)
+        self.n += self.spare
+        self.solid = 2 if self.pieces else 3
 
     def hashes(self, spread: np.ndarray, name: np.uint64) -> np.ndarray:
         """What a set sends. With no more weak parts than spare ones, a solid one agrees with any linked set."""
+        if self.small:
+            return self._first(spread, name)
         n = self.n
         part = ((spread >> np.uint64(11)) % np.uint64(n)).astype(np.int64)
-        if self.quarters:
-            part = 4 * part + (spread & np.uint64(3)).astype(np.int64)
-            n *= 4
+        if self.pieces:
+            part = 6 * part + (spread % np.uint64(6)).astype(np.int64)
+            n *= 6
         count = np.bincount(part, minlength=n)
         order = np.argsort(part, kind="stable")
         ends = np.cumsum(count)
         total = np.zeros(len(spread) + 1, np.uint64)
         np.cumsum(spread[order], out=total[1:])
         sums = total[ends] - total[ends - count]
-        if self.quarters:
-            sums, count = sums.reshape(-1, 4), count.reshape(-1, 4)
-            sums, count = (sums.sum(1, dtype=np.uint64)[:, None] - sums), (count.sum(1)[:, None] - count)
+        if not self.pieces:
             solid = count >= self.solid
-            weak = int((~solid.all(1)).sum())
-            sums, solid = sums.ravel(), solid.ravel()
-        else:
-            solid = count >= self.solid
-            weak = n - int(solid.sum())
-        out = mix(sums ^ mix(np.arange(n, dtype=np.uint64) + name))
-        return out[solid] if weak <= self.spare else out
+            out = mix(sums ^ mix(np.arange(n, dtype=np.uint64) + name))
+            return out[solid] if n - solid.sum() <= self.spare else out
+        four = _choices(6, 4)
+        sums = sums.reshape(-1, 6)[:, four].sum(2, dtype=np.uint64)
+        solid = count.reshape(-1, 6)[:, four].sum(2) >= self.solid
+        out = mix(sums.ravel() ^ mix(np.arange(sums.size, dtype=np.uint64) + name))[solid.ravel()]
+        if (~solid.all(1)).sum() <= self.spare:
+            return out
+        # Two sets of which all parts that agree are weak share what both send now.
+        return np.concatenate([out, self._first(spread, name + np.uint64(1 << 31))])
+
+    def _first(self, spread: np.ndarray, name: np.uint64) -> np.ndarray:
+        """Choices of the first n-grams: a linked set lacks few, so some choice is in both beginnings."""
+        size, k = len(spread), self.together
+        missing = size - -(-self.percent * size // 100)
+        first = np.sort(spread)[: missing + k]
+        out = np.zeros(1, np.uint64)
+        if len(first) >= k:
+            chosen = first[_choices(len(first), k)]
+            out = np.zeros(len(chosen), np.uint64)
+            for i in range(k):
+                out = out * _MIX_WORD + chosen[:, i]
+        return mix(out ^ mix(np.array([name], np.uint64)))
 
 
 @lru_cache(1 << 12)
@@ -529,7 +558,9 @@ def _sharing(docs: DataFrame, summary: DataFrame, n: int, percent: int) -> DataF
 
 
 def _thin_out(docs: DataFrame, members: DataFrame, n: int, percent: int, crowd: int) -> tuple[DataFrame, DataFrame]:
-    """Take apart blocks of more than ``crowd`` sets: (members in small blocks, links found on the way).
+    """Take apart blocks of more than ``crowd`` n-grams: (members in small blocks, links found on the way).
+
+    ``members`` are (key, block, n_grams).
 
     Each round compares the sets of a large block with a few of them, its pivots. Those linked
     with a pivot share its component, and one of them goes unless it is so near to a set that is
@@ -540,12 +571,14 @@ def _thin_out(docs: DataFrame, members: DataFrame, n: int, percent: int, crowd:
     links = docs.sparkSession.createDataFrame([], "a long, b long")
     small, seed = members.limit(0), 1
     while True:
-        sizes = members.groupBy("block").count()
-        small = small.unionByName(members.join(sizes.where(f"count <= {crowd}").select("block"), "block", "left_semi"))
-        large = members.join(sizes.where(f"count > {crowd}").select("block"), "block", "left_semi")
-        if large.isEmpty():
-            return small, links
-        texts = docs.join(broadcast_if_small(large), "key").select("block", "key", "text")
+        sizes = members.groupBy("block").agg(F.sum("n_grams").alias("held"), F.count("*").alias("sets"))
+        crowded = materialize(sizes.where((F.col("held") > crowd) & (F.col("sets") > 1)).select("block"), "crowded")
+        if crowded.isEmpty():
+            return small.unionByName(members), links
+        crowded = broadcast_if_small(crowded)
+        small = small.unionByName(members.join(crowded, "block", "left_anti"))
+        large = materialize(members.join(crowded, "block", "left_semi"), "large")
+        texts = docs.join(broadcast_if_small(large.select("key", "block")), "key").select("block", "key", "text")
         sets = materialize(texts.mapInArrow(_sets(n), "block long, key long, grams binary"), "large-blocks")
         rank = F.row_number().over(Window.partitionBy("block").orderBy(F.xxhash64(F.lit(seed), "key"), "key"))
         chosen = sets.select("block", "key", rank.alias("rank")).where(F.col("rank") <= PIVOTS).select("block", "key")
@@ -570,7 +603,8 @@ def _thin_out(docs: DataFrame, members: DataFrame, n: int, percent: int, crowd:
         found = scored.where(F.col("linked") & (F.col("key") != F.col("pivot")))
         links = links.unionByName(found.select(F.col("key").alias("a"), F.col("pivot").alias("b")))
         left = docs.join(broadcast_if_small(materialize(stay.select("key", "block"), "members")), "key")
-        members = _blocks(left.select("key", "block", "text"), n, percent, seed).select("key", "block")
+        dealt = _blocks(left.select("key", "block", "text"), n, percent, seed)
+        members = materialize(dealt.join(large.select("key", "n_grams"), "key"), "members")
         seed += 1
 
 
@@ -611,11 +645,11 @@ def near_duplicates(
         sharing = materialize(_sharing(docs, summary, n, percent), "sharing")
         sending = docs.join(broadcast_if_small(sharing), "key", "left_semi")
     blocks = _blocks(sending.select("key", F.lit(0).cast("long").alias("block"), "text"), n, percent, 0)
-    members = blocks.join(kinds.select("key"), "key", "left_semi")
+    members = blocks.join(kinds.select("key", "n_grams"), "key")
     several = members.groupBy("block").count().where("count > 1").select("block")
-    members = materialize(members.join(several, "block", "left_semi").select("key", "block"), "members")
+    members = materialize(members.join(several, "block", "left_semi").select("key", "block", "n_grams"), "members")
     members, links = _thin_out(docs, members, n, percent, crowd)
-    members = materialize(members, "members")
+    members = materialize(members.select("key", "block"), "members")
     sets = docs.select("key", "text").join(broadcast_if_small(members), "key").select("block", "key", "text")
     sets = sets.mapInArrow(_sets(n), "block long, key long, grams binary")
     joined = sets.repartition("block").sortWithinPartitions("block", "key").mapInArrow(_join_blocks(percent), "a long, b long")

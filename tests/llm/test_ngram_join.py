@@ -34,7 +34,7 @@ def run(spark, rows, **options):
 
 
 @pytest.mark.parametrize(
-    "seed,crowd,n,percent", [(1, nj.CROWD, 3, 90), (2, 4, 3, 90), (3, nj.CROWD, 5, 80), (4, 6, 2, 80), (5, nj.CROWD, 1, 60)]
+    "seed,crowd,n,percent", [(1, nj.CROWD, 3, 90), (2, 200, 3, 90), (3, nj.CROWD, 5, 80), (4, 400, 2, 80), (5, nj.CROWD, 1, 60), (6, nj.CROWD, 5, 80)]
 )
 def test_against_all_pairs(spark, seed, crowd, n, percent, monkeypatch):
     monkeypatch.setattr(nj, "PIVOTS", 2)
