@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timezone
@@ -79,21 +79,26 @@ def evaluate(
     tasks: Sequence[TaskSpec],
     evaluation: EvaluationSpec | None = None,
     analysis: AnalysisSpec | None = None,
+    run_id: str | None = None,
 ) -> Evaluation:
     """Run every model on every task.
 
     Under ``output_dir``, ``results`` and ``examples`` collect the rows of all runs by run,
     model and task; ``<run id>`` holds the summary, checkpoints and tables of this one.
-    Prompts are built once per task, whatever the number of models. Parsed predictions are
+    A ``run_id`` of a run that was stopped goes on from its checkpoints; predictions they hold
+    are not made again. Prompts are built once per task, whatever the number of models. Parsed predictions are
     written before they are measured, so no metric runs a model again.
     """
     evaluation = evaluation or EvaluationSpec()
-    run_id = datetime.now(timezone.utc).strftime("%Y%m%d_%H%M%S")
+    run_id = run_id or datetime.now(timezone.utc).strftime("%Y%m%d_%H%M%S")
 
     def scored_rows(task: TaskSpec) -> DataFrame:
         examples = materialize(load_examples(spark, task, evaluation), "examples")
-        predictions = predict_all(examples, models, task, evaluation.batch_size)
-        return _written(score(predictions, task), task, evaluation, run_id)
+
+        def scored(rows: DataFrame) -> DataFrame:
+            return score(predict_all(rows, models, task, evaluation.batch_size), task)
+
+        return _written(examples, scored, task, evaluation, run_id)
 
     # Tasks do not depend on each other, so a few of them share the cluster at a time.
     with ThreadPoolExecutor(evaluation.max_concurrent) as pool:
@@ -120,14 +125,15 @@ def evaluate(
     return Evaluation(run_id, all_results, means, all_details)
 
 
-def _written(scored: DataFrame, task: TaskSpec, evaluation: EvaluationSpec, run_id: str) -> DataFrame:
+def _written(
+    examples: DataFrame, scored: Callable[[DataFrame], DataFrame], task: TaskSpec, evaluation: EvaluationSpec, run_id: str
+) -> DataFrame:
+    """The scored predictions, stored; with checkpoints, group by group in the folder of the run."""
     if not (evaluation.checkpoint_batches and evaluation.output_dir):
-        return materialize(scored, "predictions")
-    spark = scored.sparkSession
-    key = spark.range(1).select(output_key(F.lit(task.name))).first()[0]
+        return materialize(scored(examples), "predictions")
+    key = examples.sparkSession.range(1).select(output_key(F.lit(task.name))).first()[0]
     path = f"{evaluation.output_dir}/{run_id}/checkpoints/{key}"
-    save_checkpoints(scored, path, evaluation.batch_size, evaluation.checkpoint_batches)
-    return spark.read.parquet(path).drop("flush_group")
+    return save_checkpoints(examples, path, evaluation.batch_size, evaluation.checkpoint_batches, scored).drop("flush_group")
 
 
 def _results(

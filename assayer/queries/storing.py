@@ -69,8 +69,8 @@ def checkpoint_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predictions flushed every three batches of eight, counted after reading them back."""
     path = new_path(spark, "checkpoints")
     predictions = customers(spark, sf_dir).select(F.col("c_custkey").alias("idx"), "output")
-    save_checkpoints(predictions, path, batch_size=8, every_batches=3)
-    return spark.read.parquet(path).groupBy(F.col("flush_group").cast("long").alias("flush_group")).agg(
+    stored = save_checkpoints(predictions, path, batch_size=8, every_batches=3, parts=5)
+    return stored.groupBy("flush_group").agg(
         F.count("*").alias("n"),
         F.min("idx").alias("first_idx"),
         F.max("idx").alias("last_idx"),

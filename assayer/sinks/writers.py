@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assayer.functions.naming import output_key
 from assayer.operators.positions import flush_group
 
+# Jobs that a checkpointed table is written in at most.
+PARTS = 100
+
 RUN_KEYS = ("run_id", "model", "task")
 
 
@@ -60,9 +66,44 @@ def save_csv(results: DataFrame, path: str, mode: str = "errorifexists") -> None
 
 
 def save_checkpoints(
-    predictions: DataFrame, path: str, batch_size: int, every_batches: int
-) -> None:
-    """Append predictions in flush groups of ``every_batches`` batches, one folder each."""
-    group = flush_group(F.col("idx"), batch_size, every_batches)
-    grouped = predictions.withColumn("flush_group", group)
-    grouped.hint("rebalance", "flush_group").write.mode("append").partitionBy("flush_group").parquet(path)
+    rows: DataFrame,
+    path: str,
+    batch_size: int,
+    every_batches: int,
+    finish: Callable[[DataFrame], DataFrame] = lambda rows: rows,
+    parts: int = PARTS,
+) -> DataFrame:
+    """Put ``finish`` of the rows into a table in flush groups, and read the table.
+
+    ``rows`` are numbered by ``idx`` and cheap to read; ``finish`` (running a model, say) adds
+    what is expensive. A flush group is ``every_batches`` batches; it is a column of the table.
+    Consecutive groups are finished and committed together, in ``parts`` jobs at most, each
+    into a folder of its own (``from=<first idx>``), without a shuffle between ``finish`` and
+    the files. What a run that was stopped has committed is kept when it is started again with
+    the same path, and only the rest is finished.
+    """
+    spark = rows.sparkSession
+    ends = rows.agg(F.min("idx").alias("first"), F.max("idx").alias("last")).first()
+    grouped = finish(rows).withColumn("flush_group", flush_group(F.col("idx"), batch_size, every_batches))
+    if ends["first"] is None:
+        grouped.write.mode("ignore").parquet(f"{path}/from=0")
+        return spark.read.parquet(path).drop("from")
+    size = batch_size * every_batches
+    first = ends["first"] // size * size
+    step = max(-(-(ends["last"] + 1 - first) // (size * parts)), 1) * size
+    for start in range(first, ends["last"] + 1, step):
+        part = f"{path}/from={start}"
+        if not _committed(spark, part):
+            chosen = finish(rows.where(F.col("idx").between(start, start + step - 1)))
+            chosen = chosen.withColumn("flush_group", flush_group(F.col("idx"), batch_size, every_batches))
+            chosen.write.mode("overwrite").parquet(part)
+    return spark.read.parquet(path).drop("from")
+
+
+def _committed(spark: SparkSession, path: str) -> bool:
+    """Whether a write to the folder has ended; one that was stopped has left no file with a schema."""
+    try:
+        spark.read.parquet(path)
+    except AnalysisException:
+        return False
+    return True

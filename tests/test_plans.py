@@ -212,3 +212,33 @@ def test_order_is_needed(spark, examples):
     spec = TaskSpec(name="x", dataset=examples, prompt_template="{text}", input_mappings={"text": "text"})
     with pytest.raises(SpecError, match="order_by"):
         evaluate(spark, [ModelSpec("m", last_word)], [spec])
+
+
+def test_a_stopped_run_goes_on_from_its_checkpoints(spark, tmp_path):
+    (tmp_path / "limit").write_text("5")
+    limit, log = str(tmp_path / "limit"), str(tmp_path / "log")
+
+    def load():
+        def write(prompts, **_):
+            with open(limit) as file, open(log, "a") as seen:
+                most = int(file.read())
+                if any(int(p) >= most for p in prompts):
+                    raise RuntimeError("stopped")
+                seen.writelines(f"{p}\n" for p in prompts)
+            return list(prompts), list(prompts)
+
+        return write
+
+    examples = spark.range(12).select(F.col("id"), F.col("id").cast("string").alias("text"))
+    task_spec = TaskSpec(name="t", dataset=examples, prompt_template="{text}", input_mappings={"text": "text"}, order_by=["id"], reference_field="text", metrics=["accuracy"])
+    job = EvaluationSpec(output_dir=str(tmp_path / "out"), checkpoint_batches=2, batch_size=2)
+    with pytest.raises(Exception, match="stopped"):
+        evaluate(spark, [ModelSpec("m", load)], [task_spec], job, run_id="r")
+    before = open(log).read().split()
+    assert sorted(set(before), key=int)[:4] == ["0", "1", "2", "3"]
+    (tmp_path / "limit").write_text("99")
+    outcome = evaluate(spark, [ModelSpec("m", load)], [task_spec], job, run_id="r")
+    again = open(log).read().split()[len(before):]
+    assert sorted(again, key=int) == [str(i) for i in range(4, 12)]
+    assert [r["metrics"]["accuracy:accuracy"] for r in outcome.results.collect()] == [1.0]
+    assert spark.read.parquet(f"{tmp_path}/out/r/checkpoints/t").count() == 12
