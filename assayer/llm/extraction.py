@@ -81,13 +81,14 @@ def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(pages: DataFrame, html: str = "html", sample: int = SAMPLE) -> Weights:
-    """Weights from ``sample`` pages that mark their main text, chosen by a hash of the page.
+    """Weights from about ``sample`` pages that mark their main text, chosen by a hash of the page.
 
-    The counts come to the driver summed up by feature, of which there are a few hundred.
+    Where there are fewer all are taken. The pages are read in place, and the counts come to the driver summed up by feature, of which there are a few hundred.
     """
     body = pages.select(F.col(html).cast("string").alias("html"))
     marked = body.where(F.col("html").rlike(r"(?i)<(article|main)[\s>]"))
-    chosen = marked.orderBy(F.xxhash64("html")).limit(sample)
+    share = sample / max(marked.count(), 1)
+    chosen = marked if share >= 1 else marked.where(F.pmod(F.xxhash64("html"), F.lit(1 << 30)) < int(share * (1 << 30)))
     counts = (
         chosen.mapInArrow(_counting, "feature string, inside long, outside long")
         .groupBy("feature").agg(F.sum("inside").alias("inside"), F.sum("outside").alias("outside")).collect()
