@@ -83,7 +83,8 @@ def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(pages: DataFrame, html: str = "html", sample: int = SAMPLE) -> Weights:
     """Weights from about ``sample`` pages that mark their main text, chosen by a hash of the page.
 
-    Where there are fewer all are taken. The pages are read in place, and the counts come to the driver summed up by feature, of which there are a few hundred.
+    Where there are fewer all are taken. The pages are read in place, and the counts come to the
+    driver summed up by feature, of which there are a few hundred.
     """
     body = pages.select(F.col(html).cast("string").alias("html"))
     marked = body.where(F.col("html").rlike(r"(?i)<(article|main)[\s>]"))
