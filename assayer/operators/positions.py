@@ -35,6 +35,19 @@ def with_position(
     )
 
 
+def with_file_position(
+    df: DataFrame, file: str, split: str, row: str, name: str = "idx", start: int = 0
+) -> DataFrame:
+    """Number rows that are read from files, in the order of ``file`` and ``row`` in it.
+
+    The rows stay in the tasks that read them, so nothing is shuffled: every split of a file
+    is in order, and a table with one line per split shifts the numbers. ``df`` must not have
+    been shuffled since it was read; rows may have been filtered out.
+    """
+    part = F.struct(F.col(file).alias("file"), F.col(split).alias("split"))
+    return number_in_place(df.withColumn("_part", part), "_part", (), name, start)
+
+
 def number_in_place(
     df: DataFrame, part: str, within: Sequence[str], name: str, start: int
 ) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from assayer.functions.naming import output_key
 from assayer.operators import metrics
-from assayer.operators.positions import head, with_position
+from assayer.operators.positions import head, with_file_position, with_position
 from assayer.operators.results import detail_rows, run_results, summary, unpivot_metrics
 from assayer.plans import adapters, analysis as analyses
 from assayer.plans.generation import predict_all
@@ -45,10 +45,15 @@ def load_examples(spark: SparkSession, task: TaskSpec, evaluation: EvaluationSpe
     order = task.order_by or datasets.FILE_ORDER
     if not set(order) <= set(rows.columns):
         raise SpecError(f"Task '{task.name}': order_by is needed to number the examples")
-    rows = head(rows, order, task.sample_size or evaluation.sample_size)
-    fields = [c for c in rows.columns if c in adapter.fields(task).union(order)]
-    rows = rows.select(F.struct(*fields).alias("row"))
-    examples = with_position(rows, [f"row.{column}" for column in order])
+    sample = task.sample_size or evaluation.sample_size
+    rows = head(rows, order, sample)
+    kept = adapter.fields(task).union(order, () if task.order_by else (datasets.FILE_SPLIT,))
+    rows = rows.select(F.struct(*(c for c in rows.columns if c in kept)).alias("row"))
+    if task.order_by or sample:
+        examples = with_position(rows, [f"row.{column}" for column in order])
+    else:
+        file, row = (f"row.{column}" for column in datasets.FILE_ORDER)
+        examples = with_file_position(rows, file, f"row.{datasets.FILE_SPLIT}", row)
     examples = adapter.build_prompts(examples, task)
     wants_references = task.metrics or (evaluation.save_detailed and task.reference_field)
     if wants_references:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,7 +11,7 @@ from pyspark.sql import types as T
 from assayer.functions.templates import render
 from assayer.functions.text import strip
 from assayer.operators.embedding import embed_hashed, embed_with
-from assayer.operators.positions import with_position
+from assayer.operators.positions import with_file_position, with_position
 from assayer.operators.retrieval import fetch_text, top_k, with_context
 from assayer.plans.spec import RagSpec, SpecError, TaskSpec
 from assayer.sources import datasets
@@ -21,11 +23,16 @@ _FILE_ORDER = ("source_path", "line_number", "page", "chunk_index")
 def render_corpus(corpus: DataFrame, rag: RagSpec) -> DataFrame:
     """The corpus as ``corpus_id, text``."""
     if "corpus_id" not in corpus.columns:
+        fields = {path.split(".")[0] for path in rag.corpus_mappings.values()}
         order = list(rag.corpus_order) or [c for c in _FILE_ORDER if c in corpus.columns]
-        if not order:
+        file, row = datasets.FILE_ORDER
+        if order:
+            corpus = with_position(corpus.select(*sorted(fields.union(order))), order, name="corpus_id")
+        elif file in corpus.columns:
+            corpus = corpus.select(*sorted(fields), file, row, datasets.FILE_SPLIT)
+            corpus = with_file_position(corpus, file, datasets.FILE_SPLIT, row, name="corpus_id")
+        else:
             raise SpecError("rag: the corpus needs a corpus_id column or a corpus_order")
-        fields = {path.split(".")[0] for path in rag.corpus_mappings.values()}
-        corpus = with_position(corpus.select(*sorted(fields.union(order))), order, name="corpus_id")
     text = render(corpus.schema, rag.corpus_template, rag.corpus_mappings)
     return corpus.select("corpus_id", text.alias("text"))
 
@@ -66,4 +73,8 @@ def rag_prompts(examples: DataFrame, corpus: DataFrame, task: TaskSpec) -> DataF
 
 
 def load_corpus(spark, rag: RagSpec) -> DataFrame:
-    return render_corpus(datasets.load(spark, rag.corpus, rag.corpus_split), rag)
+    """The corpus with ids: its own, by ``corpus_order``, or the places of its rows in their files."""
+    corpus = rag.corpus
+    if isinstance(corpus, Mapping) and corpus.get("type") == "files":
+        corpus = {**corpus, "include_metadata": True}  # for the order; only mapped fields are read
+    return render_corpus(datasets.load(spark, corpus, rag.corpus_split, with_order=True), rag)

@@ -23,6 +23,9 @@ _SETTINGS = frozenset(("name", "path", "format", "options", "schema", "split", "
 # Place of a row in its dataset, where the files tell it.
 FILE_ORDER = ("_file", "_file_row")
 
+# Where the split of the file begins that a row was read from.
+FILE_SPLIT = "_file_split"
+
 # Plain rows of a custom loader pass the driver this many at a time.
 SPOOL_ROWS = 10_000
 
@@ -41,7 +44,7 @@ def load(
     in the path, or selects the ``split`` column (``split_column`` names another), which
     prunes partitions when the data is partitioned by it. A split that is named but can do
     neither is an error; the default then means all rows. ``with_order`` adds the columns
-    of ``FILE_ORDER`` to Parquet files.
+    of ``FILE_ORDER`` and ``FILE_SPLIT`` to Parquet files.
     """
     if isinstance(dataset, str):
         return _read(spark, dataset, {}, split, with_order)
@@ -85,8 +88,12 @@ def _read(
         reader = reader.schema(options["schema"])
     df = reader.load(location.replace("{split}", split or DEFAULT_SPLIT))
     if with_order and fmt == "parquet":
-        place = (F.col("_metadata.file_path"), F.col("_metadata.row_index"))
-        df = df.select("*", *(c.alias(name) for c, name in zip(place, FILE_ORDER)))
+        place = {
+            FILE_ORDER[0]: F.col("_metadata.file_path"),
+            FILE_ORDER[1]: F.col("_metadata.row_index"),
+            FILE_SPLIT: F.col("_metadata.file_block_start"),
+        }
+        df = df.select("*", *(c.alias(name) for name, c in place.items()))
     return df if "{split}" in location else _of_split(df, options, split)
 
 

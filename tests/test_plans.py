@@ -3,7 +3,8 @@ from pyspark.sql import functions as F
 
 from assayer.functions.reasoning import Delimiters
 from assayer.plans import adapters
-from assayer.plans.evaluation import evaluate
+from assayer.plans.evaluation import evaluate, load_examples
+from assayer.plans.rag import load_corpus
 from assayer.plans.generation import mode_of
 from assayer.sources.runs import read_run_frame
 from assayer.plans.spec import EvaluationSpec, ModelSpec, RagSpec, SpecError, TaskSpec
@@ -242,3 +243,28 @@ def test_a_stopped_run_goes_on_from_its_checkpoints(spark, tmp_path):
     assert sorted(again, key=int) == [str(i) for i in range(4, 12)]
     assert [r["metrics"]["accuracy:accuracy"] for r in outcome.results.collect()] == [1.0]
     assert spark.read.parquet(f"{tmp_path}/out/r/checkpoints/t").count() == 12
+
+
+def test_corpora_and_examples_in_the_order_of_their_files(spark, tmp_path):
+    for name, first in (("a", 0), ("b", 50)):
+        texts = spark.range(first, first + 50, numPartitions=1).select(F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+        texts.write.parquet(f"{tmp_path}/{name}")
+    for name in ("a", "b"):
+        part = next((tmp_path / name).glob("*.parquet"))
+        (tmp_path / "all").mkdir(exist_ok=True)
+        (tmp_path / "all" / f"{name}.parquet").write_bytes(part.read_bytes())
+    described = rag(corpus=f"{tmp_path}/all", corpus_mappings={"text": "text"})
+    corpus = load_corpus(spark, described)
+    assert sorted((r.corpus_id, r.text) for r in corpus.collect()) == [(i, f"t{i}") for i in range(100)]
+    filtered = load_corpus(spark, rag(corpus={"path": f"{tmp_path}/all", "filter": {"column": "text", "pattern": "[05]$"}}, corpus_mappings={"text": "text"}))
+    assert sorted((r.corpus_id, r.text) for r in filtered.collect()) == [(i, f"t{5 * i}") for i in range(20)]
+    spec = TaskSpec(name="p", dataset=f"{tmp_path}/all", prompt_template="{text}", input_mappings={"text": "text"})
+    examples = load_examples(spark, spec, EvaluationSpec())
+    assert sorted((r.idx, r.prompt) for r in examples.collect()) == [(i, f"t{i}") for i in range(100)]
+    assert "Exchange" not in examples._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "")
+    (tmp_path / "files").mkdir()
+    for name in ("x", "y"):
+        (tmp_path / "files" / f"{name}.txt").write_text(f"text of {name}")
+    plain = {"type": "files", "path": f"{tmp_path}/files", "include_metadata": False}
+    corpus = load_corpus(spark, rag(corpus=plain, corpus_mappings={"text": "text"}))
+    assert sorted((r.corpus_id, r.text) for r in corpus.collect()) == [(0, "text of x"), (1, "text of y")]
