@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayer.functions.text import java_pattern
 from assayer.operators import rouge
 
 GROUP = ("model", "task")
@@ -74,15 +75,32 @@ def _hit() -> Column:
     return F.col("prediction").eqNullSafe(F.col("reference")).cast("double")
 
 
-def accuracy(scored: DataFrame) -> DataFrame:
-    """Share of examples whose prediction equals the reference."""
-    return _named(scored.groupBy(*GROUP).agg(F.avg(_hit()).alias("accuracy")), "accuracy", ["accuracy"])
+def accuracy(scored: DataFrame, normalize: bool = True) -> DataFrame:
+    """Share of examples whose prediction equals the reference; their number without ``normalize``."""
+    value = F.avg(_hit()) if normalize else F.sum(_hit())
+    return _named(scored.groupBy(*GROUP).agg(value.alias("accuracy")), "accuracy", ["accuracy"])
 
 
-def exact_match(scored: DataFrame) -> DataFrame:
-    return _named(
-        scored.groupBy(*GROUP).agg(F.avg(_hit()).alias("exact_match")), "exact_match", ["exact_match"]
-    )
+def exact_match(
+    scored: DataFrame,
+    ignore_case: bool = False,
+    ignore_punctuation: bool = False,
+    ignore_numbers: bool = False,
+    regexes_to_ignore: Sequence[str] = (),
+) -> DataFrame:
+    """Share of examples whose texts are equal once what is to be ignored is gone."""
+    ignored = [java_pattern(p) for p in regexes_to_ignore]
+    shared = {side: F.col(side) for side in ("prediction", "reference")}
+    if ignored or ignore_case or ignore_punctuation or ignore_numbers:
+        for side, text in shared.items():
+            text = text.cast("string")
+            for pattern in ignored:
+                text = F.regexp_replace(text, pattern, "")
+            text = F.lower(text) if ignore_case else text
+            text = F.regexp_replace(text, r"\p{Punct}", "") if ignore_punctuation else text
+            shared[side] = F.regexp_replace(text, "[0-9]", "") if ignore_numbers else text
+    hits = F.avg(shared["prediction"].eqNullSafe(shared["reference"]).cast("double"))
+    return _named(scored.groupBy(*GROUP).agg(hits.alias("exact_match")), "exact_match", ["exact_match"])
 
 
 def label_counts(scored: DataFrame) -> DataFrame:
@@ -145,9 +163,18 @@ def _prf_metric(name: str) -> Metric:
 
 
 def rouge_scores(
-    scored: DataFrame, rouge_types: Sequence[str] = ("rouge1", "rouge2", "rougeL", "rougeLsum")
+    scored: DataFrame,
+    rouge_types: Sequence[str] = ("rouge1", "rouge2", "rougeL", "rougeLsum"),
+    use_stemmer: bool = False,
+    use_aggregator: bool = True,
 ) -> DataFrame:
-    """Mean ROUGE F-measures over the examples."""
+    """Mean ROUGE F-measures over the examples.
+
+    There is no stemmer, and one value per metric, so the other settings are refused; scores
+    of single examples come from :mod:`assayer.operators.rouge`.
+    """
+    if use_stemmer or not use_aggregator:
+        raise ValueError("rouge: neither stemming nor scores of single examples are offered")
     unknown = [t for t in rouge_types if t not in ("rougeL", "rougeLsum") and not t[5:].isdigit()]
     if unknown:
         raise ValueError(f"Unknown ROUGE types: {', '.join(unknown)}")

@@ -169,3 +169,21 @@ def test_sinks(spark, tmp_path):
     assert lines == {"list,model,none,run_id,task", "[1],a/b c,,r,t"}
     with pytest.raises(ValueError):
         save(df, str(tmp_path / "x"), "xml")
+
+
+def test_metric_arguments(spark):
+    rows = [("m", "t", i, p, r) for i, (p, r) in enumerate([("A b!", "a b"), ("x1", "x"), ("same", "same"), (None, "None"), ("the cat", "cat")])]
+    scored = spark.createDataFrame(rows, "model string, task string, idx long, prediction string, reference string")
+
+    def value(name, **args):
+        return metrics.compute(scored, name, **args).first()["metric_value"]
+
+    assert value("accuracy") == 0.2 and value("accuracy", normalize=False) == 1.0
+    assert value("exact_match") == 0.2 and value("exact_match", ignore_case=True) == 0.2
+    assert value("exact_match", ignore_case=True, ignore_punctuation=True) == 0.4
+    assert value("exact_match", ignore_numbers=True) == 0.4
+    assert value("exact_match", regexes_to_ignore=["the "]) == 0.4
+    assert value("rouge", rouge_types=["rouge1"], use_stemmer=False, use_aggregator=True) > 0
+    for wrong in ({"use_stemmer": True}, {"use_aggregator": False}):
+        with pytest.raises(ValueError):
+            metrics.compute(scored, "rouge", **wrong)
