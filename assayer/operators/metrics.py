@@ -21,6 +21,7 @@ GROUP = ("model", "task")
 Metric = Callable[..., DataFrame]
 
 _metrics: dict[str, Metric] = {}
+_adapters: dict[str, Callable[[DataFrame, str, Mapping], DataFrame]] = {}
 
 
 def register(name: str, metric: Metric) -> None:
@@ -49,16 +50,27 @@ def compute(scored: DataFrame, name: str, **args) -> DataFrame:
     return _metrics[name.lower()](scored, **args)
 
 
+def register_adapter(name: str, adapter: Callable[[DataFrame, str, Mapping], DataFrame]) -> None:
+    """Let metrics of a job choose ``adapter(scored, metric name, args)`` by name."""
+    _adapters[name.lower()] = adapter
+
+
+def adapters() -> list[str]:
+    return sorted(_adapters)
+
+
 def compute_all(scored: DataFrame, specs: Sequence) -> DataFrame:
-    """All metrics of a task, given as names or ``(name, args)`` pairs.
+    """All metrics of a task, given as names, ``(name, args)`` or ``(name, args, adapter)``.
 
     ``metric_order`` is the place in the list, by which a later metric replaces an earlier
     one of the same name.
     """
     frames = []
     for order, spec in enumerate(specs):
-        name, args = (spec, {}) if isinstance(spec, str) else spec
-        frames.append(compute(scored, name, **args).withColumn("metric_order", F.lit(order)))
+        name, args, adapter = (spec, {}, "default") if isinstance(spec, str) else (*spec, "default")[:3]
+        if adapter.lower() not in _adapters:
+            raise ValueError(f"Unknown metric adapter '{adapter}'; known: {', '.join(adapters())}")
+        frames.append(_adapters[adapter.lower()](scored, name, args).withColumn("metric_order", F.lit(order)))
     return reduce(DataFrame.unionByName, frames)
 
 
@@ -229,6 +241,9 @@ class _Sums(Mapping):
         return 0
 
 
+# The name that configuration files use for the built-in metrics stands beside our own.
+for _name in ("default", "hf"):
+    register_adapter(_name, lambda scored, name, args: compute(scored, name, **args))
 register("accuracy", accuracy)
 register("exact_match", exact_match)
 register("rouge", rouge_scores)

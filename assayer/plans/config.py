@@ -7,6 +7,7 @@ from dataclasses import dataclass, fields
 from typing import Any
 
 from assayer.functions.reasoning import Delimiters
+from assayer.operators.metrics import adapters
 from assayer.plans.spec import (
     AnalysisSpec,
     EvaluationSpec,
@@ -25,7 +26,7 @@ EmbedderFactory = Callable[[Mapping[str, Any]], Any]
 # Settings that have no meaning here: charts, progress logs, caches of a model hub.
 _WITHOUT_EFFECT = {
     EvaluationSpec: {"log_progress", "progress_every_batches", "log_level"},
-    AnalysisSpec: {"image_format", "timing", "plot_set"},
+    AnalysisSpec: {"image_format", "plot_set"},
     TaskSpec: {"prediction_postprocess"},
 }
 
@@ -94,7 +95,7 @@ def _task(settings: Mapping[str, Any], embedder: EmbedderFactory | None) -> Task
         raise SpecError(f"{owner}: input_mappings must be a mapping")
     marks = settings.get("thinking_delimiters")
     replaced: dict[str, Any] = {
-        "metrics": [m if isinstance(m, str) else (m["name"], m.get("args", {})) for m in metrics],
+        "metrics": [m if isinstance(m, str) else _metric(m, owner) for m in metrics],
         "thinking_delimiters": _build(Delimiters, f"{owner}: thinking_delimiters", marks) if marks else None,
         "strip_from_prediction": bool(settings.get("strip_from_prediction")),
         "rag": _rag(settings["rag"], owner, embedder) if settings.get("rag") is not None else None,
@@ -102,6 +103,14 @@ def _task(settings: Mapping[str, Any], embedder: EmbedderFactory | None) -> Task
     return _build(TaskSpec, owner, settings, **replaced)
 
 
+def _metric(settings: Mapping[str, Any], owner: str) -> tuple:
+    adapter = settings.get("adapter", "default")
+    if adapter.lower() not in adapters():
+        raise SpecError(f"{owner}: unknown metric adapter '{adapter}'; known: {', '.join(adapters())}")
+    plain = (settings["name"], settings.get("args", {}))
+    return plain if adapter in ("default", "hf") else (*plain, adapter)
+
+
 def _rag(settings: Mapping[str, Any], owner: str, embedder: EmbedderFactory | None) -> RagSpec:
     own = {k: v for k, v in settings.items() if k != "embedding_model"}
     encoder = settings.get("embedding_model") or {}

@@ -8,6 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime, timezone
 from functools import reduce
+from threading import Lock
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
@@ -23,6 +24,7 @@ from assayer.plans.spec import AnalysisSpec, EvaluationSpec, ModelSpec, SpecErro
 from assayer.session import materialize
 from assayer.sinks.writers import save_by_run, save_checkpoints, save_summary
 from assayer.sources import datasets
+from assayer.streaming.leaderboard import read_results, run_leaderboard
 
 
 @dataclass(frozen=True)
@@ -103,8 +105,13 @@ def evaluate(
         def scored(rows: DataFrame) -> DataFrame:
             return score(predict_all(rows, models, task, evaluation.batch_size), task)
 
-        return _written(examples, scored, task, evaluation, run_id)
+        written = _written(examples, scored, task, evaluation, run_id)
+        if follows:
+            _follow(_results(written, models, task, evaluation, run_id), f"{evaluation.output_dir}/results", folder, board)
+        return written
 
+    folder = f"{evaluation.output_dir}/{run_id}"
+    follows, board = bool(analysis and analysis.follows and evaluation.output_dir), Lock()
     # Tasks do not depend on each other, so a few of them share the cluster at a time.
     with ThreadPoolExecutor(evaluation.max_concurrent) as pool:
         scored = list(pool.map(inheritable_thread_target(spark)(scored_rows), tasks))
@@ -115,8 +122,8 @@ def evaluate(
     frame = unpivot_metrics(all_results)
     means = summary(frame)
     if evaluation.output_dir:
-        folder = f"{evaluation.output_dir}/{run_id}"
-        save_by_run(all_results, f"{evaluation.output_dir}/results", mode="append")
+        if not follows:
+            save_by_run(all_results, f"{evaluation.output_dir}/results", mode="append")
         save_summary(all_results, means, run_id, f"{folder}/summary.json")
         if all_details is not None:
             examples = all_details.withColumn("run_id", F.lit(run_id))
@@ -130,6 +137,16 @@ def evaluate(
     return Evaluation(run_id, all_results, means, all_details)
 
 
+def _follow(results: DataFrame, stored: str, folder: str, board: Lock) -> None:
+    """Store the results of a task and bring the run's leaderboard up to date."""
+    spark = results.sparkSession
+    run = results.first()["run_id"]
+    with board:
+        save_by_run(results, stored, mode="append")
+        arrived = read_results(spark, f"{stored}/run_id={run}")
+        run_leaderboard(arrived, f"{folder}/leaderboard", f"{folder}/leaderboard-progress").awaitTermination()
+
+
 def _written(
     examples: DataFrame, scored: Callable[[DataFrame], DataFrame], task: TaskSpec, evaluation: EvaluationSpec, run_id: str
 ) -> DataFrame:

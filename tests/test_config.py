@@ -1,11 +1,15 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
+from assayer.operators import metrics
 from assayer.plans.analysis import compare, run_tables
 from assayer.plans.config import read_job
 from assayer.plans.evaluation import evaluate
 from assayer.plans.spec import AnalysisSpec, ModelSpec, SpecError
+from assayer.sources.runs import read_run_results
+from assayer.streaming.leaderboard import read_leaderboard
 
 
 def repeat():
@@ -83,3 +87,20 @@ def test_compare_stored_runs(spark, tmp_path):
     assert rows == [("task", "t", "r1", 0.25), ("task", "t", "r2", 0.75), ("task", "u", "r1", 0.25), ("task", "u", "r2", 0.75)]
     assert tables["summary_table"].first().asDict() == {"model": "m", "acc": 0.5, "other": 1.0}
     assert list(run_tables(spark.createDataFrame([], "metric_name string, model string, metric_value double"), AnalysisSpec(plots="minimal"))) == ["by_model"]
+
+
+def test_metric_adapters_and_a_leaderboard_on_the_way(spark, tmp_path):
+    metrics.register_adapter("Doubled", lambda scored, name, args: metrics.compute(scored, name, **args).withColumn("metric_value", F.col("metric_value") * 2))
+    spark.createDataFrame([(1, "a", "a"), (2, "b", "c")], "id int, text string, answer string").createOrReplaceTempView("pairs")
+    described = config(dataset="pairs", reference_field="answer", metrics=[{"name": "exact_match", "adapter": "doubled"}])
+    settings = {**described, "evaluation": {"output_dir": str(tmp_path)}, "analysis": {"enabled": True, "timing": "incremental"}}
+    job = read_job(settings, TYPES)
+    outcome = evaluate(spark, job.models, job.tasks, job.evaluation, job.analysis)
+    value = outcome.results.first()["metrics"]["exact_match:exact_match"]
+    board = read_leaderboard(spark, f"{tmp_path}/{outcome.run_id}/leaderboard").collect()
+    assert [(r.metric_name, r.metric_value, r.n_results) for r in board] == [("exact_match:exact_match", value, 1)] and value in (1.0, 2.0)
+    assert read_run_results(spark, [f"{tmp_path}/results"], prefer_summary=False).count() == 1
+    with pytest.raises(SpecError, match="adapter"):
+        read_job(config(metrics=[{"name": "exact_match", "adapter": "none such"}]), TYPES)
+    with pytest.raises(SpecError, match="timing"):
+        read_job({**config(), "analysis": {"timing": "sometimes"}}, TYPES)
