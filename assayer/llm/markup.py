@@ -33,9 +33,10 @@ ASIDE = frozenset(
 )
 #: Words of class, id and role values that say the same of any element.
 ASIDE_NAMES = frozenset(
-    "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies dialog "
-    "disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo "
-    "related replies reply respond share sharing sidebar skip social sponsor sponsored subscribe toolbar widget".split()
+    "ad ads advert advertisement advertising adverts alert banner breadcrumb breadcrumbs comment comments consent cookie "
+    "cookies dialog disqus footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices "
+    "pagination popup promo recommended related replies reply respond search share sharing sidebar signup skip social "
+    "sponsor sponsored subscribe toc toolbar widget".split()
 )
 MAIN = frozenset(("article", "main"))
 #: A start tag of the key ends an open element of these, with no end tag of its own.
@@ -58,10 +59,9 @@ def _set_aside(name: str, attributes: str, main: bool) -> bool:
         return True
     if "=" not in attributes or name in ("html", "body", "article", "main", "p", "h1"):
         return False
-    for values in _NAMED.findall(attributes):
-        if any(part.lower() in ASIDE_NAMES for part in _PART.findall("".join(values))):
-            return True
-    return False
+    parts = {part.lower() for values in _NAMED.findall(attributes) for part in _PART.findall("".join(values))}
+    # The head of an article holds its title.
+    return not ASIDE_NAMES.isdisjoint(parts - {"header"} if main else parts)
 
 
 def pieces(page: str) -> Iterator[Piece]:

@@ -53,6 +53,7 @@ def test_markup():
     assert blocks(pieces('<p title="a > b">x</p><p data-a=\'<\'>y')) == ["x", "y"]
     assert blocks(pieces("a<b>b</b>c<br/>d<hr>e &eacute; 1 < 2")) == ["abc d", "e é 1 < 2"]
     assert [p.aside for p in pieces('<div class="mainAd box"><p>x</div>y') if not p.tag] == [True, False]
+    assert blocks(p for p in pieces('<article><div class="article-header"><h1>T</h1></div><p>x</p></article><div class="header">no</div>') if p.tag or not p.aside) == ["T", "x"]
     assert [p.aside for p in pieces('<div class="adapted readme"><p>x</div>') if not p.tag] == [False]
 
 
