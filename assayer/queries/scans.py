@@ -132,8 +132,7 @@ def binary_doc_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
         return texts.map(_docx)
 
     packed = table(spark, sf_dir, "documents").select("doc_id", pack("text").alias("content"))
-    pages = files.extract_pages(packed, files.docx_text)
-    return files.join_pages(pages, ["doc_id"])
+    return files.extract_texts(packed, files.docx_text)
 
 
 @query(

@@ -187,8 +187,8 @@ def _xml_text(xml: bytes) -> str:
     )
 
 
-def extract_pages(documents: DataFrame, extractor: Extractor, content: str = "content") -> DataFrame:
-    """One row per page of every binary document: adds ``text, page`` (from 0)."""
+def _pages_of(extractor: Extractor, content: str) -> Column:
+    """The pages of each document in order, as an array of (page, text)."""
 
     @F.pandas_udf(_PAGES)
     def pages(contents: pd.Series) -> pd.Series:
@@ -196,16 +196,24 @@ def extract_pages(documents: DataFrame, extractor: Extractor, content: str = "co
             lambda c: [{"page": i, "text": t} for i, t in enumerate(extractor(bytes(c)))]
         )
 
+    return pages(F.col(content))
+
+
+def extract_pages(documents: DataFrame, extractor: Extractor, content: str = "content") -> DataFrame:
+    """One row per page of every binary document: adds ``text, page`` (from 0)."""
     kept = [c for c in documents.columns if c != content]
-    found = documents.select(*kept, F.explode(pages(F.col(content))).alias("_page"))
+    found = documents.select(*kept, F.explode(_pages_of(extractor, content)).alias("_page"))
     return found.select(*kept, "_page.text", "_page.page")
 
 
-def join_pages(pages: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The pages of each document as one text, joined by line breaks and trimmed."""
-    ordered = F.sort_array(F.collect_list(F.struct("page", "text")))
-    text = F.array_join(F.transform(ordered, lambda p: F.coalesce(p["text"], F.lit(""))), "\n")
-    return pages.groupBy(*keys).agg(strip(text).alias("text"))
+def extract_texts(documents: DataFrame, extractor: Extractor, content: str = "content") -> DataFrame:
+    """One row per binary document: adds ``text``, its pages joined by line breaks and trimmed.
+
+    The pages of a document are joined where they were read.
+    """
+    kept = [c for c in documents.columns if c != content]
+    texts = F.transform(_pages_of(extractor, content), lambda page: F.coalesce(page["text"], F.lit("")))
+    return documents.select(*kept, strip(F.array_join(texts, "\n")).alias("text"))
 
 
 def read_binary(
