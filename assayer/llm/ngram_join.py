@@ -127,7 +127,7 @@ class Parts:
         self.small = self.pieces and small <= SMALL
         self.n = (differing // 3 if self.pieces else differing) + 1
         # Parts that hold too little could agree by chance; so many of them are allowed for.
-        self.spare = min(max(8, self.n // 6), differing)
+        self.spare = min(max(4 if self.pieces else 8, self.n // 6), differing)
         self.n += self.spare
         self.solid = 2 if self.pieces else 3
 
@@ -193,7 +193,7 @@ def _part_hashes(grams: np.ndarray, percent: int, seed: int) -> np.ndarray:
 
 
 #: Share of its n-grams that a set sends beyond those that a linked set may lack.
-_MORE = 6
+_MORE = 20
 
 
 def _first_grams(grams: np.ndarray, percent: int) -> np.ndarray:
@@ -642,7 +642,9 @@ def near_duplicates(
     kinds = materialize(summary.where("n_grams > 0").groupBy(*same).agg(F.min("key").alias("key")), "kinds")
     sending = docs
     if percent < WHOLE_PARTS:
-        sharing = materialize(_sharing(docs, summary, n, percent), "sharing")
+        # Of documents with the same set one is enough.
+        sharing = _sharing(docs, summary, n, percent).join(kinds.select("key"), "key", "left_semi")
+        sharing = materialize(sharing, "sharing")
         sending = docs.join(broadcast_if_small(sharing), "key", "left_semi")
     blocks = _blocks(sending.select("key", F.lit(0).cast("long").alias("block"), "text"), n, percent, 0)
     members = blocks.join(kinds.select("key", "n_grams"), "key")
