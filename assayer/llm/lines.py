@@ -13,6 +13,11 @@ joined by site, and adaptive execution splits the sites that hold most pages.
 Null texts stay null, pages without a site lose nothing; both count as pages. Repeated rows
 are pages of their own. A page of which all lines go keeps an empty text. An empty table gives
 an empty table. The columns stay as they are, but for the text.
+
+Where copies are to be removed later (``copies``), they must not count as pages that agree:
+lines are then counted by distinct text, and those above the ratio once more with near copies
+as one page, in numerator and total alike; a line goes if it is above the ratio both times. A
+page that would lose every line keeps its text, so that no group of copies vanishes as a whole.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayer.llm import ngram_join
 from assayer.llm.common import fresh
 from assayer.session import materialize
 
@@ -40,13 +46,15 @@ def _solid(lines: Column) -> Column:
     return F.filter(lines, lambda x: F.btrim(x, F.lit(_BLANK)) != "")
 
 
-def boilerplate(pages: DataFrame, site: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(site, a, b, pages, total): the hashes of the lines above the ratio, with their counts."""
-    named = pages.where(F.col(site).isNotNull())
-    totals = named.groupBy(F.col(site).alias("site")).agg(F.count("*").alias("total"))
-    lines = F.array_distinct(F.transform(_solid(F.split(F.col(text), "\n")), _hashes))
+def _line_hashes(text: str) -> Column:
+    return F.array_distinct(F.transform(_solid(F.split(F.col(text), "\n")), _hashes))
+
+
+def _above(pages: DataFrame, ratio: float, min_pages: int) -> DataFrame:
+    """(site, a, b, pages, total) from pages as (site, lines)."""
+    totals = pages.groupBy("site").agg(F.count("*").alias("total"))
     counts = (
-        named.select(F.col(site).alias("site"), F.explode(lines).alias("line"))
+        pages.select("site", F.explode("lines").alias("line"))
         .groupBy("site", "line.a", "line.b")
         .agg(F.count("*").alias("pages"))
         .where(F.col("pages") >= min_pages)
@@ -54,6 +62,49 @@ def boilerplate(pages: DataFrame, site: str, text: str, ratio: float = RATIO, mi
     return counts.join(totals, "site").where(F.col("pages") > F.col("total") * F.lit(ratio))
 
 
+def boilerplate(pages: DataFrame, site: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(site, a, b, pages, total): the hashes of the lines above the ratio, with their counts."""
+    named = pages.where(F.col(site).isNotNull())
+    return _above(named.select(F.col(site).alias("site"), _line_hashes(text).alias("lines")), ratio, min_pages)
+
+
+def _by_site(found: DataFrame, site: str, listed: str) -> DataFrame:
+    """The lines of each site in one list, sent to every task where all of them are few."""
+    lists = found.groupBy(F.col("site").alias(site)).agg(F.collect_list(F.struct("a", "b")).alias(listed))
+    return F.broadcast(lists) if found.count() <= SENT_LINES else lists
+
+
+def boilerplate_without_copies(
+    pages: DataFrame, site: str, text: str, copies: tuple[int, int], ratio: float = RATIO, min_pages: int = MIN_PAGES
+) -> DataFrame:
+    """As :func:`boilerplate`, but copies are one page: texts that are equal, or linked as near copies.
+
+    ``copies`` has the words of an n-gram and the similarity in percent, as for
+    :func:`assayer.llm.ngram_join.near_duplicates`. Only pages that hold a line above the ratio are compared.
+    """
+    named = pages.where(F.col(site).isNotNull()).select(F.col(site).alias("site"), F.col(text).alias("text"))
+    hashed = named.withColumn("a", F.xxhash64("text")).withColumn("b", F.xxhash64(F.lit(5), "text"))
+    distinct = hashed.select("site", "a", "b", _line_hashes("text").alias("lines")).dropDuplicates(["site", "a", "b"])
+    found = materialize(_above(distinct, ratio, min_pages), "distinct-boilerplate")
+    if found.isEmpty():
+        return found
+    holding = hashed.join(_by_site(found, "site", "listed"), "site").where(F.arrays_overlap(_line_hashes("text"), "listed"))
+    holding = holding.dropDuplicates(["site", "a", "b"]).select("site", "text", F.monotonically_increasing_id().alias("id"))
+    holding = materialize(holding, "shared-pages")
+    near = ngram_join.near_duplicates(holding, "id", "text", *copies).select(F.col("key").alias("id"), "component")
+    grouped = materialize(holding.select("id", "site", _line_hashes("text").alias("lines")).join(near, "id"), "page-groups")
+    spare = grouped.groupBy("site", "component").agg((F.count("*") - 1).alias("more")).groupBy("site").agg(F.sum("more").alias("more"))
+    counts = (
+        grouped.select("site", F.explode("lines").alias("line"), "component")
+        .groupBy("site", "line.a", "line.b", "component").agg(F.lit(1).alias("one"))
+        .groupBy("site", "a", "b").agg(F.count("*").alias("pages"))
+        .where(F.col("pages") >= min_pages)
+    )
+    counts = found.select("site", "a", "b", "total").join(counts, ["site", "a", "b"]).join(spare, "site")
+    counts = counts.select("site", "a", "b", "pages", (F.col("total") - F.col("more")).alias("total"))
+    return counts.where(F.col("pages") > F.col("total") * F.lit(ratio))
+
+
 def drop_boilerplate(
     pages: DataFrame,
     site: str = "source",
@@ -61,24 +112,30 @@ def drop_boilerplate(
     ratio: float = RATIO,
     min_pages: int = MIN_PAGES,
     dropped: str | None = None,
+    copies: tuple[int, int] | None = None,
 ) -> DataFrame:
     """``pages`` with the boilerplate lines gone from ``text``.
 
-    ``dropped`` names a column for how many went; a column of that name is replaced.
+    ``dropped`` names a column for how many went; a column of that name is replaced. With
+    ``copies`` (words of an n-gram, percent) copies are one page and no text loses every line.
     """
     if dropped:
         pages = pages.drop(dropped)
-    found = materialize(boilerplate(pages, site, text, ratio, min_pages), "boilerplate")
+    if copies:
+        found = boilerplate_without_copies(pages, site, text, copies, ratio, min_pages)
+    else:
+        found = boilerplate(pages, site, text, ratio, min_pages)
+    found = materialize(found, "boilerplate")
     key, listed, lines, kept = (fresh(x, [*pages.columns, *filter(None, [dropped])]) for x in ("_site", "_lines", "_split", "_kept"))
-    by_site = found.groupBy(F.col("site").alias(key)).agg(F.collect_list(F.struct("a", "b")).alias(listed))
-    if found.count() <= SENT_LINES:
-        by_site = F.broadcast(by_site)
+    by_site = _by_site(found, key, listed)
     rows = pages.join(by_site, F.col(site) == F.col(key), "left").withColumn(lines, F.split(F.col(text), "\n"))
     stays = F.filter(
         lines,
         lambda x: (F.btrim(x, F.lit(_BLANK)) == "") | ~F.array_contains(F.col(listed), _hashes(x)),
     )
     rows = rows.withColumn(kept, F.when(F.col(listed).isNull(), F.col(lines)).otherwise(stays))
+    if copies:
+        rows = rows.withColumn(kept, F.when(F.size(_solid(F.col(kept))) > 0, F.col(kept)).otherwise(F.col(lines)))
     gone = F.coalesce(F.size(lines) - F.size(kept), F.lit(0)).cast("long")
     out = [
         (F.when(F.size(lines) > F.size(kept), F.array_join(kept, "\n")).otherwise(F.col(text)).alias(c) if c == text else F.col(c))

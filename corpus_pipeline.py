@@ -36,9 +36,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the boilerplate lines of their source, and without those that had no other."""
-    cleaned = lines.drop_boilerplate(docs, site="source", dropped="_dropped")
-    return _counted(cleaned.where("_dropped = 0 or rlike(text, r'\\S')").drop("_dropped"))
+    """Documents without the boilerplate lines of their source; those that have no other stay as they are.
+
+    Copies, near ones as in the next stage, are no evidence of boilerplate: that stage keeps one of them whole.
+    """
+    return _counted(lines.drop_boilerplate(docs, site="source", copies=(SHINGLE, PERCENT)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,8 @@
 """Boilerplate lines on a small site, against the definition."""
 
+import random
+
+import corpus_pipeline
 from assayer.llm import lines
 
 BLANK = " \t\x0b\x0c\r"
@@ -42,3 +45,30 @@ def test_counts_and_clashing_names(spark):
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, source string, text string")
     assert lines.drop_boilerplate(docs).collect() == []
+
+
+def test_copies_are_no_evidence_of_boilerplate(spark):
+    """A third of a source are copies, exact or near; one of them goes through both stages whole."""
+    letters = random.Random(5)
+
+    def prose(n):
+        return [" ".join("".join(letters.choices("abcdefgh", k=6)) for _ in range(20)) for _ in range(n)]
+
+    own = prose(12)
+    copied = "\n".join(own)
+    # Each near copy has other words in two lines, so that a line is whole on some and changed on others.
+    strewn = ["\n".join(f"{x} z{i}" if k in (i % 12, (i + 5) % 12) else x for k, x in enumerate(own)) for i in range(30)]
+    for group in ([copied] * 30, strewn, [copied] * 5):
+        others = ["\n".join(["the menu", *prose(6)]) for _ in range(2 * len(group) if len(group) > 5 else 94)]
+        texts = [*(f"the menu\n{t}" for t in group), *others]
+        docs = spark.createDataFrame([(i, "a", t, len(t)) for i, t in enumerate(texts)], "doc_id long, source string, text string, n_chars long")
+        cleaned = corpus_pipeline.line_dedup(spark, docs, "")
+        assert {r["doc_id"]: r["text"] for r in cleaned.collect()} == {i: t.removeprefix("the menu\n") for i, t in enumerate(texts)}
+        kept = corpus_pipeline.near_duplicates(spark, cleaned, "")
+        assert {r["doc_id"] for r in kept.collect()} == {0, *range(len(group), len(texts))}
+
+
+def test_no_text_loses_every_line_where_copies_count_once(spark):
+    docs = spark.createDataFrame([(i, "a", f"{a}\n \n{b}") for i, (a, b) in enumerate([("x", "y"), ("y", "x"), ("x", "z"), ("x", "u"), ("y", "v")])], "doc_id long, source string, text string")
+    got = lines.drop_boilerplate(docs, min_pages=2, dropped="gone", copies=(5, 80)).orderBy("doc_id").collect()
+    assert [(r["text"], r["gone"]) for r in got] == [("x\n \ny", 0), ("y\n \nx", 0), (" \nz", 1), (" \nu", 1), (" \nv", 1)]
