@@ -1,7 +1,7 @@
 """WARC derivatives: from each response a metadata record and a plain-text conversion record.
 
 Both refer to the response by its record id, target and date. The metadata record (JSON) keeps
-the source's WARC and HTTP headers and its digests, says whether the payload still has the
+the source's WARC and HTTP headers (by name, and as a list of all in their order) and its digests, says whether the payload still has the
 digest that it was stored with, and lists title and links; the conversion record holds the
 page's visible text. Record ids are derived from the response's, so a task that runs again
 writes the same records.
@@ -121,8 +121,10 @@ def derive_record(data: bytes | None) -> list[tuple[str, Record]]:
     links = [html.unescape("".join(m)) for m in _LINK.findall(page)]
     title = _TITLE.search(page)
     described = {
+        # A name has one value here; the lists hold every header in its order, repeated ones too.
         "source": dict(source.headers),
-        "http": {"status": status, "headers": dict(http)},
+        "source_headers": source.headers,
+        "http": {"status": status, "headers": dict(http), "header_list": http},
         "payload": {"digest": own, "stored_digest": stored, "unchanged": stored is None or stored == own, "bytes": len(body)},
         "title": " ".join(html.unescape(title[1]).split()) if title else None,
         "links": links,

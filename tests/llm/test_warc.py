@@ -42,6 +42,15 @@ def test_derivatives():
     assert [warc.derive_record(x) for x in (None, b"", b"WARC/1.1\r\n", request, response()[:-5])] == [[]] * 5
 
 
+def test_repeated_headers_are_kept_in_order():
+    http = [["Set-Cookie", "a=1"], ["Via", "x"], ["set-cookie", "b=2"], ["Set-Cookie", "c=3"], ["Via", "y"]]
+    block = ("HTTP/1.1 200 OK\r\n" + "".join(f"{k}: {v}\r\n" for k, v in http) + "\r\n<p>x").encode()
+    own = [["WARC-Type", "response"], ["WARC-Concurrent-To", "<urn:uuid:2>"], ["WARC-Record-ID", "<urn:uuid:1>"], ["WARC-Concurrent-To", "<urn:uuid:3>"]]
+    told = json.loads(dict(warc.derive_record(warc.build([(k, v) for k, v in own], block)))["metadata"].block)
+    assert told["http"]["header_list"] == http
+    assert told["source_headers"] == [*own, ["Content-Length", str(len(block))]]
+
+
 def test_pages_to_derivatives(spark):
     pages = spark.createDataFrame(
         [(1, "http://a.org/", HTML, "x"), (1, "http://a.org/", HTML, "x"), (2, None, None, "x"), (3, "http://c.org/", "<p>" + "long " * 50_000, "x")],
