@@ -14,12 +14,12 @@ records (with equal ids), an empty table gives an empty one.
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import html
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -80,7 +80,7 @@ def parse(data: bytes, start: int = 0) -> tuple[Record, int] | None:
     if not size.isdigit() or end + 4 + int(size) > len(data):
         return None
     at = end + 4 + int(size)
-    record = Record(headers, data[end + 4 : at])
+    record = Record(headers, bytes(data[end + 4 : at]))
     while data.startswith(b"\r\n", at):
         at += 2
     return record, at
@@ -207,23 +207,131 @@ def responses(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
     return pages.mapInArrow(_responses(url, html, key, record), T.StructType([*fields, T.StructField(record, T.BinaryType())]))
 
 
+_CHUNK = 1 << 20
+_GZIP = b"\x1f\x8b\x08"
+
+
+def _pieces_of(content: bytes) -> Iterator[tuple[str, bytes | tuple[int, int]]]:
+    """A file as ("data", bytes) of bounded size, ("member", b"") where a gzip member begins, and ("broken", (file offset, bytes))."""
+    if content[:2] != _GZIP[:2]:
+        for at in range(0, len(content), _CHUNK):
+            yield "data", content[at : at + _CHUNK]
+        return
+    at = 0
+    while at < len(content):
+        start, ended = at, False
+        if content.startswith(_GZIP, at):
+            yield "member", b""
+            stream = zlib.decompressobj(31)
+            try:
+                while not stream.eof and (at < len(content) or stream.unconsumed_tail):
+                    given = stream.unconsumed_tail
+                    if not given:
+                        given, at = content[at : at + _CHUNK], at + len(content[at : at + _CHUNK])
+                    if made := stream.decompress(given, _CHUNK):
+                        yield "data", made
+                while not stream.eof and (made := stream.decompress(b"", _CHUNK)):
+                    yield "data", made
+                ended = stream.eof
+            except zlib.error:
+                pass
+        if ended:
+            at -= len(stream.unused_data)
+            while content[at : at + 1] == b"\0":  # padding
+                at += 1
+        else:
+            at = content.find(_GZIP, start + 1)
+            at = len(content) if at < 0 else at
+            yield "broken", (start, at - start)
+
+
+def _scan(content: bytes) -> Iterator[tuple[int, bytes | None, int, bool]]:
+    """(offset, record, bytes that belong to none, whether they are a damaged gzip member's) in the order of the file.
+
+    Offsets count the data as decompressed, those of damaged members the file's bytes. A record must
+    end before a blank line, another record or the end; where there is none the scan goes on at the
+    next gzip member or line that starts one.
+    """
+    data, base, at, bad, members = bytearray(), 0, 0, None, []
+
+    def take(last: bool) -> Iterator[tuple[int, bytes | None, int, bool]]:
+        nonlocal at, bad
+        while at < len(data):
+            if bad is None:
+                while data.startswith(b"\r\n", at):
+                    at += 2
+                if at == len(data) or (not last and len(data) - at < 5):
+                    return
+                found = parse(data, at)
+                if found is not None:
+                    following = found[1]
+                    body = data.find(b"\r\n\r\n", at) + 4 + len(found[0].block)
+                    if not last and len(data) - body < 9:
+                        return
+                    if data.startswith((b"\r\n\r\n", b"WARC/", b"\r\nWARC/"), body) or following == len(data):
+                        yield base + at, bytes(data[at:following]), 0, False
+                        at = following
+                        continue
+                elif not last and data.startswith(b"WARC/", at):
+                    end = data.find(b"\r\n\r\n", at)
+                    if end < 0 and data.find(b"\nWARC/", at) < 0:
+                        return
+                    if end >= 0 and (_get(_lines(bytes(data[at:end]))[1], "Content-Length") or "").isdigit():
+                        return
+                bad = base + at
+            line = data.find(b"\nWARC/", at) + 1
+            onward = [x for x in (line, *(m - base for m in members)) if x > max(at, bad - base)]
+            if not onward:
+                at = len(data) if last else max(at, len(data) - 5)
+                if last:
+                    yield bad, None, base + at - bad, False
+                    bad = None
+                return
+            at = min(onward)
+            yield bad, None, base + at - bad, False
+            bad = None
+
+    for kind, piece in _pieces_of(content):
+        if kind == "member":
+            members.append(base + len(data))
+        elif kind == "data":
+            data += piece
+            yield from take(False)
+        else:
+            yield from take(True)
+            yield piece[0], None, piece[1], True
+        if at:
+            del data[:at]
+            base, at = base + at, 0
+            members = [m for m in members if m >= base]
+    yield from take(True)
+
+
 def _splitting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    types = [pa.int64(), pa.binary(), pa.int64(), pa.bool_()]
     for batch in batches:
-        for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist()):
-            data, at = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content, 0
-            while (found := parse(data, at)) is not None:
-                following = found[1]
+        for path, content in zip(batch.column("path"), batch.column("content")):
+            for row in _scan(content.as_py()):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([path]), pa.array([at], pa.int64()), pa.array([data[at:following]], pa.binary())],
-                    names=["path", "offset", "record"],
+                    [pa.array([path.as_py()]), *(pa.array([v], t) for v, t in zip(row, types))],
+                    names=["path", "offset", "record", "bad_bytes", "bad_member"],
                 )
-                at = following
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """(path, offset, record) of all records of WARC files, plain or gzipped; a broken tail is left out."""
+def scan_warc(spark: SparkSession, path: str) -> DataFrame:
+    """(path, offset, record, bad_bytes, bad_member) of WARC files, plain or gzipped.
+
+    Stretches that hold no whole record are rows without one, with their place and length; those
+    of a damaged gzip member count the file's bytes, all others the data as decompressed. A file
+    comes as one row of its stored bytes and is decompressed piece by piece.
+    """
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(_splitting, "path string, offset long, record binary")
+    return files.mapInArrow(_splitting, "path string, offset long, record binary, bad_bytes long, bad_member boolean")
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """(path, offset, record) of all records of WARC files; :func:`scan_warc` also has what belongs to none."""
+    return scan_warc(spark, path).where("record is not null").select("path", "offset", "record")
 
 
 def write_warc(derived: DataFrame, path: str, column: str = "derived") -> None:

@@ -76,3 +76,40 @@ def test_files(spark, tmp_path):
     back = warc.read_warc(spark, f"{tmp_path}/out/*.gz").collect()
     kinds = [warc.parse(bytes(r["record"]))[0].get("WARC-Type") for r in back]
     assert sorted(kinds) == ["conversion"] * 7 + ["metadata"] * 7
+
+
+def test_bad_records_do_not_end_a_file(spark, tmp_path, monkeypatch):
+    good = [response(name=f"<urn:uuid:{i}>") for i in range(6)]
+    end = b"\r\n\r\n"
+    size = good[0].split(b"Content-Length: ")[1].split(b"\r\n")[0]
+    length = b"Content-Length: " + size
+    bad = [
+        good[0].replace(length, b"X: 1"), good[0].replace(length, b"Content-Length: 9"),
+        good[0].replace(length, b"Content-Length: %d" % (int(size) + 40)), good[0].replace(length, b"Content-Length: 99999999"), b"stray\nbytes",
+    ]
+    mixed = [x for pair in zip(good, bad) for x in pair] + good[5:]
+    (tmp_path / "a.warc").write_bytes(end.join(mixed) + end)
+    (tmp_path / "b.warc.gz").write_bytes(b"".join(gzip.compress(r + end) for r in mixed))
+    packed = [gzip.compress(r + end) for r in good]
+    packed[2] = packed[2][:60] + b"\xff" * 40 + packed[2][100:]
+    (tmp_path / "c.warc.gz").write_bytes(b"".join([*packed[:4], b"junk", *packed[4:]]))
+    (tmp_path / "d.warc.gz").write_bytes(gzip.compress(b"".join(r + end for r in mixed)))
+    cut = [good[0], good[1][:-20], good[2]]
+    (tmp_path / "e.warc.gz").write_bytes(b"".join(map(gzip.compress, cut)))
+    expected = {"a.warc": good, "b.warc.gz": good, "c.warc.gz": good[:2] + good[3:], "d.warc.gz": good, "e.warc.gz": [good[0], good[2]]}
+    rows = warc.scan_warc(spark, f"{tmp_path}/*.warc*").collect()
+    for name, records in expected.items():
+        own = [r for r in rows if r["path"].endswith(name)]
+        assert [bytes(r["record"]).rstrip(b"\r\n") for r in own if r["record"] is not None] == records, name
+        assert all(r["bad_bytes"] > 0 for r in own if r["record"] is None)
+        assert sum(r["record"] is None for r in own) >= (5 if len(name) and name[0] in "abd" else 1)
+    plain = end.join(mixed) + end
+    for r in rows:
+        if r["path"].endswith("a.warc") and r["record"] is not None:
+            assert plain.startswith(bytes(r["record"]), r["offset"])
+    whole = {n: list(warc._scan((tmp_path / n).read_bytes())) for n in expected}
+    for chunk in (1, 7, 100):
+        monkeypatch.setattr(warc, "_CHUNK", chunk)
+        for name, rows in whole.items():
+            got = [(r[0], r[1].rstrip(b"\r\n")) for r in warc._scan((tmp_path / name).read_bytes()) if r[1]]
+            assert got == [(r[0], r[1].rstrip(b"\r\n")) for r in rows if r[1]], (name, chunk)
