@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.llm import (
-    bpe, decontamination, extraction, lines, ngram_join, quality, sharding, substrings, urls, warc,
+    bpe, decontamination, extraction, lines, ngram_join, quality, sharding, substrings, urls, vector_codes, warc,
 )
 from assayer.llm.common import table
 
@@ -226,3 +226,13 @@ def warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", *(derived[n].alias(n) for n in ("type", "record_id", "refers_to", "target_uri", "block_digest")),
         F.octet_length(derived["block"]).cast("long").alias("n_bytes"), F.sha2(derived["record"], 256).alias("record_sha256"),
     )
+
+
+@query("op11_vector_codes")
+def compressed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    rows, coded, books = vector_codes.encode(vectors)
+    rows = rows.select("vec_id", "label", F.lower(F.hex(f"{coded}.code")).alias("code"), F.col(f"{coded}.error").alias("error"))
+    return vector_codes.with_total(rows, "label", "error", "label_error").select(
+        "vec_id", "code", "error", "label_error", F.lit(vector_codes.books_digest(books)).alias("codebooks_sha256")
+    )
