@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.llm import (
-    bpe, decontamination, extraction, lines, ngram_join, quality, sharding, substrings, urls, vector_codes, warc,
+    bpe, conversation_trie, decontamination, extraction, lines, ngram_join, quality, sharding, substrings, urls, vector_codes, warc,
 )
 from assayer.llm.common import table
 
@@ -236,3 +236,9 @@ def compressed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.with_total(rows, "label", "error", "label_error").select(
         "vec_id", "code", "error", "label_error", F.lit(vector_codes.books_digest(books)).alias("codebooks_sha256")
     )
+
+
+@query("op12_conversation_trie")
+def shared_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = conversation_trie.marked_turns(table(spark, sf_dir, "conversations"))
+    return conversation_trie.prefix_nodes(*conversation_trie.with_lent_heads(turns))
