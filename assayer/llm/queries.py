@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.llm import (
-    bpe, conversation_trie, decontamination, extraction, lines, ngram_join, quality, sharding, substrings, urls, vector_codes, warc,
+    bpe, conversation_trie, decontamination, extraction, lines, mixing, ngram_join, quality, sharding, substrings, urls, vector_codes, warc,
 )
 from assayer.llm.common import table
+from assayer.session import broadcast_if_small
 
 # The registered query uses a public tokenizer where it is installed; the operator takes any path.
 TOKENIZER = "word_bpe_49k.json"
@@ -242,3 +243,14 @@ def compressed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shared_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = conversation_trie.marked_turns(table(spark, sf_dir, "conversations"))
     return conversation_trie.prefix_nodes(*conversation_trie.with_lent_heads(turns))
+
+
+@query("op13_source_mix")
+def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", words.alias("size"))
+    rows, mixed, targets = mixing.mix(docs, F.array("source"), F.col("size"), ["doc_id"])
+    targets = targets.withColumnRenamed("source", "named")
+    return rows.join(broadcast_if_small(targets), F.col("source").eqNullSafe(F.col("named")), "left").select(
+        "doc_id", "size", "source_size", "target", F.col(f"{mixed}.taken").alias("taken")
+    )
