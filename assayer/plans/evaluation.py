@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import dataclass, fields, is_dataclass
 from datetime import datetime, timezone
 from functools import reduce
 from threading import Lock
+from typing import Any
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
@@ -27,6 +28,10 @@ from assayer.sources import datasets
 from assayer.streaming.leaderboard import read_results, run_leaderboard
 
 
+# Where examples come from and what is measured; digests of the examples tell whether these have changed.
+_NOT_IN_PREDICTIONS = {"dataset", "split", "order_by", "sample_size", "metrics"}
+
+
 @dataclass(frozen=True)
 class Evaluation:
     """The outcome of a job: one row per model and task, means per metric, examples."""
@@ -92,8 +97,8 @@ def evaluate(
 
     Under ``output_dir``, ``results`` and ``examples`` collect the rows of all runs by run,
     model and task; ``<run id>`` holds the summary, checkpoints and tables of this one.
-    A ``run_id`` of a run that was stopped goes on from its checkpoints; predictions they hold
-    are not made again. Prompts are built once per task, whatever the number of models. Parsed predictions are
+    A ``run_id`` of an earlier run goes on from its checkpoints, also with other batches or more
+    examples; predictions they hold are not made again, and what is stored of the run is replaced. Prompts are built once per task, whatever the number of models. Parsed predictions are
     written before they are measured, so no metric runs a model again.
     """
     evaluation = evaluation or EvaluationSpec()
@@ -105,9 +110,9 @@ def evaluate(
         def scored(rows: DataFrame) -> DataFrame:
             return score(predict_all(rows, models, task, evaluation.batch_size), task)
 
-        written = _written(examples, scored, task, evaluation, run_id)
+        written = _written(examples, scored, models, task, evaluation, run_id)
         if follows:
-            _follow(_results(written, models, task, evaluation, run_id), f"{evaluation.output_dir}/results", folder, board)
+            _follow(_results(written, models, task, evaluation, run_id), f"{evaluation.output_dir}/results", folder, run_id, board)
         return written
 
     folder = f"{evaluation.output_dir}/{run_id}"
@@ -123,11 +128,11 @@ def evaluate(
     means = summary(frame)
     if evaluation.output_dir:
         if not follows:
-            save_by_run(all_results, f"{evaluation.output_dir}/results", mode="append")
+            save_by_run(all_results, f"{evaluation.output_dir}/results", mode="replace")
         save_summary(all_results, means, run_id, f"{folder}/summary.json")
         if all_details is not None:
             examples = all_details.withColumn("run_id", F.lit(run_id))
-            save_by_run(examples, f"{evaluation.output_dir}/examples", mode="append")
+            save_by_run(examples, f"{evaluation.output_dir}/examples", mode="replace")
         if analysis and analysis.enabled:
             tables = analyses.run_tables(frame, analysis)
             analyses.write_tables(tables, analysis.output_dir or f"{folder}/analysis")
@@ -137,25 +142,40 @@ def evaluate(
     return Evaluation(run_id, all_results, means, all_details)
 
 
-def _follow(results: DataFrame, stored: str, folder: str, board: Lock) -> None:
+def _follow(results: DataFrame, stored: str, folder: str, run_id: str, board: Lock) -> None:
     """Store the results of a task and bring the run's leaderboard up to date."""
-    spark = results.sparkSession
-    run = results.first()["run_id"]
     with board:
-        save_by_run(results, stored, mode="append")
-        arrived = read_results(spark, f"{stored}/run_id={run}")
-        run_leaderboard(arrived, f"{folder}/leaderboard", f"{folder}/leaderboard-progress").awaitTermination()
+        save_by_run(results, stored, mode="replace")
+        arrived = read_results(results.sparkSession, f"{stored}/run_id={run_id}")
+        run_leaderboard(arrived, f"{folder}/leaderboard", f"{folder}/leaderboard-progress", replaced=True).awaitTermination()
 
 
 def _written(
-    examples: DataFrame, scored: Callable[[DataFrame], DataFrame], task: TaskSpec, evaluation: EvaluationSpec, run_id: str
+    examples: DataFrame,
+    scored: Callable[[DataFrame], DataFrame],
+    models: Sequence[ModelSpec],
+    task: TaskSpec,
+    evaluation: EvaluationSpec,
+    run_id: str,
 ) -> DataFrame:
     """The scored predictions, stored; with checkpoints, group by group in the folder of the run."""
     if not (evaluation.checkpoint_batches and evaluation.output_dir):
         return materialize(scored(examples), "predictions")
     key = examples.sparkSession.range(1).select(output_key(F.lit(task.name))).first()[0]
     path = f"{evaluation.output_dir}/{run_id}/checkpoints/{key}"
-    return save_checkpoints(examples, path, evaluation.batch_size, evaluation.checkpoint_batches, scored).drop("flush_group")
+    settings = _settings(models, task)
+    stored = save_checkpoints(examples, path, evaluation.batch_size, evaluation.checkpoint_batches, scored, settings=settings)
+    return stored.drop("flush_group")
+
+
+def _settings(models: Sequence[ModelSpec], task: TaskSpec) -> str:
+    """What predictions depend on besides their prompts; the same in every process."""
+    described = [{k: v for k, v in _fields(x).items() if k not in _NOT_IN_PREDICTIONS} for x in (*models, task)]
+    return json.dumps(described, sort_keys=True, default=lambda x: _fields(x) if is_dataclass(x) else type(x).__qualname__)
+
+
+def _fields(described: Any) -> dict[str, Any]:
+    return {f.name: getattr(described, f.name) for f in fields(described)}
 
 
 def _results(

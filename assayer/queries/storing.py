@@ -15,8 +15,8 @@ from assayer.queries.registry import (
     rounded,
     table,
 )
-from assayer.session import new_path
-from assayer.sinks.writers import save, save_checkpoints
+from assayer.session import materialize, new_path
+from assayer.sinks.writers import save, save_by_run, save_checkpoints
 
 _SCHEMA = "run_id string, model string, task string, metrics map<string,double>, num_examples long"
 _MEANS = f"""SELECT run_id, model, task, metric_name, round(avg(metric_value), 6) AS metric_value, count(*) AS n
@@ -76,3 +76,38 @@ def checkpoint_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max("idx").alias("last_idx"),
         F.sum(F.length("output")).alias("chars"),
     )
+
+
+@query(
+    "checkpoint_resume",
+    f"""SELECT c_custkey // 12 + 1 AS flush_group, count(*) AS n, count(DISTINCT c_custkey) AS examples, min(c_custkey) AS first_idx,
+        max(c_custkey) AS last_idx, CAST(sum(length(output)) AS BIGINT) AS chars
+    FROM {CUSTOMERS} GROUP BY ALL""",
+)
+def checkpoint_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job over two thirds of the rows, then one over all of them with other batches, then once more."""
+    path = new_path(spark, "checkpoints")
+    predictions = materialize(customers(spark, sf_dir).select(F.col("c_custkey").alias("idx"), "output"), "predictions")
+    last = predictions.agg(F.max("idx")).first()[0]
+    save_checkpoints(predictions.where(F.col("idx") <= last * 2 // 3), path, batch_size=8, every_batches=3, parts=3)
+    for _ in range(2):
+        stored = save_checkpoints(predictions, path, batch_size=6, every_batches=2, parts=2)
+    return stored.groupBy("flush_group").agg(
+        F.count("*").alias("n"),
+        F.countDistinct("idx").alias("examples"),
+        F.min("idx").alias("first_idx"),
+        F.max("idx").alias("last_idx"),
+        F.sum(F.length("output")).alias("chars"),
+    )
+
+
+@query("sink_json_replaced", _MEANS)
+def sink_json_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of a run that is repeated take the place of the former ones; the other runs stay."""
+    path = new_path(spark, "json")
+    results = past_results(spark, sf_dir)
+    some = results.where(F.crc32("task") % 2 == 0)
+    save_by_run(results, path)
+    save_by_run(some.withColumn("metrics", F.transform_values("metrics", lambda k, v: v + 1)), path, mode="replace")
+    save_by_run(some, path, mode="replace")
+    return _means(spark.read.schema(f"{_SCHEMA}, model_key string, task_key string").json(path))

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assayer.functions.naming import output_key
 from assayer.operators.positions import flush_group
-
-# Jobs that a checkpointed table is written in at most.
-PARTS = 100
+from assayer.sinks import commits
+from assayer.sinks.commits import PARTS
 
 RUN_KEYS = ("run_id", "model", "task")
 
@@ -35,24 +34,29 @@ def save_by_run(results: DataFrame, path: str, mode: str = "errorifexists") -> N
     """``run_id=…/model_key=…/task_key=…``, with the keys kept as columns too.
 
     Rows are balanced by folder before they are written; a folder that holds most of them
-    is written by several tasks.
+    is written by several tasks. With the mode ``replace`` the rows take the place of earlier
+    ones of their run, model and task, and all others stay.
     """
     keyed = results.withColumns(
         {"model_key": output_key(F.col("model")), "task_key": output_key(F.col("task"))}
     )
     folders = ["run_id", "model_key", "task_key"]
-    keyed.hint("rebalance", *folders).write.mode(mode).partitionBy(*folders).json(path)
+    writer = keyed.hint("rebalance", *folders).write.partitionBy(*folders)
+    if mode == "replace":
+        writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").json(path)
+    else:
+        writer.mode(mode).json(path)
 
 
 def save_summary(results: DataFrame, means: DataFrame, run_id: str, path: str) -> None:
-    """One JSON object for a run: its ``runs``, the mean per metric, its id.
+    """One JSON object for a run: its ``runs``, the mean per metric, its id; a former one is replaced.
 
     It has an entry per model and task and one per metric, which the job lists.
     """
     values = [F.lit(x) for row in means.collect() for x in (row["metric_name"], row["metric_value"])]
     runs = results.agg(F.collect_list(F.struct(*results.columns)).alias("runs"))
     summary = F.create_map(*values).cast("map<string,double>")
-    runs.select("runs", summary.alias("summary"), F.lit(run_id).alias("run_id")).write.json(path)
+    runs.select("runs", summary.alias("summary"), F.lit(run_id).alias("run_id")).write.mode("overwrite").json(path)
 
 
 def save_csv(results: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -72,38 +76,17 @@ def save_checkpoints(
     every_batches: int,
     finish: Callable[[DataFrame], DataFrame] = lambda rows: rows,
     parts: int = PARTS,
+    settings: str = "",
 ) -> DataFrame:
     """Put ``finish`` of the rows into a table in flush groups, and read the table.
 
     ``rows`` are numbered by ``idx`` and cheap to read; ``finish`` (running a model, say) adds
-    what is expensive. A flush group is ``every_batches`` batches; it is a column of the table.
-    Consecutive groups are finished and committed together, in ``parts`` jobs at most, each
-    into a folder of its own (``from=<first idx>``), without a shuffle between ``finish`` and
-    the files. What a run that was stopped has committed is kept when it is started again with
-    the same path, and only the rest is finished.
+    what is expensive. A flush group is ``every_batches`` batches; it is a column of the result.
+    Consecutive groups are finished and committed together, in ``parts`` jobs at most, without a
+    shuffle between ``finish`` and the files. Started again with the same path, whether it was
+    stopped or not, with other batches or more rows, a job makes only what no commit covers; what
+    was made from other rows or with other ``settings`` is made anew (see :mod:`assayer.sinks.commits`).
     """
-    spark = rows.sparkSession
-    ends = rows.agg(F.min("idx").alias("first"), F.max("idx").alias("last")).first()
-    grouped = finish(rows).withColumn("flush_group", flush_group(F.col("idx"), batch_size, every_batches))
-    if ends["first"] is None:
-        grouped.write.mode("ignore").parquet(f"{path}/from=0")
-        return spark.read.parquet(path).drop("from")
-    size = batch_size * every_batches
-    first = ends["first"] // size * size
-    step = max(-(-(ends["last"] + 1 - first) // (size * parts)), 1) * size
-    for start in range(first, ends["last"] + 1, step):
-        part = f"{path}/from={start}"
-        if not _committed(spark, part):
-            chosen = finish(rows.where(F.col("idx").between(start, start + step - 1)))
-            chosen = chosen.withColumn("flush_group", flush_group(F.col("idx"), batch_size, every_batches))
-            chosen.write.mode("overwrite").parquet(part)
-    return spark.read.parquet(path).drop("from")
-
-
-def _committed(spark: SparkSession, path: str) -> bool:
-    """Whether a write to the folder has ended; one that was stopped has left no file with a schema."""
-    try:
-        spark.read.parquet(path)
-    except AnalysisException:
-        return False
-    return True
+    made_with = json.dumps({"batch_size": batch_size, "every_batches": every_batches})
+    stored = commits.complete(rows, path, finish, batch_size * every_batches, parts, settings, made_with)
+    return stored.withColumn("flush_group", flush_group(F.col("idx"), batch_size, every_batches))

@@ -17,30 +17,39 @@ def read_results(spark: SparkSession, path: str, files_per_trigger: int | None =
     reader = spark.readStream.schema(RESULT_LINE).option("recursiveFileLookup", "true")
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.json(path)
+    return reader.json(path).select("*", F.col("_metadata.file_modification_time").alias("stored_at"))
+
+
+def latest_results(results: DataFrame) -> DataFrame:
+    """The value of every metric of a run and task that was stored last; the state is one row for each."""
+    values = results.select("run_id", "model", "task", "stored_at", F.explode("metrics").alias("metric_name", "metric_value"))
+    newest = F.max_by("metric_value", "stored_at").alias("metric_value")
+    return values.where("metric_value IS NOT NULL").groupBy("run_id", "model", "task", "metric_name").agg(newest)
+
+
+def _board(values: DataFrame) -> DataFrame:
+    return values.groupBy("metric_name", "model").agg(F.avg("metric_value").alias("metric_value"), F.count("*").alias("n_results"))
 
 
 def leaderboard(results: DataFrame) -> DataFrame:
     """Running mean and count per metric and model; the state is one row for each."""
-    return (
-        unpivot_metrics(results)
-        .groupBy("metric_name", "model")
-        .agg(F.avg("metric_value").alias("metric_value"), F.count("*").alias("n_results"))
-    )
+    return _board(unpivot_metrics(results))
 
 
-def run_leaderboard(results: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
+def run_leaderboard(results: DataFrame, table: str, checkpoint: str, replaced: bool = False) -> StreamingQuery:
     """Keep ``table`` (a folder) at the latest leaderboard, through all results now present.
 
     Every batch writes its own ``batch_id`` folder, so a batch that is run again after a
-    failure replaces itself.
+    failure replaces itself. If results can be ``replaced``, one that is stored again takes the
+    place of the former one of its run, model and task; otherwise every line counts.
     """
 
     def write(latest: DataFrame, batch_id: int) -> None:
-        latest.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
+        board = _board(latest) if replaced else latest
+        board.write.mode("overwrite").parquet(f"{table}/batch_id={batch_id}")
 
     return (
-        leaderboard(results)
+        (latest_results(results) if replaced else leaderboard(results))
         .writeStream.outputMode("complete")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
