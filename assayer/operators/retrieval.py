@@ -2,31 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assayer.functions.templates import render_values
+from assayer.operators.block_search import CHUNK_ROWS, SCORE_DIGITS, BlockSearch
 from assayer.operators.embedding import embed_hashed
 from assayer.operators.joins import join_spread
 from assayer.session import broadcast_if_small, materialize
 
-# Scores are compared at this many decimals, so copies of a vector tie exactly.
-SCORE_DIGITS = 12
-
 # The query side goes to every task only up to so many bytes of vectors.
 BROADCAST_BYTES = 8 * 1024 * 1024
 
 # Bytes of the ids that go to every task so that only texts with a hit move.
 ID_BYTES = 8 * 1024 * 1024
 
-# Numbers per side of one cell when both sides are large (64 MB). What is shuffled falls
-# with the size of the blocks: every row meets each block of the other side.
-BLOCK_NUMBERS = 8 * 1024 * 1024
+# Numbers of the queries that meet the corpus in one scan of it when both sides are large (64 MB).
+GROUP_NUMBERS = 8 * 1024 * 1024
+
+# Vectors of the corpus that give the first lower bounds of what a hit must reach, at most.
+SAMPLE_ROWS = 100_000
 
 # Columns of one score matrix, which bounds its memory.
 _SCORE_COLUMNS = 4_096
@@ -52,6 +53,7 @@ def top_k(
     broadcast_bytes: int = BROADCAST_BYTES,
     block_rows: int | None = None,
     checked: bool = False,
+    stored: bool = False,
 ) -> DataFrame:
     """The ``k`` corpus rows with the highest inner product for every query.
 
@@ -61,8 +63,11 @@ def top_k(
 
     Query vectors are written first, so that a model that makes them runs once. A query
     side of at most ``broadcast_bytes`` goes to every task, and the corpus is scanned where
-    it lies, once. Otherwise both sides are hashed into blocks of bounded size that meet in a
-    grid. Either way a task keeps only its own best ``k`` per query; pairs are never written.
+    it lies, once. A larger one goes in groups of bounded size, each with a scan of its own, in
+    which query blocks visit the corpus in the order of upper bounds (see
+    :mod:`assayer.operators.block_search`; ``block_rows`` is the size of a group). The corpus is
+    never shuffled; unless it is ``stored`` already it is written as it lies, so that a model that
+    makes it runs once. A task keeps only its own best ``k`` per query; pairs are never written.
     Vectors must not be null and must have one length on both sides.
     """
     if k < 1:
@@ -80,9 +85,8 @@ def top_k(
     if size["rows"] * width * 8 <= broadcast_bytes:
         partial = _scan(queries.toArrow(), corpus, k)
     else:
-        # The corpus is read twice: to be counted, and to be placed.
-        rows = block_rows or max(BLOCK_NUMBERS // width, 1)
-        partial = _grid(queries, materialize(corpus, "corpus"), k, rows)
+        rows = block_rows or max(GROUP_NUMBERS // width, 1)
+        partial = _by_bounds(queries, corpus if stored else materialize(corpus, "corpus"), k, rows, size["rows"])
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "corpus_id")
     return (
         partial.withColumn("rank", F.row_number().over(best))
@@ -112,27 +116,59 @@ def _scan(queries: pa.Table, corpus: DataFrame, k: int) -> DataFrame:
     return corpus.mapInArrow(scan, _PARTIAL)
 
 
-def _grid(queries: DataFrame, corpus: DataFrame, k: int, block_rows: int) -> DataFrame:
-    """Every query block meets every corpus block in one cell of a grid."""
-    query_blocks = -(-queries.count() // block_rows)
-    corpus_blocks = -(-corpus.count() // block_rows)
-
-    def blocked(df: DataFrame, key: str, own: str, n: int, other: str, m: int) -> DataFrame:
-        first, last = F.lit(0).cast("long"), F.lit(max(m, 1) - 1).cast("long")
-        block = F.pmod(F.xxhash64(key), F.lit(max(n, 1)))
-        return df.withColumn(own, block).withColumn(other, F.explode(F.sequence(first, last)))
-
-    left = blocked(queries, "query_id", "qb", query_blocks, "cb", corpus_blocks)
-    right = blocked(corpus, "corpus_id", "cb", corpus_blocks, "qb", query_blocks)
+def _by_bounds(queries: DataFrame, corpus: DataFrame, k: int, group_rows: int, n_queries: int) -> DataFrame:
+    """The candidates of all query groups, each from a scan of the corpus; written group by group.
 
-    def cell(left: pa.Table, right: pa.Table) -> pa.Table:
-        query_ids, query_vectors = _matrix(left.select(["query_id", "v"]))
-        best = _Best(len(query_ids), k)
-        if left.num_rows and right.num_rows:
-            best.add(query_vectors, *_matrix(right.select(["corpus_id", "v"])))
-        return best.table(query_ids)
-
-    return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInArrow(cell, _PARTIAL)
+    Before the scan a group is scored against a sample of the corpus: what its k-th best hit reaches
+    there, the k-th best of all reaches as well, so tasks send little that is not a hit.
+    """
+    spark = queries.sparkSession
+    n_groups = -(-n_queries // group_rows)
+    grouped = queries.withColumn("group", F.pmod(F.xxhash64("query_id"), F.lit(n_groups)))
+    rate = min(SAMPLE_ROWS / max(corpus.count(), 1), 0.05)
+    chosen = corpus.where(F.pmod(F.xxhash64(F.col("corpus_id"), F.lit(1)), F.lit(1 << 30)) < int(rate * (1 << 30)))
+    sample = materialize(chosen, "corpus-sample").coalesce(8)
+    found = []
+    for group in range(n_groups):
+        ids, vectors = _matrix(grouped.where(F.col("group") == group).select("query_id", "v").toArrow())
+        if not len(ids):
+            continue
+        first = sample.mapInArrow(_search(spark, ids, vectors, k, np.full(len(ids), -np.inf)), _PARTIAL)
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"))
+        known = first.withColumn("rank", F.row_number().over(order)).where(F.col("rank") == k).select("query_id", "score").toArrow()
+        least = np.full(len(ids), -np.inf)
+        least[np.searchsorted(ids, known.column("query_id").to_numpy())] = known.column("score").to_numpy()
+        found.append(materialize(corpus.mapInArrow(_search(spark, ids, vectors, k, least), _PARTIAL), "candidates"))
+    return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], _PARTIAL)
+
+
+def _search(
+    spark: SparkSession, ids: np.ndarray, vectors: np.ndarray, k: int, known: np.ndarray
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    shared = spark.sparkContext.broadcast((ids, vectors, known))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_ids, query_vectors, least = shared.value
+        best = BlockSearch(query_vectors, k, least)
+        for part in chunks(batches):
+            best.add(*_matrix(part))
+        row, hits, scores = best.hits()
+        found = pa.table({"query_id": query_ids[row].astype(np.int64), "corpus_id": hits, "score": scores})
+        yield from found.to_batches()
+
+    return search
+
+
+def chunks(batches: Iterator[pa.RecordBatch], rows: int = CHUNK_ROWS) -> Iterator[pa.Table]:
+    """Batches put together into tables of at least ``rows`` rows; the last one is as it is."""
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        waiting.append(batch)
+        if sum(map(len, waiting)) >= rows:
+            yield pa.Table.from_batches(waiting)
+            waiting = []
+    if waiting:
+        yield pa.Table.from_batches(waiting)
 
 
 def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:

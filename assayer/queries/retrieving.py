@@ -37,9 +37,9 @@ def rag_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("rag_topk_blocked", _TOP3)
 def rag_topk_blocked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The form for two large sides: no broadcast, blocks of bounded size."""
+    """The form for two large sides: queries in groups, the corpus scanned where it lies, blocks in the order of bounds."""
     queries, corpus = _vectors(spark, sf_dir, "query_id"), _vectors(spark, sf_dir, "corpus_id")
-    hits = top_k(queries, corpus, 3, broadcast_bytes=0, block_rows=256)
+    hits = top_k(queries, corpus, 3, broadcast_bytes=0, block_rows=1024, stored=True)
     return hits.withColumn("score", rounded("score"))
 
 
