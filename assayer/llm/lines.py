@@ -22,8 +22,10 @@ page that would lose every line keeps its text, so that no group of copies vanis
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from assayer.llm import ngram_join
 from assayer.llm.common import fresh
@@ -31,15 +33,16 @@ from assayer.session import materialize
 
 RATIO = 0.05
 MIN_PAGES = 5
-#: Boilerplate lines (16 bytes each and the site's name) that may go to every task.
+#: Boilerplate lines (34 bytes each and the site's name) that may go to every task.
 SENT_LINES = 200_000
 
 _BLANK = " \t\x0b\x0c\r"
 
 
 def _hashes(line: Column) -> Column:
+    """128 bits as text: sets of texts are hashed, sets of structs would be searched pair by pair."""
     bare = F.btrim(line, F.lit(_BLANK))
-    return F.struct(F.xxhash64(bare).alias("a"), F.xxhash64(F.lit(5), bare).alias("b"))
+    return F.concat_ws(":", F.hex(F.xxhash64(bare)), F.hex(F.xxhash64(F.lit(5), bare)))
 
 
 def _solid(lines: Column) -> Column:
@@ -51,11 +54,11 @@ def _line_hashes(text: str) -> Column:
 
 
 def _above(pages: DataFrame, ratio: float, min_pages: int) -> DataFrame:
-    """(site, a, b, pages, total) from pages as (site, lines)."""
+    """(site, line, pages, total) from pages as (site, lines)."""
     totals = pages.groupBy("site").agg(F.count("*").alias("total"))
     counts = (
         pages.select("site", F.explode("lines").alias("line"))
-        .groupBy("site", "line.a", "line.b")
+        .groupBy("site", "line")
         .agg(F.count("*").alias("pages"))
         .where(F.col("pages") >= min_pages)
     )
@@ -63,14 +66,24 @@ def _above(pages: DataFrame, ratio: float, min_pages: int) -> DataFrame:
 
 
 def boilerplate(pages: DataFrame, site: str, text: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(site, a, b, pages, total): the hashes of the lines above the ratio, with their counts."""
+    """(site, line, pages, total): the hashes of the lines above the ratio, with their counts."""
     named = pages.where(F.col(site).isNotNull())
     return _above(named.select(F.col(site).alias("site"), _line_hashes(text).alias("lines")), ratio, min_pages)
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _places_without(hashes: pd.Series, listed: pd.Series) -> pd.Series:
+    """Places of the hashes that are not listed; null (a blank line) never is."""
+    out = []
+    for own, bad in zip(hashes, listed):
+        gone = set() if bad is None else set(bad)
+        out.append(None if own is None else [i for i, h in enumerate(own) if h not in gone])
+    return pd.Series(out, dtype=object)
+
+
 def _by_site(found: DataFrame, site: str, listed: str) -> DataFrame:
     """The lines of each site in one list, sent to every task where all of them are few."""
-    lists = found.groupBy(F.col("site").alias(site)).agg(F.collect_list(F.struct("a", "b")).alias(listed))
+    lists = found.groupBy(F.col("site").alias(site)).agg(F.collect_list("line").alias(listed))
     return F.broadcast(lists) if found.count() <= SENT_LINES else lists
 
 
@@ -96,12 +109,12 @@ def boilerplate_without_copies(
     spare = grouped.groupBy("site", "component").agg((F.count("*") - 1).alias("more")).groupBy("site").agg(F.sum("more").alias("more"))
     counts = (
         grouped.select("site", F.explode("lines").alias("line"), "component")
-        .groupBy("site", "line.a", "line.b", "component").agg(F.lit(1).alias("one"))
-        .groupBy("site", "a", "b").agg(F.count("*").alias("pages"))
+        .groupBy("site", "line", "component").agg(F.lit(1).alias("one"))
+        .groupBy("site", "line").agg(F.count("*").alias("pages"))
         .where(F.col("pages") >= min_pages)
     )
-    counts = found.select("site", "a", "b", "total").join(counts, ["site", "a", "b"]).join(spare, "site")
-    counts = counts.select("site", "a", "b", "pages", (F.col("total") - F.col("more")).alias("total"))
+    counts = found.select("site", "line", "total").join(counts, ["site", "line"]).join(spare, "site")
+    counts = counts.select("site", "line", "pages", (F.col("total") - F.col("more")).alias("total"))
     return counts.where(F.col("pages") > F.col("total") * F.lit(ratio))
 
 
@@ -129,10 +142,12 @@ def drop_boilerplate(
     key, listed, lines, kept = (fresh(x, [*pages.columns, *filter(None, [dropped])]) for x in ("_site", "_lines", "_split", "_kept"))
     by_site = _by_site(found, key, listed)
     rows = pages.join(by_site, F.col(site) == F.col(key), "left").withColumn(lines, F.split(F.col(text), "\n"))
-    stays = F.filter(
-        lines,
-        lambda x: (F.btrim(x, F.lit(_BLANK)) == "") | ~F.array_contains(F.col(listed), _hashes(x)),
-    )
+    # What of a page is listed, then its places: both in time that grows with the page, not with its square.
+    hashes = F.transform(lines, lambda x: F.when(F.btrim(x, F.lit(_BLANK)) != "", _hashes(x)))
+    bad = F.array_intersect(F.array_compact(hashes), F.col(listed))
+    rows = rows.withColumn(listed, F.when(F.size(bad) > 0, bad))
+    places = _places_without(F.when(F.col(listed).isNotNull(), hashes), F.col(listed))
+    stays = F.transform(places, lambda i: F.get(F.col(lines), i))
     rows = rows.withColumn(kept, F.when(F.col(listed).isNull(), F.col(lines)).otherwise(stays))
     if copies:
         rows = rows.withColumn(kept, F.when(F.size(_solid(F.col(kept))) > 0, F.col(kept)).otherwise(F.col(lines)))

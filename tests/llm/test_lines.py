@@ -1,8 +1,11 @@
 """Boilerplate lines on a small site, against the definition."""
 
 import random
+import time
 
 import corpus_pipeline
+from pyspark.sql import functions as F
+
 from assayer.llm import lines
 
 BLANK = " \t\x0b\x0c\r"
@@ -72,3 +75,15 @@ def test_no_text_loses_every_line_where_copies_count_once(spark):
     docs = spark.createDataFrame([(i, "a", f"{a}\n \n{b}") for i, (a, b) in enumerate([("x", "y"), ("y", "x"), ("x", "z"), ("x", "u"), ("y", "v")])], "doc_id long, source string, text string")
     got = lines.drop_boilerplate(docs, min_pages=2, dropped="gone", copies=(5, 80)).orderBy("doc_id").collect()
     assert [(r["text"], r["gone"]) for r in got] == [("x\n \ny", 0), ("y\n \nx", 0), (" \nz", 1), (" \nu", 1), (" \nv", 1)]
+
+
+def test_long_texts_of_distinct_lines_take_linear_time(spark):
+    """A site of equal pages of 100,000 lines: every line is boilerplate, but for one of each page."""
+    start = time.perf_counter()
+    texts = spark.range(6, numPartitions=3).select(
+        F.lit("s").alias("source"),
+        F.concat_ws("\n", F.concat(F.lit("own "), F.col("id").cast("string")), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(100_000)), lambda i: F.concat(F.lit("line "), i.cast("string"))), "\n")).alias("text"),
+    )
+    got = lines.drop_boilerplate(texts, dropped="gone").collect()
+    assert sorted((r["text"], r["gone"]) for r in got) == [(f"own {i}", 100_000) for i in range(6)]
+    assert time.perf_counter() - start < 60
