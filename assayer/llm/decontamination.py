@@ -63,10 +63,20 @@ class SuffixAutomaton:
             state = 0
             for word in words:
                 state = self._extend(state, word)
+        # By state, the suffix of its stretches that is a whole window; links lead to shorter stretches.
+        self.whole = [0] * len(self.link)
+        by_length = sorted(range(1, len(self.link)), key=self.length.__getitem__)
+        for state in by_length:
+            link = self.link[state]
+            self.whole[state] = self.whole[link] if self.length[link] >= window else state
         self.windows: dict[int, set[str | None]] = {}  # by the state of a whole window
-        self.shorts: dict[int, list[tuple[int, str | None]]] = {}  # by state: short items, with their length
+        self.shorts: dict[int, dict[int, set[str | None]]] = {}  # by state: short items, by their length
         for name, words in items:
             self._mark(name, words)
+        # By state, itself or its longest suffix that is a short item; 0 if there is none.
+        self.short = [0] * len(self.link)
+        for state in by_length if self.shorts else ():
+            self.short[state] = state if state in self.shorts else self.short[self.link[state]]
 
     def _state(self, length: int, go: dict[bytes, int], link: int) -> int:
         self.go.append(go)
@@ -102,17 +112,11 @@ class SuffixAutomaton:
             state = 0
             for word in words:
                 state = self.go[state][word]
-            self.shorts.setdefault(state, []).append((len(words), name))
+            self.shorts.setdefault(state, {}).setdefault(len(words), set()).add(name)
             return
         for _, state, length in self._walk(words):
             if length >= self.window:
-                self.windows.setdefault(self._whole_window(state), set()).add(name)
-
-    def _whole_window(self, state: int) -> int:
-        """The state of the last ``window`` words of a longer stretch."""
-        while self.length[self.link[state]] >= self.window:
-            state = self.link[state]
-        return state
+                self.windows.setdefault(self.whole[state], set()).add(name)
 
     def _walk(self, words: list[bytes]) -> Iterator[tuple[int, int, int]]:
         """For every word that ends a known stretch: position, state, length of the longest."""
@@ -139,7 +143,7 @@ class SuffixAutomaton:
             return self._match_all(words)
         go, link, lengths, root, window = self.go, self.link, self.length, self.go[0], self.window
         hits: list[tuple[int, int]] = []
-        names: set[str | None] = set()
+        seen: set[int] = set()
         state = length = 0
         # As in _walk, written out: this loop sees every word of the corpus.
         for i, word in enumerate(words):
@@ -148,7 +152,7 @@ class SuffixAutomaton:
                 length += 1
                 state = step
                 if length >= window:
-                    names |= self.windows[self._whole_window(state)]
+                    seen.add(self.whole[state])
                     _add(hits, i + 1 - window, i + 1)
             elif word not in root:
                 state = length = 0
@@ -159,23 +163,32 @@ class SuffixAutomaton:
                 length = lengths[state] + 1
                 state = step
                 if length >= window:
-                    names |= self.windows[self._whole_window(state)]
+                    seen.add(self.whole[state])
                     _add(hits, i + 1 - window, i + 1)
-        return hits, names
+        return hits, self._names(seen)
+
+    def _names(self, windows: set[int]) -> set[str | None]:
+        return set().union(*(self.windows[w] for w in windows))
 
     def _match_all(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[str | None]]:
         found: list[tuple[int, int]] = []
-        names: set[str | None] = set()
+        seen: set[int] = set()
+        short: set[tuple[int, int]] = set()
         for i, state, length in self._walk(words):
+            start = i + 1
             if length >= self.window:
-                names |= self.windows[self._whole_window(state)]
-                found.append((i + 1 - self.window, i + 1))
-            while state > 0:  # suffixes of the stretch that are short items
-                for size, name in self.shorts.get(state, ()):
+                seen.add(self.whole[state])
+                start = i + 1 - self.window
+            state = self.short[state]
+            while state:  # suffixes of the stretch that are short items, at most one for each length
+                for size in self.shorts[state]:
                     if size <= length:
-                        names.add(name)
-                        found.append((i + 1 - size, i + 1))
-                state = self.link[state]
+                        short.add((state, size))
+                        start = min(start, i + 1 - size)
+                state = self.short[self.link[state]]
+            if start <= i:
+                found.append((start, i + 1))
+        names = self._names(seen).union(*(self.shorts[state][size] for state, size in short))
         return merged(found), names
 
 

@@ -1,6 +1,7 @@
 """The automaton against all windows, and documents cut where it hits."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -74,3 +75,22 @@ def test_items_that_are_null_empty_or_absent(spark):
     assert [r["found"]["n_hit"] for r in dc.find(docs, nothing).collect()] == [0, 0]
     assert dc.decontaminate(docs, nothing).count() == 2
     assert dc.find(docs.where(F.lit(False)), items).collect() == []
+
+
+def test_repeated_words_take_linear_time():
+    start = time.process_time()
+    n = 100_000
+    items = [("long", [b"a"] * n), ("short", [b"a"] * 3), ("pair", [b"a", b"b"]), ("one", [b"b"])]
+    for chosen in (items[:1], items):
+        automaton = dc.SuffixAutomaton(chosen, 10)
+        ranges, names = automaton.match([b"a"] * n + [b"b"])
+        assert ranges == [(0, n + len(chosen) // 4)] and names == {name for name, _ in chosen}
+    assert time.process_time() - start < 20
+
+
+def test_short_items_of_one_state():
+    """Items of several lengths that end in the same places."""
+    automaton = dc.SuffixAutomaton([("x", [b"b"]), ("y", [b"a", b"b"]), ("z", [b"c", b"a", b"b"])], 10)
+    assert automaton.match([b"b"]) == ([(0, 1)], {"x"})
+    assert automaton.match([b"a", b"b"]) == ([(0, 2)], {"x", "y"})
+    assert automaton.match([b"c", b"a", b"b", b"b"]) == ([(0, 4)], {"x", "y", "z"})
