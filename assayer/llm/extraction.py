@@ -32,23 +32,21 @@ _TAG_COST = 0.05
 
 #: Weights of features that no labelled page has, by their first words.
 DEFAULT = {
-    "word in": 1.0, "word out": -2.0, "word aside": -0.02, "word block": 1.0, "word link": -1.0,
-    "tag in": -_TAG_COST, "tag out": -0.5, "tag aside": -_TAG_COST, "tag block": -0.2,
+    "word aside": -0.02, "word block": 1.0, "word link": -1.0, "tag aside": -_TAG_COST, "tag block": -0.2,
 }
 
 Weights = dict[str, float]
 
 
-def _feature(piece: Piece, marked: bool) -> str:
-    """What a piece is scored by: where a page marks its main text, that; otherwise its block.
+def _feature(piece: Piece) -> str:
+    """What a piece is scored by: the block that it is or stands in, and whether it is a link.
 
-    What stands aside is left out of the text in any case, so it hardly counts.
+    A page's own mark of its main text labels pages to learn from; it is no feature. What stands
+    aside is left out of the text in any case, so it hardly counts.
     """
     kind = "tag" if piece.tag else "word"
     if piece.aside:
         return f"{kind} aside"
-    if marked:
-        return f"{kind} in" if piece.main else f"{kind} out"
     if piece.tag:
         name = piece.tag.lstrip("/")
         return f"tag block {name}" if name in BLOCK else "tag block"
@@ -65,8 +63,7 @@ def count_features(page: str) -> Iterator[tuple[str, int, int]]:
     for piece in pieces(page):
         n = 1 if piece.tag else len(piece.text.split())
         if n and not piece.aside:
-            for marked in (True, False):
-                counts.setdefault(_feature(piece, marked), [0, 0])[0 if piece.main else 1] += n
+            counts.setdefault(_feature(piece), [0, 0])[0 if piece.main else 1] += n
     return ((f, a, b) for f, (a, b) in counts.items())
 
 
@@ -123,9 +120,8 @@ def extract(page: str | None, weights: Weights) -> str:
     """The main text of a page, blocks separated by empty lines."""
     parts = list(pieces(page or ""))
     scores = []
-    marked = any(piece.main for piece in parts)
     for piece in parts:
-        feature = _feature(piece, marked)
+        feature = _feature(piece)
         weight = weights.get(feature)
         if weight is None:
             weight = weights[feature] = _fallback(feature)

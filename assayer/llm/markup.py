@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -38,6 +39,14 @@ ASIDE_NAMES = frozenset(
     "pagination popup promo recommended related replies reply respond search share sharing sidebar signup skip social "
     "sponsor sponsored subscribe toc toolbar widget".split()
 )
+#: Words that only say where or in what form, beside which such a name still means the same ("nav-left", "comment-list").
+PLACE_NAMES = frozenset(
+    "area bar body bottom box button buttons center column container content fixed float footer form global group head "
+    "header holder home icons inner item items layout left line link links list main mobile module outer page panel "
+    "primary right row secondary section site slot sticky sub tab text title top unit wrap wrapper".split()
+)
+#: Names of what readers have written, also where an element marks it as an article.
+READER_NAMES = frozenset("comment comments disqus replies reply respond".split())
 MAIN = frozenset(("article", "main"))
 #: A start tag of the key ends an open element of these, with no end tag of its own.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -54,19 +63,31 @@ class Piece(NamedTuple):
     aside: bool  # inside navigation, a form, an advert, or the like
 
 
+def _named(attributes: str, words: frozenset[str]) -> bool:
+    """Whether a class, id or role is one of the words, alone or with words of place ("site-footer")."""
+    for values in _NAMED.findall(attributes):
+        for name in "".join(values).split():
+            parts = {part.lower() for part in _PART.findall(name)}
+            if not words.isdisjoint(parts) and parts <= words | PLACE_NAMES:
+                return True
+    return False
+
+
 def _set_aside(name: str, attributes: str, main: bool) -> bool:
     if name in ASIDE or (name == "header" and not main):
         return True
-    if "=" not in attributes or name in ("html", "body", "article", "main", "p", "h1"):
+    if "=" not in attributes or name in ("html", "body", "main", "p", "h1"):
         return False
-    parts = {part.lower() for values in _NAMED.findall(attributes) for part in _PART.findall("".join(values))}
+    if name == "article":
+        return _named(attributes, READER_NAMES)
     # The head of an article holds its title.
-    return not ASIDE_NAMES.isdisjoint(parts - {"header"} if main else parts)
+    return _named(attributes, ASIDE_NAMES - {"header"} if main else ASIDE_NAMES)
 
 
 def pieces(page: str) -> Iterator[Piece]:
     """The tags and texts of a page in order; comments, declarations, scripts and styles have none."""
     open_elements: list[tuple[str, str, bool, bool, bool]] = []
+    n_open: Counter[str] = Counter()
     block, link, main, aside = "body", False, False, False
     at, size = 0, len(page)
     while at < size:
@@ -80,13 +101,15 @@ def pieces(page: str) -> Iterator[Piece]:
             continue
         name = name.lower()
         if token[1]:
-            at_open = next((i for i in range(len(open_elements) - 1, -1, -1) if open_elements[i][0] == name), None)
-            if at_open is not None:
-                _, block, link, main, aside = open_elements[at_open]
-                del open_elements[at_open:]
+            # Without a start it ends nothing; otherwise what is left behind is passed once and gone.
+            ends = n_open[name] > 0
+            while ends:
+                last, block, link, main, aside = open_elements.pop()
+                n_open[last] -= 1
+                ends = last != name
             yield Piece("/" + name, "", block, link, main, aside)
             continue
-        if name in VOID or token[3].endswith("/"):
+        if name in VOID:  # a slash before the end of any other start tag has no meaning
             yield Piece(name, "", block, link, main, aside)
             continue
         if name in RAW:
@@ -97,9 +120,11 @@ def pieces(page: str) -> Iterator[Piece]:
         if name in BLOCK and open_elements and open_elements[-1][0] == "p":
             ended = {"p"}
         if open_elements and open_elements[-1][0] in ended:
-            _, block, link, main, aside = open_elements.pop()
+            last, block, link, main, aside = open_elements.pop()
+            n_open[last] -= 1
         yield Piece(name, "", block, link, main, aside)
         open_elements.append((name, block, link, main, aside))
+        n_open[name] += 1
         block = name if name in BLOCK else block
         link = link or name == "a"
         aside = aside or _set_aside(name, token[3], main)

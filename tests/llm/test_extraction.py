@@ -3,6 +3,7 @@
 import itertools
 import random
 import re
+import time
 
 from assayer.llm import extraction
 from assayer.llm.markup import blocks, pieces
@@ -74,3 +75,36 @@ def test_tables(spark):
     got = sorted((r["id"], r["text"]) for r in extraction.extract_text(pages).collect())
     assert got == [(1, TEXT), (1, TEXT), (2, ""), (3, ""), (4, ("word " * 50_000).strip())]
     assert extraction.extract_text(pages.limit(0)).collect() == []
+
+
+def test_what_html_says_and_what_names_mean():
+    def text(page):
+        return extraction.extract(page, weights())
+
+    # A slash before the end of a start tag ends no script, quoted or not.
+    for tag in ('<script src="a.js"/>', "<script src=/x/>"):
+        assert text(f"<article><p>kept words</p>{tag}var secret = 1;</script><p>more words</p></article>") == "kept words\n\nmore words"
+    assert text("<article><div/><p>inside it</p></article>") == "inside it"
+    # A listed word as a part of another name says nothing.
+    for name in ("share-of-market", "related-work", "commentary", "ad-hoc-methods"):
+        assert text(f'<article><p>first words</p><div class="{name}"><p>second words</p></div></article>') == "first words\n\nsecond words"
+    for name in ("share-buttons", "site-footer", "comment-list", "nav_left", "box sidebarRight"):
+        assert text(f'<article><p>first words</p><div class="{name}"><p>second words</p></div></article>') == "first words"
+    # Readers' comments are set aside also where they are articles.
+    comment = '<article class="comment"><p>I say it was better before</p></article>'
+    assert text(f"<main><article><p>first words</p></article>{comment}</main>") == "first words"
+
+
+def test_the_mark_is_no_feature():
+    """With marks renamed the learned weights find the same text."""
+    page = PAGE.format(article=f"<article>{INNER}</article>")
+    assert extraction.extract(page.replace("article>", "div>"), weights()) == extraction.extract(page, weights()) == TEXT
+    assert not any("in" in f.split() or "out" in f.split() for f in weights())
+
+
+def test_deep_and_unbalanced_markup_takes_linear_time():
+    start = time.process_time()
+    n = 100_000
+    for page in ("<div>" * n + "</span>" * n + "words", "<div><b>" * n + "</div>" * n, "<p><span>" * n, "</div>" * n + "<a>" * n):
+        assert sum(1 for _ in pieces(page)) >= 2 * n
+    assert time.process_time() - start < 20
