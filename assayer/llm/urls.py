@@ -88,16 +88,19 @@ class Segmenter:
         self.unknown = math.log(1 / total)
         self.split = lru_cache(1 << 14)(self._split)
 
-    def _cost(self, word: str) -> float:
-        """An unknown word is the less probable the longer it is."""
-        return self.known.get(word, self.unknown - 2.3 * len(word))
+    def _cost(self, text: str, start: int = 0, end: int | None = None) -> float:
+        """Of the word from ``start`` to ``end``; an unknown one is the less probable the longer it is."""
+        end = len(text) if end is None else end
+        length = end - start
+        unknown = self.unknown - 2.3 * length
+        return unknown if length > self.longest else self.known.get(text[start:end], unknown)
 
     def _split(self, text: str) -> tuple[str, ...]:
         best, back = [0.0], [0]
         for end in range(1, len(text) + 1):
             # A whole unknown run stays whole, so the start of the text is always a candidate.
             starts = {0, *range(max(0, end - self.longest), end)}
-            score, start = max((best[s] + self._cost(text[s:end]), -s) for s in starts)
+            score, start = max((best[s] + self._cost(text, s, end), -s) for s in starts)
             best.append(score)
             back.append(-start)
         words, end = [], len(text)

@@ -1,5 +1,6 @@
 """Parts of URLs, rules, segmentation and the classifier."""
 
+import time
 from itertools import combinations
 
 from assayer.llm import urls
@@ -75,3 +76,11 @@ def test_empty_and_one_sided_tables(spark):
     assert urls.judge(empty, RULES).collect() == []
     one = spark.createDataFrame([("http://a.net/",)], "url string")
     assert [r["judged"]["verdict"] for r in urls.judge(one, RULES).collect()] == ["allow"]
+
+
+def test_long_runs_take_linear_time():
+    start = time.process_time()
+    segmenter = urls.Segmenter({"cheap": 5, "pills": 3})
+    assert segmenter.split("cheappills" * 10_000) == ("cheap", "pills") * 10_000
+    assert segmenter.split("q" * 100_000) == ("q" * 100_000,)
+    assert time.process_time() - start < 20
