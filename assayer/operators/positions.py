@@ -13,6 +13,14 @@ from assayer.session import broadcast_if_small, materialize
 _DRIVER_HEAD = 100_000
 
 
+def unused(name: str, df: DataFrame) -> str:
+    """``name``, with underscores added until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def with_position(
     df: DataFrame,
     order: Sequence[str],
@@ -24,15 +32,14 @@ def with_position(
 
     Rows are range-partitioned on group and order, so a group of any size spreads over
     many tasks. Each task numbers its own rows; a table with one line per task and group
-    then shifts them. ``order`` must be unique inside a group.
+    then shifts them. ``order`` must be unique inside a group. Columns of any name stay as they are.
     """
     if name in df.columns:
         raise ValueError(f"There is a column '{name}' already")
     keys = [*within, *order]
     laid_out = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
-    return number_in_place(
-        laid_out.withColumn("_part", F.spark_partition_id()), "_part", within, name, start
-    )
+    part = unused("_part", df)
+    return number_in_place(laid_out.withColumn(part, F.spark_partition_id()), part, within, name, start)
 
 
 def with_file_position(
@@ -44,36 +51,36 @@ def with_file_position(
     is in order, and a table with one line per split shifts the numbers. ``df`` must not have
     been shuffled since it was read; rows may have been filtered out.
     """
-    part = F.struct(F.col(file).alias("file"), F.col(split).alias("split"))
-    return number_in_place(df.withColumn("_part", part), "_part", (), name, start)
+    place = F.struct(F.col(file).alias("file"), F.col(split).alias("split"))
+    part = unused("_part", df)
+    return number_in_place(df.withColumn(part, place), part, (), name, start)
 
 
 def number_in_place(
     df: DataFrame, part: str, within: Sequence[str], name: str, start: int
 ) -> DataFrame:
     """Number rows that already lie in order inside each value of ``part``."""
-    laid_out = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "positions")
-    stretch_keys = [part, *within]
-    stretches = laid_out.groupBy(*stretch_keys).agg(
-        F.min("_row").alias("_first"), F.count("*").alias("_rows")
-    )
+    row = unused("_row", df)
+    laid_out = materialize(df.withColumn(row, F.monotonically_increasing_id()), "positions")
+    keys = [part, *within]
+    # The small tables have names of their own, whatever the columns of ``df`` are called.
+    named = [F.col(k).alias(f"key_{i}") for i, k in enumerate(keys)]
+    stretches = laid_out.groupBy(*named).agg(F.min(row).alias("first"), F.count("*").alias("rows"))
     before = (
-        Window.partitionBy(*(within or [F.lit(0)]))
-        .orderBy(part)
+        Window.partitionBy(*([f"key_{i}" for i in range(1, len(keys))] or [F.lit(0)]))
+        .orderBy("key_0")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    offset = F.coalesce(F.sum("_rows").over(before), F.lit(0))
+    offset = F.coalesce(F.sum("rows").over(before), F.lit(0))
+    shift, taken = unused("_shift", laid_out), [unused(f"_key_{i}", laid_out) for i in range(len(keys))]
     stretches = materialize(
-        stretches.select(
-            *(F.col(k).alias(f"_key_{i}") for i, k in enumerate(stretch_keys)),
-            (offset - F.col("_first") + start).alias("_shift"),
-        ),
+        stretches.select(*(F.col(f"key_{i}").alias(k) for i, k in enumerate(taken)), (offset - F.col("first") + start).alias(shift)),
         "offsets",
     )
-    same = [F.col(k).eqNullSafe(F.col(f"_key_{i}")) for i, k in enumerate(stretch_keys)]
+    same = [F.col(k).eqNullSafe(F.col(own)) for k, own in zip(keys, taken)]
     joined = laid_out.join(broadcast_if_small(stretches, 500_000), same)
     kept = [c for c in df.columns if c != part]
-    return joined.select(*kept, (F.col("_row") + F.col("_shift")).alias(name))
+    return joined.select(*kept, (F.col(row) + F.col(shift)).alias(name))
 
 
 def head(df: DataFrame, order: Sequence[str], n: int | None) -> DataFrame:
@@ -82,13 +89,15 @@ def head(df: DataFrame, order: Sequence[str], n: int | None) -> DataFrame:
         return df
     if n <= _DRIVER_HEAD:
         return df.orderBy(*order).limit(n)
-    return with_position(df, order, name="_position").where(F.col("_position") < n).drop("_position")
+    position = unused("_position", df)
+    return with_position(df, order, name=position).where(F.col(position) < n).drop(position)
 
 
 def first_k(df: DataFrame, keys: Sequence[str], order: str, k: int) -> DataFrame:
     """The first ``k`` rows of every group; each task drops the rest before the shuffle."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-    return df.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
+    place = unused("_rank", df)
+    return df.withColumn(place, rank).where(F.col(place) <= k).drop(place)
 
 
 def batch_ledger(

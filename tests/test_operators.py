@@ -5,7 +5,7 @@ from assayer.operators import metrics, results
 from assayer.operators.embedding import embed_hashed, embed_with, first_token_pool, mean_pool
 from assayer.operators.inference import best_choice, generate, stop_strings, two_phase
 from assayer.operators.joins import for_each_model, join_spread
-from assayer.operators.positions import batch_ledger, flush_group, head, progress_rows, with_position
+from assayer.operators.positions import batch_ledger, first_k, flush_group, head, progress_rows, with_position
 from assayer.sinks.writers import save
 
 
@@ -187,3 +187,13 @@ def test_metric_arguments(spark):
     for wrong in ({"use_stemmer": True}, {"use_aggregator": False}):
         with pytest.raises(ValueError):
             metrics.compute(scored, "rouge", **wrong)
+
+
+def test_positions_leave_columns_of_any_name(spark):
+    names = ["_row", "_part", "_shift", "_first", "_rows", "_key_0", "_key_1", "_rank", "_position"]
+    df = spark.createDataFrame([(i % 3, i, *(f"{n}{i}" for n in names)) for i in range(30)], f"g int, i int, {', '.join(f'{n} string' for n in names)}")
+    before = {r["i"]: tuple(r) for r in df.collect()}
+    for got, extra in ((with_position(df, ["i"], within=["g"]), 1), (first_k(df, ["g"], "i", 4), 0), (head(df, ["i"], 7), 0)):
+        rows = got.collect()
+        assert rows and all(tuple(r)[: len(r) - extra] == before[r["i"]] for r in rows)
+    assert sorted((r["g"], r["idx"]) for r in with_position(df, ["i"], within=["g"]).collect()) == [(g, n) for g in range(3) for n in range(10)]
