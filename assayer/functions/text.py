@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -97,3 +100,20 @@ def python_text(value: Column, dtype: T.DataType) -> Column:
     else:
         text = value.cast("string")
     return F.coalesce(text, F.lit("None"))
+
+
+def token_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """The tokens of lower-cased texts, side by side: the row and the number of each, and what the numbers stand for.
+
+    A batch is cut in one step, and whatever is done with a token is done once for each that is distinct.
+    """
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    lists = pc.split_pattern_regex(texts, NON_TOKEN)
+    rows = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    coded = lists.flatten().dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    if "" in names:
+        solid = codes != names.index("")
+        rows, codes = rows[solid], codes[solid]
+    return rows, codes, names

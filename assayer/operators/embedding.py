@@ -3,39 +3,104 @@
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from assayer.functions.text import NON_TOKEN
+from assayer.functions.text import token_codes
 from assayer.functions.vectors import as_doubles, l2_normalize
 
 Encoder = Callable[[list[str]], np.ndarray]
 
 _SMALLEST_COUNT = 1e-9
 
+# Numbers that the sums of a task may hold before they are sent.
+_HELD_NUMBERS = 1 << 22
+
+# Tokens whose bucket a task remembers, and rows that become vectors at a time.
+_KNOWN_TOKENS, _VECTOR_ROWS = 1 << 18, 1_024
+
 
 def mean_pool(tokens: DataFrame, key: str, vector: str, mask: Column) -> DataFrame:
     """Masked mean of token vectors per ``key``, unit length: ``(key, embedding)``.
 
-    Sums are kept per dimension, so every task reduces its tokens before the shuffle and
-    a key with very many tokens costs no more than the others.
+    Every task adds up whole vectors, so it sends one row per key that it met, whatever the number
+    of tokens and of dimensions; a key with very many tokens costs no more than the others.
     """
-    weight = mask.cast("double")
-    per_dimension = (
-        tokens.select(F.col(key), weight.alias("_w"), F.posexplode(as_doubles(F.col(vector))).alias("_dim", "_x"))
-        .groupBy(key, "_dim")
-        .agg(
-            (F.sum(F.col("_x") * F.col("_w")) / F.greatest(F.sum("_w"), F.lit(_SMALLEST_COUNT))).alias("_mean")
-        )
-    )
-    pooled = per_dimension.groupBy(key).agg(_in_order("_dim", "_mean").alias("_pooled"))
-    return pooled.select(key, l2_normalize(F.col("_pooled")).alias("embedding"))
+    weighted = tokens.select(F.col(key), mask.cast("double").alias("weight"), as_doubles(F.col(vector)).alias("vector"))
+    kind = weighted.schema[key].dataType
+    schema = T.StructType([
+        T.StructField(key, kind), T.StructField("weight", T.DoubleType()), T.StructField("vector", T.ArrayType(T.DoubleType()))
+    ])
+    partial = weighted.mapInArrow(_sums(False), schema)
+    sums = partial.repartition(key).sortWithinPartitions(key).mapInArrow(_sums(True), schema)
+    mean = F.transform(F.col("vector"), lambda x: x / F.greatest(F.col("weight"), F.lit(_SMALLEST_COUNT)))
+    return sums.select(key, mean.alias("_pooled")).select(key, l2_normalize(F.col("_pooled")).alias("embedding"))
+
+
+def _sums(ordered: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Per key the sums of weights and of weighted vectors.
+
+    Rows in the order of their keys leave one row per key. Otherwise a task gives away its sums whenever they
+    take much room. Vectors that are sums already are added as they are.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[object, list] = {}
+
+        def given(keys: list, schema: pa.Schema) -> pa.RecordBatch:
+            found = [sums.pop(k) for k in keys]
+            columns = [keys, [w for w, _ in found], [v for _, v in found]]
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+        schema = None
+        for batch in batches:
+            schema = batch.schema
+            for name, weight, total in _batch_sums(batch, weighted=not ordered):
+                if name not in sums:
+                    sums[name] = [weight, total]
+                elif len(sums[name][1]) == len(total):
+                    sums[name] = [sums[name][0] + weight, sums[name][1] + total]
+                else:
+                    raise ValueError(f"Vectors of different lengths for {name}")
+            numbers = sum(len(v) for _, v in sums.values())
+            if ordered and len(batch):
+                last = batch.column(0)[-1].as_py()
+                yield given([k for k in sums if k != last], schema)
+            elif numbers > _HELD_NUMBERS:
+                yield given(list(sums), schema)
+        if sums:
+            yield given(list(sums), schema)
+
+    return run
+
+
+def _batch_sums(batch: pa.RecordBatch, weighted: bool) -> Iterator[tuple[object, float, np.ndarray]]:
+    coded = batch.column(0).dictionary_encode()
+    codes = pc.fill_null(coded.indices, len(coded.dictionary)).to_numpy(zero_copy_only=False)
+    names = [*coded.dictionary.to_pylist(), None]
+    weights = pc.fill_null(batch.column(1), 0.0).to_numpy(zero_copy_only=False)
+    for width, rows in _by_width(batch.column(2)):
+        flat = pc.fill_null(batch.column(2).take(pa.array(rows)).flatten(), 0.0)
+        flat = flat.to_numpy(zero_copy_only=False).reshape(len(rows), width)
+        used, index = np.unique(codes[rows], return_inverse=True)
+        totals = np.zeros((len(used), width))
+        np.add.at(totals, index, flat * weights[rows, None] if weighted else flat)
+        for code, weight, total in zip(used, np.bincount(index, weights[rows]), totals):
+            yield names[code], float(weight), total
+
+
+def _by_width(vectors: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """Rows that are neither null nor empty, by the length of their vectors."""
+    widths = pc.fill_null(pc.list_value_length(vectors), -1).to_numpy(zero_copy_only=False)
+    for width in np.unique(widths[widths > 0]):
+        yield int(width), np.flatnonzero(widths == width)
 
 
 def first_token_pool(tokens: DataFrame, key: str, position: str, vector: str) -> DataFrame:
@@ -81,20 +146,39 @@ def embed_hashed(df: DataFrame, key: str, text: str, dim: int = 256) -> DataFram
     shuffled; a token's bucket is the first 32 bits of its MD5 modulo ``dim``.
     """
 
-    @F.pandas_udf("array<double>")
-    def counts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bucket = lru_cache(1 << 16)(lambda token: int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % dim)
+    @F.arrow_udf("array<double>")
+    def counts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        buckets: dict[str, int] = {}
         for texts in batches:
-            rows = []
-            for lowered in texts:
-                tokens = [bucket(t) for t in re.split(NON_TOKEN, lowered or "") if t]
-                rows.append(_unit(np.bincount(tokens, minlength=dim)[None])[0] if tokens else None)
-            yield pd.Series(rows, dtype=object)
+            if isinstance(texts, pa.ChunkedArray):
+                texts = texts.combine_chunks()
+            rows, codes, names = token_codes(texts)
+            for name in names:
+                if name not in buckets:
+                    buckets[name] = int(hashlib.md5(name.encode()).hexdigest()[:8], 16) % dim
+            bucket = np.array([buckets[name] for name in names] or [0], np.int64)[codes]
+            if len(buckets) > _KNOWN_TOKENS:
+                buckets.clear()
+            # A few rows at a time, as every one of them becomes a vector.
+            found = []
+            for at in range(0, len(texts), _VECTOR_ROWS):
+                n = min(_VECTOR_ROWS, len(texts) - at)
+                own = slice(*np.searchsorted(rows, [at, at + n]))
+                matrix = np.bincount((rows[own] - at) * dim + bucket[own], minlength=n * dim).reshape(n, dim)
+                found.append(_vectors(_unit(matrix), matrix.any(axis=1)))
+            yield pa.concat_arrays(found) if found else pa.array([], pa.list_(pa.float64()))
 
     # As nondeterministic, it is not run once more for the filter.
     embedded = df.select(key, counts.asNondeterministic()(F.lower(F.col(text))).alias("embedding"))
     return embedded.where(F.col("embedding").isNotNull())
 
 
+def _vectors(matrix: np.ndarray, known: np.ndarray) -> pa.Array:
+    """The rows of a matrix as lists, null where they are not ``known``."""
+    offsets = np.concatenate([[0], np.cumsum(np.where(known, matrix.shape[1], 0))]).astype(np.int32)
+    values = pa.array(matrix[known].ravel(), pa.float64())
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values, mask=pa.array(~known))
+
+
 def _in_order(position: str, value: str) -> Column:
     return F.sort_array(F.collect_list(F.struct(position, value))).getField(value)

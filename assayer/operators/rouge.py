@@ -5,18 +5,27 @@ Scores are plain means over the examples, without resampling.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.functions.text import NON_TOKEN
+from assayer.functions.text import NON_TOKEN, token_codes
 
 KEYS = ("model", "task", "idx")
 
+# Pairs of texts whose n-grams are counted together.
+_STEP_ROWS = 512
+
+# Bits of the matrix of a longest common subsequence that are kept at a time, about.
+_KEPT_BITS = 1 << 24
+
 
 def rouge_n(scored: DataFrame, sizes: Sequence[int] = (1, 2), keys: Sequence[str] = KEYS) -> DataFrame:
     """F-measure per example: ``keys`` and one column ``rouge<n>`` per size.
@@ -27,16 +36,43 @@ def rouge_n(scored: DataFrame, sizes: Sequence[int] = (1, 2), keys: Sequence[str
 
     @F.pandas_udf(", ".join(f"{name} double" for name in names))
     def measure(predictions: pd.Series, references: pd.Series) -> pd.DataFrame:
-        rows = [
-            [overlap_f(p, r, n) for n in sizes]
-            for p, r in zip(map(_tokens, predictions), map(_tokens, references))
-        ]
-        return pd.DataFrame(rows, columns=names, dtype="float64")
+        columns = {name: [] for name in names}
+        for at in range(0, len(predictions), _STEP_ROWS):
+            step = slice(at, at + _STEP_ROWS)
+            for name, values in zip(names, overlaps(predictions[step], references[step], sizes)):
+                columns[name].append(values)
+        return pd.DataFrame({name: np.concatenate(parts or [np.zeros(0)]) for name, parts in columns.items()})
 
     scores = scored.select(*keys, measure(F.lower("prediction"), F.lower("reference")).alias("_score"))
     return scores.select(*keys, *(f"_score.{name}" for name in names))
 
 
+def overlaps(predictions: Sequence[str | None], references: Sequence[str | None], sizes: Sequence[int]) -> list[np.ndarray]:
+    """F-measures of n-grams for pairs of texts in lower case, by counting all pairs' n-grams at once."""
+    n_rows = len(predictions)
+    rows, codes, names = token_codes(pa.array([*predictions, *references], pa.large_string()))
+    out = []
+    for n in sizes:
+        # Numbers for the n-grams of all rows, one token longer at a time, so that they stay small.
+        starts, grams = np.arange(len(codes)), codes
+        for k in range(1, n):
+            whole = starts + k < len(codes)
+            whole[whole] = rows[starts[whole] + k] == rows[starts[whole]]
+            starts = starts[whole]
+            _, grams = np.unique(grams[whole] * len(names) + codes[starts + k], return_inverse=True)
+        at = rows[starts]
+        width = int(grams.max(initial=0)) + 1
+        keys, counts = np.unique(at * width + grams, return_counts=True)
+        right = keys >= n_rows * width
+        _, left_at, right_at = np.intersect1d(keys[~right], keys[right] - n_rows * width, assume_unique=True, return_indices=True)
+        shared = np.minimum(counts[~right][left_at], counts[right][right_at])
+        hits = np.bincount(keys[~right][left_at] // width, shared, n_rows)
+        totals = np.bincount(at, minlength=2 * n_rows)
+        totals = totals[:n_rows] + totals[n_rows:]
+        out.append(np.where(hits > 0, 2.0 * hits / np.maximum(totals, 1), 0.0))
+    return out
+
+
 def _tokens(text: str | None) -> list[str]:
     """The tokens of a text in lower case."""
     return [t for t in re.split(NON_TOKEN, text or "") if t]
@@ -88,14 +124,16 @@ def _places(tokens: list[str]) -> dict[str, int]:
     return places
 
 
-def _growth(places: dict[str, int], size: int, other: list[str]) -> Iterator[int]:
+def _growth(places: dict[str, int], size: int, other: list[str], row: int | None = None) -> Iterator[int]:
     """Bit-parallel LCS (Hyyrö): one integer per prefix of ``other``, the empty one first.
 
+    With ``row`` it goes on behind the prefix that had this integer.
+
     Bit i is 0 where the LCS with that prefix grows as position i of the first sequence
     joins in.
     """
     everything = (1 << size) - 1
-    row = everything
+    row = everything if row is None else row
     yield row
     for token in other:
         matched = row & places.get(token, 0)
@@ -134,16 +172,20 @@ def _lcs_positions(places: dict[str, int], size: int, other: list[str]) -> int:
     """Positions of one LCS in the first sequence, as bits.
 
     Walks back from the ends. A match is always taken; otherwise the first sequence is
-    shortened as long as that keeps the length, and then ``other`` is.
+    shortened as long as that keeps the length, and then ``other`` is. Of the rows on the way only
+    every n-th is kept where they are many; those between are made again when the walk gets there.
     """
-    growth = list(_growth(places, size, other))
-    found = 0
-    for j in range(len(other), 0, -1):
-        match = places.get(other[j - 1], 0)
-        size = ((match | ~growth[j]) & ((1 << size) - 1)).bit_length()
-        if not size:
-            break
-        if match >> (size - 1) & 1:
-            size -= 1
-            found |= 1 << size
+    step = max(1, math.isqrt(len(other)) if size * len(other) > _KEPT_BITS else len(other))
+    kept = [row for j, row in enumerate(_growth(places, size, other)) if j % step == 0]
+    full, found, j = size, 0, len(other)
+    while j > 0 and size:
+        first = (j - 1) // step * step
+        rows = list(_growth(places, full, other[first:j], kept[first // step]))
+        while j > first and size:
+            match = places.get(other[j - 1], 0)
+            size = ((match | ~rows[j - first]) & ((1 << size) - 1)).bit_length()
+            if size and match >> (size - 1) & 1:
+                size -= 1
+                found |= 1 << size
+            j -= 1
     return found

@@ -1,7 +1,11 @@
+import random
+import tracemalloc
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from assayer.operators import rouge
 from assayer.operators.metrics import compute
 from assayer.operators.rouge import _lcs_positions, _places, lcs_f
 
@@ -63,3 +67,35 @@ def test_longest_common_subsequence_against_the_full_table(left, right):
         else:
             i -= 1
     assert _lcs_positions(_places(left), len(left), right) == sum(1 << i for i in expected)
+
+
+def test_subsequences_of_long_texts_take_little_memory():
+    pick = random.Random(8)
+    left, right = ([f"w{pick.randint(0, 400)}" for _ in range(20_000)] for _ in range(2))
+    places = rouge._places(left)
+    tracemalloc.start()
+    found = rouge._lcs_positions(places, len(left), right)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    last = list(rouge._growth(places, len(left), right))[-1]
+    assert found.bit_count() == len(left) - last.bit_count() and peak < 5 << 20
+
+
+def test_kept_rows_do_not_change_subsequences(monkeypatch):
+    pick = random.Random(9)
+    for _ in range(100):
+        left, right = ([pick.choice("abcd") for _ in range(pick.randint(0, 30))] for _ in range(2))
+        found = []
+        for bits in (1 << 24, 0):
+            monkeypatch.setattr(rouge, "_KEPT_BITS", bits)
+            found.append(rouge._lcs_positions(rouge._places(left), len(left), right))
+        assert found[0] == found[1]
+
+
+def test_overlaps_of_batches_are_those_of_pairs():
+    pick = random.Random(10)
+    texts = [None, "", "...", "a", "a b", "ü b"] + [" ".join(pick.choice(["a", "b", "c-d", "e,f"]) for _ in range(pick.randint(0, 12))) for _ in range(60)]
+    left, right = ([pick.choice(texts) for _ in range(200)] for _ in range(2))
+    for n, values in zip((1, 2, 3, 4), rouge.overlaps(left, right, (1, 2, 3, 4))):
+        assert values.tolist() == pytest.approx([rouge.overlap_f(rouge._tokens(a), rouge._tokens(b), n) for a, b in zip(left, right)])
+    assert [len(x) for x in rouge.overlaps([], [], (1, 2))] == [0, 0]
