@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from functools import reduce
 from xml.sax.saxutils import escape
 
 import pandas as pd
+from pyarrow.dataset import dataset
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +55,33 @@ def scan_custom_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+class DocumentShards:
+    """A loader of four shards that tasks read; the source is told of French documents alone."""
+
+    def __init__(self, config: Mapping) -> None:
+        self.path = f"{config['dir']}/documents.parquet"
+
+    def shards(self) -> list[int]:
+        return list(range(4))
+
+    def rows(self, shard: int) -> Iterator[dict]:
+        for number, batch in enumerate(dataset(self.path).to_batches(columns=["doc_id", "lang", "source", "n_chars"], batch_size=64)):
+            if number % 4 == shard:
+                for row in batch.to_pylist():
+                    told = {"source": row["source"]} if row["lang"] == "fr" else {}
+                    yield {"doc_id": row["doc_id"], "size": {"chars": row["n_chars"]} if row["n_chars"] > 100 else None, **told}
+
+
+@query(
+    "scan_custom_shards",
+    """SELECT doc_id, CASE WHEN lang = 'fr' THEN source END AS source, CASE WHEN n_chars > 100 THEN n_chars END AS chars FROM documents""",
+)
+def scan_custom_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of mixed shape, read by one task per shard."""
+    rows = datasets.load(spark, {"type": "custom", "loader": f"{__name__}.DocumentShards", "dir": sf_dir})
+    return rows.select("doc_id", "source", F.col("size.chars").alias("chars"))
+
+
 def _write_items(spark: SparkSession, sf_dir: str) -> str:
     """One text file per benchmark item."""
     path = new_path(spark, "items")

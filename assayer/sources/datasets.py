@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import importlib
-from collections.abc import Iterable, Mapping
-from itertools import islice
+from collections.abc import Mapping
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource
 
 from assayer.functions.text import java_pattern, python_text
-from assayer.session import new_path
+from assayer.sources import loaders
 from assayer.sources.files import read_corpus
 
 DEFAULT_SPLIT = "validation"
@@ -20,15 +18,17 @@ DEFAULT_SPLIT = "validation"
 # Settings of a dataset that is a table or a path; ``kwargs`` of a data hub have no meaning here.
 _SETTINGS = frozenset(("name", "path", "format", "options", "schema", "split", "split_column", "filter"))
 
+# Settings of a file corpus.
+_FILE_SETTINGS = frozenset(
+    "type name path paths glob extensions recursive chunk_size chunk_overlap include_metadata json_content_key json_path json_jq_schema".split()
+)
+
 # Place of a row in its dataset, where the files tell it.
 FILE_ORDER = ("_file", "_file_row")
 
 # Where the split of the file begins that a row was read from.
 FILE_SPLIT = "_file_split"
 
-# Plain rows of a custom loader pass the driver this many at a time.
-SPOOL_ROWS = 10_000
-
 
 def load(
     spark: SparkSession,
@@ -54,6 +54,9 @@ def load(
     if kind == "custom":
         return _custom(spark, dataset)
     if kind == "files":
+        unknown = sorted(set(dataset) - _FILE_SETTINGS)
+        if unknown:
+            raise ValueError(f"A file corpus has no settings {', '.join(unknown)}")
         return read_corpus(spark, dataset)
     unknown = sorted(set(dataset) - _SETTINGS)
     if unknown:
@@ -107,31 +110,14 @@ def _of_split(df: DataFrame, options: Mapping[str, Any], split: str | None) -> D
 
 
 def _custom(spark: SparkSession, dataset: Mapping[str, Any]) -> DataFrame:
-    """What a loader returns: a DataFrame, a Python data source class, or a few rows."""
-    module, _, name = dataset["loader"].rpartition(".")
-    data = getattr(importlib.import_module(module), name)
+    """What a loader returns: a DataFrame, a Python data source class, shards that tasks read, or rows."""
+    data = loaders.named(dataset["loader"])
     if isinstance(data, type) and issubclass(data, DataSource):
         spark.dataSource.register(data)
         return spark.read.format(data.name()).options(**dataset.get("options", {})).load()
     rows = data(dataset)
     if isinstance(rows, DataFrame):
         return rows
-    return _from_rows(spark, rows, dataset.get("schema"))
-
-
-def _from_rows(spark: SparkSession, rows: Iterable[Mapping], schema) -> DataFrame:
-    """Any number of rows: a few at a time go into a table in the shared folder.
-
-    Without a schema the first of them tell it.
-    """
-    path = new_path(spark, "loader")
-    left = iter(rows)
-    chunk = list(islice(left, SPOOL_ROWS))
-    if not chunk:
-        return spark.createDataFrame([], schema or "struct<>")
-    while chunk:
-        df = spark.createDataFrame(chunk, schema)
-        schema = df.schema
-        df.write.mode("append").parquet(path)
-        chunk = list(islice(left, SPOOL_ROWS))
-    return spark.read.schema(schema).parquet(path)
+    if isinstance(rows, loaders.Sharded):
+        return loaders.read_shards(spark, dataset)
+    return loaders.read_rows(spark, rows, dataset.get("schema"))

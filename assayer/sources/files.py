@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
@@ -262,8 +263,8 @@ def read_corpus(
     """A file corpus as ``text`` and its metadata columns.
 
     ``config`` takes ``path, paths, glob, extensions, recursive, chunk_size,
-    chunk_overlap, include_metadata, json_content_key`` and ``json_path``. PDF files need
-    an extractor.
+    chunk_overlap, include_metadata, json_content_key, json_path`` and ``json_jq_schema``, of
+    whose programs only paths are taken (``.a.b[0]``). PDF files need an extractor.
     """
     size = int(config.get("chunk_size") or 0)
     overlap = int(config.get("chunk_overlap", 0))
@@ -283,7 +284,7 @@ def read_corpus(
     if of(TEXT_EXTENSIONS):
         frames.append(read_texts(spark, locations, of(TEXT_EXTENSIONS), recursive))
     if of(JSONL_EXTENSIONS):
-        content = config.get("json_path") or config.get("json_content_key", "text")
+        content = config.get("json_path") or _plain_program(config.get("json_jq_schema")) or config.get("json_content_key", "text")
         frames.append(read_jsonl(spark, locations, content, of(JSONL_EXTENSIONS), recursive))
     if of(DOCX_EXTENSIONS):
         documents = read_binary(spark, locations, docx_text, of(DOCX_EXTENSIONS), recursive)
@@ -300,6 +301,15 @@ def read_corpus(
     return normalize_metadata(docs, bool(config.get("include_metadata", True)), size > 0)
 
 
+def _plain_program(program: str | None) -> str | None:
+    """The path that a program consists of; anything else is an error."""
+    if program is None:
+        return None
+    if not re.fullmatch(r"(\.\w+(\[\d+\])*)+", program.strip()):
+        raise ValueError(f"json_jq_schema: only a path such as .a.b[0] is taken, not {program}")
+    return program.strip().removeprefix(".")
+
+
 def chunk_documents(docs: DataFrame, size: int, overlap: int) -> DataFrame:
     """Documents cut into chunks that replace ``text``, with ``start_index``.
 

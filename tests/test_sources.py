@@ -1,5 +1,7 @@
+import datetime
 import io
 import json
+import os
 import re
 import zipfile
 
@@ -10,6 +12,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from assayer.operators.results import unpivot_metrics
 from assayer.sinks.writers import save_by_run
 from assayer.sources import datasets, files
+from assayer.sources.loaders import merged, shape_of
 from assayer.sources.runs import read_run_frame, read_run_results
 
 WORD = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
@@ -169,6 +172,67 @@ def test_custom_datasets(spark):
     assert sorted(r.n for r in numbers.collect()) == [0, 1, 10, 11]
 
 
+class Shards:
+    """Rows of mixed shape; each shard says in which process it was read."""
+
+    def __init__(self, config):
+        self.n = config["n"]
+
+    def shards(self):
+        return [{"first": i * self.n} for i in range(4)]
+
+    def rows(self, shard):
+        for i in range(shard["first"], shard["first"] + self.n):
+            row = {"id": i, "pid": os.getpid(), "tags": [] if i % 2 else [i, 0.5], "mixed": i if i % 3 else f"t{i}", "none": None}
+            if i == 4 * self.n - 1:
+                row |= {"late": datetime.date(2020, 1, 2), "deep": {"a": {"b": b"x"}}}
+            elif i == 0:
+                row |= {"deep": {"a": {"c": True}, "d": 1 << 70}}
+            yield row
+
+
+def late_rows(config):
+    return iter([{"a": None, "b": 1}] * 10_000 + [{"a": "x", "c": 2.5}] * 5)
+
+
+def test_shards_are_read_by_tasks(spark):
+    rows = datasets.load(spark, {"type": "custom", "loader": f"{__name__}.Shards", "n": 700})
+    assert dict(rows.dtypes) == {
+        "id": "bigint", "pid": "bigint", "tags": "array<double>", "mixed": "string", "none": "string", "late": "date",
+        "deep": "struct<a:struct<b:binary,c:boolean>,d:string>",
+    }
+    found = {r["id"]: r for r in rows.collect()}
+    assert len(found) == 2800 and os.getpid() not in {r["pid"] for r in found.values()}
+    assert (found[3]["mixed"], found[4]["mixed"], found[4]["tags"], found[5]["tags"], found[6]["none"]) == ("t3", "4", [4.0, 0.5], [], None)
+    assert found[2799]["late"] == datetime.date(2020, 1, 2) and bytes(found[2799]["deep"]["a"]["b"]) == b"x" and found[2799]["deep"]["d"] is None
+    assert (found[0]["deep"]["a"]["c"], found[0]["deep"]["d"], found[1]["deep"]) == (True, str(1 << 70), None)
+    few = datasets.load(spark, {"type": "custom", "loader": f"{__name__}.Shards", "n": 2, "schema": "id long, late date"})
+    assert few.columns == ["id", "late"] and few.count() == 8
+    assert datasets.load(spark, {"type": "custom", "loader": f"{__name__}.Shards", "n": 0}).columns == []
+
+
+def test_keys_and_values_of_late_rows_are_kept(spark):
+    rows = datasets.load(spark, {"type": "custom", "loader": f"{__name__}.late_rows"})
+    assert dict(rows.dtypes) == {"a": "string", "b": "bigint", "c": "double"} and rows.count() == 10_005
+    assert [tuple(r) for r in rows.where("c IS NOT NULL").collect()] == [("x", None, 2.5)] * 5
+
+
+def test_shapes_meet():
+    assert merged("bigint", "double") == "double" and merged("void", {"array": "bigint"}) == {"array": "bigint"}
+    assert merged({"array": "bigint"}, {"struct": {}}) == merged("boolean", "bigint") == "string"
+    assert shape_of([1, None, 2.0]) == {"array": "double"} and shape_of({}) == "void" and shape_of(1 << 63) == "string"
+    assert merged({"struct": {"a": "bigint"}}, {"struct": {"b": "void"}}) == {"struct": {"a": "bigint", "b": "void"}}
+
+
+def test_file_corpora_refuse_what_they_do_not_know(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"x": {"y": ["no", "yes"]}}')
+    corpus = {"type": "files", "path": str(tmp_path)}
+    assert [r.text for r in datasets.load(spark, corpus | {"json_jq_schema": ".x.y[1]"}).collect()] == ["yes"]
+    for wrong in ({"json_jq_schema": ".x[] | .y"}, {"jq": ".x"}):
+        with pytest.raises(ValueError):
+            datasets.load(spark, corpus | wrong)
+
+
 def test_run_results(spark, tmp_path):
     def run(model, task, **metrics):
         return {"model": model, "task": task, "metrics": metrics, "num_examples": 2}
