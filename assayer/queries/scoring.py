@@ -9,6 +9,7 @@ from assayer.functions.choices import postprocess
 from assayer.functions.labels import UNKNOWN, LabelMap, prediction_id, reference_id
 from assayer.functions.reasoning import Delimiters
 from assayer.operators import metrics, rouge
+from assayer.operators.resampling import bootstrap, weight_sql
 from assayer.queries.registry import (
     CUSTOMERS,
     DIALOGUE,
@@ -261,3 +262,36 @@ def metric_custom_udaf(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("answer").alias("reference"),
     )
     return metrics.compute(scored, "length", unit=10).withColumn("metric_value", rounded("metric_value"))
+
+
+@query(
+    "metric_bootstrap",
+    f"""WITH {SCORED}, s AS (SELECT model, task, idx, CASE WHEN prediction = reference THEN 1.0 ELSE 0.0 END AS score FROM scored),
+    w AS (SELECT model, task, score, r, {weight_sql('idx', 'r')} AS weight FROM s, range(1000) t(r)),
+    m AS (SELECT model, task, r, sum(weight * score) / sum(weight) AS mean FROM w GROUP BY ALL HAVING sum(weight) > 0),
+    q AS (SELECT model, task, quantile_cont(mean, 0.5) AS median, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM m GROUP BY ALL)
+    SELECT model, task, round(p.mean, 6) AS mean, round(median, 6) AS median, round(low, 6) AS low, round(high, 6) AS high, n
+    FROM (SELECT model, task, avg(score) AS mean, count(*) AS n FROM s GROUP BY ALL) p JOIN q USING (model, task)""",
+)
+def metric_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Accuracy per model and task with the median and the interval of 1,000 resampled means."""
+    scores = classified(spark, sf_dir).withColumn("score", (F.col("prediction") == F.col("reference")).cast("double"))
+    found = bootstrap(scores, ["model", "task"], "idx", "score")
+    return found.select("model", "task", *(rounded(c).alias(c) for c in ("mean", "median", "low", "high")), "n")
+
+
+@query(
+    "metric_adapter",
+    f"""WITH {SCORED} SELECT model, task, 'agreement:rate' AS metric_name,
+        round(avg(CASE WHEN prediction = reference THEN 1 ELSE 0 END), 6) AS metric_value FROM scored GROUP BY model, task""",
+)
+def metric_adapter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A metric of a job that an adapter of its own computes, chosen by name."""
+
+    def agreement(scored: DataFrame, name: str, args) -> DataFrame:
+        hit = F.avg((F.col("prediction") == F.col("reference")).cast("double"))
+        return scored.groupBy("model", "task").agg(hit.alias("metric_value")).withColumn("metric_name", F.lit(f"{name}:{args['as']}"))
+
+    metrics.register_adapter("agreement", agreement)
+    found = metrics.compute_all(classified(spark, sf_dir), [("agreement", {"as": "rate"}, "agreement")])
+    return found.select("model", "task", "metric_name", rounded("metric_value").alias("metric_value"))
