@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from assayer.functions.text import token_codes
 from assayer.functions.vectors import as_doubles, l2_normalize
+from assayer.operators.sparse_search import to_batch, unit_counts
 
 Encoder = Callable[[list[str]], np.ndarray]
 
@@ -148,17 +149,9 @@ def embed_hashed(df: DataFrame, key: str, text: str, dim: int = 256) -> DataFram
 
     @F.arrow_udf("array<double>")
     def counts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        buckets: dict[str, int] = {}
+        buckets = _Buckets(dim)
         for texts in batches:
-            if isinstance(texts, pa.ChunkedArray):
-                texts = texts.combine_chunks()
-            rows, codes, names = token_codes(texts)
-            for name in names:
-                if name not in buckets:
-                    buckets[name] = int(hashlib.md5(name.encode()).hexdigest()[:8], 16) % dim
-            bucket = np.array([buckets[name] for name in names] or [0], np.int64)[codes]
-            if len(buckets) > _KNOWN_TOKENS:
-                buckets.clear()
+            rows, bucket = buckets.of(texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts)
             # A few rows at a time, as every one of them becomes a vector.
             found = []
             for at in range(0, len(texts), _VECTOR_ROWS):
@@ -173,6 +166,40 @@ def embed_hashed(df: DataFrame, key: str, text: str, dim: int = 256) -> DataFram
     return embedded.where(F.col("embedding").isNotNull())
 
 
+def sparse_hashed(df: DataFrame, key: str, text: str, dim: int) -> DataFrame:
+    """As :func:`embed_hashed`, but only the terms that a text has: ``(key, terms, weights)``, terms in order."""
+
+    def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        buckets = _Buckets(dim)
+        for batch in batches:
+            for at in range(0, len(batch), _VECTOR_ROWS):
+                part = batch.slice(at, _VECTOR_ROWS)
+                rows, bucket = buckets.of(part.column(1))
+                yield to_batch(unit_counts(part.column(0).to_numpy(zero_copy_only=False), rows, bucket, dim), (key, "terms", "weights"))
+
+    slim = df.select(F.col(key).cast("long").alias(key), F.lower(F.col(text)).alias("text"))
+    return slim.mapInArrow(counts, f"`{key}` long, terms array<long>, weights array<double>")
+
+
+class _Buckets:
+    """The buckets of tokens, worked out once for each token of a batch and remembered for a while."""
+
+    def __init__(self, dim: int) -> None:
+        self.dim = dim
+        self.known: dict[str, int] = {}
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of all tokens and their buckets."""
+        rows, codes, names = token_codes(texts)
+        for name in names:
+            if name not in self.known:
+                self.known[name] = int(hashlib.md5(name.encode()).hexdigest()[:8], 16) % self.dim
+        bucket = np.array([self.known[name] for name in names] or [0], np.int64)[codes]
+        if len(self.known) > _KNOWN_TOKENS:
+            self.known.clear()
+        return rows, bucket
+
+
 def _vectors(matrix: np.ndarray, known: np.ndarray) -> pa.Array:
     """The rows of a matrix as lists, null where they are not ``known``."""
     offsets = np.concatenate([[0], np.cumsum(np.where(known, matrix.shape[1], 0))]).astype(np.int32)
