@@ -53,6 +53,8 @@ def load_examples(spark: SparkSession, task: TaskSpec, evaluation: EvaluationSpe
     if not set(order) <= set(rows.columns):
         raise SpecError(f"Task '{task.name}': order_by is needed to number the examples")
     sample = task.sample_size or evaluation.sample_size
+    if sample and not task.order_by:
+        rows = datasets.first_rows(rows, sample)
     rows = head(rows, order, sample)
     kept = adapter.fields(task).union(order, () if task.order_by else (datasets.FILE_SPLIT,))
     rows = rows.select(F.struct(*(c for c in rows.columns if c in kept)).alias("row"))

@@ -10,9 +10,9 @@ from pyspark.sql import types as T
 
 from assayer.functions.templates import render
 from assayer.functions.text import strip
-from assayer.operators.embedding import embed_hashed, embed_with
+from assayer.operators.embedding import embed_with
 from assayer.operators.positions import with_file_position, with_position
-from assayer.operators.retrieval import fetch_text, top_k, with_context
+from assayer.operators.retrieval import fetch_text, top_k, top_k_text, with_context
 from assayer.plans.spec import RagSpec, SpecError, TaskSpec
 from assayer.sources import datasets
 
@@ -43,10 +43,9 @@ def retrieve(queries: DataFrame, corpus: DataFrame, rag: RagSpec) -> DataFrame:
         raise ValueError("The corpus is empty")
     asked = queries.where(strip(F.col("query")) != "").select("query_id", F.col("query").alias("text"))
     if rag.embedder == "hashed":
-        left, right = embed_hashed(asked, "query_id", "text"), embed_hashed(corpus, "corpus_id", "text")
-    else:
-        left = embed_with(asked, "text", rag.embedder, rag.embed_batch_size)
-        right = embed_with(corpus, "text", rag.embedder, rag.embed_batch_size)
+        return fetch_text(top_k_text(asked, corpus, rag.context_k), corpus)
+    left = embed_with(asked, "text", rag.embedder, rag.embed_batch_size)
+    right = embed_with(corpus, "text", rag.embedder, rag.embed_batch_size)
     return fetch_text(top_k(left, right, rag.context_k, checked=True), corpus)
 
 

@@ -179,7 +179,7 @@ def chunk_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
         source.alias("source"), (F.col("turn") + 1).alias("line_number"), "text"
     )
     chunks = fixed_chunks(docs, "text", 100, 20).select(
-        "source", "line_number", F.col("chunk").alias("text"), F.col("chunk_start").alias("start_index")
+        "source", "line_number", F.col("chunk").alias("text"), F.col("chunk_start").alias("start_index"), F.col("chunk_index").alias("_piece")
     )
     return files.normalize_metadata(chunks, number_chunks=True).select(
         "source_path", "line_number", "chunk_start", F.col("chunk_end").cast("long"), "text", "chunk_index"

@@ -11,13 +11,14 @@ from typing import Any
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assayer.functions.text import python_text, strip
 from assayer.operators.chunking import check_overlap, recursive_chunks
 from assayer.operators.positions import number_in_place, with_position
+from assayer.session import materialize
 
 # File extensions by the way a file is read.
 TEXT_EXTENSIONS = (".txt", ".md")
@@ -26,6 +27,9 @@ PDF_EXTENSIONS = (".pdf",)
 DOCX_EXTENSIONS = (".docx",)
 SUPPORTED_EXTENSIONS = TEXT_EXTENSIONS + JSONL_EXTENSIONS + PDF_EXTENSIONS + DOCX_EXTENSIONS
 
+# Lines (or pages) whose chunk counts go to every task at most, and lines whose counts are summed up together.
+_SENT_UNITS, _STRETCH_UNITS = 200_000, 10_000
+
 # A paged extractor turns the bytes of one document into the texts of its pages.
 Extractor = Callable[[bytes], list[str]]
 
@@ -250,11 +254,40 @@ def normalize_metadata(
         derived["chunk_end"] = F.col("start_index") + F.length("text")
     docs = docs.withColumns(derived) if derived else docs
     if number_chunks and "chunk_index" not in columns:
-        order = [c for c in ("line_number", "page", "start_index", "_piece") if c in docs.columns]
-        docs = with_position(docs, order, within=["source_path"], name="chunk_index").drop("_piece")
+        docs = _numbered_chunks(docs)
     return docs
 
 
+def _numbered_chunks(docs: DataFrame) -> DataFrame:
+    """Adds ``chunk_index`` by file, over lines and pages.
+
+    A chunk's place in its text (``_piece``) is its number where a file is one text. With lines or pages the
+    chunks are written as they lie, and what the lines before hold is summed up in a small table, by
+    stretches of lines first, so that texts do not move. Only where that table is too large to be sent, or
+    the place is unknown, are chunks laid out anew.
+    """
+    units = [c for c in ("line_number", "page") if c in docs.columns]
+    if "_piece" in docs.columns and not units:
+        return docs.withColumn("chunk_index", F.col("_piece").cast("long")).drop("_piece")
+    if "_piece" in docs.columns:
+        docs = materialize(docs, "chunks")
+        counts = docs.groupBy("source_path", *units).agg(F.count("*").alias("n"), (F.max("_piece") + 1).alias("pieces"))
+        counts = materialize(counts.withColumn("stretch", F.floor(F.col(units[0]) / _STRETCH_UNITS)), "chunk-counts")
+        if counts.count() <= _SENT_UNITS and counts.where("n <> pieces").isEmpty():
+            sums = counts.groupBy("source_path", "stretch").agg(F.sum("n").alias("n"))
+            earlier = Window.partitionBy("source_path").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+            sums = sums.select("source_path", "stretch", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+            inside = Window.partitionBy("source_path", "stretch").orderBy(*units).rowsBetween(Window.unboundedPreceding, -1)
+            offsets = counts.withColumn("within", F.coalesce(F.sum("n").over(inside), F.lit(0)))
+            same = [offsets[c].eqNullSafe(sums[c]) for c in ("source_path", "stretch")]
+            offsets = offsets.join(F.broadcast(sums), same).select(*(offsets[c].alias(f"_{c}") for c in ("source_path", *units)), (F.col("before") + F.col("within")).alias("_offset"))
+            same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ("source_path", *units)]
+            joined = docs.join(F.broadcast(materialize(offsets, "chunk-offsets")), same)
+            return joined.select(*(c for c in docs.columns if c != "_piece"), (F.col("_offset") + F.col("_piece")).alias("chunk_index"))
+    order = [c for c in (*units, "start_index", "_piece") if c in docs.columns]
+    return with_position(docs, order, within=["source_path"], name="chunk_index").drop("_piece")
+
+
 def read_corpus(
     spark: SparkSession,
     config: Mapping[str, Any],

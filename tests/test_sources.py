@@ -298,3 +298,50 @@ def test_patterns_are_read_as_in_python(spark):
     for pattern in (r"^\w+$", r"a\sb", r"(?P<c>x)(?P=c)", r"\bb"):
         found = {r.t for r in datasets.regex_filter(rows, "t", pattern).collect()}
         assert found == {r.t for r in rows.collect() if re.search(pattern, r.t)}
+
+
+@pytest.mark.parametrize("sent,stretch", [(200_000, 10_000), (200_000, 3), (0, 10_000)])
+def test_chunk_numbers_run_over_lines(spark, tmp_path, monkeypatch, sent, stretch):
+    monkeypatch.setattr(files, "_SENT_UNITS", sent)
+    monkeypatch.setattr(files, "_STRETCH_UNITS", stretch)
+    for name, n in (("a", 40), ("b", 1)):
+        (tmp_path / f"{name}.jsonl").write_text("".join(json.dumps({"text": f"{name}{i} " * (i % 4 + 1)}) + "\n" for i in range(n)))
+    (tmp_path / "c.txt").write_text("one two three four five")
+    chunks = files.read_corpus(spark, {"path": str(tmp_path), "chunk_size": 8, "chunk_overlap": 0})
+    assert "_piece" not in chunks.columns
+    by_file = {}
+    for r in chunks.collect():
+        by_file.setdefault(r["source"].rsplit("/", 1)[1], []).append((r["line_number"] or 0, r["start_index"], r["chunk_index"]))
+    assert sorted(by_file) == ["a.jsonl", "b.jsonl", "c.txt"]
+    for found in by_file.values():
+        assert [i for _, _, i in sorted(found)] == list(range(len(found)))
+    if sent:
+        plan = chunks._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan.replace("BroadcastExchange", "")
+
+
+def test_chunks_of_whole_texts_are_numbered_in_place(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / f"{name}.txt").write_text("one two three four five six seven")
+    chunks = files.read_corpus(spark, {"path": str(tmp_path), "chunk_size": 10, "chunk_overlap": 0})
+    assert "Exchange" not in chunks._jdf.queryExecution().executedPlan().toString()
+    rows = sorted((r["source"], r["start_index"], r["chunk_index"]) for r in chunks.collect())
+    assert [i for _, _, i in rows] == [*range(len(rows) // 2)] * 2
+
+
+def test_the_first_rows_come_from_the_first_files(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(0, 1000, numPartitions=10).withColumn("even", F.col("id") % 2 == 0).write.parquet(path)
+    rows = datasets.load(spark, path, with_order=True)
+    for n, most in ((1, 1), (100, 1), (101, 4), (401, 10), (5000, 10)):
+        first = datasets.first_rows(rows, n)
+        assert len({r[0] for r in first.select("_file").distinct().collect()}) == most
+        assert sorted(r["id"] for r in first.orderBy("_file", "_file_row").limit(n).collect()) == list(range(min(n, 1000)))
+    few = datasets.first_rows(rows.where("even AND id > 150"), 30)
+    assert sorted(r["id"] for r in few.orderBy("_file", "_file_row").limit(30).collect()) == list(range(152, 212, 2))
+    found = datasets.first_rows(rows, 100)
+    found.collect()
+    scan = found._jdf.queryExecution().executedPlan().toString()
+    assert "file_path" in scan
+    numbers = found._jdf.queryExecution().executedPlan().collectLeaves().head().metrics()
+    assert numbers.get("numFiles").get().value() == 1
