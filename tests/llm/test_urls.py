@@ -84,3 +84,48 @@ def test_long_runs_take_linear_time():
     assert segmenter.split("cheappills" * 10_000) == ("cheap", "pills") * 10_000
     assert segmenter.split("q" * 100_000) == ("q" * 100_000,)
     assert time.process_time() - start < 20
+
+
+def some_urls():
+    hosts = ["news.example.org", "casino-win.example.net", "freecasinowin.net", "cheap-pills.shop", "cheappills.shop", "my-garden.de", "gardennews.com", "x1y2.org"]
+    paths = ["/garden/news/12", "/win/free", "/pills/cheap?x=1", "", "/" + "q" * 60, "/a-b_c"]
+    return [f"https://{h}{p}" for h in hosts for p in paths] * 2 + [None, "no scheme", "://", "http://bücher.example/ÄÖ"]
+
+
+def judged(spark, addresses):
+    pages = spark.createDataFrame([(i, u, "x") for i, u in enumerate(addresses)], "id int, url string, _host string").repartition(3)
+    return {r["id"]: r for r in urls.judge(pages, RULES).collect()}
+
+
+def test_models_that_are_joined_are_the_same(spark, monkeypatch):
+    addresses = some_urls()
+    sent = judged(spark, addresses)
+    monkeypatch.setattr(urls, "SENT_WORDS", 0)
+    joined = judged(spark, addresses)
+    assert joined.keys() == sent.keys()
+    for i, r in sent.items():
+        a, b = r["judged"], joined[i]["judged"]
+        assert (a["host"], a["path"], a["words"], a["rule"], a["verdict"]) == (b["host"], b["path"], b["words"], b["rule"], b["verdict"]), a
+        assert abs(a["score"] - b["score"]) < 1e-9 and r["_host"] == "x"
+    assert judged(spark, []) == {}
+
+
+def test_many_words_elsewhere_change_no_verdict(spark, monkeypatch):
+    """More words than may be sent: no word leaves the models for them."""
+    addresses = some_urls()
+    before = judged(spark, addresses)
+    monkeypatch.setattr(urls, "SENT_WORDS", 500)
+    letters = "abcdefghij"
+    # As many of either class as before, so that the classes' shares stay as they are.
+    more = [f"https://{'site.test' if i % 4 else 'poker-hub.test'}/" + "-".join("z" + "".join(letters[int(d)] for d in str(10 * i + j)) for j in range(10)) for i in range(300)]
+    after = judged(spark, addresses + more)
+    assert {i: after[i]["judged"]["verdict"] for i in before} == {i: r["judged"]["verdict"] for i, r in before.items()}
+    assert {i: after[i]["judged"]["words"] for i in before} == {i: r["judged"]["words"] for i, r in before.items()}
+
+
+def test_the_classifier_decides_hosts_without_a_seed_of_their_own(spark):
+    more = [f"https://{host}/win/{i}" for host in ("casino-win.example.net", "free-casino.example.net", "cheap-pills.shop") for i in range(40)]
+    found = {r["judged"]["host"]: r["judged"]["verdict"] for r in judged(spark, some_urls() + more).values()}
+    seeds = set(urls.SEEDS)
+    for host, verdict in (("freecasinowin.net", "block"), ("cheappills.shop", "block"), ("gardennews.com", "allow")):
+        assert not seeds & set(urls.host_parts(host)) and found[host] == verdict
