@@ -10,6 +10,9 @@ from assayer.functions.labels import UNKNOWN, LabelMap, prediction_id, reference
 from assayer.functions.reasoning import Delimiters
 from assayer.operators import metrics, rouge
 from assayer.operators.resampling import bootstrap, weight_sql
+from assayer.plans import adapters
+from assayer.plans.evaluation import score
+from assayer.plans.spec import TaskSpec
 from assayer.queries.registry import (
     CUSTOMERS,
     DIALOGUE,
@@ -295,3 +298,27 @@ def metric_adapter(spark: SparkSession, sf_dir: str) -> DataFrame:
     metrics.register_adapter("agreement", agreement)
     found = metrics.compute_all(classified(spark, sf_dir), [("agreement", {"as": "rate"}, "agreement")])
     return found.select("model", "task", "metric_name", rounded("metric_value").alias("metric_value"))
+
+
+class _Shouted(adapters.TaskAdapter):
+    """Answers are what stands behind the last space, in upper case."""
+
+    def postprocess(self, predictions: DataFrame, task: TaskSpec) -> DataFrame:
+        parsed = super().postprocess(predictions, task)
+        return parsed.withColumn("prediction_parsed", F.upper(F.substring_index("prediction_parsed", " ", -1)))
+
+
+@query(
+    "task_adapter",
+    f"""SELECT c_custkey AS idx, upper(list_last(string_split(t, ' '))) AS prediction, c_mktsegment AS actual
+    FROM (SELECT c_custkey, c_mktsegment, {sql_strip('output')} AS t FROM {CUSTOMERS})""",
+)
+def task_adapter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A kind of task of its own, chosen by name, between stored completions and scores."""
+    adapters.register("shouted", _Shouted)
+    task = TaskSpec(name="segments", dataset="customer", prompt_template="{name}", input_mappings={"name": "c_name"}, reference_field="c_mktsegment", task_adapter="shouted")
+    completions = customers(spark, sf_dir).select(
+        F.lit("m").alias("model"), F.lit("segments").alias("task"), F.col("c_custkey").alias("idx"),
+        F.col("output").alias("completion"), F.col("c_mktsegment").alias("actual_raw"),
+    )
+    return score(completions, task).select("idx", "prediction", "actual")
