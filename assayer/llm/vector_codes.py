@@ -40,11 +40,15 @@ PARTS, ENTRIES, ROUNDS, SCALE, PIVOTS = 4, 256, 4, 1024, 8
 # Entries of the lowest bounds that are evaluated before the others are pruned.
 _FIRST = 8
 
+# Share of pairs that bounds may leave over before a step's distances are worked out as one product of
+# matrices, which then takes less time than to pick the pairs.
+_DENSE = 0.1
+
 # Parts that one vectorised step works on.
 _STEP = 2_048
 
-# Stored distances have 24 bits; bounds are lowered by more than they may be off.
-_SLACK = 1e-6
+# Distances have 24 bits here; bounds are lowered by more than they may be off.
+_SLACK = 2e-6
 
 Books = list[np.ndarray]
 
@@ -102,17 +106,20 @@ def nearest(parts: np.ndarray, stored: np.ndarray, book: np.ndarray, to_pivots:
 
 def _nearest(parts: np.ndarray, stored: np.ndarray, book: np.ndarray, to_pivots: np.ndarray):
     n, size = len(parts), len(book)
-    bounds = np.zeros((n, size))
-    for p in range(stored.shape[1]):
-        np.maximum(bounds, np.abs(stored[:, p, None] - to_pivots[None, :, p]), out=bounds)
-    reach = stored.max(axis=1, initial=0.0)[:, None] + to_pivots.max(axis=1, initial=0.0)[None, :]
-    bounds -= _SLACK * (reach + 1)
+    bounds = _bounds(stored, to_pivots)
     few = min(_FIRST, size)
     first = np.argpartition(bounds, few - 1, axis=1)[:, :few]
     found = exact(np.repeat(parts, few, axis=0), book[first.ravel()]).reshape(n, few)
     least = found.min(axis=1)
-    np.put_along_axis(bounds, first, np.inf, axis=1)
-    row, entry = np.nonzero(bounds <= np.sqrt(least.astype(np.float64))[:, None])
+    left = bounds <= np.sqrt(least.astype(np.float64))[:, None]
+    np.put_along_axis(left, first, True, axis=1)
+    evaluated = int(left.sum())
+    if evaluated > _DENSE * left.size:
+        squares = np.where(left, _all_squares(parts, book), np.iinfo(np.int64).max)
+        index = squares.argmin(axis=1)
+        return index, squares[np.arange(n), index], evaluated
+    np.put_along_axis(left, first, False, axis=1)
+    row, entry = np.nonzero(left)
     # What is left is evaluated in the order of the bounds, a few per row at a time.
     order = np.lexsort((bounds[row, entry], row))
     row, entry = row[order], entry[order]
@@ -136,6 +143,30 @@ def _nearest(parts: np.ndarray, stored: np.ndarray, book: np.ndarray, to_pivots:
     return index, least, len(squares)
 
 
+def _bounds(stored: np.ndarray, to_pivots: np.ndarray) -> np.ndarray:
+    """Lower bounds (parts x entries) of distances, a little below the differences for rounding."""
+    stored, to_pivots = stored.astype(np.float32), to_pivots.astype(np.float32)
+    bounds = np.zeros((len(stored), len(to_pivots)), np.float32)
+    apart = np.empty_like(bounds)
+    for p in range(stored.shape[1]):
+        np.subtract(stored[:, p, None], to_pivots[None, :, p], out=apart)
+        np.abs(apart, out=apart)
+        np.maximum(bounds, apart, out=bounds)
+    reach = stored.max(axis=1, initial=0.0)[:, None] + to_pivots.max(axis=1, initial=0.0)[None, :]
+    bounds -= np.float32(_SLACK) * (reach + 1)
+    return bounds
+
+
+def _all_squares(parts: np.ndarray, book: np.ndarray) -> np.ndarray:
+    """Squared distances of all rows and entries, as one product of matrices; whole numbers below 2^53 are exact in doubles."""
+    width = max(parts.shape[1], 1)
+    largest = int(np.abs(parts).max(initial=0)) + int(np.abs(book).max(initial=0))
+    kind = np.float64 if width * largest * largest < 1 << 52 else np.int64
+    left, right = parts.astype(kind), book.astype(kind)
+    squares = (left * left).sum(axis=1)[:, None] + (right * right).sum(axis=1)[None, :] - 2 * (left @ right.T)
+    return squares.astype(np.int64)
+
+
 def _cut(vectors: np.ndarray, parts: int) -> list[np.ndarray]:
     return np.split(vectors, parts, axis=1)
 
