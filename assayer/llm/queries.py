@@ -247,7 +247,9 @@ def shared_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op13_source_mix")
 def source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    # One letter for each word, so that no list of words is made.
+    letters = F.regexp_replace(F.btrim("text", F.lit(" \t\n\x0b\x0c\r")), r"[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+", "x")
+    words = F.coalesce(F.char_length(letters), F.lit(0)).cast("long")
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", words.alias("size"))
     rows, mixed, targets = mixing.mix(docs, F.array("source"), F.col("size"), ["doc_id"])
     targets = targets.withColumnRenamed("source", "named")
