@@ -40,7 +40,7 @@ COSTS = (0, 1, 3)
 MAX_PATTERNS = 2_000
 
 # Documents in a range of the hash, about.
-RANGE_ROWS = 4_096
+RANGE_ROWS = 512
 
 # Times that what is missing is filled up.
 FILLS = 4
