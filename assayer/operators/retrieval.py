@@ -24,8 +24,8 @@ BROADCAST_BYTES = 8 * 1024 * 1024
 # Bytes of the ids that go to every task so that only texts with a hit move.
 ID_BYTES = 8 * 1024 * 1024
 
-# Numbers of the queries that meet the corpus in one scan of it when both sides are large (64 MB).
-GROUP_NUMBERS = 8 * 1024 * 1024
+# Numbers of the queries that meet the corpus in one scan of it when both sides are large (32 MB).
+GROUP_NUMBERS = 4 * 1024 * 1024
 
 # Vectors of the corpus that give the first lower bounds of what a hit must reach, at most.
 SAMPLE_ROWS = 100_000

@@ -1,5 +1,7 @@
 """Search by bounds: the same hits as by scoring everything, with few blocks visited."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -50,6 +52,33 @@ def test_few_blocks_are_visited():
     assert again.visited <= search.visited and np.array_equal(again.ids, search.ids)
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e-9, 1e20])
+def test_hits_that_differ_beyond_single_precision(scale):
+    random = np.random.default_rng(3)
+    queries, middle = random.normal(size=(300, 16)), random.normal(size=(5, 16))
+    corpus = middle[random.integers(0, 5, 3000)] * scale + random.normal(size=(3000, 16)) * 1e-8 * scale
+    if scale <= 1:
+        corpus[2000:2400] = corpus[:400]
+    search = BlockSearch(queries, 3, size=20)
+    for at in range(0, 3000, 1000):
+        search.add(np.arange(at, at + 1000), corpus[at : at + 1000])
+    row, hits, _ = search.hits()
+    assert set(zip(row.tolist(), hits.tolist())) == plain(queries, np.arange(3000), corpus, 3)
+
+
+def test_memory_does_not_follow_the_number_of_queries():
+    random = np.random.default_rng(4)
+    vectors, corpus = random.normal(size=(60_000, 16)), random.normal(size=(512, 16))
+    known = np.sort(vectors @ corpus[:64].T, axis=1)[:, -3]
+    tracemalloc.start()
+    search = BlockSearch(vectors, 3, known)
+    search.add(np.arange(len(corpus)), corpus)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # A row of distances to all centres for every query would be 112 MB.
+    assert peak < 8 * vectors.nbytes
+
+
 def test_blocks_hold_their_rows():
     random = np.random.default_rng(2)
     vectors = np.vstack([random.normal(size=(500, 6)), np.ones((2000, 6)), np.zeros((3, 6))])
