@@ -27,6 +27,9 @@ ID_BYTES = 8 * 1024 * 1024
 # Numbers of the queries that meet the corpus in one scan of it when both sides are large (32 MB).
 GROUP_NUMBERS = 4 * 1024 * 1024
 
+# Scans of the corpus for groups of a size that is asked for; with more, groups grow as far as the line above lets them.
+SCANS = 16
+
 # Vectors of the corpus that give the first lower bounds of what a hit must reach, at most.
 SAMPLE_ROWS = 100_000
 
@@ -66,7 +69,7 @@ def top_k(
     side of at most ``broadcast_bytes`` goes to every task, and the corpus is scanned where
     it lies, once. A larger one goes in groups of bounded size, each with a scan of its own, in
     which query blocks visit the corpus in the order of upper bounds (see
-    :mod:`assayer.operators.block_search`; ``block_rows`` is the size of a group). The corpus is
+    :mod:`assayer.operators.block_search`; ``block_rows`` is the size of a group, as long as no more than ``SCANS`` come of it). The corpus is
     never shuffled; unless it is ``stored`` already it is written as it lies, so that a model that
     makes it runs once. A task keeps only its own best ``k`` per query; pairs are never written.
     Vectors must not be null and must have one length on both sides.
@@ -86,7 +89,9 @@ def top_k(
     if size["rows"] * width * 8 <= broadcast_bytes:
         partial = _scan(queries.toArrow(), corpus, k)
     else:
-        rows = block_rows or max(GROUP_NUMBERS // width, 1)
+        most = max(GROUP_NUMBERS // width, 1)
+        # Groups of a fixed size would be scans without end on a large query side.
+        rows = max(block_rows, min(-(-size["rows"] // SCANS), most)) if block_rows else most
         partial = _by_bounds(queries, corpus if stored else materialize(corpus, "corpus"), k, rows, size["rows"])
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "corpus_id")
     return (

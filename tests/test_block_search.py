@@ -79,6 +79,17 @@ def test_memory_does_not_follow_the_number_of_queries():
     assert peak < 8 * vectors.nbytes
 
 
+def test_groups_grow_where_scans_would_be_too_many(spark, monkeypatch):
+    random = np.random.default_rng(6)
+    vectors = random.normal(size=(300, 4)).astype(np.float32)
+    scans = []
+    written = retrieval.materialize
+    monkeypatch.setattr(retrieval, "materialize", lambda df, purpose: (scans.append(purpose), written(df, purpose))[1])
+    found = top_k(frame(spark, np.arange(300), vectors, "query_id"), frame(spark, np.arange(300), vectors, "corpus_id"), 2, broadcast_bytes=0, block_rows=3)
+    assert rows(found) == expected(np.arange(300), vectors, np.arange(300), vectors, 2)
+    assert scans.count("candidates") <= 16
+
+
 def test_blocks_hold_their_rows():
     random = np.random.default_rng(2)
     vectors = np.vstack([random.normal(size=(500, 6)), np.ones((2000, 6)), np.zeros((3, 6))])
