@@ -9,6 +9,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -94,19 +95,22 @@ def rouge_l(scored: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
 
     @F.pandas_udf("rougeL double, rougeLsum double")
     def measure(predictions: pd.Series, references: pd.Series) -> pd.DataFrame:
-        pairs = [(_sentences(p), _sentences(r)) for p, r in zip(predictions, references)]
-        return pd.DataFrame(
-            {
-                "rougeL": [lcs_f(sum(p, []), sum(r, [])) for p, r in pairs],
-                "rougeLsum": [lcs_union_f(p, r) for p, r in pairs],
-            }
-        )
+        return subsequences(predictions, references)
 
     pairs = scored.select(*keys, "prediction", "reference").hint("rebalance")
     scores = pairs.select(*keys, measure("prediction", "reference").alias("_score"))
     return scores.select(*keys, "_score.rougeL", "_score.rougeLsum")
 
 
+def subsequences(predictions: Sequence[str | None], references: Sequence[str | None]) -> pd.DataFrame:
+    """``rougeL`` and ``rougeLsum`` of pairs of texts; only one pair is held as tokens."""
+    found = np.zeros((len(predictions), 2))
+    for i, pair in enumerate(zip(predictions, references)):
+        predicted, expected = map(_sentences, pair)
+        found[i] = lcs_f(list(chain.from_iterable(predicted)), list(chain.from_iterable(expected))), lcs_union_f(predicted, expected)
+    return pd.DataFrame(found, columns=["rougeL", "rougeLsum"])
+
+
 def _sentences(text: str | None) -> list[list[str]]:
     """The tokens of every line; a line break never lies inside a token."""
     return [[t for t in re.split(NON_TOKEN, line.lower()) if t] for line in (text or "").split("\n") if line]

@@ -99,3 +99,14 @@ def test_overlaps_of_batches_are_those_of_pairs():
     for n, values in zip((1, 2, 3, 4), rouge.overlaps(left, right, (1, 2, 3, 4))):
         assert values.tolist() == pytest.approx([rouge.overlap_f(rouge._tokens(a), rouge._tokens(b), n) for a, b in zip(left, right)])
     assert [len(x) for x in rouge.overlaps([], [], (1, 2))] == [0, 0]
+
+
+def test_tokens_of_one_pair_at_a_time():
+    texts = [" ".join(f"w{i}x{j}" for j in range(400)) for i in range(200)]
+    tracemalloc.start()
+    scores = rouge.subsequences(texts, texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (scores.to_numpy() == 1).all()
+    # All pairs' tokens together would take about 8 MB.
+    assert peak < 1_000_000
