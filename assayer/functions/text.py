@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -102,6 +103,17 @@ def python_text(value: Column, dtype: T.DataType) -> Column:
     return F.coalesce(text, F.lit("None"))
 
 
+def text_steps(texts: pa.Array, rows: int, size: int = 1 << 21) -> Iterator[tuple[int, int]]:
+    """Ranges of at most ``rows`` texts with about ``size`` bytes together, one text at least, whatever an Arrow batch holds."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    first = 0
+    while first < len(texts):
+        before = ends[first - 1] if first else 0
+        last = min(max(int(np.searchsorted(ends, before + size, side="right")), first + 1), first + rows, len(texts))
+        yield first, last
+        first = last
+
+
 def token_codes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """The tokens of lower-cased texts, side by side: the row and the number of each, and what the numbers stand for.
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from assayer.functions.text import token_codes
+from assayer.functions.text import text_steps, token_codes
 from assayer.functions.vectors import as_doubles, l2_normalize
 from assayer.operators.sparse_search import to_batch, unit_counts
 
@@ -151,15 +151,13 @@ def embed_hashed(df: DataFrame, key: str, text: str, dim: int = 256) -> DataFram
     def counts(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         buckets = _Buckets(dim)
         for texts in batches:
-            rows, bucket = buckets.of(texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts)
-            # A few rows at a time, as every one of them becomes a vector.
-            found = []
-            for at in range(0, len(texts), _VECTOR_ROWS):
-                n = min(_VECTOR_ROWS, len(texts) - at)
-                own = slice(*np.searchsorted(rows, [at, at + n]))
-                matrix = np.bincount((rows[own] - at) * dim + bucket[own], minlength=n * dim).reshape(n, dim)
-                found.append(_vectors(_unit(matrix), matrix.any(axis=1)))
-            yield pa.concat_arrays(found) if found else pa.array([], pa.list_(pa.float64()))
+            texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+            # A few rows at a time, as each has many tokens and becomes a vector.
+            for first, last in text_steps(texts, _VECTOR_ROWS):
+                n = last - first
+                rows, bucket = buckets.of(texts.slice(first, n))
+                matrix = np.bincount(rows * dim + bucket, minlength=n * dim).reshape(n, dim)
+                yield _vectors(_unit(matrix), matrix.any(axis=1))
 
     # As nondeterministic, it is not run once more for the filter.
     embedded = df.select(key, counts.asNondeterministic()(F.lower(F.col(text))).alias("embedding"))
@@ -172,8 +170,8 @@ def sparse_hashed(df: DataFrame, key: str, text: str, dim: int) -> DataFrame:
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buckets = _Buckets(dim)
         for batch in batches:
-            for at in range(0, len(batch), _VECTOR_ROWS):
-                part = batch.slice(at, _VECTOR_ROWS)
+            for first, last in text_steps(batch.column(1), _VECTOR_ROWS):
+                part = batch.slice(first, last - first)
                 rows, bucket = buckets.of(part.column(1))
                 yield to_batch(unit_counts(part.column(0).to_numpy(zero_copy_only=False), rows, bucket, dim), (key, "terms", "weights"))
 

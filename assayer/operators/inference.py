@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +20,17 @@ THINKING_END = "</think"
 ANSWER_MARK = "<answer>"
 
 
+def _lists(prompts: pa.Array, batch_size: int | None) -> Iterator[list[str]]:
+    """The prompts of an Arrow batch in lists for a plug-in; only one list at a time is made of Python strings."""
+    size = batch_size or max(len(prompts), 1)
+    for at in range(0, len(prompts), size):
+        yield prompts.slice(at, size).to_pylist()
+
+
+def _strings(texts: Sequence[str | None]) -> pa.Array:
+    return pa.array(list(texts), pa.string())
+
+
 def generate(
     prompt: Column,
     load: Callable[[], Generator],
@@ -34,20 +45,14 @@ def generate(
     rewrite of the plan runs a model twice.
     """
 
-    @F.pandas_udf("completion string, raw string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("completion string, raw string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         generator = load()
         for prompts in batches:
-            rows = prompts.tolist()
-            completions: list[str] = []
-            raws: list[str] = []
-            for at in range(0, len(rows), batch_size or max(len(rows), 1)):
-                batch = rows[at : at + batch_size] if batch_size else rows
+            for batch in _lists(prompts, batch_size):
                 output = generator(batch, **(settings or {}))
                 texts, raw = output if isinstance(output, tuple) else (output, output)
-                completions += texts
-                raws += raw
-            yield pd.DataFrame({"completion": completions, "raw": raws}, dtype=object)
+                yield pa.StructArray.from_arrays([_strings(texts), _strings(raw)], names=["completion", "raw"])
 
     return run.asNondeterministic()(prompt)
 
@@ -76,16 +81,13 @@ def choose(
     if not choices:
         raise ValueError("The list of choices is empty")
 
-    @F.pandas_udf("string")
-    def pick(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def pick(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = load()
         for prompts in batches:
-            rows = prompts.tolist()
-            found: list[list[float]] = []
-            for at in range(0, len(rows), batch_size or max(len(rows), 1)):
-                batch = rows[at : at + batch_size] if batch_size else rows
-                found += scorer(batch, choices, **(settings or {}))
-            yield pd.Series([choices[scores.index(max(scores))] for scores in found], dtype=object)
+            for batch in _lists(prompts, batch_size):
+                found = scorer(batch, choices, **(settings or {}))
+                yield _strings([choices[scores.index(max(scores))] for scores in found])
 
     return pick.asNondeterministic()(prompt)
 

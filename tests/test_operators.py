@@ -1,7 +1,11 @@
+import tracemalloc
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from assayer.operators import metrics, results
+from assayer.functions.text import text_steps
+from assayer.operators import inference, metrics, results
 from assayer.operators.embedding import embed_hashed, embed_with, first_token_pool, mean_pool
 from assayer.operators.inference import best_choice, generate, stop_strings, two_phase
 from assayer.operators.joins import for_each_model, join_spread
@@ -197,3 +201,32 @@ def test_positions_leave_columns_of_any_name(spark):
         rows = got.collect()
         assert rows and all(tuple(r)[: len(r) - extra] == before[r["i"]] for r in rows)
     assert sorted((r["g"], r["idx"]) for r in with_position(df, ["i"], within=["g"]).collect()) == [(g, n) for g in range(3) for n in range(10)]
+
+
+def test_prompts_become_python_strings_list_by_list():
+    prompts = pa.array(["x" * 10_000 + str(i) for i in range(1000)] + [None])
+    tracemalloc.start()
+    sizes = [len(batch) for batch in inference._lists(prompts, 32)]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sizes == [32] * 31 + [9] and peak < 2_000_000
+    assert [batch for batch in inference._lists(prompts, None)] == [prompts.to_pylist()] and not list(inference._lists(prompts[:0], None))
+
+
+def test_scores_of_a_batch_are_given_list_by_list(spark):
+    texts = spark.range(0, 70, 1, 2).select("id", F.when(F.col("id") % 7 != 0, F.col("id").cast("string")).alias("text"))
+    made = inference.generate(F.col("text"), lambda: lambda rows: ([f"{len(rows)}" for _ in rows], rows), 16)
+    chosen = inference.choose(F.col("text"), ["a", "b"], lambda: lambda rows, choices: [[r is None, r is not None] for r in rows], 16)
+    found = texts.select("id", "text", made.alias("made"), chosen.alias("choice")).collect()
+    assert sorted(r["id"] for r in found) == list(range(70))
+    assert all(r["made"]["raw"] == r["text"] and r["choice"] == ("a" if r["text"] is None else "b") for r in found)
+    assert {r["made"]["completion"] for r in found} == {"16", "3"}
+
+
+def test_steps_of_texts_are_bounded_by_bytes():
+    texts = pa.array(["ab" * 100, None, "", "x" * 5000, "yz", *["abc"] * 50])
+    found = list(text_steps(texts, 20, 1000))
+    assert [i for a, b in found for i in range(a, b)] == list(range(len(texts)))
+    for a, b in found:
+        assert b - a == 1 or b - a <= 20 and sum(len(t or "") for t in texts[a:b].to_pylist()) <= 1000
+    assert not list(text_steps(texts[:0], 20))
