@@ -51,7 +51,9 @@ CROWD = 2_000_000
 #: Sets of a large block that all others are compared with in one round.
 PIVOTS = 16
 #: Hashes of parts that a task compares among themselves before it passes them on.
-LOCAL = 2_000_000
+LOCAL = 500_000
+#: Rows that a task passes on in one Arrow batch.
+SENT = 1 << 16
 
 _LETTERS = random_table(71)
 _MIX_WORD = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -217,6 +219,11 @@ def _pairs(kind: int, block: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Rec
     )
 
 
+def _sent(rows: pa.RecordBatch) -> Batches:
+    for at in range(0, len(rows), SENT):
+        yield rows.slice(at, SENT)
+
+
 def _tie(block: np.ndarray, part: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """In order of (block, part, key): which are the first of their part; edges of the others to them."""
     new = np.ones(len(part), bool)
@@ -235,12 +242,12 @@ def _signatures(n: int, percent: int, seed: int) -> Callable[[Batches], Batches]
 
     def tied(held: list[tuple[np.ndarray, ...]]) -> Batches:
         block, part, key = (np.concatenate(c) for c in zip(*held))
+        held.clear()
         order = np.lexsort((key, part, block))
         block, part, key = block[order], part[order], key[order]
         new, a, b = _tie(block, part, key)
-        yield _pairs(0, block[new], part[new], key[new])
-        if len(a):
-            yield _pairs(1, np.zeros(len(a), np.int64), a, b)
+        yield from _sent(_pairs(0, block[new], part[new], key[new]))
+        yield from _sent(_pairs(1, np.zeros(len(a), np.int64), a, b))
 
     def run(batches: Batches) -> Batches:
         held: list[tuple[np.ndarray, ...]] = []
@@ -256,9 +263,9 @@ def _signatures(n: int, percent: int, seed: int) -> Callable[[Batches], Batches]
                         parts = _part_hashes(grams, percent, seed).view(np.int64)
                         held.append((np.full(len(parts), blocks[i]), parts, np.full(len(parts), keys[i])))
                         count += len(parts)
-                if count >= LOCAL:
-                    yield from tied(held)
-                    held, count = [], 0
+                    if count >= LOCAL:
+                        yield from tied(held)
+                        count = 0
         if held:
             yield from tied(held)
 
@@ -491,15 +498,16 @@ def _send_first(n: int, percent: int) -> Callable[[Batches], Batches]:
 
     def summed(held: list[tuple[np.ndarray, np.ndarray]]) -> Batches:
         gram, key = (np.concatenate(c) for c in zip(*held))
+        held.clear()
         order = np.lexsort((key, gram))
         gram, key = gram[order], key[order]
         new = np.ones(len(gram), bool)
         new[1:] = gram[1:] != gram[:-1]
         first = np.flatnonzero(new)
-        several = np.diff([*first, len(gram)]) > 1
-        yield _pairs(0, several.astype(np.int64), gram[first], key[first])
-        keys, counts = np.unique(key[np.repeat(several, np.diff([*first, len(gram)]))], return_counts=True)
-        yield _pairs(1, counts, keys, keys)
+        several = np.diff(first, append=len(gram)) > 1
+        yield from _sent(_pairs(0, several.astype(np.int64), gram[first], key[first]))
+        keys, counts = np.unique(key[np.repeat(several, np.diff(first, append=len(gram)))], return_counts=True)
+        yield from _sent(_pairs(1, counts, keys, keys))
 
     def run(batches: Batches) -> Batches:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -514,9 +522,9 @@ def _send_first(n: int, percent: int) -> Callable[[Batches], Batches]:
                         sent = _first_grams(grams, percent).view(np.int64)
                         held.append((sent, np.full(len(sent), keys[i])))
                         count += len(sent)
-                if count >= LOCAL:
-                    yield from summed(held)
-                    held, count = [], 0
+                    if count >= LOCAL:
+                        yield from summed(held)
+                        count = 0
         if held:
             yield from summed(held)
 

@@ -1,6 +1,7 @@
 """Near-duplicate components against all pairs, and the parts that decide who meets."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -106,3 +107,14 @@ def test_repeated_rows_null_ids_and_kept_ones(spark):
 
 def test_empty_table(spark):
     assert run(spark, []) == {}
+
+
+@pytest.mark.parametrize("sending", [lambda: nj._signatures(5, 80, 0), lambda: nj._send_first(5, 80)])
+def test_tasks_pass_on_small_batches(sending):
+    texts = [" ".join(f"w{i}x{j}" for j in range(400)) for i in range(3000)]
+    batch = pa.table({"key": pa.array(range(3000), pa.int64()), "block": pa.array([0] * 3000, pa.int64()), "text": texts}).to_batches()
+    tracemalloc.start()
+    rows = [(len(b), tracemalloc.get_traced_memory()[1]) for b in sending()(iter(batch))]
+    tracemalloc.stop()
+    assert sum(n for n, _ in rows) > 300_000 and max(n for n, _ in rows) <= 1 << 16
+    assert rows[-1][1] < 100_000_000
