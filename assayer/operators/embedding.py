@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from assayer.functions.text import text_steps, token_codes
 from assayer.functions.vectors import as_doubles, l2_normalize
-from assayer.operators.sparse_search import to_batch, unit_counts
+from assayer.operators.sparse_search import Sparse, to_batch, unit_counts
 
 Encoder = Callable[[list[str]], np.ndarray]
 
@@ -168,15 +168,25 @@ def sparse_hashed(df: DataFrame, key: str, text: str, dim: int) -> DataFrame:
     """As :func:`embed_hashed`, but only the terms that a text has: ``(key, terms, weights)``, terms in order."""
 
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        buckets = _Buckets(dim)
-        for batch in batches:
-            for first, last in text_steps(batch.column(1), _VECTOR_ROWS):
-                part = batch.slice(first, last - first)
-                rows, bucket = buckets.of(part.column(1))
-                yield to_batch(unit_counts(part.column(0).to_numpy(zero_copy_only=False), rows, bucket, dim), (key, "terms", "weights"))
+        for part in hashed_parts(batches, dim):
+            yield to_batch(part, (key, "terms", "weights"))
+
+    return keyed_texts(df, key, text).mapInArrow(counts, f"`{key}` long, terms array<long>, weights array<double>")
+
+
+def keyed_texts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """What :func:`hashed_parts` reads."""
+    return df.select(F.col(key).cast("long").alias(key), F.lower(F.col(text)).alias("text"))
+
 
-    slim = df.select(F.col(key).cast("long").alias(key), F.lower(F.col(text)).alias("text"))
-    return slim.mapInArrow(counts, f"`{key}` long, terms array<long>, weights array<double>")
+def hashed_parts(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[Sparse]:
+    """The terms of the texts in batches of (key, lower-cased text), a few texts at a time."""
+    buckets = _Buckets(dim)
+    for batch in batches:
+        for first, last in text_steps(batch.column(1), _VECTOR_ROWS):
+            part = batch.slice(first, last - first)
+            rows, bucket = buckets.of(part.column(1))
+            yield unit_counts(part.column(0).to_numpy(zero_copy_only=False), rows, bucket, dim)
 
 
 class _Buckets:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -13,9 +13,9 @@ from pyspark.sql import types as T
 
 from assayer.functions.templates import render_values
 from assayer.operators.block_search import CHUNK_ROWS, SCORE_DIGITS, BlockSearch
-from assayer.operators.embedding import sparse_hashed
+from assayer.operators.embedding import hashed_parts, keyed_texts, sparse_hashed
 from assayer.operators.joins import join_spread
-from assayer.operators.sparse_search import from_table, searching
+from assayer.operators.sparse_search import from_table, searching, stored_parts
 from assayer.session import broadcast_if_small, materialize
 
 # The query side goes to every task only up to so many bytes of vectors.
@@ -317,8 +317,9 @@ def top_k_text(
 
     Texts without tokens, blank queries among them, have no hits. Only the terms of a text are kept, and a
     task searches its part of the corpus through postings (see :mod:`assayer.operators.sparse_search`).
-    Queries go to every task, in groups of at most ``broadcast_bytes``; with more than one group the
-    corpus's terms are written first, and read where they lie.
+    Queries go to every task, in groups of at most ``broadcast_bytes``. One group is searched where texts are
+    read, so texts and terms share a Python worker; with more, the corpus's terms are written first, and read
+    where they lie.
     """
     if k < 1:
         raise ValueError("k must be positive")
@@ -328,15 +329,17 @@ def top_k_text(
     asked = materialize(sparse_hashed(queries, "query_id", text, dim), "queries")
     numbers = asked.agg(F.sum(F.size("terms") + 2)).first()[0] or 0
     n_groups = max(-(-numbers * 16 // max(broadcast_bytes, 1)), 1)
-    documents = sparse_hashed(corpus, "corpus_id", text, dim)
-    documents = documents if n_groups == 1 else materialize(documents, "corpus-terms")
+    if n_groups == 1:
+        documents, read = keyed_texts(corpus, "corpus_id", text), partial(hashed_parts, dim=dim)
+    else:
+        documents, read = materialize(sparse_hashed(corpus, "corpus_id", text, dim), "corpus-terms"), stored_parts
     grouped = asked.withColumn("group", F.pmod(F.xxhash64("query_id"), F.lit(n_groups)))
     found = []
     for group in range(n_groups):
         terms = grouped.where(F.col("group") == group).drop("group").toArrow()
         if terms.num_rows or not group:
             shared = spark.sparkContext.broadcast(from_table(terms))
-            hits = documents.mapInArrow(searching(lambda shared=shared: shared.value, k), _PARTIAL)
+            hits = documents.mapInArrow(searching(lambda shared=shared: shared.value, k, read), _PARTIAL)
             found.append(hits if n_groups == 1 else materialize(hits, "candidates"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "corpus_id")
     ranked = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(best))

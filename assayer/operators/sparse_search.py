@@ -18,8 +18,11 @@ import pyarrow.compute as pc
 
 from assayer.operators.block_search import SCORE_DIGITS
 
-# Rows whose postings are made together, and rows of a block.
-CHUNK_ROWS, BLOCK_ROWS = 8_192, 64
+# Rows, and terms of rows, whose postings are made together at most (but for one piece), and rows of a block.
+CHUNK_ROWS, CHUNK_TERMS, BLOCK_ROWS = 8_192, 1 << 18, 64
+
+# Rows of an Arrow batch that are taken out at a time.
+_PIECE_ROWS = 1_024
 
 _SLACK = 1e-9
 
@@ -158,19 +161,37 @@ def to_batch(rows: Sparse, names: tuple[str, str, str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(columns, names=list(names))
 
 
-def searching(load: Callable[[], Sparse], k: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """What a task does with rows of (id, terms, weights): its best ``k`` for every query."""
+def stored_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[Sparse]:
+    """Rows of (id, terms, weights), a few at a time, whatever an Arrow batch holds."""
+    for batch in batches:
+        for first in range(0, len(batch), _PIECE_ROWS):
+            yield from_table(batch.slice(first, _PIECE_ROWS))
+
+
+def joined(parts: list[Sparse]) -> Sparse:
+    lengths = np.concatenate([np.diff(part.offsets) for part in parts])
+    ids, terms, weights = (np.concatenate([part[i] for part in parts]) for i in (0, 2, 3))
+    return Sparse(ids, np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64), terms, weights)
+
+
+def searching(
+    load: Callable[[], Sparse], k: int, read: Callable[[Iterator[pa.RecordBatch]], Iterator[Sparse]] = stored_parts
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What a task does with the rows that ``read`` finds in its batches: its best ``k`` for every query.
+
+    Postings are made of a number of terms that does not depend on the length of the texts.
+    """
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = SparseSearch(load(), k)
-        waiting: list[pa.RecordBatch] = []
-        for batch in batches:
-            waiting.append(batch)
-            if sum(map(len, waiting)) >= CHUNK_ROWS:
-                best.add(from_table(pa.Table.from_batches(waiting)))
+        waiting: list[Sparse] = []
+        for part in read(batches):
+            waiting.append(part)
+            if sum(len(p.ids) for p in waiting) >= CHUNK_ROWS or sum(len(p.terms) for p in waiting) >= CHUNK_TERMS:
+                best.add(joined(waiting))
                 waiting = []
         if waiting:
-            best.add(from_table(pa.Table.from_batches(waiting)))
+            best.add(joined(waiting))
         yield from best.hits().to_batches()
 
     return search

@@ -1,13 +1,14 @@
 """Search through postings: the same hits as by scoring everything, with blocks left out."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from assayer.operators.embedding import embed_hashed
 from assayer.operators.retrieval import top_k, top_k_text
-from assayer.operators.sparse_search import Postings, Sparse, SparseSearch, unit_counts
+from assayer.operators.sparse_search import Postings, Sparse, SparseSearch, searching, to_batch, unit_counts
 
 
 def sparse(random, n, n_terms, most, first=0):
@@ -70,3 +71,24 @@ def test_texts(spark, limit):
     sides = embed_hashed(queries, "query_id", "text", 64), embed_hashed(corpus, "corpus_id", "text", 64)
     assert {(q, c, r) for q, c, _, r in found} == {(q, c, r) for q, c, _, r in map(tuple, top_k(*sides, 4, checked=True).collect())}
     assert len(found) % 4 == 0 and found
+
+
+def test_postings_are_made_of_a_number_of_terms(monkeypatch):
+    """Rows of many terms are searched in smaller chunks, with the same hits."""
+    random = np.random.default_rng(8)
+    queries, corpus = sparse(random, 5, 5000, 9), sparse(random, 9000, 5000, 200, 1000)
+    sizes = []
+    added = SparseSearch.add
+    monkeypatch.setattr(SparseSearch, "add", lambda self, rows: (sizes.append(len(rows.terms)), added(self, rows))[1])
+    batch = to_batch(corpus, ("corpus_id", "terms", "weights"))
+    found = pa.Table.from_batches(searching(lambda: queries, 3)(iter([batch])))
+    assert sum(sizes) == len(corpus.terms) and max(sizes) < 2 * (1 << 18)
+    whole = SparseSearch(queries, 3)
+    added(whole, corpus)
+    assert found.to_pydict() == whole.hits().to_pydict()
+
+
+def test_texts_and_search_share_a_python_worker(spark):
+    texts = spark.createDataFrame([(1, "a b"), (2, "b c")], "corpus_id long, text string")
+    found = top_k_text(texts.withColumnRenamed("corpus_id", "query_id"), texts, 1)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
