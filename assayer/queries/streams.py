@@ -31,7 +31,8 @@ from assayer.streaming.leaderboard import read_leaderboard, read_results, run_le
 def stream_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results arrive run by run; the board follows them over several batches."""
     arrived, board = new_path(spark, "arrived"), new_path(spark, "board")
-    past_results(spark, sf_dir).write.partitionBy("run_id").json(arrived)
+    # A run's results lie together, so files, and with them batches, follow the size of the data, not the tasks that read it.
+    past_results(spark, sf_dir).hint("rebalance", "run_id").write.partitionBy("run_id").json(arrived)
     results = read_results(spark, arrived, files_per_trigger=3)
     run_leaderboard(results, board, new_path(spark, "progress")).awaitTermination()
     return read_leaderboard(spark, board).withColumn("metric_value", rounded("metric_value"))

@@ -1,5 +1,8 @@
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
+from assayer.queries import all_queries, streams
 from assayer.streaming.checkpoints import run_checkpointed
 from assayer.streaming.leaderboard import read_leaderboard, read_results, run_leaderboard
 
@@ -33,3 +36,15 @@ def test_checkpointed_scoring_restarts_without_duplicates(spark, tmp_path):
     spark.range(10, 12).coalesce(1).write.mode("append").parquet(arrived)
     run_checkpointed(stream(), score, table, progress).awaitTermination()
     assert sorted(r.twice for r in spark.read.parquet(table).collect()) == [2 * i for i in range(12)]
+
+
+def test_batches_do_not_follow_the_tasks_that_read(spark, small, tmp_path, monkeypatch):
+    """Orders in many files: each run's results still arrive in one."""
+    spark.read.parquet(f"{small}/orders.parquet").repartition(8).write.parquet(f"{tmp_path}/orders.parquet")
+    monkeypatch.setattr(streams, "new_path", lambda spark, purpose: f"{tmp_path}/{purpose}")
+    found = all_queries()["stream_leaderboard"](spark, str(tmp_path))
+    runs = list(Path(tmp_path, "arrived").glob("run_id=*"))
+    assert len(list(Path(tmp_path, "arrived").glob("run_id=*/part-*"))) == len(runs) > 3
+    assert len(list(Path(tmp_path, "board").glob("batch_id=*"))) == -(-len(runs) // 3)
+    counts = spark.read.parquet(f"{small}/orders.parquet").groupBy(F.col("o_orderpriority").alias("model")).count()
+    assert {(r.model, r.n_results) for r in found.collect()} == {(r.model, r["count"]) for r in counts.collect()}
