@@ -86,10 +86,15 @@ def _write_items(spark: SparkSession, sf_dir: str) -> str:
     """One text file per benchmark item."""
     path = new_path(spark, "items")
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("value"))
-    items.repartition("item_id").write.partitionBy("item_id").text(path)
+    _dealt(items, "item_id").write.partitionBy("item_id").text(path)
     return path
 
 
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """Rows for a file per key: what counts is the number of files, so small tasks are not put together by their bytes."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def _item_id(path: str) -> F.Column:
     return F.regexp_extract(path, r"item_id=(\d+)/", 1).cast("long").alias("item_id")
 
@@ -119,8 +124,7 @@ def jsonl_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = F.to_json(F.struct(F.struct(F.col("text").alias("body")).alias("message"), "role"))
     blank = F.when(F.col("role") == "user", F.lit("\n  \n")).otherwise(F.lit(""))
     (
-        table(spark, sf_dir, "conversations")
-        .repartition("conv_id")
+        _dealt(table(spark, sf_dir, "conversations"), "conv_id")
         .sortWithinPartitions("conv_id", "turn")
         .select("conv_id", F.concat(line, blank).alias("value"))
         .write.partitionBy("conv_id")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from assayer.operators.results import unpivot_metrics
+from assayer.queries import all_queries, scans
 from assayer.sinks.writers import save_by_run
 from assayer.sources import datasets, files
 from assayer.sources.loaders import merged, shape_of
@@ -345,3 +346,12 @@ def test_the_first_rows_come_from_the_first_files(spark, tmp_path):
     assert "file_path" in scan
     numbers = found._jdf.queryExecution().executedPlan().collectLeaves().head().metrics()
     assert numbers.get("numFiles").get().value() == 1
+
+
+def test_files_by_key_are_written_by_all_tasks(spark, small, tmp_path, monkeypatch):
+    """A file per conversation is work even where the bytes are few."""
+    monkeypatch.setattr(scans, "new_path", lambda spark, purpose: f"{tmp_path}/{purpose}")
+    found = all_queries()["jsonl_scan"](spark, small)
+    written = list((tmp_path / "jsonl").glob("conv_id=*/part-*"))
+    assert len({path.name.split("-")[1] for path in written}) == 4
+    assert len(written) == found.select("conv_id").distinct().count()
